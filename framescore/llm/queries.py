@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from framescore.llm.packing import op9_nnls_packing
 from framescore.llm.sharding import op10_two_pass_shuffle
 
-QUERIES = {f.__name__: f for f in (op10_two_pass_shuffle,)}
+QUERIES = {f.__name__: f for f in (op9_nnls_packing, op10_two_pass_shuffle)}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from framescore.llm.language import op3_kneser_ney
 from framescore.llm.packing import op9_nnls_packing
+from framescore.llm.pii import op6_weak_supervision
 from framescore.llm.sharding import op10_two_pass_shuffle
 
-QUERIES = {f.__name__: f for f in (op9_nnls_packing, op10_two_pass_shuffle)}
+QUERIES = {f.__name__: f for f in (op3_kneser_ney, op6_weak_supervision, op9_nnls_packing, op10_two_pass_shuffle)}
 ORACLE_SQL: dict[str, str] = {}

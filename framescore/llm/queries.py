@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from framescore.llm.contamination import op8_template_windows
 from framescore.llm.language import op3_kneser_ney
+from framescore.llm.licences import op1_rare_token_index
 from framescore.llm.lm import op2_katz_backoff
 from framescore.llm.packing import op9_nnls_packing
 from framescore.llm.pii import op6_weak_supervision
 from framescore.llm.sharding import op10_two_pass_shuffle
 
-QUERIES = {f.__name__: f for f in (op2_katz_backoff, op3_kneser_ney, op6_weak_supervision, op9_nnls_packing, op10_two_pass_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_rare_token_index, op2_katz_backoff, op3_kneser_ney, op6_weak_supervision, op8_template_windows, op9_nnls_packing, op10_two_pass_shuffle)}
 ORACLE_SQL: dict[str, str] = {}

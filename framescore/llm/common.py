@@ -3,6 +3,7 @@ found and hashed without a Python object a word, and connected components."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -85,7 +86,8 @@ class Words:
     """Words of texts ``lo`` to ``hi`` of a column: ``doc`` (row less ``lo``), ``start`` and ``end`` (bytes in ``buf``),
     ``hash`` (64 bits of the word's bytes)."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool, isword: np.ndarray):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, lower: bool, isword: np.ndarray, classes: np.ndarray | None = None):
+        """``classes``: a number a byte; a word also ends where two different ones above 0 meet."""
         self.buf, self.offs = buf, offs
         n = len(buf)
         m = isword[buf]
@@ -95,6 +97,11 @@ class Words:
             before[1:], after[:-1] = m[:-1], m[1:]
             before[offs[:-1][offs[:-1] < n]] = False
             after[offs[1:][offs[1:] > 0] - 1] = False
+        if classes is not None and n:
+            kind = classes[buf]
+            turn = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+            before[1:] &= ~turn
+            after[:-1] &= ~turn
         self.start = np.flatnonzero(m & ~before)
         self.end = np.flatnonzero(m & ~after) + 1
         self.doc = np.searchsorted(offs, self.start, "right") - 1
@@ -109,7 +116,7 @@ class Words:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
-def words(col: pa.Array, lower: bool, isword: np.ndarray = NOT_SPACE, size: int = CHUNK) -> Iterator[tuple[int, int, Words]]:
+def words(col: pa.Array, lower: bool, isword: np.ndarray = NOT_SPACE, size: int = CHUNK, classes: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words) of a string column, about ``size`` bytes at a time; null is an empty text."""
     col = col.fill_null("").cast(pa.large_string())
     if len(col) == 0:
@@ -120,7 +127,7 @@ def words(col: pa.Array, lower: bool, isword: np.ndarray = NOT_SPACE, size: int
     lo = 0
     while lo < len(col):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, "right")) - 1)
-        yield lo, hi, Words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower, isword)
+        yield lo, hi, Words(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower, isword, classes)
         lo = hi
 
 
@@ -140,6 +147,40 @@ def binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
+# --- blocks: many small records of one bucket sent as one row ----------------------------------------
+
+#: What a record is, the bucket it is for, the batch it came from, and its arrays.
+BLOCK = "kind string, bucket long, batch long, block binary"
+
+
+def block(kind: str, bucket: int, batch: int, *arrays) -> tuple:
+    return kind, int(bucket), int(batch), pickle.dumps(arrays, 5)
+
+
+def block_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kind, bucket, batch, data = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(bucket, pa.int64()), pa.array(batch, pa.int64()), binary(list(data))], ["kind", "bucket", "batch", "block"])
+
+
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts rows by keys, the last first, and where each group of equal rows begins."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
+
+
+def by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of records by bucket and key, and (bucket, first, after the last) of each bucket that has some."""
+    to = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((key, to))
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    return order, [(i, a, z) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+
+
 # --- connected components --------------------------------------------------------------------------
 
 

@@ -9,7 +9,8 @@ from framescore.llm.lm import op2_katz_backoff
 from framescore.llm.ngram_join import op4_bitmap_tiles
 from framescore.llm.packing import op9_nnls_packing
 from framescore.llm.pii import op6_weak_supervision
+from framescore.llm.substrings import op7_phrase_automata
 from framescore.llm.sharding import op10_two_pass_shuffle
 
-QUERIES = {f.__name__: f for f in (op1_rare_token_index, op2_katz_backoff, op3_kneser_ney, op4_bitmap_tiles, op6_weak_supervision, op8_template_windows, op9_nnls_packing, op10_two_pass_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_rare_token_index, op2_katz_backoff, op3_kneser_ney, op4_bitmap_tiles, op6_weak_supervision, op7_phrase_automata, op8_template_windows, op9_nnls_packing, op10_two_pass_shuffle)}
 ORACLE_SQL: dict[str, str] = {}

@@ -54,13 +54,8 @@ def _slot(word):
     return word.startswith("\u0001")
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, kind): a row for each document that holds a passage of an item; clean
-    documents have none.
-
-    Null and empty texts match nothing, nor do items of under eight words; documents that repeat give one row a
-    doc_id and item; empty tables give an empty one; other columns are ignored. ``kind`` is "copy" or
-    "reparameterised"; ``coverage`` is the share of the item's windows in the best alignment."""
+def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, tk, item_id, total, n_windows, kind): alignments of documents (by id and hash of the text) with items."""
     items = items.select("item_id", canonical(F.col("text")).alias("words"), raw(F.col("text")).alias("raw"))
     plain = lambda at: F.size(F.filter(F.slice("words", at + 1, WINDOW), lambda w: ~_slot(w)))
     index = written(windows(items, ["item_id", "words"]).where(plain(F.col("pos")) >= LITERALS).select("item_id", F.col("pos").alias("at"), "h"), "items")
@@ -82,10 +77,25 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["theirs"]))) == F.size("pairs")
     equal = F.forall("pairs", lambda x: x["theirs"] == x["own"])
     n_plain = F.size(F.filter("ats", lambda a: plain(a) == WINDOW))
-    full = full.select("doc_id", "item_id", "total", F.when(consistent, F.size("ats")).otherwise(n_plain).cast("long").alias("n_windows"), F.when(equal | ~consistent, "copy").otherwise("reparameterised").alias("kind")).where(F.col("n_windows") >= need)
-    best = full.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", F.col("kind") == "copy", "kind", "total")).alias("b"))
+    return full.select("doc_id", "tk", "item_id", "total", F.when(consistent, F.size("ats")).otherwise(n_plain).cast("long").alias("n_windows"), F.when(equal | ~consistent, "copy").otherwise("reparameterised").alias("kind")).where(F.col("n_windows") >= need)
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, kind): a row for each document that holds a passage of an item; clean
+    documents have none.
+
+    Null and empty texts match nothing, nor do items of under eight words; documents that repeat give one row a
+    doc_id and item; empty tables give an empty one; other columns are ignored. ``kind`` is "copy" or
+    "reparameterised"; ``coverage`` is the share of the item's windows in the best alignment."""
+    best = alignments(docs, items).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", F.col("kind") == "copy", "kind", "total")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_windows", (F.col("b.n_windows") / F.col("b.total")).alias("coverage"), "b.kind")
 
 
+def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that match no item, unchanged."""
+    bad = written(alignments(docs, items).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left_anti")
+
+
 def op8_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

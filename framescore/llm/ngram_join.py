@@ -141,7 +141,7 @@ def _arrays(batches):
             g, begin, _, h1, h2 = _sets(w, hi - lo)
             same = np.flatnonzero((h1.view(np.int64) == want[0][lo:hi]) & (h2.view(np.int64) == want[1][lo:hi]))
             take = pa.array(same + lo, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cluster", "doc_id")] + [pa.array([int(begin[i + 1] - begin[i]) for i in same], pa.int64()), pa.array([g[begin[i] : begin[i + 1]].tobytes() for i in same], pa.binary())], ["cluster", "doc_id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cluster", "doc_id", "h1")] + [pa.array([int(begin[i + 1] - begin[i]) for i in same], pa.int64()), pa.array([g[begin[i] : begin[i + 1]].tobytes() for i in same], pa.binary())], ["cluster", "doc_id", "h1", "n", "shingles"])
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -245,8 +245,8 @@ def joined(docs: DataFrame) -> DataFrame:
     edges = blocks.where("kind = 'edges'").select("block").mapInArrow(_edge_rows, "a long, b long")
     clusters = components(edges).select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
     chosen = sets.join(clusters, "h1").select(F.col("first_id").alias("doc_id"), "h1", "h2", "cluster")
-    arrays = docs.join(chosen, "doc_id").select("cluster", "doc_id", "h1", "h2", "text").mapInArrow(_arrays, "cluster long, doc_id long, n long, shingles binary")
-    arrays = written(arrays.dropDuplicates(["cluster", "doc_id"]), "arrays")
+    arrays = docs.join(chosen, "doc_id").select("cluster", "doc_id", "h1", "h2", "text").mapInArrow(_arrays, "cluster long, doc_id long, h1 long, n long, shingles binary")
+    arrays = written(arrays.dropDuplicates(["cluster", "doc_id", "h1"]).drop("h1"), "arrays")
     links = _units(arrays).repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_tiles, "a long, b long")
     found = components(links).select(F.col("node").alias("first_id"), "component")
     out = table.join(sets, ["h1", "h2"], "left").join(found, "first_id", "left")
@@ -254,5 +254,16 @@ def joined(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(linked_, F.coalesce("component", "first_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component; rows that repeat a doc_id leave one, rows
+    without a doc_id all stay."""
+    ids = written(joined(docs).where("component_id = doc_id").groupBy("doc_id").count(), "kept")
+    several = ids.where("count > 1")
+    out = docs.join(ids.where("count = 1"), "doc_id", "left_semi").select(*docs.columns)
+    if not several.isEmpty():
+        out = out.union(docs.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return out.union(docs.where("doc_id is null"))
+
+
 def op4_bitmap_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(documents(spark, sf_dir))

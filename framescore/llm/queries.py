@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from framescore.llm.contamination import op8_template_windows
+from framescore.llm.embeddings import op5_pca_tiles
 from framescore.llm.language import op3_kneser_ney
 from framescore.llm.licences import op1_rare_token_index
 from framescore.llm.lm import op2_katz_backoff
@@ -12,5 +13,5 @@ from framescore.llm.pii import op6_weak_supervision
 from framescore.llm.substrings import op7_phrase_automata
 from framescore.llm.sharding import op10_two_pass_shuffle
 
-QUERIES = {f.__name__: f for f in (op1_rare_token_index, op2_katz_backoff, op3_kneser_ney, op4_bitmap_tiles, op6_weak_supervision, op7_phrase_automata, op8_template_windows, op9_nnls_packing, op10_two_pass_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_rare_token_index, op2_katz_backoff, op3_kneser_ney, op4_bitmap_tiles, op5_pca_tiles, op6_weak_supervision, op7_phrase_automata, op8_template_windows, op9_nnls_packing, op10_two_pass_shuffle)}
 ORACLE_SQL: dict[str, str] = {}

@@ -5,9 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from framescore.llm import packing
 from framescore.llm.packing import combinations, nnls, op9_nnls_packing, packed
 from framescore.llm.sharding import op10_two_pass_shuffle, shuffled_shards, write_shards
 
@@ -61,6 +65,16 @@ def test_packing_odd_rows(spark):
     assert packed(spark.createDataFrame([], SCHEMA), VOCAB).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(list("aBzÉé'st.,!-|<>=09 \n\t\u0301\u0338\u00a0\x1c\x85²ßİ") + ["'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "it's", "don't"]), max_size=14).map("".join), min_size=1, max_size=5))
+def test_words_give_the_tokenizers_ids(texts):
+    tok = Tokenizer.from_file(VOCAB)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    (out,) = packing._tokenised(VOCAB, 4096, 2, "<u2")([batch])
+    got = {d: np.frombuffer(x, "<u2").tolist() for d, x in zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist())}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_nnls_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(5):

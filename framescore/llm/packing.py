@@ -20,16 +20,31 @@ from pyspark.sql import functions as F
 from framescore.llm.common import binary, documents, partitions, words, written
 
 WINDOW, BINS, END_ID = 4096, 64, 2
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 500_000
+#: Words whose ids a worker process keeps.
+KEPT_WORDS = 1_200_000
+#: Letters, digits and punctuation of ASCII, between which this vocabulary always cuts. The apostrophe, which begins
+#: contractions, control characters and other bytes (0) may belong to either side.
+CUTS = np.zeros(256, np.uint8)
+CUTS[[*range(65, 91), *range(97, 123)]] = 1
+CUTS[48:58] = 2
+CUTS[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = 3
 
 
 # --- tokens ----------------------------------------------------------------------------------------
 
 
 class Encoder:
-    """Ids of the words of many texts: each distinct word goes to the tokenizer once, as this vocabulary never
-    joins characters over ASCII white space."""
+    """Ids of the words of many texts: each distinct word, in lower case, goes to the tokenizer once, as this vocabulary
+    lower-cases and never joins characters over ASCII white space or over a cut (``CUTS``)."""
+
+    _kept: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, vocab: str) -> Encoder:
+        """The one of this worker process, which keeps its words from task to task."""
+        if vocab not in cls._kept:
+            cls._kept[vocab] = cls(vocab)
+        return cls._kept[vocab]
 
     def __init__(self, vocab: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,30 +54,30 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.at, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by key
+        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def whole(self, text: np.ndarray) -> np.ndarray:
+        """Ids of a text that may hold special tokens."""
+        return np.array(self.tok.encode(text.tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
 
     def ids(self, w) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the words in order, ids before each word and one more)."""
-        if len(self.slot) > KEPT_WORDS:
+        if len(self.keys) > KEPT_WORDS:
             self.clear()
         u, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        slots = np.fromiter((self.slot.get(h, -1) for h in u.tolist()), np.int64, len(u))
-        new = np.flatnonzero(slots < 0)
+        place = np.searchsorted(self.keys, u)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == u[known]
+        slots = np.zeros(len(u), np.int64)
+        slots[known] = self.slots[place[known]]
+        new = np.flatnonzero(~known)
         if len(new):
-            found = [e.ids for e in self.tok.encode_batch([w.word(i).decode("utf-8", "replace") for i in first[new]], add_special_tokens=False)]
-            base = len(self.slot)
-            slots[new] = np.arange(base, base + len(new))
-            self.slot.update(zip(u[new].tolist(), slots[new].tolist()))
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            ends = self.used + np.cumsum(size)
-            while base + len(new) + 1 > len(self.at):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-            while ends[-1] > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.at[base + 1 : base + len(new) + 1] = ends
-            self.flat[self.used : ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-            self.used = int(ends[-1])
+            found = [e.ids for e in self.tok.encode_batch_fast([w.word(i).decode("utf-8", "replace") for i in first[new]], add_special_tokens=False)]
+            slots[new] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.keys, self.slots = np.insert(self.keys, place[new], u[new]), np.insert(self.slots, place[new], slots[new])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), self.flat.dtype)])
         s = slots[inverse]
         n = self.at[s + 1] - self.at[s]
         before = np.concatenate([[0], np.cumsum(n)])
@@ -71,14 +86,17 @@ class Encoder:
 
 def _tokenised(vocab: str, window: int, end_id: int, kind: str):
     def run(batches):
-        enc = Encoder(vocab)
+        enc = Encoder.of(vocab)
         for b in batches:
-            for lo, hi, w in words(b.column("text"), lower=False):
+            for lo, hi, w in words(b.column("text"), lower=True, size=4 << 20, classes=CUTS):
                 flat, before = enc.ids(w)
+                marks = np.flatnonzero((w.buf[:-1] == ord("<")) & (w.buf[1:] == ord("|")))
+                special = {int(i): enc.whole(w.buf[w.offs[i] : w.offs[i + 1]]) for i in set(np.searchsorted(w.offs, marks, "right") - 1)}
                 keys = b.column("doc_id").slice(lo, hi - lo)
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for i in range(hi - lo):
-                    ids = np.append(flat[before[w.first[i]] : before[w.first[i + 1]]], end_id).astype("<u4")
+                    ids = special[i] if i in special else flat[before[w.first[i]] : before[w.first[i + 1]]]
+                    ids = np.append(ids, end_id).astype("<u4")
                     for a in range(0, len(ids), window):
                         piece = ids[a : a + window]
                         row.append(i)
@@ -238,7 +256,7 @@ def packed(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_
     cut = cut.where(F.col("lo") < F.col("hi")).where(F.col("cell") == F.floor(F.col("lo") / step))
     cut = written(cut.select("uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", (F.col("fill") + F.col("lo") - F.col("h0")).alias("offset"), (F.col("lo") - F.col("s0")).alias("skip"), (F.col("hi") - F.col("lo")).alias("take")), "cut")
     whole = cut.where(F.col("take") == F.col("length"))
-    parts = cut.where(F.col("take") < F.col("length")).join(pieces.select("uid", "ids"), "uid")
+    parts = cut.where(F.col("take") < F.col("length")).join(pieces.select("uid", "ids").hint("merge"), "uid")
 
     def crc(batches):
         for b in batches:

@@ -24,7 +24,7 @@ def ensemble(verdicts: DataFrame, aggregation: str = "median", threshold: float
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("score").isNotNull(), F.col("violations")))))).alias("violations"),
         F.array_sort(F.collect_list(F.struct("judge", "score"))).alias("breakdown"),
     )
-    flagged = (F.col("n_judges") > 0) & (F.col("std") >= threshold)
+    flagged = (F.col("n_judges") > 0) & (F.round("std", 9) >= threshold)  # a spread equal to the threshold, whatever the order of sums
     out = out.withColumn("flagged", flagged)
     return out.withColumn("uncertainty", F.when(F.col("flagged") | (F.col("n_judges") < 2), "high").otherwise("medium"))
 

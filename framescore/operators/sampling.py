@@ -44,7 +44,7 @@ def audit_sample(items: DataFrame, fraction: float = 0.2, seed: int = 0) -> Data
     """Of each domain and physics category at least one, else the rounded share (half to even)."""
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    rows = items.withColumn("domain", F.coalesce("domain", F.lit("unknown"))).withColumn("physics_category", F.coalesce("physics_category", F.lit("unknown")))
+    rows = items.withColumn("domain", F.coalesce(F.col("domain").cast("string"), F.lit("unknown"))).withColumn("physics_category", F.coalesce(F.col("physics_category").cast("string"), F.lit("unknown")))
     keys = ["domain", "physics_category"]
     sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction)).cast("long")).alias("k"))
     w = W.partitionBy(*keys).orderBy(seeded(seed), "item_id")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from framescore.operators.video.frames import neighbours
 
@@ -14,7 +15,7 @@ def clip01(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def unit_dot(a: pd.Series, b: pd.Series) -> pd.Series:
     """Dot product of vectors divided by their norms (+1e-8); null where one is null."""
     norm = lambda x: x / (np.sqrt((x * x).sum()) + 1e-8)

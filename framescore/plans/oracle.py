@@ -8,8 +8,8 @@ _LAST = "last AS (SELECT model_id, item_id, arg_max(answer_idx, seq) AS pred FRO
 _CHAIN = _LAST + """, grid AS (SELECT m.model_id, i.* FROM (SELECT DISTINCT model_id FROM v_u_preds) m CROSS JOIN v_u_items i WHERE chain_id IS NOT NULL),
 chain AS (SELECT g.model_id, g.chain_id, min(CASE WHEN coalesce(l.pred, -1) <> g.answer_idx THEN coalesce(g.hop_index, 0) END) AS first_error_hop
   FROM grid g LEFT JOIN last l ON g.model_id = l.model_id AND g.item_id = l.item_id GROUP BY ALL)"""
-_CF_ROWS = r"""tok AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(prediction), '\s+'), x -> x <> '')) AS ta,
-  list_distinct(list_filter(string_split_regex(lower(counterfactual_outcome), '\s+'), x -> x <> '')) AS tb, lower(prediction) AS p FROM v_cf),
+_CF_ROWS = r"""tok AS (SELECT *, list_distinct(list_filter(string_split_regex(lower(prediction), '\s+'), lambda x: x <> '')) AS ta,
+  list_distinct(list_filter(string_split_regex(lower(counterfactual_outcome), '\s+'), lambda x: x <> '')) AS tb, lower(prediction) AS p FROM v_cf),
 cf AS (SELECT *, CASE WHEN len(tb) = 0 THEN 0.0 ELSE len(list_intersect(ta, tb)) / len(tb)::DOUBLE END AS overlap,
   (contains(p, direction_keyword) AND NOT contains(p, CASE direction_keyword WHEN 'more' THEN 'less' WHEN 'less' THEN 'more' WHEN 'up' THEN 'down' ELSE 'up' END))::INT AS direction,
   (CASE magnitude_bin WHEN 'same' THEN regexp_matches(p, '\bsame\b|unchanged|no\s+change') WHEN 'much_more' THEN regexp_matches(p, 'much\s+more|far\s+more|significantly\s+more')
@@ -23,8 +23,8 @@ _ENSEMBLE = """e AS (SELECT item_id, median(score) AS score, avg(score) AS mean,
   coalesce(max(score) - min(score), 0) AS range, coalesce(string_agg(DISTINCT violation, ',' ORDER BY violation) FILTER (score IS NOT NULL), '') AS violations FROM v_verdicts {0} GROUP BY 1)"""
 _ROUTE = _ENSEMBLE.format("WHERE judge > 1") + """,
 a AS (SELECT item_id, physics_category, max(CASE WHEN judge = 1 THEN score END) AS own FROM v_verdicts GROUP BY 1, 2),
-r AS (SELECT a.item_id, a.own, a.physics_category < 3 AS tractable, e.item_id IS NOT NULL AS has, e.score AS other, CASE WHEN e.n_judges < 2 OR e.std >= 0.25 THEN 'high' ELSE 'medium' END AS u, e.violations AS vi FROM a LEFT JOIN e USING (item_id))"""
-_G = "list_transform(feature, x -> (x::DOUBLE + 1) / 2)"
+r AS (SELECT a.item_id, a.own, a.physics_category < 3 AS tractable, e.item_id IS NOT NULL AS has, e.score AS other, CASE WHEN e.n_judges < 2 OR round(e.std, 9) >= 0.25 THEN 'high' ELSE 'medium' END AS u, e.violations AS vi FROM a LEFT JOIN e USING (item_id))"""
+_G = "list_transform(feature, lambda x: (x::DOUBLE + 1) / 2)"
 _TWO = "f AS (SELECT video_id, frame_idx, " + _G + " AS g FROM v_features), two AS (SELECT a.video_id // 2 AS pair, a.frame_idx, a.g AS a, b.g AS b FROM f a JOIN f b ON b.video_id = a.video_id + 1 AND a.frame_idx = b.frame_idx WHERE a.video_id % 2 = 0)"
 _UNIT = "sqrt(list_dot_product({0}, {0})) + 1e-8"
 
@@ -51,7 +51,7 @@ FROM cf GROUP BY GROUPING SETS ((item_id % 3), (item_id % 3, domain), (item_id %
     "j2_repeats_stay": "SELECT p.model_id, i.domain, count(*) AS n FROM v_u_preds p JOIN v_u_items i USING (item_id) GROUP BY ALL",
     "p1_requests": "SELECT item_id, domain AS scenario, 'If ' || direction_keyword || ' were ' || magnitude_bin || ', how would the outcome change? Describe specifically.' AS question FROM v_cf",
     "p2_run_model": "SELECT 'baseline' AS model_id, item_id, 'CF' AS track, 0::INT AS answer_idx, 'The outcome would not change meaningfully.' AS text FROM v_cf",
-    "jg1_median": _ENSEMBLE.format("") + " SELECT item_id, round(score, 6) AS score, n_judges, round(std, 6) AS std, round(range, 6) AS range, n_judges > 0 AND std >= 0.25 AS flagged, CASE WHEN n_judges < 2 OR std >= 0.25 THEN 'high' ELSE 'medium' END AS uncertainty, violations FROM e",
+    "jg1_median": _ENSEMBLE.format("") + " SELECT item_id, round(score, 6) AS score, n_judges, round(std, 6) AS std, round(range, 6) AS range, n_judges > 0 AND round(std, 9) >= 0.25 AS flagged, CASE WHEN n_judges < 2 OR round(std, 9) >= 0.25 THEN 'high' ELSE 'medium' END AS uncertainty, violations FROM e",
     "jg1_mean": _ENSEMBLE.format("") + " SELECT item_id, round(mean, 6) AS score FROM e",
     "jg1_majority": _ENSEMBLE.format("") + " SELECT item_id, round(majority, 6) AS score FROM e",
     "jg3_breakdown": "SELECT item_id, count(*)::INT AS n_all, (count(DISTINCT CASE WHEN score IS NOT NULL THEN violation END))::INT AS n_violations FROM v_verdicts GROUP BY 1",
@@ -75,6 +75,8 @@ SELECT model_id, CASE WHEN grouping(domain) = 1 THEN 'overall' ELSE 'domain' END
 round(avg(mask_miou)::DOUBLE, 6) AS mask_miou, round(avg(0.5 * blur_ssim + 0.5 * edge_f1), 6) AS visual, round(avg(diversity)::DOUBLE, 6) AS diversity, round(avg(robustness), 6) AS robustness, count(*) AS n FROM i GROUP BY GROUPING SETS ((model_id), (model_id, domain))""",
     "an1_review_queue": """r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY arrival, annotator_id, answer_idx) AS rn FROM v_queue)
 SELECT task_id, string_agg(answer_idx::VARCHAR, ',' ORDER BY rn) FILTER (rn <= 3) AS votes, count(*) FILTER (rn <= 3) AS n, count(*) FILTER (rn <= 3) >= 3 AS done, count(*) FILTER (rn > 3) AS n_late FROM r GROUP BY 1""",
+    "an2_review_stream": """r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY arrival, annotator_id, answer_idx) AS rn FROM v_queue)
+SELECT task_id, string_agg(answer_idx::VARCHAR, ',' ORDER BY rn) FILTER (rn <= 3) AS votes, 3::INT AS n, count(*) FILTER (rn > 3) AS n_late FROM r GROUP BY 1 HAVING count(*) >= 3""",
     "an3_prior_audit": "SELECT item_id, domain, round(avg((pred = answer_idx)::INT), 6) AS prior, avg((pred = answer_idx)::INT) < 0.6 AS passed FROM v_trials GROUP BY 1, 2",
     "an3_prior_rejections": "SELECT domain, count(*) AS n_rejected FROM (SELECT item_id, domain FROM v_trials GROUP BY 1, 2 HAVING avg((pred = answer_idx)::INT) >= 0.25) GROUP BY 1",
     "an4_agreement": """n AS (SELECT item_id, count(*) AS n, arg_min(vote, arrival) AS first FROM v_annotations GROUP BY 1), top AS (SELECT max(n) AS top FROM n),
@@ -126,22 +128,22 @@ c AS (SELECT video_id, CASE WHEN n > 2 THEN (ix - 2 * (ix * nx + iy * ny) * nx)
 d AS (SELECT video_id, 0.5 * (list_dot_product(f, x) / ({_UNIT.format("f")}) + list_dot_product(p, x) / ({_UNIT.format("p")})) / ({_UNIT.format("x")}) AS s FROM l WHERE p IS NOT NULL)
 SELECT video_id, round(coalesce((avg(s) + 1) / 2, 1.0), 5) AS consistency FROM (SELECT DISTINCT video_id FROM n) LEFT JOIN d USING (video_id) GROUP BY 1""",
     "v2_v4_quality": f"""f AS (SELECT video_id, frame_idx, {_G} AS g FROM v_features), l AS (SELECT *, lag(g) OVER w AS p, lead(g) OVER w AS q FROM f WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx))
-SELECT video_id, round(coalesce(greatest(0.0, 1 - avg(CASE WHEN frame_idx % 2 = 1 AND p IS NOT NULL AND q IS NOT NULL THEN list_avg(list_transform(range(1, 65), i -> abs((p[i] + q[i]) / 2 - g[i]))) END)), 1.0), 5) AS motion_smoothness,
+SELECT video_id, round(coalesce(greatest(0.0, 1 - avg(CASE WHEN frame_idx % 2 = 1 AND p IS NOT NULL AND q IS NOT NULL THEN list_avg(list_transform(range(1, 65), lambda i: abs((p[i] + q[i]) / 2 - g[i]))) END)), 1.0), 5) AS motion_smoothness,
 round(least(1.0, greatest(0.0, avg(list_stddev_pop(g)) * 2)), 5) AS aesthetic_quality FROM l GROUP BY 1""",
     "v5_prompt_consistency": f"""n AS (SELECT video_id, frame_idx, feature::DOUBLE[] AS x FROM v_features), p AS (SELECT video_id, x AS q FROM n WHERE frame_idx = 3 AND video_id % 3 <> 0)
 SELECT video_id, round(coalesce(least(1.0, greatest(0.0, (avg(list_dot_product(x, q) / ({_UNIT.format("x")}) / ({_UNIT.format("q")})) + 1) / 2)), 0.5), 5) AS overall_consistency FROM n LEFT JOIN p USING (video_id) GROUP BY 1""",
     "v9_pose_validity": """e(a, b) AS (VALUES (11, 13), (13, 15), (12, 14), (14, 16), (23, 25), (25, 27), (24, 26), (26, 28), (11, 12), (23, 24), (11, 23), (12, 24)),
 l AS (SELECT video_id, a, b, sqrt((feature[2 * a + 1]::DOUBLE - feature[2 * b + 1]) ** 2 + (feature[2 * a + 2]::DOUBLE - feature[2 * b + 2]) ** 2) AS l FROM v_features CROSS JOIN e),
 c AS (SELECT video_id, CASE WHEN count(*) >= 2 AND avg(l) >= 1e-6 THEN stddev_pop(l) / avg(l) END AS c FROM l GROUP BY video_id, a, b) SELECT video_id, round(1 / (1 + avg(c)), 5) AS pose_validity FROM c GROUP BY 1""",
-    "v18_surface_jitter": "m AS (SELECT video_id, list_avg(list_transform(feature, x -> CASE WHEN x > 0.1::DOUBLE THEN 255.0 ELSE 0.0 END)) AS m FROM v_features) SELECT video_id, round(stddev_pop(m), 5) AS jitter, stddev_pop(m) < 20 AS surface_ok FROM m GROUP BY 1",
+    "v18_surface_jitter": "m AS (SELECT video_id, list_avg(list_transform(feature, lambda x: CASE WHEN x > 0.1::DOUBLE THEN 255.0 ELSE 0.0 END)) AS m FROM v_features) SELECT video_id, round(stddev_pop(m), 5) AS jitter, stddev_pop(m) < 20 AS surface_ok FROM m GROUP BY 1",
     "j3_aligned": f"{_TWO} SELECT pair, count(*) AS n_frames, max(frame_idx) AS last FROM two GROUP BY 1",
-    "v22_edge_f1": f"""{_TWO}, c AS (SELECT pair, len(list_filter(range(1, 65), i -> a[i] > 0.55 AND b[i] > 0.55)) AS tp, len(list_filter(range(1, 65), i -> (a[i] > 0.55) <> (b[i] > 0.55))) AS one FROM two)
+    "v22_edge_f1": f"""{_TWO}, c AS (SELECT pair, len(list_filter(range(1, 65), lambda i: a[i] > 0.55 AND b[i] > 0.55)) AS tp, len(list_filter(range(1, 65), lambda i: (a[i] > 0.55) <> (b[i] > 0.55))) AS one FROM two)
 SELECT pair, round(avg(CASE WHEN 2 * tp + one = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + one) END), 5) AS edge_f1 FROM c GROUP BY 1""",
-    "v23_depth": f"""{_TWO}, d AS (SELECT pair, list_transform(range(1, 65), i -> ln(a[i] + 1e-3) - ln(b[i] + 1e-3)) AS d FROM two)
-SELECT pair, round(1 / (1 + avg(sqrt(greatest(0, list_avg(list_transform(d, x -> x * x)) - list_avg(d) ** 2)))), 5) AS depth_si_rmse FROM d GROUP BY 1""",
-    "v24_miou": f"""{_TWO}, k AS (SELECT pair, len(list_filter(range(1, 65), i -> a[i] > 0.5 AND b[i] > 0.5)) AS i1, len(list_filter(range(1, 65), i -> a[i] > 0.5 OR b[i] > 0.5)) AS u1, len(list_filter(range(1, 65), i -> a[i] <= 0.5 AND b[i] <= 0.5)) AS i0, len(list_filter(range(1, 65), i -> a[i] <= 0.5 OR b[i] <= 0.5)) AS u0 FROM two)
+    "v23_depth": f"""{_TWO}, d AS (SELECT pair, list_transform(range(1, 65), lambda i: ln(a[i] + 1e-3) - ln(b[i] + 1e-3)) AS d FROM two)
+SELECT pair, round(1 / (1 + avg(sqrt(greatest(0, list_avg(list_transform(d, lambda x: x * x)) - list_avg(d) ** 2)))), 5) AS depth_si_rmse FROM d GROUP BY 1""",
+    "v24_miou": f"""{_TWO}, k AS (SELECT pair, len(list_filter(range(1, 65), lambda i: a[i] > 0.5 AND b[i] > 0.5)) AS i1, len(list_filter(range(1, 65), lambda i: a[i] > 0.5 OR b[i] > 0.5)) AS u1, len(list_filter(range(1, 65), lambda i: a[i] <= 0.5 AND b[i] <= 0.5)) AS i0, len(list_filter(range(1, 65), lambda i: a[i] <= 0.5 OR b[i] <= 0.5)) AS u0 FROM two)
 SELECT pair, round(avg((coalesce(i1::DOUBLE / nullif(u1, 0), 0) + coalesce(i0::DOUBLE / nullif(u0, 0), 0)) / ((u1 > 0)::INT + (u0 > 0)::INT)), 5) AS mask_miou FROM k GROUP BY 1""",
-    "v25_diversity": f"""f AS (SELECT video_id, video_id // 4 AS item_id, frame_idx, {_G} AS g FROM v_features), p AS (SELECT a.item_id, a.video_id AS x, b.video_id AS y, avg(list_avg(list_transform(range(1, 65), i -> abs(a.g[i] - b.g[i])))) AS d
+    "v25_diversity": f"""f AS (SELECT video_id, video_id // 4 AS item_id, frame_idx, {_G} AS g FROM v_features), p AS (SELECT a.item_id, a.video_id AS x, b.video_id AS y, avg(list_avg(list_transform(range(1, 65), lambda i: abs(a.g[i] - b.g[i])))) AS d
 FROM f a JOIN f b ON a.item_id = b.item_id AND a.frame_idx = b.frame_idx AND a.video_id < b.video_id GROUP BY 1, 2, 3) SELECT item_id, round(coalesce(least(1.0, avg(d)), 0.0), 5) AS diversity FROM (SELECT DISTINCT item_id FROM f) LEFT JOIN p USING (item_id) GROUP BY 1""",
     "p6_sample_frames": """t AS (SELECT video_id, count(*) AS n FROM v_features GROUP BY 1), k AS (SELECT video_id, n, unnest(range(0, 8)) AS i FROM t),
 s AS (SELECT DISTINCT video_id, floor(i * ((n - 1) / 7.0::DOUBLE))::BIGINT AS frame_idx FROM k WHERE n > 8 UNION SELECT v.video_id, frame_idx FROM v_features v JOIN t USING (video_id) WHERE n <= 8) SELECT video_id, frame_idx FROM s""",

@@ -16,6 +16,7 @@ from framescore.operators.video import control, frames, physics, quality
 from framescore.plans.views import view
 from framescore.sources.items import parse_prediction
 from framescore.sources.results import long_scores, markdown_report, pending, wire_scores
+from framescore.streaming.review import replay
 
 QUERIES: dict = {}
 TRACK_METRICS = ("G.domain_score", "C.blur_ssim", "U.accuracy", "U.multihop_chain_accuracy", "CF.counterfactual_delta_accuracy")
@@ -221,6 +222,17 @@ def an1_review_queue(v, spark, sf_dir):
     return out.select("task_id", F.array_join("votes", ",").alias("votes"), "n", "done", F.coalesce("n_late", F.lit(0)).alias("n_late"))
 
 
+@query
+def an2_review_stream(v, spark, sf_dir):
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    queue = events.select(F.col("user_id").cast("long").alias("task_id"), F.col("ts").alias("arrival"), F.col("event_type").alias("annotator_id"), (F.col("event_id") % 4).cast("int").alias("answer_idx"))
+    sent = replay(queue)
+    done = sent.where("not late").select("task_id", F.array_join("votes", ",").alias("votes"), "n")
+    late = sent.where("late").groupBy("task_id").agg(F.count("*").alias("n_late"))
+    return done.join(late, "task_id", "left").fillna(0, ["n_late"])
+
+
 @query
 def an3_prior_audit(v, spark, sf_dir):
     return an.prior_audit(v("v_trials"))

@@ -21,24 +21,29 @@ INDEX_WEIGHTS = {
     "CF.counterfactual_delta_accuracy": 0.15,
 }
 
-QA_ITEM = T.StructType.fromDDL(
-    "item_id string, video_path string, domain string, physics_category string, question string, choices array<string>, answer_idx int, "
-    "requires_temporal boolean, language_prior_score double, annotator_agreement double, difficulty double, discrimination double, "
-    "tags array<string>, chain_id string, hop_index int"
-)
-CF_ITEM = T.StructType.fromDDL(
-    "item_id string, base_video_path string, base_description string, counterfactual_variable string, counterfactual_change string, "
-    "base_outcome string, counterfactual_outcome string, domain string, physics_category string, direction_keyword string, magnitude_bin string"
-)
-G_ITEM = T.StructType(
-    T.StructType.fromDDL("item_id string, prompt string, reference_video_path string, domain string, physics_category string").fields
-    + [T.StructField("qa_pairs", T.ArrayType(QA_ITEM)), T.StructField("expected_physics", T.StructType.fromDDL("gravity_direction array<double>, expected_collisions int"))]
-)
-C_ITEM = T.StructType.fromDDL("item_id string, prompt string, control_signals map<string,string>, reference_video_path string, domain string, variant_prompts array<string>")
+_S, _I, _D, _B = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+_TEXTS, _NUMBERS = T.ArrayType(_S), T.MapType(_S, _D)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+QA_ITEM = _struct(
+    item_id=_S, video_path=_S, domain=_S, physics_category=_S, question=_S, choices=_TEXTS, answer_idx=_I, requires_temporal=_B, language_prior_score=_D,
+    annotator_agreement=_D, difficulty=_D, discrimination=_D, tags=_TEXTS, chain_id=_S, hop_index=_I,
+)
+CF_ITEM = _struct(
+    item_id=_S, base_video_path=_S, base_description=_S, counterfactual_variable=_S, counterfactual_change=_S, base_outcome=_S, counterfactual_outcome=_S,
+    domain=_S, physics_category=_S, direction_keyword=_S, magnitude_bin=_S,
+)
+G_ITEM = _struct(
+    item_id=_S, prompt=_S, reference_video_path=_S, domain=_S, physics_category=_S, qa_pairs=T.ArrayType(QA_ITEM),
+    expected_physics=_struct(gravity_direction=T.ArrayType(_D), expected_collisions=_I),
+)
+C_ITEM = _struct(item_id=_S, prompt=_S, control_signals=T.MapType(_S, _S), reference_video_path=_S, domain=_S, variant_prompts=_TEXTS)
 ITEMS = {"U": QA_ITEM, "CF": CF_ITEM, "G": G_ITEM, "C": C_ITEM}
 
-ANSWER = T.StructType.fromDDL("answer_idx int, text string, video_path string, video_paths_by_level map<string,string>, variant_video_paths array<string>")
-PREDICTION = T.StructType.fromDDL("model_id string, item_id string, track string, prediction string, confidence double, latency_ms double")
-TRACK_SCORE = T.StructType.fromDDL(
-    "track string, model_id string, n_items int, scores map<string,double>, per_domain map<string,map<string,double>>, per_physics_category map<string,map<string,double>>"
-)
+ANSWER = _struct(answer_idx=_I, text=_S, video_path=_S, video_paths_by_level=T.MapType(_S, _S), variant_video_paths=_TEXTS)
+PREDICTION = _struct(model_id=_S, item_id=_S, track=_S, prediction=_S, confidence=_D, latency_ms=_D)
+TRACK_SCORE = _struct(track=_S, model_id=_S, n_items=_I, scores=_NUMBERS, per_domain=T.MapType(_S, _NUMBERS), per_physics_category=T.MapType(_S, _NUMBERS))

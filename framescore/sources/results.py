@@ -36,7 +36,7 @@ def long_scores(scores: DataFrame) -> DataFrame:
 
 def wire_scores(long: DataFrame, n_items: DataFrame) -> DataFrame:
     """Wire form of long scores; ``n_items``: (model_id, track, n_items)."""
-    entries = lambda k, v: F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v))))
+    entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
     flat = long.where("scope = 'overall'").groupBy("model_id", "track").agg(entries("metric", "value").alias("scores"))
     out = n_items.join(flat, ["model_id", "track"], "left")
     for scope, col in (("domain", "per_domain"), ("physics", "per_physics_category")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,3 +38,14 @@ def review_stream(annotations: DataFrame, n_required: int = 3) -> DataFrame:
         yield pd.DataFrame(out, columns=["task_id", "votes", "n", "late"])
 
     return annotations.groupBy("task_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(source: DataFrame, n_required: int = 3, folder: str | None = None) -> DataFrame:
+    """Runs the stream over all that ``source`` (a streaming table) has now, and returns what it sent. Output and
+    checkpoint go to the folder that executors share."""
+    spark = source.sparkSession
+    base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    path = f"{base.rstrip('/')}/review-{uuid.uuid4().hex}"
+    sent = review_stream(source, n_required).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    sent.awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(f"{path}/out")

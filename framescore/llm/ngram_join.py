@@ -1,9 +1,10 @@
 """Exact Jaccard join of word shingles: size-banded tiles with hashed bitmap signatures.
 
 Only sets that share one of their smallest shingle hashes (a quarter of the set and one more, which linked sets must)
-can link; such sets form clusters. A cluster's sets are compared in tiles of near size: bit counts of hashed
-bitmaps bound the overlap from above, and only pairs that may pass are intersected exactly, as sorted arrays.
-Equal sets are one. A pair is skipped once both are known to be connected, so a tile returns links that span its
+can link. A key of at most ``FEW`` sets gives its pairs of near size; the sets of a more frequent key are compared in
+size-banded tiles. Both are held against signatures first: bit counts of hashed bitmaps bound the overlap from above,
+and sets that may link form clusters. In tiles of those, pairs that may link are intersected exactly, as sorted arrays.
+Equal sets are one. In a tile a pair is skipped once both are known to be connected, so it returns links that span its
 components, never all pairs."""
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from pyspark.sql import functions as F
 from framescore.llm.common import BLOCK, block, block_rows, by_bucket, components, documents, grams, groups, mix, partitions, words, written
 
 SHINGLE = 5
-#: Sets in a tile.
-TILE = 1024
-#: Bits of a signature a shingle, and the most.
-BITS_EACH, MOST_BITS = 4, 1 << 16
+#: Sets in a tile, and sets of a key that gives pairs.
+TILE, FEW = 1024, 24
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -50,18 +49,45 @@ def _sets(w, n_texts: int):
     return g, begin, size, h1, h2
 
 
-def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(smallest node, other node) of every key, distinct, and the records that hold a key's smallest node."""
+def signature(g: np.ndarray) -> bytes:
+    """Bitmap of a set's hashes, of one to two bits an element."""
+    bits = max(64, 1 << int(np.ceil(np.log2(max(len(g), 1)))))
+    flags = np.zeros(bits, bool)
+    flags[(g & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(signs: list[bytes]) -> np.ndarray:
+    """Signatures as rows of words, folded to the width of the narrowest."""
+    width = min(map(len, signs))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), 0) for x in signs])
+
+
+def _runs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of distinct (key, node) by key, where each key begins, and its number of nodes."""
     order, first = groups(node, key)
-    key, node, order = key[order][first], node[order][first], order[first]
-    lead = np.ones(len(key), bool)
-    lead[1:] = key[1:] != key[:-1]
-    head = node[np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))]
-    a, b = head[~lead], node[~lead]
-    if len(a):
-        o, f = groups(b, a)
-        a, b = a[o][f], b[o][f]
-    return a, b, order[lead]
+    order = order[first]
+    k = key[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return order, begin, np.diff(np.append(begin, len(k)))
+
+
+def _pairs(node: np.ndarray, n: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of sets of near size of keys with few sets; a set has fewer than FEW partners a key."""
+    a, b = [], []
+    for c in np.unique(count[count > 1]):
+        at = begin[count == c][:, None] + np.arange(c)
+        i, j = np.triu_indices(c, 1)
+        x, y = at[:, i].ravel(), at[:, j].ravel()
+        near = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+        u, v = node[x[near]], node[y[near]]
+        a.append(np.minimum(u, v))
+        b.append(np.maximum(u, v))
+    if not a:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    a, b = np.concatenate(a), np.concatenate(b)
+    order, first = groups(b, a)
+    return a[order][first], b[order][first]
 
 
 def _scatter(buckets: int):
@@ -70,12 +96,13 @@ def _scatter(buckets: int):
         for k, b in enumerate(batches):
             ids = b.column("doc_id").to_pylist()
             has_id = np.array([i is not None for i in ids])
-            sizes, first, second, keys, nodes = [], [], [], [], []
+            sizes, first, second, keys, nodes, signs = [], [], [], [], [], []
             for lo, hi, w in words(b.column("text"), lower=True):
                 g, begin, size, h1, h2 = _sets(w, hi - lo)
                 sizes.append(size)
                 first.append(h1)
                 second.append(h2)
+                signs += [signature(g[begin[i] : begin[i + 1]]) if size[i] else None for i in range(hi - lo)]
                 prefix = np.where((size > 0) & has_id[lo:hi], size - (3 * size + 3) // 4 + 1, 0)
                 at = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix) + np.arange(prefix.sum())
                 keys.append(g[at])
@@ -83,40 +110,64 @@ def _scatter(buckets: int):
             if not ids:
                 continue
             home = int(mix(np.array([task | k], np.uint64))[0] % np.uint64(buckets))
-            rows = [block("docs", home, task | k, ids, np.concatenate(sizes), np.concatenate(first), np.concatenate(second))]
+            rows = [block("docs", home, task | k, ids, np.concatenate(sizes), np.concatenate(first), np.concatenate(second), signs)]
             key, node = np.concatenate(keys), np.concatenate(nodes)
-            a, c, heads = _stars(key, node)  # a key of many sets in a batch goes on once
-            if len(a):
-                rows.append(block("edges", home, task | k, a, c))
-            key, node = key[heads], node[heads]
+            order, begin, count = _runs(key, node)
+            key, node = key[order], node[order]
+            much = np.repeat(count > FEW, count)  # frequent already here; one record tells the key's bucket
+            if much.any():
+                rows.append(block("many", home, task | k, key[much], node[much]))
+            head = np.zeros(len(key), bool)
+            head[begin] = True
+            key, node, much = (x[~much | head] for x in (key, node, much))
+            size_of = dict(zip(np.concatenate(first).tolist(), np.concatenate(sizes).tolist()))
             order, cuts = by_bucket(key, buckets)
             for i, x, z in cuts:
                 different, at = np.unique(node[order[x:z]], return_inverse=True)
-                rows.append(block("keys", i, task | k, key[order[x:z]], different, at.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32)))
+                n = np.fromiter((size_of[h] for h in different.tolist()), np.uint32, len(different))
+                rows.append(block("keys", i, task | k, key[order[x:z]], different, n, at.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32), np.packbits(much[order[x:z]])))
             for i in range(0, len(rows), 64):
                 yield block_rows(rows[i : i + 64])
 
     return run
 
 
-def _edges(batches):
-    """Stars of a partition's keys; other blocks pass."""
-    key, node = [], []
+def _candidates(batches):
+    """Pairs of a partition's keys, and records of frequent keys; other blocks pass."""
+    parts = []
     for b in batches:
         through = []
         for row in zip(*(c.to_pylist() for c in b.columns)):
             if row[0] != "keys":
                 through.append(row)
             else:
-                x, different, at = pickle.loads(row[3])
-                key.append(x)
-                node.append(different[at])
+                key, different, n, at, much = pickle.loads(row[3])
+                parts.append((key, different[at], n[at], np.unpackbits(much, count=len(key)).astype(bool)))
         if through:
             yield block_rows(through)
-    if key:
-        a, b, _ = _stars(np.concatenate(key), np.concatenate(node))
+    if not parts:
+        return
+    key, node, n, much = (np.concatenate(x) for x in zip(*parts))
+    told = np.unique(key[much])
+    order, begin, count = _runs(key, node)
+    key, node, n = key[order], node[order], n[order].astype(np.int64)
+    frequent = (count > FEW) | np.isin(key[begin], told)
+    rows = np.repeat(frequent, count)
+    for kind, a, b in (("many", key[rows], node[rows]), ("edges", *_pairs(node, n, begin[~frequent], count[~frequent]))):
         for i in range(0, len(a), 1 << 18):
-            yield block_rows([block("edges", 0, -1, a[i : i + (1 << 18)], b[i : i + (1 << 18)])])
+            yield block_rows([block(kind, 0, -1, a[i : i + (1 << 18)], b[i : i + (1 << 18)])])
+
+
+def _possible(batches):
+    """Pairs whose signatures allow a link."""
+    for b in batches:
+        keep = []
+        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb"))):
+            u, v = folded([x, y])
+            both = int(np.bitwise_count(u & v).sum())
+            most = min(n - int(np.bitwise_count(u).sum()) + both, m - int(np.bitwise_count(v).sum()) + both)
+            keep.append(7 * most >= 3 * (n + m))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _edge_rows(batches):
@@ -129,8 +180,8 @@ def _edge_rows(batches):
 def _doc_rows(batches):
     for b in batches:
         for x in b.column("block").to_pylist():
-            ids, n, h1, h2 = pickle.loads(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "n_shingles", "h1", "h2"])
+            ids, n, h1, h2, signs = pickle.loads(x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sign"])
 
 
 def _arrays(batches):
@@ -144,28 +195,19 @@ def _arrays(batches):
             yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cluster", "doc_id", "h1")] + [pa.array([int(begin[i + 1] - begin[i]) for i in same], pa.int64()), pa.array([g[begin[i] : begin[i + 1]].tobytes() for i in same], pa.binary())], ["cluster", "doc_id", "h1", "n", "shingles"])
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of sets linked at 100 * intersection >= 75 * union; with ``side``, only pairs of
-    different sides are compared."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets = ids[order], [sets[i] for i in order]
-    side = None if side is None else side[order]
-    n = np.array([len(s) for s in sets])
-    bits = int(min(MOST_BITS, max(64, 1 << int(np.ceil(np.log2(BITS_EACH * n[-1] + 1))))))
-    sign = np.zeros((len(sets), bits // 8), np.uint8)
-    for row, s in zip(sign, sets):
-        at = np.unique(s & np.uint64(bits - 1)).astype(np.int64)
-        flags = np.zeros(bits, bool)
-        flags[at] = True
-        row[:] = np.packbits(flags)
-    sign = sign.view(np.uint64)
+def linked(ids: np.ndarray, n: np.ndarray, sign: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the components of sets linked at 100 * intersection >= 75 * union; without ``sets``, of those
+    whose signatures allow a link. Where two sides occur, only pairs of different sides are compared."""
+    order = np.argsort(n, kind="stable")
+    ids, n, sign, side = ids[order], n[order], sign[order], side[order]
+    sets = None if sets is None else [sets[i] for i in order]
     set_bits = np.bitwise_count(sign).sum(1).astype(np.int64)
-    part, out = np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        end = int(np.searchsorted(n, n[i] * 4 // 3, "right"))
-        j = np.arange(i + 1, end)
+    both_sides = side.any() and not side.all()
+    part, out = np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 4 // 3, "right")))
         j = j[part[j] != part[i]]
-        if side is not None:
+        if both_sides:
             j = j[side[j] != side[i]]
         if not len(j):
             continue
@@ -174,47 +216,57 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = No
         for k in j[7 * most >= 3 * (n[i] + n[j])]:
             if part[k] == part[i]:
                 continue
-            a, b = sets[i], sets[k]
-            at = np.searchsorted(b, a)
-            overlap = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-            if 100 * overlap >= 75 * (len(a) + len(b) - overlap):
-                part[part == part[k]] = part[i]
-                out.append((int(ids[i]), int(ids[k])))
+            if sets is not None:
+                a, b = sets[i], sets[k]
+                at = np.searchsorted(b, a)
+                overlap = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+                if 100 * overlap < 75 * (len(a) + len(b) - overlap):
+                    continue
+            part[part == part[k]] = part[i]
+            out.append((int(ids[i]), int(ids[k])))
     return out
 
 
-def _tiles(batches):
-    """Links of each unit; a partition's rows come sorted by unit."""
+def _tiles(exact: bool):
+    """Links of each unit; a partition's rows come sorted by unit. ``data``: shingles where exact, else signatures."""
 
     def links(rows):
-        ids, arrays = np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows]
-        two = {r[3] for r in rows}
-        return linked(ids, arrays, np.array([r[3] for r in rows]) if len(two) > 1 else None) if len(rows) > 1 else []
+        if len(rows) < 2:
+            return []
+        _, ids, n, data, side = zip(*rows)
+        sets = [np.frombuffer(x, np.uint64) for x in data] if exact else None
+        return linked(np.array(ids), np.array(n), folded([signature(x) for x in sets] if exact else list(data)), sets, np.array(side))
 
-    now, rows, out = None, [], []
-    for b in batches:
-        for row in zip(b.column("unit").to_pylist(), b.column("doc_id").to_pylist(), b.column("shingles").to_pylist(), b.column("side").to_pylist()):
-            if row[0] != now:
-                out += links(rows)
-                now, rows = row[0], []
-            rows.append(row)
-        if len(out) > 10_000:
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]})
-            out = []
-    out += links(rows)
-    if out:
-        yield pa.RecordBatch.from_pydict({"a": [x for x, _ in out], "b": [x for _, x in out]})
+    def send(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    def run(batches):
+        now, rows, out = None, [], []
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("unit", "id", "n", "data", "side"))):
+                if row[0] != now:
+                    out += links(rows)
+                    now, rows = row[0], []
+                rows.append(row)
+            if len(out) > 10_000:
+                yield send(out)
+                out = []
+        out += links(rows)
+        if out:
+            yield send(out)
+
+    return run
 
 
 def _units(sets: DataFrame) -> DataFrame:
-    """A row for each unit a set is compared in: its cluster, or, in a large cluster, every pair of tiles of the
+    """(unit, side, id, n, data) for each unit a set (cluster, id, n, data) is compared in: its cluster, or, in a large cluster, every pair of tiles of the
     same or neighbouring bands of size."""
     sets = sets.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.34))).cast("int"))
     counts = sets.groupBy("cluster", "band").agg(F.count("*").alias("c"))
     tiles = counts.groupBy("cluster").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / TILE).cast("int").alias("t")))).alias("tiles"))
     sets = sets.join(tiles, "cluster")
     count = lambda b: F.coalesce(F.try_element_at("tiles", b), F.lit(0))
-    tile = F.pmod(F.xxhash64("doc_id"), count(F.col("band"))).cast("int")
+    tile = F.pmod(F.xxhash64("id"), count(F.col("band"))).cast("int")
     each = lambda b: F.when(count(b) > 0, F.sequence(F.lit(0), count(b) - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda b1, t1, b2, t2: F.concat_ws(".", "cluster", b1, t1, b2, t2)
     own, up, down = F.col("band"), F.col("band") + 1, F.col("band") - 1
@@ -226,7 +278,7 @@ def _units(sets: DataFrame) -> DataFrame:
         F.transform(each(down), lambda j: unit(name(down, j, own, F.col("tile")), F.lit(True))),
     )
     one = F.array(unit(F.col("cluster").cast("string"), F.lit(False)))
-    return sets.withColumn("u", F.explode(F.when(F.col("all") <= TILE, one).otherwise(many))).select("u.unit", "u.side", "doc_id", "shingles")
+    return sets.withColumn("u", F.explode(F.when(F.col("all") <= TILE, one).otherwise(many))).select("u.unit", "u.side", "id", "n", "data")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -239,17 +291,23 @@ def joined(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.mapInArrow(_scatter(4 * n), BLOCK).repartition(n, "bucket")
-    blocks = written(sent.mapInArrow(_edges, BLOCK), "shingles")
-    table = written(blocks.where("kind = 'docs'").select("block").mapInArrow(_doc_rows, "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
-    sets = written(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id")), "sets")
+    blocks = written(sent.mapInArrow(_candidates, BLOCK), "shingles")
+    table = written(blocks.where("kind = 'docs'").select("block").mapInArrow(_doc_rows, "doc_id long, n_shingles long, h1 long, h2 long, sign binary"), "sets")
+    sets = written(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")), "sets")
     edges = blocks.where("kind = 'edges'").select("block").mapInArrow(_edge_rows, "a long, b long")
-    clusters = components(edges).select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
-    chosen = sets.join(clusters, "h1").select(F.col("first_id").alias("doc_id"), "h1", "h2", "cluster")
+    compared = lambda rows, exact: _units(rows).repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_tiles(exact), "a long, b long")
+    clusters = lambda links: components(links).select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
+    many = blocks.where("kind = 'many'").select("block").mapInArrow(_edge_rows, "a long, b long").distinct()
+    tiled = compared(many.select(F.col("a").alias("cluster"), F.col("b").alias("h1")).join(sets, "h1").select("cluster", F.col("h1").alias("id"), "n", F.col("sign").alias("data")), exact=False)
+    part = lambda x: sets.select(F.col("h1").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}"))
+    paired = edges.distinct().join(part("a"), "a").join(part("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long")
+    may = tiled.union(paired)
+    chosen = sets.join(clusters(may), "h1").select(F.col("first_id").alias("doc_id"), "h1", "h2", "cluster")
     arrays = docs.join(chosen, "doc_id").select("cluster", "doc_id", "h1", "h2", "text").mapInArrow(_arrays, "cluster long, doc_id long, h1 long, n long, shingles binary")
-    arrays = written(arrays.dropDuplicates(["cluster", "doc_id", "h1"]).drop("h1"), "arrays")
-    links = _units(arrays).repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_tiles, "a long, b long")
+    arrays = written(arrays.dropDuplicates(["cluster", "doc_id", "h1"]), "arrays")
+    links = compared(arrays.select("cluster", F.col("doc_id").alias("id"), "n", F.col("shingles").alias("data")), exact=True)
     found = components(links).select(F.col("node").alias("first_id"), "component")
-    out = table.join(sets, ["h1", "h2"], "left").join(found, "first_id", "left")
+    out = table.select("doc_id", "n_shingles", "h1", "h2").join(sets.select("h1", "h2", "first_id"), ["h1", "h2"], "left").join(found, "first_id", "left")
     linked_ = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(linked_, F.coalesce("component", "first_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -14,4 +14,25 @@ from framescore.llm.substrings import op7_phrase_automata
 from framescore.llm.sharding import op10_two_pass_shuffle
 
 QUERIES = {f.__name__: f for f in (op1_rare_token_index, op2_katz_backoff, op3_kneser_ney, op4_bitmap_tiles, op5_pca_tiles, op6_weak_supervision, op7_phrase_automata, op8_template_windows, op9_nnls_packing, op10_two_pass_shuffle)}
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+#: Everything that links lead to, and the smallest of it.
+_REACH = "r(a, b) AS (SELECT {0}, {0} FROM {1} UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a AS {0}, min(b) AS component_id FROM r GROUP BY 1)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_bitmap_tiles": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)), l AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+{_REACH.format("doc_id", "documents")}
+SELECT doc_id, len(s) AS n_shingles, component_id FROM s JOIN c USING (doc_id)""",
+    "op5_pca_tiles": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_dot_product(p.x, q.x) / sqrt(list_dot_product(p.x, p.x) * list_dot_product(q.x, q.x)) >= 0.95),
+{_REACH.format("vec_id", "v")}, n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op7_phrase_automata": f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents), t AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM t), m AS (SELECT k, min(doc_id) AS first FROM k GROUP BY 1),
+d AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN m USING (k) WHERE first < doc_id), a AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+o AS (SELECT a.doc_id, count(d.p) AS n_removed, string_agg(x, ' ' ORDER BY a.p) FILTER (d.p IS NULL) AS kept FROM a LEFT JOIN d ON a.doc_id = d.doc_id AND a.p = d.p GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o USING (doc_id)""",
+}

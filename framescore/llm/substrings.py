@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import BLOCK, block, block_rows, by_bucket, documents, grams, groups, mix, partitions, words, written
+from framescore.llm.common import BLOCK, block, block_rows, bucketed, by_bucket, documents, grams, groups, mix, partitions, words, written
 
 WINDOW, ANCHOR = 13, 5
 #: Segments of one anchor in a shard before the anchor is dealt to several.
@@ -92,7 +91,8 @@ def _scatter(buckets: int):
             order, cuts = by_bucket(key, buckets)
             for i, x, z in cuts:
                 different, at = np.unique(text[order[x:z]], return_inverse=True)
-                rows.append(block("keys", i, task | k, key[order[x:z]], different, at.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32), place[order[x:z]], np.packbits(known[order[x:z]])))
+                own = key[order[x:z]] // np.uint64(buckets)  # 40 bits and the bucket stay: a chance match is dropped when words are compared
+                rows.append(block("keys", i, task | k, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32), (own >> np.uint64(32)).astype(np.uint8), different, at.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32), place[order[x:z]], np.packbits(known[order[x:z]])))
             for i in range(0, len(rows), 64):
                 yield block_rows(rows[i : i + 64])
 
@@ -120,7 +120,8 @@ def _hits(batches):
             if row[0] != "keys":
                 through.append(row)
             else:
-                key, different, at, place, known = pickle.loads(row[3])
+                low, high, different, at, place, known = pickle.loads(row[3])
+                key = (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)) * np.uint64(1 << 20) + np.uint64(row[1])
                 parts.append((key, different[at], place, np.unpackbits(known, count=len(key)).astype(bool)))
         if through:
             yield block_rows(through)
@@ -167,7 +168,7 @@ def _same_text(batches):
 def _segments(batches):
     """Runs of windows around each recurring anchor, as text."""
     for b in batches:
-        ids, t1, places = b.column("doc_id").to_pylist(), b.column("t1").to_numpy(), b.column("places").to_pylist()
+        ids, t1, places = b.column("doc_id").to_numpy(), b.column("t1").to_numpy(), b.column("places").to_pylist()
         for lo, hi, w in words(b.column("text"), lower=False):
             hit = np.zeros(len(w.hash), bool)
             for i in range(hi - lo):
@@ -181,9 +182,10 @@ def _segments(batches):
             end = np.append(start[1:], len(place)) - 1
             if not len(start):
                 continue
-            text = [b" ".join(w.word(j) for j in range(s, e + WINDOW)).decode("utf-8", "surrogatepass") for s, e in zip(window[start], window[end])]
+            first, last = w.start[window[start]], w.end[window[end] + WINDOW - 1]
+            text = [w.buf[a:z].tobytes().decode("utf-8", "surrogatepass") for a, z in zip(first.tolist(), last.tolist())]
             doc = w.doc[window[start]]
-            yield pa.RecordBatch.from_arrays([pa.array(key[start].view(np.int64)), pa.array([ids[lo + d] for d in doc], pa.int64()), pa.array(t1[lo + doc]), pa.array((window[start] - w.first[doc]).astype(np.int64)), pa.array(text, pa.string())], ["anchor", "doc_id", "t1", "start", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[start].view(np.int64)), pa.array(ids[lo + doc]), pa.array(t1[lo + doc]), pa.array((window[start] - w.first[doc]).astype(np.int64)), pa.array(text, pa.string())], ["anchor", "doc_id", "t1", "start", "text"])
 
 
 def _owners(batches):
@@ -202,67 +204,70 @@ def _owners(batches):
 
 
 def _locate(batches):
-    """Places of recurring phrases: a partition's rows are its phrases (kind 0) and then its segments (kind 1)."""
+    """Places of recurring phrases. A partition's rows come sorted by shard, the phrases of dealt anchors (kind 0) before
+    the segments (kind 1); a shard is confirmed, compiled and streamed at a time."""
     import ahocorasick
 
-    owner: dict[tuple[int, int], int] = {}
-    waiting: list = []
-    number: dict[bytes, int] = {}
-    machine, phrases = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
-    rows = defaultdict(list)
-
-    def flush():
-        # confirm: the words of each phrase, from any segment that holds it
-        segs = []
-        for doc, start, text in waiting:
-            segs.append((doc, start, [number.setdefault(x, len(number) + 1) for x in text.encode("utf-8", "surrogatepass").split(b" ")]))
-        col = pa.array([t for *_, t in waiting], pa.string())
-        for lo, _, w in words(col, lower=False):
+    def shard(owner: dict, segs: list):
+        number: dict[str, int] = {}
+        of = [number.setdefault(x[4], len(number)) for x in segs]  # equal segments are read once
+        texts, docs = list(number), np.array([x[1] for x in segs])
+        low, high = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
+        np.minimum.at(low, of, docs)
+        np.maximum.at(high, of, docs)
+        dealt = np.zeros(len(texts), bool)
+        dealt[of] = [x[0] for x in segs]
+        h1s, h2s, rows, offs = [], [], [], []
+        for lo, _, w in words(pa.array(texts, pa.string()), lower=False):
             h1, at = grams(w, WINDOW)
             w.hash = mix(w.hash ^ _SALT)
-            h2, _ = grams(w, WINDOW)
-            for a, c, s, p in zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist(), at.tolist(), w.doc[at].tolist()):
-                first = owner.get((a, c))
-                if first is not None:
-                    i = s - int(w.first[p])
-                    phrase = tuple(segs[lo + p][2][i : i + WINDOW])
-                    if phrases.setdefault(phrase, first) == first and phrase not in machine:
-                        machine.add_word(phrase, first)
-        if not phrases:
-            return
-        machine.make_automaton()
-        for doc, start, seq in segs:
-            last = -1
-            for end, first in machine.iter(tuple(seq)):
-                if first < doc[0]:
-                    a, z = start + end - WINDOW + 1, start + end + 1
-                    if rows[doc] and last == rows[doc][-1][1] and a <= last:
-                        rows[doc][-1] = (rows[doc][-1][0], z)
-                    else:
-                        rows[doc].append((a, z))
-                    last = z
-
-    def out():
-        got = [(*d, a, z) for d, x in rows.items() for a, z in x]
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(4)], ["doc_id", "t1", "begin", "end"])
-
+            h1s.append(h1)
+            h2s.append(grams(w, WINDOW)[0])
+            rows.append(w.doc[at] + lo)
+            offs.append(at - w.first[w.doc[at]])
+        h1, h2, row, off = (np.concatenate(x) for x in (h1s, h2s, rows, offs))
+        order, first = groups(h2, h1)
+        least, most = np.minimum.reduceat(low[row[order]], first), np.maximum.reduceat(high[row[order]], first)
+        one = order[first]  # a place of each window
+        ids: dict[bytes, int] = {}
+        seqs = [[ids.setdefault(x, len(ids) + 1) for x in t.encode("utf-8", "surrogatepass").split()] for t in texts]
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for i, lo, hi in zip(one.tolist(), least.tolist(), most.tolist()):
+            if dealt[row[i]]:
+                lo, hi = owner.get((int(h1[i].view(np.int64)), int(h2[i].view(np.int64))), hi), hi + 1
+            if lo < hi:
+                machine.add_word(tuple(seqs[row[i]][off[i] : off[i] + WINDOW]), lo)
+        out = []
+        if len(machine):
+            machine.make_automaton()
+            found = [[(end - WINDOW + 1, end + 1, d) for end, d in machine.iter(tuple(seq))] for seq in seqs]
+            for (_, doc, t1, start, _), t in zip(segs, of):
+                a = z = None
+                for s, e, first_doc in found[t]:
+                    if first_doc < doc:
+                        if z is not None and s <= z:
+                            z = e
+                            continue
+                        if z is not None:
+                            out.append((doc, t1, start + a, start + z))
+                        a, z = s, e
+                if z is not None:
+                    out.append((doc, t1, start + a, start + z))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["doc_id", "t1", "begin", "end"])
+
+    now, owner, segs = None, {}, []
     for b in batches:
-        kinds = b.column("kind").to_numpy()
-        cols = {c: b.column(c).to_pylist() for c in ("w1", "w2", "doc_id", "t1", "start", "text")}
-        for i, kind in enumerate(kinds.tolist()):
+        for at, kind, dealt, w1, w2, doc, t1, start, text in zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "dealt", "w1", "w2", "doc_id", "t1", "start", "text"))):
+            if at != now:
+                if segs:
+                    yield shard(owner, segs)
+                now, owner, segs = at, {}, []
             if kind == 0:
-                owner[(cols["w1"][i], cols["w2"][i])] = cols["doc_id"][i]
+                owner[(w1, w2)] = doc
             else:
-                waiting.append(((cols["doc_id"][i], cols["t1"][i]), cols["start"][i], cols["text"][i]))
-                if len(waiting) >= 50_000:
-                    flush()
-                    waiting.clear()
-                    yield out()
-    if waiting:
-        flush()
-    if rows:
-        yield out()
+                segs.append((dealt, doc, t1, start, text))
+    if segs:
+        yield shard(owner, segs)
 
 
 def _removed(batches):
@@ -293,17 +298,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     hits = blocks.where("kind = 'hits'").select("block").mapInArrow(_hit_rows, "t1 long, places binary").groupBy("t1").agg(F.collect_list("places").alias("places"))  # at most a text's words
     chosen = texts.join(hits, "t1").select(F.col("first_id").alias("doc_id"), "t1", "places")
     chosen = docs.join(chosen, "doc_id").select("doc_id", "t1", "places", "text")
-    chosen = written(chosen.mapInArrow(_same_text, chosen.schema), "recurring")
+    chosen = bucketed(chosen.mapInArrow(_same_text, chosen.schema), "doc_id", n)  # joined again below, without a shuffle of texts
     segments = written(chosen.mapInArrow(_segments, "anchor long, doc_id long, t1 long, start long, text string"), "segments")
+    # an anchor's segments meet in one shard; a hot anchor's are dealt to several, to which its phrases are sent
     many = segments.groupBy("anchor").count().where(F.col("count") > SEGMENTS).select("anchor", F.ceil(F.col("count") / SEGMENTS).cast("int").alias("parts"))
-    owners = segments.mapInArrow(_owners, "w1 long, w2 long, anchor long, low long, high long").groupBy("w1", "w2", "anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    many = written(many, "dealt")
+    hot = segments.join(many.select("anchor"), "anchor", "left_semi")
+    owners = hot.mapInArrow(_owners, "w1 long, w2 long, anchor long, low long, high long").groupBy("w1", "w2", "anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     shard = lambda part: F.pmod(F.xxhash64("anchor", part), F.lit(4 * n))
-    parts = F.coalesce("parts", F.lit(1))
-    phrases = owners.join(many, "anchor", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.lit(0).alias("kind"), shard(F.col("part")).alias("shard"), "w1", "w2", F.col("low").alias("doc_id"), F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("start"), F.lit("").alias("text"))
-    streams = segments.join(many, "anchor", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).select(F.lit(1).alias("kind"), shard(F.col("part")).alias("shard"), F.lit(0).cast("long").alias("w1"), F.lit(0).cast("long").alias("w2"), "doc_id", "t1", "start", "text")
-    places = phrases.union(streams).repartition(n, "shard").sortWithinPartitions("kind").mapInArrow(_locate, "doc_id long, t1 long, begin long, end long")
-    spans = places.groupBy("doc_id", "t1").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # at most a text's words
-    changed = chosen.join(spans, ["doc_id", "t1"]).select("doc_id", "t1", "text", "spans").mapInArrow(_removed, "doc_id long, t1 long, cut long, kept string").dropDuplicates(["doc_id", "t1"])
+    zero = F.lit(0).cast("long")
+    phrases = owners.join(many, "anchor").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(shard(F.col("part")).alias("shard"), F.lit(0).alias("kind"), F.lit(True).alias("dealt"), "w1", "w2", F.col("low").alias("doc_id"), zero.alias("t1"), zero.alias("start"), F.lit("").alias("text"))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))
+    streams = segments.join(many, "anchor", "left").select(shard(part).alias("shard"), F.lit(1).alias("kind"), F.col("parts").isNotNull().alias("dealt"), zero.alias("w1"), zero.alias("w2"), "doc_id", "t1", "start", "text")
+    places = phrases.union(streams).repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_locate, "doc_id long, t1 long, begin long, end long")
+    spans = places.groupBy("doc_id").agg(F.collect_list(F.struct("t1", "begin", "end")).alias("spans"))  # at most a text's words
+    own = F.filter("spans", lambda x: x["t1"] == F.col("t1"))
+    changed = chosen.join(spans, "doc_id").select("doc_id", "t1", "text", own.alias("spans")).mapInArrow(_removed, "doc_id long, t1 long, cut long, kept string").dropDuplicates(["doc_id", "t1"])
 
     out = table.join(texts, ["t1", "t2"], "left").join(changed, ["doc_id", "t1"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)

@@ -67,6 +67,7 @@ def test_families_in_small_tiles(spark, monkeypatch):
     want = brute(rows)
     assert got(ngram_join.joined(df)) == want
     monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "FEW", 3)
     assert got(ngram_join.joined(df)) == want
     assert ngram_join.joined(df.limit(0)).count() == 0
 
@@ -82,6 +83,12 @@ def test_bound_never_drops_a_link():
             if 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
                 part = [part[i] if p == part[j] else p for p in part]
         own = list(range(12))
-        for a, b in ngram_join.linked(np.arange(12), sets):
+        n, sign, side = np.array([len(x) for x in sets]), ngram_join.folded([ngram_join.signature(x) for x in sets]), np.zeros(12, bool)
+        for a, b in ngram_join.linked(np.arange(12), n, sign, sets, side):
             own = [own[a] if p == own[b] else p for p in own]
         assert len(set(own)) == len(set(part))
+        may = ngram_join.linked(np.arange(12), n, sign, None, side)
+        loose = list(range(12))
+        for a, b in may:
+            loose = [loose[a] if p == loose[b] else p for p in loose]
+        assert all(loose[i] == loose[j] for i, j in itertools.combinations(range(12), 2) if part[i] == part[j])

@@ -10,16 +10,16 @@ from framescore.schemas import INDEX_WEIGHTS
 
 
 def index(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(model_id, pai_index): weighted sum; what is missing adds 0, weights are not re-normalised."""
+    """(model_id, quality_index): weighted sum; what is missing adds 0, weights are not re-normalised."""
     weight = F.create_map(*(x for k, v in (weights or INDEX_WEIGHTS).items() for x in (F.lit(k), F.lit(v))))
-    return scores.groupBy("model_id").agg(F.coalesce(F.sum(F.col("value") * F.try_element_at(weight, F.col("metric"))), F.lit(0.0)).alias("pai_index"))
+    return scores.groupBy("model_id").agg(F.coalesce(F.sum(F.col("value") * F.try_element_at(weight, F.col("metric"))), F.lit(0.0)).alias("quality_index"))
 
 
 def ranking(scores: DataFrame, metrics: tuple[str, ...] = tuple(INDEX_WEIGHTS)) -> DataFrame:
     """A row a model: index, a column a metric ("." becomes "_"), best first."""
     wide = scores.groupBy("model_id").pivot("metric", list(metrics)).agg(F.first("value"))
     wide = wide.select("model_id", *(F.col(f"`{m}`").alias(m.replace(".", "_")) for m in metrics))
-    return index(scores).join(wide, "model_id").orderBy(F.desc("pai_index"), "model_id")
+    return index(scores).join(wide, "model_id").orderBy(F.desc("quality_index"), "model_id")
 
 
 def _rank(keys: list[str], value: str) -> Column:
@@ -64,8 +64,8 @@ def leaderboard_markdown(scores: DataFrame, metrics: tuple[str, ...] = tuple(IND
     """(line_no, line) of the ranked table; empty cells where a model lacks a metric."""
     cols = [m.replace(".", "_") for m in metrics]
     ranked = ranking(scores, metrics)
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("model_id").cast("string"), *(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)).otherwise("") for c in ["pai_index", *cols])), F.lit(" |"))
-    w = W.orderBy(F.desc("pai_index"), "model_id")  # a row a model
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("model_id").cast("string"), *(F.when(F.col(c).isNotNull(), F.format_string("%.4f", c)).otherwise("") for c in ["quality_index", *cols])), F.lit(" |"))
+    w = W.orderBy(F.desc("quality_index"), "model_id")  # a row a model
     body = ranked.select((F.row_number().over(w) + 1).alias("line_no"), row.alias("line"))
     head = "| model | index | " + " | ".join(metrics) + " |"
     rule = "|" + " --- |" * (len(metrics) + 2)

@@ -21,8 +21,8 @@ def saturation_report(found: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drift(history: DataFrame, threshold: float = 0.05) -> DataFrame:
-    """(trend, n_quarters, verdict) of ``history``: date, pai_index."""
-    quarter = history.select(F.concat(F.year("date"), F.lit("Q"), F.quarter("date")).alias("quarter"), "pai_index").groupBy("quarter").agg(F.avg("pai_index").alias("mean"))
+    """(trend, n_quarters, verdict) of ``history``: date, quality_index."""
+    quarter = history.select(F.concat(F.year("date"), F.lit("Q"), F.quarter("date")).alias("quarter"), "quality_index").groupBy("quarter").agg(F.avg("quality_index").alias("mean"))
     steps = quarter.withColumn("d", F.col("mean") - F.lag("mean").over(W.orderBy("quarter")))  # a row a quarter
     out = steps.agg(F.coalesce(F.avg("d"), F.lit(0.0)).alias("trend"), F.count("*").alias("n_quarters"))
     verdict = F.when(F.col("n_quarters") == 0, "insufficient_data").when(F.col("trend") > threshold, "refresh_items").when(F.col("trend") < -threshold, "investigate_regression").otherwise("stable")
@@ -30,7 +30,7 @@ def drift(history: DataFrame, threshold: float = 0.05) -> DataFrame:
 
 
 def quarterly(history: DataFrame) -> DataFrame:
-    return history.select(F.concat(F.year("date"), F.lit("Q"), F.quarter("date")).alias("quarter"), "pai_index").groupBy("quarter").agg(F.avg("pai_index").alias("mean_index"), F.count("*").alias("n"))
+    return history.select(F.concat(F.year("date"), F.lit("Q"), F.quarter("date")).alias("quarter"), "quality_index").groupBy("quarter").agg(F.avg("quality_index").alias("mean_index"), F.count("*").alias("n"))
 
 
 def audit_counts(items: DataFrame, prior: float = 0.6, agreement: float = 0.8) -> DataFrame:

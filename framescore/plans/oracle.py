@@ -31,7 +31,7 @@ _UNIT = "sqrt(list_dot_product({0}, {0})) + 1e-8"
 _SQL = {
     "flagship_ranking": f"""{_CHAIN}, acc AS (SELECT l.model_id, avg((l.pred = i.answer_idx)::INT) AS a FROM last l JOIN v_u_items i USING (item_id) GROUP BY 1),
 ch AS (SELECT model_id, avg((first_error_hop IS NULL)::INT) AS c FROM chain GROUP BY 1)
-SELECT model_id, round(0.30::DOUBLE * a + 0.20::DOUBLE * c, 6) AS pai_index, round(a, 6) AS "U_accuracy", round(c, 6) AS "U_multihop_chain_accuracy" FROM acc JOIN ch USING (model_id)""",
+SELECT model_id, round(0.30::DOUBLE * a + 0.20::DOUBLE * c, 6) AS quality_index, round(a, 6) AS "U_accuracy", round(c, 6) AS "U_multihop_chain_accuracy" FROM acc JOIN ch USING (model_id)""",
     "j1_join_answers": f"""{_LAST}, grid AS (SELECT m.model_id, i.* FROM (SELECT DISTINCT model_id FROM v_u_preds) m CROSS JOIN v_u_items i)
 SELECT g.model_id, physics_category, count(*) AS n_rows, count(*) FILTER (l.item_id IS NOT NULL) AS n_answered, sum((coalesce(l.pred, -1) = g.answer_idx)::INT)::BIGINT AS n_ok
 FROM grid g LEFT JOIN last l ON g.model_id = l.model_id AND g.item_id = l.item_id GROUP BY ALL""",
@@ -100,11 +100,11 @@ SELECT item_id, domain, physics_category::VARCHAR AS physics_category FROM s WHE
     "q3_saturated": "SELECT item_id FROM v_item_scores GROUP BY 1 HAVING count(*) FILTER (score >= 0.9) >= 3",
     "q4_saturation_report": """s AS (SELECT item_id FROM v_item_scores GROUP BY 1 HAVING count(*) FILTER (score >= 0.8) >= 3), k AS (SELECT i.* FROM s JOIN v_u_items i USING (item_id))
 SELECT 'overall' AS scope, '' AS scope_value, count(*) AS n FROM s UNION ALL SELECT 'domain', domain::VARCHAR, count(*) FROM k GROUP BY 2 UNION ALL SELECT 'physics', physics_category::VARCHAR, count(*) FROM k GROUP BY 2""",
-    "q5_drift": """q AS (SELECT year(date) || 'Q' || quarter(date) AS quarter, avg(pai_index) AS m FROM v_history GROUP BY 1), d AS (SELECT m - lag(m) OVER (ORDER BY quarter) AS d FROM q), t AS (SELECT coalesce(avg(d), 0) AS trend, count(*) AS n FROM d)
+    "q5_drift": """q AS (SELECT year(date) || 'Q' || quarter(date) AS quarter, avg(quality_index) AS m FROM v_history GROUP BY 1), d AS (SELECT m - lag(m) OVER (ORDER BY quarter) AS d FROM q), t AS (SELECT coalesce(avg(d), 0) AS trend, count(*) AS n FROM d)
 SELECT round(trend, 6) AS trend, n AS n_quarters, CASE WHEN n = 0 THEN 'insufficient_data' WHEN trend > 0.05 THEN 'refresh_items' WHEN trend < -0.05 THEN 'investigate_regression' ELSE 'stable' END AS verdict FROM t""",
-    "q5_quarterly": "SELECT year(date) || 'Q' || quarter(date) AS quarter, round(avg(pai_index), 6) AS mean_index, count(*) AS n FROM v_history GROUP BY 1",
-    "l1_index": f"SELECT model_id, round({_INDEX}, 6) AS pai_index FROM v_track_scores GROUP BY 1",
-    "l2_ranking": f"""SELECT model_id, round({_INDEX}, 6) AS pai_index, round(max(value) FILTER (metric = 'G.domain_score'), 6) AS "G_domain_score", round(max(value) FILTER (metric = 'C.blur_ssim'), 6) AS "C_blur_ssim", round(max(value) FILTER (metric = 'U.accuracy'), 6) AS "U_accuracy",
+    "q5_quarterly": "SELECT year(date) || 'Q' || quarter(date) AS quarter, round(avg(quality_index), 6) AS mean_index, count(*) AS n FROM v_history GROUP BY 1",
+    "l1_index": f"SELECT model_id, round({_INDEX}, 6) AS quality_index FROM v_track_scores GROUP BY 1",
+    "l2_ranking": f"""SELECT model_id, round({_INDEX}, 6) AS quality_index, round(max(value) FILTER (metric = 'G.domain_score'), 6) AS "G_domain_score", round(max(value) FILTER (metric = 'C.blur_ssim'), 6) AS "C_blur_ssim", round(max(value) FILTER (metric = 'U.accuracy'), 6) AS "U_accuracy",
 round(max(value) FILTER (metric = 'U.multihop_chain_accuracy'), 6) AS "U_multihop_chain_accuracy", round(max(value) FILTER (metric = 'CF.counterfactual_delta_accuracy'), 6) AS "CF_counterfactual_delta_accuracy" FROM v_track_scores GROUP BY 1""",
     "l3_spearman": f"""s AS (SELECT model_id, avg(rate) AS rate FROM v_dv GROUP BY 1), c AS (SELECT s.* FROM s WHERE model_id IN (SELECT model_id FROM v_track_scores)),
 r AS (SELECT metric, {_RANKED.format("value")} AS rx, {_RANKED.format("rate")} AS ry FROM v_track_scores JOIN c USING (model_id)), o AS (SELECT metric, corr(rx, ry) AS rho, count(*) AS n FROM r GROUP BY 1)

@@ -28,7 +28,7 @@ FROM {lineitem}""",
     "v_item_scores": """
 SELECT l_partkey * 10 + l_linenumber AS item_id, l_suppkey AS model_id, CAST(1.0 - l_discount * 5 AS DOUBLE) AS score
 FROM {lineitem}""",
-    "v_history": "SELECT CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice AS DOUBLE) / 500000.0e0 AS pai_index FROM {orders}",
+    "v_history": "SELECT CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice AS DOUBLE) / 500000.0e0 AS quality_index FROM {orders}",
     "v_annotations": """
 SELECT l_partkey * 10 + l_linenumber AS item_id,
        CASE WHEN l_quantity <= 30 THEN 0 ELSE l_orderkey % 4 END AS vote,

@@ -111,13 +111,13 @@ def test_samples(spark):
 def test_saturation_and_drift(spark):
     s = spark.createDataFrame([("a", "m", x) for x in (0.95, 0.92, 0.99, 0.1)] + [("b", "m", x) for x in (0.95, 0.92, 0.5)] + [("c", "m", 1.0)], "item_id string, model_id string, score double")
     assert [r.item_id for r in qc.saturated(s).collect()] == ["a"]
-    h = spark.createDataFrame([("2024-01-15", 0.2), ("2024-05-01", 0.3), ("2024-08-01", 0.4)], "date string, pai_index double").selectExpr("cast(date as date) date", "pai_index")
+    h = spark.createDataFrame([("2024-01-15", 0.2), ("2024-05-01", 0.3), ("2024-08-01", 0.4)], "date string, quality_index double").selectExpr("cast(date as date) date", "quality_index")
     assert qc.drift(h).first().verdict == "refresh_items" and qc.drift(h.limit(0)).first().verdict == "insufficient_data"
 
 
 def test_leaderboard(spark):
     s = spark.createDataFrame([("m", "U.accuracy", 3 / 7), ("n", "U.accuracy", 5 / 7)], "model_id string, metric string, value double")
-    got = {r.model_id: round(r.pai_index, 6) for r in leaderboard.index(s).collect()}
+    got = {r.model_id: round(r.quality_index, 6) for r in leaderboard.index(s).collect()}
     assert got == {"m": 0.128571, "n": 0.214286}
     x, y = (1, 2, 2, 5, 7), (3, 1, 4, 4, 9)
     s = spark.createDataFrame([(k, "U.accuracy", float(v)) for k, v in enumerate(x)], "model_id int, metric string, value double")

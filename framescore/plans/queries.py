@@ -260,7 +260,7 @@ def an6_panel_kappa(v, spark, sf_dir):
 
 @query
 def an7_irt(v, spark, sf_dir):
-    items, _ = irt.fit_2pl(v("v_responses"))
+    items, _ = irt.fit_2pl(v("v_responses"), rounds=8, tolerance=1e-3)
     return rounded(items, 3)
 
 

@@ -192,7 +192,7 @@ def _arrays(batches):
             g, begin, _, h1, h2 = _sets(w, hi - lo)
             same = np.flatnonzero((h1.view(np.int64) == want[0][lo:hi]) & (h2.view(np.int64) == want[1][lo:hi]))
             take = pa.array(same + lo, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("cluster", "doc_id", "h1")] + [pa.array([int(begin[i + 1] - begin[i]) for i in same], pa.int64()), pa.array([g[begin[i] : begin[i + 1]].tobytes() for i in same], pa.binary())], ["cluster", "doc_id", "h1", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("doc_id", "units")] + [pa.array([int(begin[i + 1] - begin[i]) for i in same], pa.int64()), pa.array([g[begin[i] : begin[i + 1]].tobytes() for i in same], pa.binary())], ["doc_id", "units", "n", "shingles"])
 
 
 def linked(ids: np.ndarray, n: np.ndarray, sign: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray) -> list[tuple[int, int]]:
@@ -259,7 +259,7 @@ def _tiles(exact: bool):
 
 
 def _units(sets: DataFrame) -> DataFrame:
-    """(unit, side, id, n, data) for each unit a set (cluster, id, n, data) is compared in: its cluster, or, in a large cluster, every pair of tiles of the
+    """Adds ``units``, an array of (unit, side), to sets (cluster, id, n): what a set is compared in is its cluster, or, in a large cluster, every pair of tiles of the
     same or neighbouring bands of size."""
     sets = sets.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.34))).cast("int"))
     counts = sets.groupBy("cluster", "band").agg(F.count("*").alias("c"))
@@ -271,14 +271,14 @@ def _units(sets: DataFrame) -> DataFrame:
     name = lambda b1, t1, b2, t2: F.concat_ws(".", "cluster", b1, t1, b2, t2)
     own, up, down = F.col("band"), F.col("band") + 1, F.col("band") - 1
     sets = sets.withColumn("tile", tile)
-    unit = lambda n, s: F.struct(n.alias("unit"), s.cast("int").alias("side"))
+    unit = lambda n, s: F.struct(n.alias("unit"), s.alias("side"))
     many = F.concat(
         F.transform(each(own), lambda j: unit(name(own, F.least("tile", j), own, F.greatest("tile", j)), F.col("tile") > j)),
         F.transform(each(up), lambda j: unit(name(own, F.col("tile"), up, j), F.lit(False))),
         F.transform(each(down), lambda j: unit(name(down, j, own, F.col("tile")), F.lit(True))),
     )
     one = F.array(unit(F.col("cluster").cast("string"), F.lit(False)))
-    return sets.withColumn("u", F.explode(F.when(F.col("all") <= TILE, one).otherwise(many))).select("u.unit", "u.side", "id", "n", "data")
+    return sets.withColumn("units", F.when(F.col("all") <= TILE, one).otherwise(many)).drop("tiles", "all", "band", "tile")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -295,17 +295,18 @@ def joined(docs: DataFrame) -> DataFrame:
     table = written(blocks.where("kind = 'docs'").select("block").mapInArrow(_doc_rows, "doc_id long, n_shingles long, h1 long, h2 long, sign binary"), "sets")
     sets = written(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")), "sets")
     edges = blocks.where("kind = 'edges'").select("block").mapInArrow(_edge_rows, "a long, b long")
-    compared = lambda rows, exact: _units(rows).repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_tiles(exact), "a long, b long")
+    compared = lambda rows, exact: rows.withColumn("u", F.explode("units")).select("u.unit", "u.side", "id", "n", "data").repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_tiles(exact), "a long, b long")
     clusters = lambda links: components(links).select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
     many = blocks.where("kind = 'many'").select("block").mapInArrow(_edge_rows, "a long, b long").distinct()
-    tiled = compared(many.select(F.col("a").alias("cluster"), F.col("b").alias("h1")).join(sets, "h1").select("cluster", F.col("h1").alias("id"), "n", F.col("sign").alias("data")), exact=False)
+    tiled = compared(_units(many.select(F.col("a").alias("cluster"), F.col("b").alias("h1")).join(sets, "h1").select("cluster", F.col("h1").alias("id"), "n", F.col("sign").alias("data"))), exact=False)
     part = lambda x: sets.select(F.col("h1").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}"))
     paired = edges.distinct().join(part("a"), "a").join(part("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long")
     may = tiled.union(paired)
-    chosen = sets.join(clusters(may), "h1").select(F.col("first_id").alias("doc_id"), "h1", "h2", "cluster")
-    arrays = docs.join(chosen, "doc_id").select("cluster", "doc_id", "h1", "h2", "text").mapInArrow(_arrays, "cluster long, doc_id long, h1 long, n long, shingles binary")
-    arrays = written(arrays.dropDuplicates(["cluster", "doc_id", "h1"]), "arrays")
-    links = compared(arrays.select("cluster", F.col("doc_id").alias("id"), "n", F.col("shingles").alias("data")), exact=True)
+    # units come before the texts, so that shingles travel once; a repeated row meets itself, which links nothing
+    chosen = _units(sets.join(clusters(may), "h1").select("cluster", "h1", "h2", F.col("first_id").alias("id"), "n"))
+    chosen = written(chosen.select(F.col("id").alias("doc_id"), "h1", "h2", "units"), "chosen")
+    arrays = docs.join(chosen, "doc_id").select("doc_id", "h1", "h2", "units", "text").mapInArrow(_arrays, "doc_id long, units array<struct<unit:string,side:boolean>>, n long, shingles binary")
+    links = compared(arrays.select(F.col("doc_id").alias("id"), "units", "n", F.col("shingles").alias("data")), exact=True)
     found = components(links).select(F.col("node").alias("first_id"), "component")
     out = table.select("doc_id", "n_shingles", "h1", "h2").join(sets.select("h1", "h2", "first_id"), ["h1", "h2"], "left").join(found, "first_id", "left")
     linked_ = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

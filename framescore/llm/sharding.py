@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from framescore.llm.common import documents, written
 
@@ -21,23 +22,35 @@ def rendezvous(key, shards: int, seed: int):
     return F.array_max(marks)["i"]
 
 
+def record_size(records: DataFrame):
+    """Bytes of a record: 64 and those of its strings, binaries and nested values; null has none."""
+    size = F.lit(64).cast("long")
+    for f in records.schema:
+        if isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            size += F.coalesce(F.octet_length(F.to_json(F.col(f"`{f.name}`"))), F.lit(0))
+        elif isinstance(f.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    return size
+
+
 def shuffled_shards(records: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, record_bytes=None) -> DataFrame:
     """``records`` with shard, grown_shard (with one shard more), bucket and slot (gapless from 0 in each shard, in
     shuffled order).
 
     A null key hashes as such, equal rows stay separate rows, an empty table gives an empty one. A column named as
-    an added one is replaced. ``record_bytes`` is a column's estimate of a record in memory (default 64 B);
-    buckets have about ``bucket_bytes``. Rows with one key share the shard (that is the law) but not the
+    an added one is replaced. ``record_bytes`` is a column's estimate of a record in memory (default
+    ``record_size``); buckets have about ``bucket_bytes``, and a task of pass two about one bucket. Rows with one key share the shard (that is the law) but not the
     bucket, which a random number of the row decides, so that no key makes a bucket large."""
     names = [c for c in records.columns if c not in ("shard", "grown_shard", "bucket", "slot")]
-    placed = records.select(*names, rendezvous(F.col(key), shards, seed).alias("shard"), rendezvous(F.col(key), shards + 1, seed).alias("grown_shard"), F.rand(seed).alias("_u"), (F.lit(64) if record_bytes is None else record_bytes).alias("_b"))
+    placed = records.select(*names, rendezvous(F.col(key), shards, seed).alias("shard"), rendezvous(F.col(key), shards + 1, seed).alias("grown_shard"), F.rand(seed).alias("_u"), (record_size(records) if record_bytes is None else record_bytes).alias("_b"))
     placed = written(placed, "scatter")
     buckets = placed.groupBy("shard").agg(F.ceil(F.sum("_b") / bucket_bytes).cast("int").alias("_n"))  # a row a shard
+    n = buckets.agg(F.sum("_n")).first()[0] or 1
     placed = placed.join(F.broadcast(buckets), "shard").withColumn("bucket", F.least(F.floor(F.col("_u") * F.col("_n")).cast("int"), F.col("_n") - 1))
     before = placed.groupBy("shard", "bucket").agg(F.count("*").alias("_c"))
     before = before.withColumn("_before", F.coalesce(F.sum("_c").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     record = F.struct("_u", *names, "grown_shard")
-    permuted = placed.groupBy("shard", "bucket").agg(F.collect_list(record).alias("_r")).select("shard", "bucket", F.shuffle(F.array_sort("_r"), F.lit(seed)).alias("_r"))
+    permuted = placed.repartition(n, "shard", "bucket").groupBy("shard", "bucket").agg(F.collect_list(record).alias("_r")).select("shard", "bucket", F.shuffle(F.array_sort("_r"), F.lit(seed)).alias("_r"))
     rows = permuted.select("shard", "bucket", F.posexplode("_r").alias("_p", "_x")).join(before, ["shard", "bucket"])
     return rows.select(*(F.col(f"_x.{c}").alias(c) for c in names), "shard", "_x.grown_shard", "bucket", (F.col("_before") + F.col("_p")).alias("slot"))
 
@@ -50,5 +63,5 @@ def write_shards(records: DataFrame, path: str, key: str = "doc_id", **how) -> N
 
 def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    return shuffled_shards(digest, "doc_id").select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    moved = shuffled_shards(documents(spark, sf_dir), "doc_id")
+    return moved.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")

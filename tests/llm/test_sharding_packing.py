@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from framescore.llm import packing
+from framescore.llm import packing, sharding
 from framescore.llm.packing import combinations, nnls, op9_nnls_packing, packed
 from framescore.llm.sharding import op10_two_pass_shuffle, shuffled_shards, write_shards
 
@@ -109,3 +109,13 @@ def test_sharding_odd_rows_many_buckets_and_files(spark, tmp_path):
     write_shards(df.drop("shard"), str(tmp_path / "s"), shards=3, bucket_bytes=640)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert Counter(map(tuple, back.select("doc_id", "text").collect())) == Counter(map(tuple, df.select("doc_id", "text").collect()))
+
+
+def test_sharding_moves_whole_texts_in_buckets_sized_by_bytes(spark, sf_dir, monkeypatch):
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), 500).alias("text"), F.array(F.lit("x" * 1000)).alias("parts"))
+    out = shuffled_shards(df, "doc_id", shards=1, bucket_bytes=1 << 14).toPandas()
+    assert len(out) == 200 and out.bucket.max() >= 20 and set(out.text) == {"é" * 500}
+    assert out.groupby("bucket").size().max() * 2000 < 3 << 14
+    moved = []
+    monkeypatch.setattr(sharding, "shuffled_shards", lambda records, *a, **k: moved.append(records.columns) or shuffled_shards(records, *a, **k))
+    assert sharding.op10_two_pass_shuffle(spark, sf_dir).count() and set(spark.read.parquet(f"{sf_dir}/documents.parquet").columns) <= set(moved[0])

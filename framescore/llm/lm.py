@@ -1,14 +1,20 @@
 """Katz backoff bigram model, learned from the training documents and evaluated on every whole text.
 
-Words get the ids of a bounded vocabulary (``VOCAB`` most frequent words by training count; all others share the
-class UNK, which spells a word by its own count). Bigrams of ids are counted over all training documents. Counts up
-to five are discounted by Good-Turing; what a history then lacks to one goes to its unseen continuations by its
-backoff weight, which is exact: (1 - sum of seen) / (1 - sum of the seen ones' unigram probabilities).
-
-Documents do not travel: a task sends, for each of many buckets of the bigram code, one block of (code, document,
-count); the bucket's task counts, and sends back one block of sums for each batch of documents. Bigrams of two of the
-``HOT`` most frequent words, which would make a bucket large, are counted beforehand in a dense table of fixed
-size, so that no bucket has a code with more than the training count of the next word."""
+Every word is a word of the model. The ``VOCAB`` most frequent ones (common words) have an id, and their probabilities
+are broadcast; every other word goes by its 64-bit hash, and what is known of it is joined to its bigrams in the bucket
+of that hash. How many words are common decides where a bigram is counted, not what it counts. UNK is a word that no
+training document has. Counts up to five are discounted by Good-Turing; what a history then lacks to one goes to its
+unseen continuations by its backoff weight, which is exact: (1 - sum of seen) / (1 - sum of the seen ones' unigram
+probabilities).
+
+Documents do not travel: a task sends, for each of many buckets, one block of (bigram, document, count); the bucket's
+task counts, and sends back one block of sums for each batch of documents. A bigram is sent to the bucket of
+
+- both ids, where both words are common. Bigrams of two of the ``HOT`` most frequent words, which would make a bucket
+  large, are counted beforehand in a dense table of fixed size, so that no bucket has a code with more than the training
+  count of the next word;
+- the rare word's hash, where one is rare;
+- the history's hash, where both are; the next word's count is asked for at that word's bucket beforehand."""
 
 from __future__ import annotations
 
@@ -25,6 +31,7 @@ from framescore.llm.common import binary, documents, mix, partitions, words, wri
 
 VOCAB, HOT, CUT = (1 << 16) - 8, 512, 5
 UNK, END, FIRST = 0, 1, 2  # ids; words by falling count follow
+IDS = np.uint64(1 << 16)  # a word's key is its id below this, or its hash
 
 BLOCK = "kind string, bucket long, batch long, block binary"
 
@@ -85,22 +92,29 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Ids, unigram probabilities and history counts; at most VOCAB words, whatever the input."""
+    """Ids, unigram probabilities and history counts of the common words; at most VOCAB words, whatever the input."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, n_docs: int, n_words: int, n_types: int, seen: np.ndarray):
+    def __init__(self, h: np.ndarray, c: np.ndarray, n_docs: int, levels: np.ndarray, n_types: np.ndarray):
+        """``levels``: the different counts of all words, ``n_types``: how many words have each."""
         order = np.lexsort((h, -c))
-        self.count = np.concatenate([[n_words - int(c.sum()), n_docs], c[order]]).astype(float)
-        self.rare_words, self.rare_types = n_words - int(c.sum()), n_types - len(c)
-        self.tokens, self.types = n_words + n_docs, n_types + (n_docs > 0)
+        self.count = np.concatenate([[0, n_docs], c[order]]).astype(float)
+        self.tokens, self.types = int((levels * n_types).sum()) + n_docs, int(n_types.sum()) + (n_docs > 0)
         by_hash = np.argsort(h[order], kind="stable")
         self.hash, self.id = h[order][by_hash], (by_hash + FIRST).astype(np.int64)
-        d = np.concatenate([discounts(seen.astype(float)), [1.0]])
-        p = d[np.minimum(self.count, CUT + 1).astype(int)] * self.count / (self.tokens + 1)
+        by = dict(zip(levels.tolist(), n_types.tolist()))
+        self.d = np.concatenate([discounts(np.array([by.get(k, 0) for k in range(1, CUT + 2)], float)), [1.0]])
+        p = self._share(self.count)
         p[END] = max(p[END], 0.5 / (self.tokens + 1))  # also without training documents
-        p[UNK] = 0
-        p[UNK] = 1 - p.sum()
+        p[UNK] = 1 - p[END] - float((self._share(levels) * n_types).sum())
         self.p1 = p
 
+    def _share(self, c: np.ndarray) -> np.ndarray:
+        return self.d[np.minimum(c, CUT + 1).astype(int)] * c / (self.tokens + 1)
+
+    def prob(self, c: np.ndarray) -> np.ndarray:
+        """Unigram probability of words of these counts; that of UNK for 0."""
+        return np.where(c > 0, self._share(c), self.p1[UNK])
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.hash):
             return np.zeros(len(h), np.int64)
@@ -110,13 +124,15 @@ class Vocabulary:
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-    def sequence(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history, token, document) of all words and ends of a chunk."""
+    def sequence(self, w) -> tuple[np.ndarray, ...]:
+        """(history, token, document, the history's hash, the token's) of all words and ends of a chunk; the id of a
+        word that is not common is UNK, the hash of an end 0."""
         n = np.diff(w.first)
         of = np.repeat(np.arange(len(n)), n + 1)
-        now = np.full(len(of), END, np.int64)
-        now[np.arange(len(w.hash)) + w.doc] = self.ids(w.hash)
-        return np.concatenate([[END], now[:-1]]), now, of
+        now, h = np.full(len(of), END, np.int64), np.zeros(len(of), np.uint64)
+        at = np.arange(len(w.hash)) + w.doc
+        now[at], h[at] = self.ids(w.hash), w.hash
+        return np.concatenate([[END], now[:-1]]), now, of, np.concatenate([np.zeros(1, np.uint64), h[:-1]]), h
 
 
 def vocabulary(uni: DataFrame, n_docs: int, size: int = VOCAB) -> Vocabulary:
@@ -127,9 +143,34 @@ def vocabulary(uni: DataFrame, n_docs: int, size: int = VOCAB) -> Vocabulary:
             break
         least, got = r.c, got + r.n
     rows = uni.where(F.col("c") >= least).toPandas()  # at most ``size`` rows
-    by = {r.c: r.n for r in per_count}
-    seen = np.array([by.get(k, 0) for k in range(1, CUT + 2)])
-    return Vocabulary(rows.h.to_numpy(np.int64).view(np.uint64), rows.c.to_numpy(np.int64), n_docs, sum(r.c * r.n for r in per_count), sum(r.n for r in per_count), seen)
+    levels, n = (np.array([r[k] for r in per_count], np.int64) for k in (0, 1))
+    return Vocabulary(rows.h.to_numpy(np.int64).view(np.uint64), rows.c.to_numpy(np.int64), n_docs, levels, n)
+
+
+def _hot(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    return (before < HOT) & (now < HOT) & (before != UNK) & (now != UNK)
+
+
+def _pair(h: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One 64-bit key of two."""
+    return mix(h ^ mix(other + np.uint64(1)))
+
+
+def _found(keys: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The value of each key by sorted keys, 0 where it is none of them."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64)
+    at = np.searchsorted(keys, key).clip(0, len(keys) - 1)
+    return np.where(keys[at] == key, values[at], 0)
+
+
+def _bucketed(kind: str, batch: int, buckets: int, h: np.ndarray, *more: np.ndarray) -> list[tuple]:
+    """Blocks (h, more) of each bucket of a hash, sorted by it."""
+    to = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((h, to))
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    arrays = [x[order] for x in (h, *more)]
+    return [_block(kind, i, batch, *(x[a:z] for x in arrays)) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
 
 
 def hot_counts(docs: DataFrame, shared) -> np.ndarray:
@@ -139,8 +180,8 @@ def hot_counts(docs: DataFrame, shared) -> np.ndarray:
         voc, out = shared.value, np.zeros(HOT * HOT, np.int64)
         for b in batches:
             for _, _, w in words(b.column("text"), lower=True):
-                before, now, _ = voc.sequence(w)
-                hot = (before < HOT) & (now < HOT)
+                before, now, *_ = voc.sequence(w)
+                hot = _hot(before, now)
                 out += np.bincount(before[hot] * HOT + now[hot], minlength=HOT * HOT)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["k", "c"])
@@ -151,19 +192,55 @@ def hot_counts(docs: DataFrame, shared) -> np.ndarray:
     return out
 
 
-class Sums:
-    """Sums a document: log10 of seen counts less those of histories, tokens by small count, unigram log10 of unseen
-    tokens, and the histories of unseen tokens."""
+def _sums(of, n, size, before, p1, c):
+    """Sums a document: log10 of seen counts less those of histories (``before``) or of the token's unigram
+    probability, and tokens by small count."""
+    value = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(before + 1), np.log10(p1)) * n
+    return np.bincount(of, value, minlength=size), [np.bincount(of[c == r], n[c == r], minlength=size).astype(np.uint32) for r in range(1, CUT + 1)]
 
-    def __init__(self, voc: Vocabulary):
-        self.voc = voc
 
-    def __call__(self, of, n, size, before, now, c):
-        seen = c > 0
-        value = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(self.voc.count[before] + 1), np.log10(self.voc.p1[now])) * n
-        small = [np.bincount(of[c == r], n[c == r], minlength=size).astype(np.uint32) for r in range(1, CUT + 1)]
-        un = ~seen
-        return np.bincount(of, value, minlength=size), small, (of[un].astype(np.uint32), before[un].astype(np.uint32), n[un].astype(np.uint32))
+def _ask(shared, buckets: int):
+    """Blocks of the different bigrams of two rare words of a batch, to the next word's bucket."""
+
+    def run(batches):
+        voc = shared.value
+        for b in batches:
+            pairs = []
+            for _, _, w in words(b.column("text"), lower=True):
+                before, now, _, hb, hn = voc.sequence(w)
+                m = (before == UNK) & (now == UNK)
+                pairs.append((hb[m], hn[m]))
+            if pairs:
+                hb, hn = (np.concatenate(x) for x in zip(*pairs))
+                order, at = _groups(hb, hn)
+                rows = _bucketed("ask", 0, buckets, hn[order][at], hb[order][at])
+                if rows:
+                    yield _batch(rows)
+
+    return run
+
+
+def _answer(buckets: int):
+    """(bigram, count of its next word) to the history's bucket."""
+
+    def run(batches):
+        uni, asked = [], []
+        for b in batches:
+            for kind, block in zip(b.column("kind").to_pylist(), b.column("block").to_pylist()):
+                (uni if kind == "uni" else asked).append(pickle.loads(block))
+        if uni and asked:
+            h, c = (np.concatenate(x) for x in zip(*uni))
+            by = np.argsort(h)
+            hn, hb = (np.concatenate(x) for x in zip(*asked))
+            order, at = _groups(hb, hn)
+            hn, hb = hn[order][at], hb[order][at]
+            n = _found(h[by], c[by], hn)
+            known = n > 0
+            rows = _bucketed("next", 0, buckets, hb[known], _pair(hb[known], hn[known]), n[known])
+            for i in range(0, len(rows), 64):
+                yield _batch(rows[i : i + 64])
+
+    return run
 
 
 def _scatter(shared, hot_shared, buckets: int):
@@ -171,33 +248,40 @@ def _scatter(shared, hot_shared, buckets: int):
 
     def run(batches):
         voc, hot_c = shared.value, hot_shared.value
-        sums = Sums(voc)
         known = np.concatenate([voc.base(voc.count)])
         task = TaskContext.get().partitionId() << 24
         for k, b in enumerate(batches):
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
             size = len(train)
             home = {"n_tokens": np.zeros(size, np.int64), "n_known": np.zeros(size, np.int64), "base": np.zeros(size), "value": np.zeros(size), "small": [np.zeros(size, np.uint32) for _ in range(CUT)]}
-            un, grams, rare = [], [], []
+            un, grams, rare, mixed = [], [], [], {"into": [], "from": []}
             for lo, hi, w in words(b.column("text"), lower=True):
-                before, now, of = voc.sequence(w)
+                before, now, of, hb, hn = voc.sequence(w)
                 m, here = hi - lo, slice(lo, hi)
                 common = now != UNK
                 home["n_tokens"][here] = np.bincount(of, minlength=m)
                 home["n_known"][here] = np.bincount(of[common & (voc.count[now] > 0)], minlength=m)
                 home["base"][here] = np.bincount(of[common], known[now[common]], minlength=m)
-                hot = (before < HOT) & (now < HOT)
-                value, small, unseen = sums(of[hot], np.ones(int(hot.sum())), m, before[hot], now[hot], hot_c[before[hot] * HOT + now[hot]])
+                hot = _hot(before, now)
+                c = hot_c[before[hot] * HOT + now[hot]]
+                value, small = _sums(of[hot], np.ones(int(hot.sum())), m, voc.count[before[hot]], voc.p1[now[hot]], c)
+                unseen = np.flatnonzero(hot)[c == 0]
                 home["value"][here] = value
                 for r in range(CUT):
                     home["small"][r][here] = small[r]
-                un.append((unseen[0] + np.uint32(lo), *unseen[1:]))
-                u, n = np.unique((of[~hot] + lo) << 32 | before[~hot] << 16 | now[~hot], return_counts=True)
+                un.append(((of[unseen] + lo).astype(np.uint32), before[unseen].astype(np.uint32), np.ones(len(unseen), np.uint32)))
+                cold = ~hot & common & (before != UNK)
+                u, n = np.unique((of[cold] + lo) << 32 | before[cold] << 16 | now[cold], return_counts=True)
                 grams.append((u, n))
                 word = now[np.arange(len(w.hash)) + w.doc] == UNK
                 h, d = w.hash[word], w.doc[word] + lo
                 order, at = _groups(h, d)
                 rare.append((h[order][at], d[order][at], np.diff(np.append(at, len(order)))))
+                key = np.where(common, now.astype(np.uint64), hn)
+                for kind, at, h, other in (("into", ~common & (before != UNK), hn, before.astype(np.uint64)), ("from", before == UNK, hb, key)):
+                    h, other, d = h[at], other[at], of[at] + lo
+                    order, at = _groups(d, other, h)
+                    mixed[kind].append((h[order][at], other[order][at], d[order][at], np.diff(np.append(at, len(order)))))
             rows = [_block("home", int(mix(np.array([task | k], np.uint64))[0] % np.uint64(buckets)), task | k, b.column("doc_id").to_pylist(), ~train, home)]
             un = [np.concatenate(x) for x in zip(*un)] if un else []
             if un and len(un[0]):
@@ -212,11 +296,12 @@ def _scatter(shared, hot_shared, buckets: int):
                 code, flagged, n = code[order].astype(np.uint32), flagged[order], n[order].astype(np.uint32)
                 rows += [_block("gram", i, task | k, code[a:z], flagged[a:z], n[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
                 h, d, n = (np.concatenate(x) for x in zip(*rare))
-                to = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                h, d, n = h[order], d[order].astype(np.uint32), n[order].astype(np.uint32)
-                rows += [_block("rare", i, task | k, h[a:z], d[a:z], n[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+                rows += _bucketed("rare", task | k, buckets, h, d.astype(np.uint32), n.astype(np.uint32))
+                for kind, x in mixed.items():
+                    h, other, d, n = (np.concatenate(y) for y in zip(*x))
+                    flagged = (d | train[d].astype(np.int64) << 31).astype(np.uint32)
+                    for name, at in ((kind, other < IDS), ("pair", other >= IDS)):  # an id travels in two bytes
+                        rows += _bucketed(name, task | k, buckets, h[at], other[at].astype(np.uint64 if name == "pair" else np.uint16), flagged[at], n[at].astype(np.uint32))
             for i in range(0, len(rows), 64):
                 yield _batch(rows[i : i + 64])
 
@@ -227,49 +312,67 @@ def _unigram_blocks(buckets: int):
     def run(batches):
         for b in batches:
             h, c = b.column("h").to_numpy().view(np.uint64), b.column("c").to_numpy()
-            to = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            h, c = h[order], c[order]
-            rows = [_block("uni", i, 0, h[a:z], c[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+            rows = _bucketed("uni", 0, buckets, h, c)
             if rows:
                 yield _batch(rows)
 
     return run
 
 
+def _types(of: np.ndarray, c: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Numbers of a history's bigrams seen 1 .. CUT + 1 times, and the sum of counts above CUT."""
+    return [np.bincount(of[c == r], minlength=size) for r in range(1, CUT + 2)], np.bincount(of, np.where(c > CUT, c, 0), minlength=size)
+
+
+def _trained(blocks) -> tuple[np.ndarray, ...]:
+    """(key, h, other, count) of the training bigrams of blocks (h, other, document, count), by key."""
+    parts = [(x[0][t], x[1][t].astype(np.uint64), x[3][t]) for x in blocks for t in [x[2] >> np.uint32(31) == 1]]
+    h, other, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint32))
+    key = _pair(h, other)
+    order, at = _groups(key)
+    at_first = order[at]
+    return key[at_first], h[at_first], other[at_first], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+
+
 def _count(shared):
     """A partition's buckets: counts of its bigrams (kept as the model's table) and, back to each batch, sums a document."""
 
     def run(batches):
         voc = shared.value
-        sums = Sums(voc)
-        grams, rare, uni = defaultdict(list), defaultdict(list), []
+        got = {k: defaultdict(list) for k in ("gram", "rare", "into", "from", "uni", "next")}
         for b in batches:
             through = []
             for kind, bucket, batch, block in zip(*(c.to_pylist() for c in b.columns)):
                 if kind in ("home", "unseen"):
                     through.append((kind, bucket, batch, block))
-                elif kind == "uni":
-                    uni.append(pickle.loads(block))
                 else:
-                    (grams if kind == "gram" else rare)[batch].append(pickle.loads(block))
+                    got["from" if kind == "pair" else kind][batch].append(pickle.loads(block))
             if through:
                 yield _batch(through)
-        if uni:
-            h, c = (np.concatenate(x) for x in zip(*uni))
-            order = np.argsort(h)
-            h, c = h[order], c[order]
+        grams, rare, into, out_of = (got[k] for k in ("gram", "rare", "into", "from"))
+
+        def table(kind, at):
+            blocks = got[kind].pop(0, [])
+            if not blocks:
+                return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            key, c = (np.concatenate([x[i] for x in blocks]) for i in at)
+            order, first = _groups(key)
+            return key[order][first], c[order][first]
+
+        uni, following = table("uni", (0, 1)), table("next", (1, 2))
+
+        def p_next(h, other):
+            common = other < IDS
+            return np.where(common, voc.p1[np.where(common, other, 0).astype(np.int64)], voc.prob(_found(*following, _pair(h, other))))
+
         for batch, blocks in rare.items():
             w, d, n = (np.concatenate(x) for x in zip(*blocks))
-            count = np.zeros(len(w))
-            if uni:
-                at = np.searchsorted(h, w).clip(0, len(h) - 1)
-                count = np.where(h[at] == w, c[at], 0).astype(float)
+            count = _found(*uni, w)
             docs, of = np.unique(d, return_inverse=True)
-            spell = np.log10((count + 0.5) / (voc.rare_words + 0.5 * (voc.rare_types + 1)))
-            yield _batch([_block("rare", 0, batch, docs, np.bincount(of, n * voc.base(count)), np.bincount(of, n * (count > 0)).astype(np.uint32), np.bincount(of, n * spell).astype(np.float32))])
+            yield _batch([_block("rare", 0, batch, docs, np.bincount(of, n * voc.base(count)), np.bincount(of, n * (count > 0)).astype(np.uint32))])
         rare.clear()
+
+        # both words common
         train = [(x[0][t], x[2][t]) for blocks in grams.values() for x in blocks for t in [x[1] >> np.uint32(31) == 1]]
         code, count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if train:
@@ -280,20 +383,61 @@ def _count(shared):
         if len(code):
             yield _batch([_block("count", 0, -1, code, count)])
             ids, of = np.unique(before, return_inverse=True)
-            types = [np.bincount(of[count == r], minlength=len(ids)) for r in range(1, CUT + 2)]
-            large = np.bincount(of, np.where(count > CUT, count, 0), minlength=len(ids))
-            yield _batch([_block("history", 0, -1, ids, types, large, np.bincount(of, voc.p1[now], minlength=len(ids)))])
+            yield _batch([_block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.p1[now], minlength=len(ids)))])
         for batch, blocks in grams.items():
             g, d, n = (np.concatenate(x) for x in zip(*blocks))
-            at = np.searchsorted(code, g).clip(0, max(0, len(code) - 1))
-            c = np.where(code[at] == g, count[at], 0) if len(code) else np.zeros(len(g), np.int64)
+            c = _found(code, count, g)
+            docs, of = np.unique(d & np.uint32(0x7FFFFFFF), return_inverse=True)
+            before, now, un = (g >> np.uint32(16)).astype(np.int64), (g & np.uint32(0xFFFF)).astype(np.int64), c == 0
+            value, small = _sums(of, n, len(docs), voc.count[before], voc.p1[now], c)
+            yield _batch([_block("sums", 0, batch, docs, value.astype(np.float32), small), _block("unseen", 0, batch, docs[of[un]], before[un].astype(np.uint32), n[un])])
+        grams.clear()
+
+        # a common history and a rare next word
+        key, h, other, count = _trained(x for blocks in into.values() for x in blocks)
+        if len(key):
+            yield _batch([_block("count_into", 0, -1, h, other.astype(np.uint16), count.astype(np.uint32))])
+            ids, of = np.unique(other.astype(np.int64), return_inverse=True)
+            yield _batch([_block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.prob(_found(*uni, h)), minlength=len(ids)))])
+        for batch, blocks in into.items():
+            w, before, d, n = (np.concatenate(x) for x in zip(*blocks))
+            c = _found(key, count, _pair(w, before.astype(np.uint64)))
+            docs, of = np.unique(d & np.uint32(0x7FFFFFFF), return_inverse=True)
+            un = c == 0
+            value, small = _sums(of, n, len(docs), voc.count[before], voc.prob(_found(*uni, w)), c)
+            yield _batch([_block("sums", 0, batch, docs, value.astype(np.float32), small), _block("unseen", 0, batch, docs[of[un]], before[un].astype(np.uint32), n[un])])
+        into.clear()
+
+        # a rare history: its weight needs only the discounts, which are known when all buckets are counted
+        key, h, other, count = _trained(x for blocks in out_of.values() for x in blocks)
+        histories, of = np.unique(h, return_inverse=True)
+        types, large = _types(of, count, len(histories))
+        p1 = np.bincount(of, p_next(h, other), minlength=len(histories))
+        if len(key):
+            yield _batch([_block("count_from", 0, -1, h, other, count.astype(np.uint32))])
+            yield _batch([_block("history", 0, -1, np.array([UNK]), [np.array([t.sum()]) for t in types], np.zeros(1), np.zeros(1))])
+        for batch, blocks in out_of.items():
+            w, d, n = (np.concatenate([x[i] for x in blocks]) for i in (0, 2, 3))
+            o = np.concatenate([x[1].astype(np.uint64) for x in blocks])
+            c, seen = _found(key, count, _pair(w, o)), _found(*uni, w)
             docs, of = np.unique(d & np.uint32(0x7FFFFFFF), return_inverse=True)
-            value, small, un = sums(of, n, len(docs), (g >> np.uint32(16)).astype(np.int64), (g & np.uint32(0xFFFF)).astype(np.int64), c)
-            yield _batch([_block("sums", 0, batch, docs, value.astype(np.float32), small), _block("unseen", 0, batch, docs[un[0]], *un[1:])])
+            value, small = _sums(of, n, len(docs), seen, p_next(w, o), c)
+            rows = [_block("sums", 0, batch, docs, value.astype(np.float32), small)]
+            un = (c == 0) & (seen > 0)  # a history that is never seen leaves all to the unigrams
+            if un.any():
+                at, which = np.unique(np.searchsorted(histories, w[un]), return_inverse=True)
+                rows.append(_block("open", 0, batch, docs[of[un]], which.astype(np.uint32), n[un], [t[at].astype(np.uint32) for t in types[:CUT]], large[at], _found(*uni, histories[at]), p1[at]))
+            yield _batch(rows)
 
     return run
 
 
+def weights(types, large, count, p1, d: np.ndarray) -> np.ndarray:
+    """Backoff weights of histories by their sums."""
+    seen = (np.array(types[:CUT]) * (d[1:] * np.arange(1, CUT + 1))[:, None]).sum(0) + large
+    return np.maximum(1 - seen / (count + 1), 0) / np.maximum(1 - p1, 1e-12)
+
+
 def _gather(shared, model):
     def run(batches):
         voc, (d, alpha) = shared.value, model.value
@@ -305,6 +449,8 @@ def _gather(shared, model):
             _, score, base, known = home[batch]
             if kind == "unseen":
                 np.add.at(score, x[0], log_alpha[x[1]] * x[2])
+            elif kind == "open":
+                np.add.at(score, x[0], np.log10(np.maximum(weights(*x[3:], d), 1e-300))[x[1]] * x[2])
             elif kind == "sums":
                 score[x[0]] += x[1]
                 for r in range(CUT):
@@ -312,7 +458,6 @@ def _gather(shared, model):
             else:
                 base[x[0]] += x[1]
                 known[x[0]] += x[2]
-                score[x[0]] += x[3]
 
         for b in batches:
             for kind, batch, block in zip(b.column("kind").to_pylist(), b.column("batch").to_pylist(), b.column("block").to_pylist()):
@@ -345,7 +490,7 @@ def katz(blocks: DataFrame, voc: Vocabulary, hot_c: np.ndarray) -> tuple[np.ndar
                 types[:, ids] += np.array(t)
                 large[ids] += x
                 p1[ids] += p
-        at = np.flatnonzero(p1)
+        at = np.flatnonzero(types.sum(0) + large)
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(t[at]) for t in types), pa.array(large[at]), pa.array(p1[at])], ["id", *(f"t{r}" for r in range(CUT + 1)), "large", "p1"])
 
     fields = ", ".join(f"t{r} long" for r in range(CUT + 1))
@@ -362,25 +507,27 @@ def katz(blocks: DataFrame, voc: Vocabulary, hot_c: np.ndarray) -> tuple[np.ndar
     large += np.bincount(before[c > CUT], c[c > CUT], minlength=size)
     p1 += np.bincount(before, voc.p1[now], minlength=size)
     d = discounts(types.sum(1))
-    seen = (types[:CUT] * (d[1:] * np.arange(1, CUT + 1))[:, None]).sum(0) + large
-    return d, np.maximum(1 - seen / (voc.count + 1), 0) / np.maximum(1 - p1, 1e-12)
+    return d, weights(types, large, voc.count, p1, d)
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, common: int = VOCAB) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, text, held_out).
 
     A null or empty text is an end alone, equal rows are scored alike (and count as often in training), an empty
     table gives an empty one, a model without training documents knows nothing and scores by UNK; other columns
-    are ignored. The blocks that the counting step writes hold the model's partitioned bigram tables (kind "count")."""
+    are ignored. ``common`` (at most VOCAB) is how many words are broadcast and does not change the result. The blocks
+    that the counting step writes hold the model's partitioned bigram tables (kinds "count", "count_into" and "count_from")."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     uni = unigrams(docs)
-    voc = vocabulary(uni, docs.where("not held_out").count())
+    voc = vocabulary(uni, docs.where("not held_out").count(), min(common, VOCAB))
     shared = spark.sparkContext.broadcast(voc)  # at most VOCAB words
     hot_c = hot_counts(docs, shared)
     hot_shared = spark.sparkContext.broadcast(hot_c)  # HOT x HOT
     n = partitions(spark)
-    sent = docs.mapInArrow(_scatter(shared, hot_shared, 4 * n), BLOCK).union(uni.mapInArrow(_unigram_blocks(4 * n), BLOCK))
+    counts = uni.mapInArrow(_unigram_blocks(4 * n), BLOCK)
+    following = docs.select("text").mapInArrow(_ask(shared, 4 * n), BLOCK).union(counts).repartition(n, "bucket").mapInArrow(_answer(4 * n), BLOCK)
+    sent = docs.mapInArrow(_scatter(shared, hot_shared, 4 * n), BLOCK).union(counts).union(following)
     blocks = written(sent.repartition(n, "bucket").mapInArrow(_count(shared), BLOCK), "counts")
     model = spark.sparkContext.broadcast(katz(blocks, voc, hot_c))  # a number a word of the vocabulary
     back = blocks.where("batch >= 0").select("kind", "batch", "block").repartition(n, "batch")

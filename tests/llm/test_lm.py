@@ -92,3 +92,18 @@ def test_small_vocabulary_and_odd_rows(spark):
     assert lm.scored(df.limit(0)).count() == 0
     nothing = [(1, "a b", True)]
     same(lm.scored(spark.createDataFrame(nothing, "doc_id long, text string, held_out boolean")).collect(), brute(nothing, lm.VOCAB))
+
+
+def test_rare_words_are_words_of_the_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text for r in docs][:60] + ["rare bird sings", "rare bird sings a rare bird", "rare bird", None, "bird sings rare unheard unseen"]
+    rows = [(i, t, i % 5 == 4) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    for common in (0, 40):
+        same(lm.scored(df, common).collect(), brute(rows, 1 << 40))
+
+
+def test_more_words_than_are_broadcast(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 1000, (i + 1) * 1000)), False) for i in range(70)]
+    rows += [(70, "w5 w6 w7 w9 w8", True), (71, "w5 never w6", True)]
+    same(lm.scored(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect(), brute(rows, 1 << 40))

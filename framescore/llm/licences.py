@@ -1,8 +1,9 @@
 """Licence scan by a positional rare-token index, in DataFrame operations only.
 
-Each text's licence words with the highest inverse document frequency (over all documents) look up template postings;
-postings that agree on where the template would begin add up, and the template's key phrase must stand at that
-place. Templates are short fixed statements, so the index has a fixed size."""
+The word of a template's key phrase with the highest inverse document frequency (over all documents) is its posting:
+each place of that word in a text is one candidate place of the template, however many licences the text has. There all
+words of the template are compared with the text's: the key phrase must stand whole, the others add up by
+weight. Templates are short fixed statements, so the index has a fixed size."""
 
 from __future__ import annotations
 
@@ -40,11 +41,12 @@ TEMPLATES = (
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Highest-IDF words looked up a text; words in more than COMMON of all documents only where key phrases hold them.
-RARE_WORDS, COMMON, ENOUGH = 8, 0.2, 0.6
+#: Words in more than COMMON of all documents have a weight only where key phrases hold them.
+COMMON, ENOUGH = 0.2, 0.6
 
 KEY_WORDS = sorted({w for _, _, key in TEMPLATES for w in key.split()} - set("the of to and in or with by 0 1 4".split()))
 VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
+SPAN = max(len(text.split()) for _, text, _ in TEMPLATES)
 
 
 def text_words(text):
@@ -63,16 +65,18 @@ def _places(words, label: str, phrase: str):
     return F.transform(starts, lambda i: F.struct(F.lit(label).alias("label"), i.cast("long").alias("start")))
 
 
-def _postings(spark: SparkSession, weight: dict[str, float]) -> tuple[DataFrame, DataFrame]:
-    """(word, template, at, weight) and (template, label, total, key): constant size."""
-    postings, heads = [], []
-    for t, (label, text, key) in enumerate(TEMPLATES):
+def _postings(spark: SparkSession, weight: dict[str, float]) -> DataFrame:
+    """(word, at, label, parts, weights, total, key), a row a template: its rarest key word and where that stands in it, its
+    words, their weights, and the places of its key phrase."""
+    rows = []
+    for label, text, key in TEMPLATES:
         parts, phrase = text.split(), key.split()
         at = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
-        used = {i: w for i, w in enumerate(parts) if w in weight}
-        postings += [(w, t, i, weight[w]) for i, w in used.items()]
-        heads.append((t, label, sum(weight[w] for w in used.values()), [i for i in range(at, at + len(phrase)) if i in used]))
-    return spark.createDataFrame(postings, "word string, template int, at int, weight double"), spark.createDataFrame(heads, "template int, label string, total double, key array<int>")
+        places = list(range(at, at + len(phrase)))
+        anchor = max((i for i in places if parts[i] in KEY_WORDS), key=lambda i: (weight[parts[i]], -i))
+        weights = [weight.get(w, 0.0) for w in parts]
+        rows.append((parts[anchor], anchor, label, parts, weights, sum(weights), places))
+    return spark.createDataFrame(rows, "word string, at int, label string, parts array<string>, weights array<double>, total double, key array<int>")
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -89,22 +93,22 @@ def licences(docs: DataFrame) -> DataFrame:
     df = {r.word: r["count"] for r in seen}
     weight = {w: math.log((n + 1) / (df.get(w, 0) + 0.5)) for w in VOCABULARY if w in KEY_WORDS or df.get(w, 0) <= COMMON * n}
     weight = {w: max(x, 0.1) for w, x in weight.items()}
-    ranked = sorted(weight, key=lambda w: (-weight[w], w))
+    postings = _postings(spark, weight)
+    anchors = sorted({r.word for r in postings.select("word").collect()})  # a row a template
 
     base = F.concat(*(_places(F.col("words"), label, phrase) for label, phrase in BASE))
     base = F.when(F.array_contains("words", "license"), base).otherwise(F.array().cast("array<struct<label:string,start:bigint>>"))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(ranked), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
+    span = lambda i: F.slice("words", F.greatest(i - SPAN, F.lit(0)) + 1, 2 * SPAN + 1)
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(anchors), F.struct(w.alias("word"), F.least(i, F.lit(SPAN)).alias("place"), span(i).alias("span")))), lambda x: x.isNotNull())
     rows = docs.select("doc_id", F.size("words").cast("long").alias("n_words"), base.alias("base"), hits.alias("hits"))
-    order = F.array(*map(F.lit, ranked))
-    rare = F.slice(F.array_intersect(order, F.transform("hits", lambda x: x["word"])), 1, RARE_WORDS)
-    rows = rows.withColumn("rare", F.when(F.size("hits") > 0, rare).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("hits", F.filter("hits", lambda x: x["word"].isin(KEY_WORDS) | F.array_contains("rare", x["word"]))).drop("rare")
     rows = written(rows.withColumn("uid", F.monotonically_increasing_id()), "licences")
 
-    postings, heads = _postings(spark, weight)
-    found = rows.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", F.col("h.word").alias("word"), F.col("h.at").alias("place"))
-    found = found.join(F.broadcast(postings), "word").groupBy("uid", "template", (F.col("place") - F.col("at")).alias("begin")).agg(F.sum("weight").alias("got"), F.collect_set("at").alias("ats"))
-    found = found.join(F.broadcast(heads), "template").where((F.size(F.array_except("key", "ats")) == 0) & (F.col("got") >= ENOUGH * F.col("total")))
+    found = rows.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
+    found = found.join(F.broadcast(postings), "word")
+    same = lambda k: F.coalesce(F.get("span", F.col("place") - F.col("at") + k) == F.get("parts", k), F.lit(False))
+    found = found.where(F.forall("key", same))
+    got = F.aggregate(F.sequence(F.lit(0), F.size("parts") - 1), F.lit(0.0), lambda x, k: x + F.when(same(k), F.get("weights", k)).otherwise(0.0))
+    found = found.withColumn("got", got).where(F.col("got") >= ENOUGH * F.col("total"))
     found = found.groupBy("uid").agg(F.max(F.least(F.lit(1.0), F.col("got") / F.col("total"))).alias("best"), F.collect_set("label").alias("more"))
     out = rows.join(found, "uid", "left")
     own = F.array_distinct(F.transform("base", lambda x: x["label"]))

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from framescore.llm.contamination import matches, op8_template_windows
-from framescore.llm.licences import BASE, licences, op1_rare_token_index
+from framescore.llm.licences import BASE, TEMPLATES, licences, op1_rare_token_index
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string"
@@ -44,6 +44,15 @@ def test_licences_odd_rows(spark):
     assert licences(df.limit(0)).count() == 0
 
 
+def test_licences_all_in_one_text(spark):
+    notices = " zz ".join(text for _, text, _ in TEMPLATES)
+    rows = [(1, notices, None), (2, "lesser affero mozilla unencumbered reserved redistribution reproduced universal zz licensed under CC BY 4.0", None), (3, "cc by 5 0 mozilla, with or without a fee", None)]
+    rows += [(i, "a text without any", None) for i in range(4, 24)]
+    got = {r.doc_id: (r.labels, r.score) for r in licences(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == (",".join(sorted({label for label, _, _ in TEMPLATES})), 1.0)
+    assert got[2][0] == "cc-by" and got[3] == ("", 0.0)
+
+
 def test_contamination_whole_table(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in op8_template_windows(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()

@@ -47,7 +47,7 @@ def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) ->
     Items are fitted in groups, a group an item, against the models' abilities; abilities by one grouped Newton step on
     sums. Abilities have a standard normal prior, log a a penalty of 2 (log a) ** 2. Stops when abilities move less
     than ``tolerance``. Under two models every a is 1 and b is 0. An item that all or none get right has no finite b
-    and is held at the limit (converged false). Parameters are written each round to cut lineage."""
+    and is held at the limit (converged false); no item has converged where the rounds end before abilities settle. Parameters are written each round to cut lineage."""
     spark = responses.sparkSession
     items = responses.groupBy("item_id").agg(F.lit(1.0).alias("a"), (2 * (0.5 - F.avg("correct"))).alias("b"))
     models = responses.groupBy("model_id").agg(F.lit(0.0).alias("theta"))
@@ -60,7 +60,7 @@ def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) ->
 
             folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    kind = dict(responses.dtypes)["item_id"]
+    kind, far = dict(responses.dtypes)["item_id"], float("inf")
     for _ in range(rounds):
         joined = responses.join(items, "item_id").join(models, "model_id")
         grad = F.sum(F.col("a") * (F.col("correct") - F.col("p")))
@@ -72,7 +72,7 @@ def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) ->
         items = responses.join(models, "model_id").join(items, "item_id").groupBy("item_id").applyInPandas(_item_step, f"item_id {kind}, a double, b double").checkpoint()
         if far < tolerance:
             break
-    return items.withColumn("converged", F.abs("b") < LIMIT), models
+    return items.withColumn("converged", (F.abs("b") < LIMIT) & F.lit(far < tolerance)), models
 
 
 def objective(responses: DataFrame, items: DataFrame, models: DataFrame) -> float:

@@ -124,3 +124,9 @@ def test_leaderboard(spark):
     dv = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "model_id int, rate double")
     assert leaderboard.spearman_validity(s, dv).first().rho == pytest.approx(0.763158, abs=1e-6)
     assert leaderboard.spearman_validity(s, dv.where("model_id < 2")).count() == 0
+
+
+def test_irt_tells_that_rounds_cut_the_fit_off(spark):
+    responses = spark.createDataFrame([(m, i, int((m * 7 + i * 3) % 5 < 2 + m % 2)) for m in range(6) for i in range(4)], "model_id int, item_id int, correct int")
+    assert not any(r.converged for r in irt.fit_2pl(responses, rounds=1)[0].collect())
+    assert any(r.converged for r in irt.fit_2pl(responses, rounds=3, tolerance=10.0)[0].collect())

@@ -1,27 +1,31 @@
 """Exact Jaccard join of word shingles: size-banded tiles with hashed bitmap signatures.
 
-Only sets that share one of their smallest shingle hashes (a quarter of the set and one more, which linked sets must)
-can link. A key of at most ``FEW`` sets gives its pairs of near size; the sets of a more frequent key are compared in
-size-banded tiles. Both are held against signatures first: bit counts of hashed bitmaps bound the overlap from above,
-and sets that may link form clusters. In tiles of those, pairs that may link are intersected exactly, as sorted arrays.
-Equal sets are one. In a tile a pair is skipped once both are known to be connected, so it returns links that span its
-components, never all pairs."""
+1. Keys. A set's shingles are put in one order for all sets, shingles that many documents share last (``ordering``; any
+   order gives the same result). Linked sets share three of the first quarter and three, or all that they have in common.
+   A key of at most ``FEW`` sets gives its pairs of near size; a pair counts if it has three such keys. A more frequent
+   key gives the pairs of its first set with each other one, and the rest of its pairs is left to step 4.
+2. Signatures. A set's bitmap holds, a bit a bucket, whether an odd number of its shingles fall there. Bits that differ
+   bound the symmetric difference from below, and so the overlap from above; pairs that can't link go.
+3. Forest. Each set is compared exactly, as sorted arrays, with its smallest partner: links, and components of them.
+4. Tiles. Sets of a frequent key that lie in different components are compared by signature in size-banded tiles;
+   where these allow a link, and where a pair of step 2 is still open, the sets are compared exactly in tiles.
+
+Equal sets are one. Texts, not shingles, travel to the exact steps: they compress. All pairs of a group are never rows."""
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import BLOCK, block, block_rows, by_bucket, components, documents, grams, groups, mix, partitions, words, written
+from framescore.llm.common import components, documents, grams, groups, mix, partitions, words, written
 
 SHINGLE = 5
-#: Sets in a tile, and sets of a key that gives pairs.
-TILE, FEW = 1024, 24
+#: Sets in a tile, sets of a key that gives pairs, keys that a pair shares, rows of ids that are broadcast.
+TILE, FEW, SHARED, BROADCAST = 1024, 24, 3, 1_000_000
+#: Documents from which the order of shingles is learned, and shingles that it puts last; they change speed alone.
+SAMPLE, LAST = 4000, 1 << 17
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -49,228 +53,282 @@ def _sets(w, n_texts: int):
     return g, begin, size, h1, h2
 
 
-def signature(g: np.ndarray) -> bytes:
-    """Bitmap of a set's hashes, of one to two bits an element."""
-    bits = max(64, 1 << int(np.ceil(np.log2(max(len(g), 1)))))
-    flags = np.zeros(bits, bool)
-    flags[(g & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
+# --- signatures ------------------------------------------------------------------------------------
 
 
-def folded(signs: list[bytes]) -> np.ndarray:
-    """Signatures as rows of words, folded to the width of the narrowest."""
-    width = min(map(len, signs))
-    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), 0) for x in signs])
+def signature(g: np.ndarray) -> np.ndarray:
+    """Bitmap of two to four bits a shingle, as 64-bit words: whether an odd number of hashes fall on each bit."""
+    bits = max(64, 1 << int(np.ceil(np.log2(2 * max(len(g), 1)))))
+    flags = np.zeros(bits, np.uint8)
+    np.bitwise_xor.at(flags, (g & np.uint64(bits - 1)).astype(np.int64), 1)
+    return np.packbits(flags).view(np.uint64)
 
 
-def _runs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of distinct (key, node) by key, where each key begins, and its number of nodes."""
-    order, first = groups(node, key)
-    order = order[first]
-    k = key[order]
-    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return order, begin, np.diff(np.append(begin, len(k)))
+def folded(sign: np.ndarray, width: int) -> np.ndarray:
+    """Signatures, one a row, at a width that divides theirs."""
+    return np.bitwise_xor.reduce(sign.reshape(len(sign), -1, width), 1)
 
 
-def _pairs(node: np.ndarray, n: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of sets of near size of keys with few sets; a set has fewer than FEW partners a key."""
-    a, b = [], []
-    for c in np.unique(count[count > 1]):
-        at = begin[count == c][:, None] + np.arange(c)
-        i, j = np.triu_indices(c, 1)
-        x, y = at[:, i].ravel(), at[:, j].ravel()
-        near = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
-        u, v = node[x[near]], node[y[near]]
-        a.append(np.minimum(u, v))
-        b.append(np.maximum(u, v))
-    if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    a, b = np.concatenate(a), np.concatenate(b)
-    order, first = groups(b, a)
-    return a[order][first], b[order][first]
-
-
-def _scatter(buckets: int):
+def differing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Bits in which the signatures of each pair differ, at the narrower one's width."""
+    u, v = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    out = np.zeros(len(a), np.int64)
+    for p, q in set(zip(u.tolist(), v.tolist())):
+        at = np.flatnonzero((u == p) & (v == q))
+        x, y = folded(np.stack([a[i] for i in at]), min(p, q)), folded(np.stack([b[i] for i in at]), min(p, q))
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+def _possible(batches):
+    """Pairs (a, b) whose sizes and signatures allow a link: overlap <= (na + nb - bits) / 2."""
+    for b in batches:
+        na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+        near = 4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)
+        b, total = b.filter(pa.array(near)), (na + nb)[near]
+        if len(b):
+            bits = differing(*([np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in ("sa", "sb")))
+            yield b.select(["a", "b"]).filter(pa.array(7 * bits <= total))
+
+
+# --- keys ------------------------------------------------------------------------------------------
+
+
+def ordering(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles that most documents share, which come last in every set. They are learned from
+    about SAMPLE documents, at most LAST of them; the result of the join doesn't depend on them."""
+    every = max(1, docs.count() // SAMPLE)
+
     def run(batches):
-        task = TaskContext.get().partitionId() << 24
-        for k, b in enumerate(batches):
-            ids = b.column("doc_id").to_pylist()
-            has_id = np.array([i is not None for i in ids])
-            sizes, first, second, keys, nodes, signs = [], [], [], [], [], []
+        for b in batches:
+            for _, _, w in words(b.column("text"), lower=True):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(w)[1].view(np.int64))], ["g"])
+
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "g long")
+    often = rows.groupBy("g").count().where("count >= 4").orderBy(F.desc("count"), "g").limit(LAST).toPandas()
+    return np.sort(often.g.to_numpy(np.int64).view(np.uint64))
+
+
+_ROW = "key long, node long, at long, doc struct<doc_id:long,text_hash:long,sign:binary>"
+
+
+def _scatter(shared, few: int):
+    """A row a key of a set: the key, the set (h1), and its size and the key's place, 32 bits each; and a row a document:
+    h1, h2, size, ``doc``. A key that is frequent already in a batch gets place -2, with a single row of place -1 as a sign
+    to the key's task: -2 rows go anywhere."""
+
+    def send(key, node, n, place, doc=None):
+        at = n.astype(np.int64) << 32 | (place.astype(np.int64) & 0xFFFFFFFF)
+        doc = pa.nulls(len(key), _DOC) if doc is None else doc
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(at), doc], ["key", "node", "at", "doc"])
+
+    def run(batches):
+        last = shared.value
+        for b in batches:
+            has_id = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             for lo, hi, w in words(b.column("text"), lower=True):
                 g, begin, size, h1, h2 = _sets(w, hi - lo)
-                sizes.append(size)
-                first.append(h1)
-                second.append(h2)
-                signs += [signature(g[begin[i] : begin[i + 1]]) if size[i] else None for i in range(hi - lo)]
-                prefix = np.where((size > 0) & has_id[lo:hi], size - (3 * size + 3) // 4 + 1, 0)
+                signs = pa.array([signature(g[begin[i] : begin[i + 1]]).tobytes() if size[i] else None for i in range(hi - lo)], pa.binary())
+                doc = pa.StructArray.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("text_hash").slice(lo, hi - lo), signs], ["doc_id", "text_hash", "sign"])
+                yield send(h1, h2, size, np.full(hi - lo, -3), doc)
+                # the prefixes of different sets, in the common order
+                can = np.flatnonzero((size > 0) & has_id[lo:hi])
+                first = np.zeros(hi - lo, bool)
+                first[can[np.unique(h1[can], return_index=True)[1]]] = True
+                prefix = np.where(first, np.minimum(size, size - (3 * size + 3) // 4 + SHARED), 0)
+                of = np.repeat(np.arange(hi - lo), size)
+                late = np.zeros(len(g), bool)
+                if len(last):
+                    late = last[np.searchsorted(last, g).clip(0, len(last) - 1)] == g
+                g = g[np.lexsort((g, late, of))]
                 at = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(prefix)[:-1]]), prefix) + np.arange(prefix.sum())
-                keys.append(g[at])
-                nodes.append(np.repeat(h1, prefix))
-            if not ids:
-                continue
-            home = int(mix(np.array([task | k], np.uint64))[0] % np.uint64(buckets))
-            rows = [block("docs", home, task | k, ids, np.concatenate(sizes), np.concatenate(first), np.concatenate(second), signs)]
-            key, node = np.concatenate(keys), np.concatenate(nodes)
-            order, begin, count = _runs(key, node)
-            key, node = key[order], node[order]
-            much = np.repeat(count > FEW, count)  # frequent already here; one record tells the key's bucket
-            if much.any():
-                rows.append(block("many", home, task | k, key[much], node[much]))
-            head = np.zeros(len(key), bool)
-            head[begin] = True
-            key, node, much = (x[~much | head] for x in (key, node, much))
-            size_of = dict(zip(np.concatenate(first).tolist(), np.concatenate(sizes).tolist()))
-            order, cuts = by_bucket(key, buckets)
-            for i, x, z in cuts:
-                different, at = np.unique(node[order[x:z]], return_inverse=True)
-                n = np.fromiter((size_of[h] for h in different.tolist()), np.uint32, len(different))
-                rows.append(block("keys", i, task | k, key[order[x:z]], different, n, at.astype(np.uint16 if len(different) <= 1 << 16 else np.uint32), np.packbits(much[order[x:z]])))
-            for i in range(0, len(rows), 64):
-                yield block_rows(rows[i : i + 64])
+                key, node, n, place = g[at], np.repeat(h1, prefix), np.repeat(size, prefix), at - np.repeat(begin[:-1], prefix)
+                order, starts = groups(key)
+                count = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+                much = np.zeros(len(key), bool)
+                much[order] = count > few
+                head = np.zeros(len(key), bool)
+                head[order[starts]] = True
+                signal = head & much
+                if much.any():
+                    place[much] = -2
+                    yield send(np.concatenate([key, key[signal]]), np.concatenate([node, node[signal]]), np.concatenate([n, n[signal]]), np.concatenate([place, np.full(signal.sum(), -1)]))
+                elif len(key):
+                    yield send(key, node, n, place)
 
     return run
 
 
-def _candidates(batches):
-    """Pairs of a partition's keys, and records of frequent keys; other blocks pass."""
-    parts = []
-    for b in batches:
-        through = []
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if row[0] != "keys":
-                through.append(row)
-            else:
-                key, different, n, at, much = pickle.loads(row[3])
-                parts.append((key, different[at], n[at], np.unpackbits(much, count=len(key)).astype(bool)))
-        if through:
-            yield block_rows(through)
-    if not parts:
-        return
-    key, node, n, much = (np.concatenate(x) for x in zip(*parts))
-    told = np.unique(key[much])
-    order, begin, count = _runs(key, node)
-    key, node, n = key[order], node[order], n[order].astype(np.int64)
-    frequent = (count > FEW) | np.isin(key[begin], told)
+_DOC = pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sign", pa.binary())])
+_FOUND = "kind string, a long, b long, n long, doc struct<doc_id:long,text_hash:long,sign:binary>"
+
+
+def _pairs(key, node, n, place, few: int):
+    """What whole keys, sorted, with different sets each, give: rows (kind, a, b, n): "pair" of sets, the size of the larger; "many": a
+    frequent key and its set."""
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(key)))
+    told = np.bitwise_or.reduceat(place < 0, begin) if len(key) else np.zeros(0, bool)
+    frequent = (count > few) | told
     rows = np.repeat(frequent, count)
-    for kind, a, b in (("many", key[rows], node[rows]), ("edges", *_pairs(node, n, begin[~frequent], count[~frequent]))):
-        for i in range(0, len(a), 1 << 18):
-            yield block_rows([block(kind, 0, -1, a[i : i + (1 << 18)], b[i : i + (1 << 18)])])
+    yield "many", key[rows], node[rows], n[rows]
+    for c in np.unique(count[~frequent & (count > 1)]):
+        at = begin[(count == c) & ~frequent][:, None] + np.arange(c)
+        i, j = np.triu_indices(c, 1)
+        x, y = at[:, i].ravel(), at[:, j].ravel()
+        least = (3 * (n[x] + n[y]) + 6) // 7  # the overlap of a link; up to SHARED - 1 came before
+        near = (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (np.minimum(n[x] - place[x], n[y] - place[y]) + SHARED - 1 >= least)
+        u, v = node[x[near]].view(np.int64), node[y[near]].view(np.int64)
+        yield "pair", np.minimum(u, v), np.maximum(u, v), np.maximum(n[x[near]], n[y[near]])
 
 
-def _possible(batches):
-    """Pairs whose signatures allow a link."""
-    for b in batches:
-        keep = []
-        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("sa", "sb", "na", "nb"))):
-            u, v = folded([x, y])
-            both = int(np.bitwise_count(u & v).sum())
-            most = min(n - int(np.bitwise_count(u).sum()) + both, m - int(np.bitwise_count(v).sum()) + both)
-            keep.append(7 * most >= 3 * (n + m))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _found(few: int):
+    """Pairs and frequent keys of rows that come sorted by key and set; rows of documents pass. Held at once: a batch, and
+    what came before of its first key, unless that is known to be frequent."""
 
+    def send(found):
+        for kind, a, b, n in found:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n), pa.nulls(len(a), _DOC)], ["kind", "a", "b", "n", "doc"])
 
-def _edge_rows(batches):
-    for b in batches:
-        for x in b.column("block").to_pylist():
-            a, c = pickle.loads(x)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["a", "b"])
+    def run(batches):
+        empty = np.zeros(0, np.int64)
+        held, hot = (empty, empty, empty, empty), None
+        for b in batches:
+            key, node, at = (b.column(c).to_numpy() for c in ("key", "node", "at"))
+            n, place = at >> 32, (at & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)
+            if (doc := place == -3).any():
+                m = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(["doc"] * int(doc.sum()), pa.string()), b.column("key").filter(m), b.column("node").filter(m), pa.array(n[doc]), b.column("doc").filter(m)], ["kind", "a", "b", "n", "doc"])
+            yield from send([("many", *(x[place == -2] for x in (key, node, n)))])
+            key, node, n, place = (np.concatenate([h, x[place > -2]]) for h, x in zip(held, (key, node, n, place)))
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (place[1:] < 0)
+            key, node, n, place = (x[fresh] for x in (key, node, n, place))
+            known = key == hot if hot is not None else np.zeros(len(key), bool)
+            yield from send([("many", key[known], node[known], n[known])])
+            key, node, n, place = (x[~known] for x in (key, node, n, place))
+            open_ = key == key[-1] if len(key) else np.zeros(0, bool)
+            yield from send(_pairs(*(x[~open_] for x in (key, node, n, place)), few))
+            held = tuple(x[open_] for x in (key, node, n, place))
+            if len(held[0]) > 4 * few:
+                yield from send([("many", *held[:3])])
+                hot, held = held[0][0], (empty, empty, empty, empty)
+        yield from send(_pairs(*held, few))
 
+    return run
 
-def _doc_rows(batches):
-    for b in batches:
-        for x in b.column("block").to_pylist():
-            ids, n, h1, h2, signs = pickle.loads(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sign"])
 
+# --- tiles -----------------------------------------------------------------------------------------
 
-def _arrays(batches):
-    """The sorted shingles of sets that are to be compared, from their first document."""
-    for b in batches:
-        want = b.column("h1").to_numpy(), b.column("h2").to_numpy()
-        for lo, hi, w in words(b.column("text"), lower=True):
-            g, begin, _, h1, h2 = _sets(w, hi - lo)
-            same = np.flatnonzero((h1.view(np.int64) == want[0][lo:hi]) & (h2.view(np.int64) == want[1][lo:hi]))
-            take = pa.array(same + lo, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in ("doc_id", "units")] + [pa.array([int(begin[i + 1] - begin[i]) for i in same], pa.int64()), pa.array([g[begin[i] : begin[i + 1]].tobytes() for i in same], pa.binary())], ["doc_id", "units", "n", "shingles"])
 
+def _bands(n: np.ndarray, signs: list[np.ndarray]):
+    """(i, later rows of near size, bits in which their signatures differ from that of i), for rows sorted by size."""
+    widths = np.array([len(x) for x in signs])
+    for width in np.unique(widths):
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))  # those of near size and not smaller
+        table = np.concatenate([folded(np.stack([signs[k] for k in at if widths[k] == x]), width) for x in (width, 2 * width) if (widths == x).any()])
+        sizes = n[at]
+        for k in range(int((widths[at] == width).sum())):
+            z = int(np.searchsorted(sizes, sizes[k] * 4 // 3, "right"))
+            if z > k + 1:
+                yield at[k], at[k + 1 : z], np.bitwise_count(table[k + 1 : z] ^ table[k]).sum(1).astype(np.int64)
 
-def linked(ids: np.ndarray, n: np.ndarray, sign: np.ndarray, sets: list[np.ndarray] | None, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the components of sets linked at 100 * intersection >= 75 * union; without ``sets``, of those
-    whose signatures allow a link. Where two sides occur, only pairs of different sides are compared."""
-    order = np.argsort(n, kind="stable")
-    ids, n, sign, side = ids[order], n[order], sign[order], side[order]
-    sets = None if sets is None else [sets[i] for i in order]
-    set_bits = np.bitwise_count(sign).sum(1).astype(np.int64)
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links at 100 * intersection >= 75 * union that span the components of the sets, where sets of one label are
+    connected already. Where two sides occur, only sets of different sides are compared."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    ids, side, sets = ids[order], side[order], [sets[i] for i in order]
+    n = np.array([len(x) for x in sets])
+    part, out = np.unique(label[order], return_inverse=True)[1], []
     both_sides = side.any() and not side.all()
-    part, out = np.arange(len(ids)), []
-    for i in range(len(ids) - 1):
-        j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 4 // 3, "right")))
-        j = j[part[j] != part[i]]
+    for i, j, bits in _bands(n, [signature(x) for x in sets]):
+        ok = (7 * bits <= n[i] + n[j]) & (part[j] != part[i])
         if both_sides:
-            j = j[side[j] != side[i]]
-        if not len(j):
-            continue
-        both = np.bitwise_count(sign[j] & sign[i]).sum(1).astype(np.int64)
-        most = np.minimum(n[i] - (set_bits[i] - both), n[j] - (set_bits[j] - both))  # a bit of one alone is an element of one alone
-        for k in j[7 * most >= 3 * (n[i] + n[j])]:
+            ok &= side[j] != side[i]
+        for k in j[ok]:
             if part[k] == part[i]:
                 continue
-            if sets is not None:
-                a, b = sets[i], sets[k]
-                at = np.searchsorted(b, a)
-                overlap = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                if 100 * overlap < 75 * (len(a) + len(b) - overlap):
-                    continue
-            part[part == part[k]] = part[i]
-            out.append((int(ids[i]), int(ids[k])))
+            a, b = sets[i], sets[k]
+            overlap = int((b[np.searchsorted(b, a).clip(0, len(b) - 1)] == a).sum())
+            if 100 * overlap >= 75 * (len(a) + len(b) - overlap):
+                part[part == part[k]] = part[i]
+                out.append((int(ids[i]), int(ids[k])))
     return out
 
 
-def _tiles(exact: bool):
-    """Links of each unit; a partition's rows come sorted by unit. ``data``: shingles where exact, else signatures."""
+def _active(ids: np.ndarray, n: np.ndarray, signs: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int, int]]:
+    """(set, its label, a label) of the sets whose signatures allow a link to one of another label; the last is the same for labels
+    that such pairs connect."""
+    order = np.argsort(n, kind="stable")
+    ids, n, side, label, signs = ids[order], n[order], side[order], label[order], [signs[i] for i in order]
+    names, own = np.unique(label, return_inverse=True)
+    part, active = np.arange(len(names)), np.zeros(len(ids), bool)
+    both_sides = side.any() and not side.all()
+    for i, j, bits in _bands(n, signs):
+        ok = (7 * bits <= n[i] + n[j]) & (own[j] != own[i])
+        if both_sides:
+            ok &= side[j] != side[i]
+        if ok.any():
+            active[i] = True
+            active[j[ok]] = True
+            for p in np.unique(part[own[j[ok]]]):
+                part[part == p] = part[own[i]]
+    return [(int(ids[k]), int(label[k]), int(names[part[own[k]]])) for k in np.flatnonzero(active)]
+
+
+def _by_unit(batches, columns: list[str], work, out: list[str]):
+    """What ``work`` gives for the rows of each unit; rows come sorted by unit, the first column."""
+    now, rows, found = None, [], []
+    send = lambda f: pa.RecordBatch.from_arrays([pa.array([x[i] for x in f], pa.int64()) for i in range(len(out))], out)
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in columns)):
+            if row[0] != now:
+                found += work(rows) if len(rows) > 1 else []
+                now, rows = row[0], []
+            if not rows or row != rows[-1]:  # a row of documents may repeat
+                rows.append(row)
+        if len(found) > 10_000:
+            yield send(found)
+            found = []
+    found += work(rows) if len(rows) > 1 else []
+    if found:
+        yield send(found)
 
-    def links(rows):
-        if len(rows) < 2:
-            return []
-        _, ids, n, data, side = zip(*rows)
-        sets = [np.frombuffer(x, np.uint64) for x in data] if exact else None
-        return linked(np.array(ids), np.array(n), folded([signature(x) for x in sets] if exact else list(data)), sets, np.array(side))
 
-    def send(out):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+def _compare_signs(batches):
+    def work(rows):
+        _, ids, n, sign, label, side = zip(*rows)
+        return _active(np.array(ids), np.array(n), [np.frombuffer(x, np.uint64) for x in sign], np.array(label), np.array(side))
 
-    def run(batches):
-        now, rows, out = None, [], []
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("unit", "id", "n", "data", "side"))):
-                if row[0] != now:
-                    out += links(rows)
-                    now, rows = row[0], []
-                rows.append(row)
-            if len(out) > 10_000:
-                yield send(out)
-                out = []
-        out += links(rows)
-        if out:
-            yield send(out)
+    return _by_unit(batches, ["unit", "id", "n", "sign", "label", "side"], work, ["id", "label", "root"])
 
-    return run
 
+def _compare_texts(batches):
+    def work(rows):
+        _, ids, text, label, side = zip(*rows)
+        sets = []
+        for lo, hi, w in words(pa.array(text, pa.large_string()), lower=True):
+            g, begin, *_ = _sets(w, hi - lo)
+            sets += [g[a:z] for a, z in zip(begin[:-1], begin[1:])]
+        return linked(np.array(ids), sets, np.array(label), np.array(side))
+
+    return _by_unit(batches, ["unit", "id", "text", "label", "side"], work, ["a", "b"])
 
-def _units(sets: DataFrame) -> DataFrame:
-    """Adds ``units``, an array of (unit, side), to sets (cluster, id, n): what a set is compared in is its cluster, or, in a large cluster, every pair of tiles of the
-    same or neighbouring bands of size."""
+
+def _units(sets: DataFrame, tile: int) -> DataFrame:
+    """A row for each unit that a set of (cluster, id, n, ...) is compared in, with ``side``: its cluster, or, in a large cluster, every pair
+    of tiles of the same or neighbouring bands of size."""
     sets = sets.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.34))).cast("int"))
     counts = sets.groupBy("cluster", "band").agg(F.count("*").alias("c"))
-    tiles = counts.groupBy("cluster").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / TILE).cast("int").alias("t")))).alias("tiles"))
+    tiles = counts.groupBy("cluster").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / tile).cast("int").alias("t")))).alias("tiles"))
     sets = sets.join(tiles, "cluster")
     count = lambda b: F.coalesce(F.try_element_at("tiles", b), F.lit(0))
-    tile = F.pmod(F.xxhash64("id"), count(F.col("band"))).cast("int")
+    sets = sets.withColumn("tile", F.pmod(F.xxhash64("id"), count(F.col("band"))).cast("int"))
     each = lambda b: F.when(count(b) > 0, F.sequence(F.lit(0), count(b) - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda b1, t1, b2, t2: F.concat_ws(".", "cluster", b1, t1, b2, t2)
     own, up, down = F.col("band"), F.col("band") + 1, F.col("band") - 1
-    sets = sets.withColumn("tile", tile)
     unit = lambda n, s: F.struct(n.alias("unit"), s.alias("side"))
     many = F.concat(
         F.transform(each(own), lambda j: unit(name(own, F.least("tile", j), own, F.greatest("tile", j)), F.col("tile") > j)),
@@ -278,39 +336,80 @@ def _units(sets: DataFrame) -> DataFrame:
         F.transform(each(down), lambda j: unit(name(down, j, own, F.col("tile")), F.lit(True))),
     )
     one = F.array(unit(F.col("cluster").cast("string"), F.lit(False)))
-    return sets.withColumn("units", F.when(F.col("all") <= TILE, one).otherwise(many)).drop("tiles", "all", "band", "tile")
+    return sets.withColumn("u", F.explode(F.when(F.col("all") <= tile, one).otherwise(many))).select("*", "u.unit", "u.side").drop("u", "tiles", "all", "band", "tile")
+
+
+def _where_id(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose (doc_id, text_hash) is among ``ids``: by broadcast where these are few, else by a shuffled join."""
+    few = ids.limit(BROADCAST + 1).count() <= BROADCAST
+    return df.join(F.broadcast(ids) if few else ids, ["doc_id", "text_hash"], "left_semi")
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row a document.
 
     A null or empty text, or one of white space, has no shingles and is its own component, as is every document
     without a doc_id (null component). Rows that repeat, and documents with equal sets, share a component. An empty
-    table gives an empty one; other columns are ignored."""
+    table gives an empty one; other columns are ignored. ``tile`` and ``few`` change the work, not the result."""
     spark = docs.sparkSession
     n = partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = docs.mapInArrow(_scatter(4 * n), BLOCK).repartition(n, "bucket")
-    blocks = written(sent.mapInArrow(_candidates, BLOCK), "shingles")
-    table = written(blocks.where("kind = 'docs'").select("block").mapInArrow(_doc_rows, "doc_id long, n_shingles long, h1 long, h2 long, sign binary"), "sets")
-    sets = written(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")), "sets")
-    edges = blocks.where("kind = 'edges'").select("block").mapInArrow(_edge_rows, "a long, b long")
-    compared = lambda rows, exact: rows.withColumn("u", F.explode("units")).select("u.unit", "u.side", "id", "n", "data").repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_tiles(exact), "a long, b long")
-    clusters = lambda links: components(links).select(F.col("node").alias("h1"), F.col("component").alias("cluster"))
-    many = blocks.where("kind = 'many'").select("block").mapInArrow(_edge_rows, "a long, b long").distinct()
-    tiled = compared(_units(many.select(F.col("a").alias("cluster"), F.col("b").alias("h1")).join(sets, "h1").select("cluster", F.col("h1").alias("id"), "n", F.col("sign").alias("data"))), exact=False)
-    part = lambda x: sets.select(F.col("h1").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}"))
-    paired = edges.distinct().join(part("a"), "a").join(part("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long")
-    may = tiled.union(paired)
-    # units come before the texts, so that shingles travel once; a repeated row meets itself, which links nothing
-    chosen = _units(sets.join(clusters(may), "h1").select("cluster", "h1", "h2", F.col("first_id").alias("id"), "n"))
-    chosen = written(chosen.select(F.col("id").alias("doc_id"), "h1", "h2", "units"), "chosen")
-    arrays = docs.join(chosen, "doc_id").select("doc_id", "h1", "h2", "units", "text").mapInArrow(_arrays, "doc_id long, units array<struct<unit:string,side:boolean>>, n long, shingles binary")
-    links = compared(arrays.select(F.col("doc_id").alias("id"), "units", "n", F.col("shingles").alias("data")), exact=True)
-    found = components(links).select(F.col("node").alias("first_id"), "component")
-    out = table.select("doc_id", "n_shingles", "h1", "h2").join(sets.select("h1", "h2", "first_id"), ["h1", "h2"], "left").join(found, "first_id", "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    order = spark.sparkContext.broadcast(ordering(docs))  # at most LAST numbers
+    keys = docs.mapInArrow(_scatter(order, few), _ROW)
+    salted = F.when(F.col("at").bitwiseAND(0xFFFFFFFF) == 0xFFFFFFFE, F.xxhash64("key", "node")).otherwise(F.col("key"))
+    found = written(keys.repartition(n, salted).sortWithinPartitions("key", "node").mapInArrow(_found(few), _FOUND), "keys")
+
+    table = found.where("kind = 'doc'").select(F.col("a").alias("h1"), F.col("b").alias("h2"), "n", "doc.*")
+    sets = table.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+    sets = written(sets.select("h1", "h2", F.col("f.doc_id").alias("id"), "f.text_hash", "n", "sign"), "sets")
+    many = found.where("kind = 'many'").select(F.col("a").alias("key"), F.col("b").alias("h1")).distinct()
+    many = written(many.join(sets.select("h1", "id", "n"), "h1").select("key", "id", "n"), "many")
+
+    # pairs of rare keys, and of the first set of a frequent key with the others
+    named = lambda h, x: sets.select(F.col("h1").alias(h), F.col("id").alias(x))
+    rare = found.where("kind = 'pair'").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    rare = rare.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * 3 / 4))).select(F.col("a").alias("ha"), F.col("b").alias("hb"))
+    rare = rare.join(named("ha", "a"), "ha").join(named("hb", "b"), "hb").select("a", "b")
+    hubs = many.groupBy("key").agg(F.min("id").alias("a"))
+    pairs = rare.union(many.join(hubs, "key").select("a", F.col("id").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    part = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}"))
+    open_ = written(pairs.join(part("a"), "a").join(part("b"), "b").mapInArrow(_possible, "a long, b long"), "pairs")
+
+    # texts of all sets that may be compared
+    wanted = open_.select(F.col("a").alias("id")).union(open_.select("b")).union(many.select("id")).distinct()
+    wanted = sets.join(wanted, "id", "left_semi").select(F.col("id").alias("doc_id"), "text_hash")
+    texts = written(_where_id(docs, written(wanted, "wanted")).select(F.col("doc_id").alias("id"), "text"), "texts")
+
+    def compared(units: DataFrame) -> DataFrame:
+        rows = units.select("unit", "id", "label", "side").distinct().join(texts, "id").repartition(n, "unit").sortWithinPartitions("unit", "id")
+        return written(rows.mapInArrow(_compare_texts, "a long, b long"), "links")
+
+    # each set with its smallest partner; a set that is the smallest of many meets them in units of ``tile``
+    tree = open_.groupBy("a").agg(F.min("b").alias("b"))
+    tree = tree.join(tree.groupBy("b").agg(F.ceil(F.count("*") / tile).cast("int").alias("k")), "b")
+    unit = lambda k: F.concat_ws(".", "b", k)
+    child = tree.select(unit(F.pmod(F.xxhash64("a"), "k")).alias("unit"), F.col("a").alias("id"), F.col("a").alias("label"), F.lit(False).alias("side"))
+    parent = tree.select("b", "k").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(unit(F.col("i")).alias("unit"), F.col("b").alias("id"), F.col("b").alias("label"), F.lit(True).alias("side"))
+    links = compared(child.union(parent))
+    label = written(components(links).select(F.col("node").alias("id"), F.col("component").alias("label")), "labels")
+
+    # what lies in different components yet
+    labelled = lambda df, x, y: df.join(label.select(F.col("id").alias(x), F.col("label").alias(y)), x, "left").withColumn(y, F.coalesce(y, x))
+    rest = labelled(labelled(open_.join(tree, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
+    rest = rest.select(F.col("a").alias("id"), F.col("la").alias("label"), F.col("lb").alias("root")).union(rest.select("b", "lb", "lb"))
+    of = labelled(many, "id", "label")
+    several = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    tiled = _units(of.join(several, "key", "left_semi").withColumnRenamed("key", "cluster"), tile).join(sets.select("id", "sign"), "id")
+    tiled = tiled.select("unit", "id", "n", "sign", "label", "side").repartition(n, "unit").sortWithinPartitions("unit")
+    active = written(rest.union(tiled.mapInArrow(_compare_signs, "id long, label long, root long")).distinct(), "active")
+    clusters = components(active.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    chosen = active.select("id", "label").distinct().join(clusters, "label").join(sets.select("id", "n"), "id")
+    links = links.union(compared(_units(chosen, tile)))
+
+    found = components(links).select(F.col("node").alias("id"), "component")
+    out = table.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(sets.select("h1", "h2", "id"), ["h1", "h2"], "left").join(found, "id", "left")
     linked_ = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", F.when(linked_, F.coalesce("component", "first_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(linked_, F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

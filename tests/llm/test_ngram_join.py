@@ -61,14 +61,13 @@ def family(seed=3):
     return rows
 
 
-def test_families_in_small_tiles(spark, monkeypatch):
+def test_families_in_small_tiles(spark):
     rows = family() + [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one  TWO"), (905, "two one"), (904, "one two"), (None, "one two"), (None, rows_text := family()[0][1]), (906, "a " * 70000), (907, rows_text)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as cluster", "'x' as h1")
     want = brute(rows)
     assert got(ngram_join.joined(df)) == want
-    monkeypatch.setattr(ngram_join, "TILE", 7)
-    monkeypatch.setattr(ngram_join, "FEW", 3)
-    assert got(ngram_join.joined(df)) == want
+    assert got(ngram_join.joined(df, tile=7, few=3)) == want
+    assert got(ngram_join.joined(df.repartition(5), tile=3, few=2)) == want
     assert ngram_join.joined(df.limit(0)).count() == 0
 
 
@@ -83,12 +82,9 @@ def test_bound_never_drops_a_link():
             if 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
                 part = [part[i] if p == part[j] else p for p in part]
         own = list(range(12))
-        n, sign, side = np.array([len(x) for x in sets]), ngram_join.folded([ngram_join.signature(x) for x in sets]), np.zeros(12, bool)
-        for a, b in ngram_join.linked(np.arange(12), n, sign, sets, side):
+        label, side = np.arange(12), np.zeros(12, bool)
+        for a, b in ngram_join.linked(np.arange(12), sets, label, side):
             own = [own[a] if p == own[b] else p for p in own]
         assert len(set(own)) == len(set(part))
-        may = ngram_join.linked(np.arange(12), n, sign, None, side)
-        loose = list(range(12))
-        for a, b in may:
-            loose = [loose[a] if p == loose[b] else p for p in loose]
-        assert all(loose[i] == loose[j] for i, j in itertools.combinations(range(12), 2) if part[i] == part[j])
+        active = {i: root for i, _, root in ngram_join._active(np.arange(12), np.array([len(x) for x in sets]), [ngram_join.signature(x) for x in sets], label, side)}
+        assert all(active[i] == active[j] for i, j in itertools.combinations(range(12), 2) if part[i] == part[j])

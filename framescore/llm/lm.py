@@ -27,23 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import binary, documents, mix, partitions, words, written
+from framescore.llm.common import BLOCK, block, block_rows, by_bucket, documents, groups, mix, partitions, words, written
 
 VOCAB, HOT, CUT = (1 << 16) - 8, 512, 5
 UNK, END, FIRST = 0, 1, 2  # ids; words by falling count follow
 IDS = np.uint64(1 << 16)  # a word's key is its id below this, or its hash
 
-BLOCK = "kind string, bucket long, batch long, block binary"
-
-
-def _block(kind: str, bucket: int, batch: int, *arrays) -> tuple:
-    return kind, bucket, batch, pickle.dumps(arrays, 5)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kind, bucket, batch, block = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(bucket, pa.int64()), pa.array(batch, pa.int64()), binary(list(block))], ["kind", "bucket", "batch", "block"])
-
 
 def discounts(n: np.ndarray, cut: int = CUT) -> np.ndarray:
     """Katz's d_0 .. d_cut from the numbers of types seen 1 .. cut + 1 times (n[0] of those seen once); where these
@@ -57,17 +46,6 @@ def discounts(n: np.ndarray, cut: int = CUT) -> np.ndarray:
     return np.concatenate([[1.0], d])
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts rows by keys, the last first, and where each group of equal rows begins."""
-    order = np.lexsort(keys)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        k = k[order]
-        new[1:] |= k[1:] != k[:-1]
-    return order, np.flatnonzero(new)
-
-
 def unigrams(docs: DataFrame) -> DataFrame:
     """(h, c): 64-bit hash and count of each word of the training documents."""
 
@@ -78,13 +56,13 @@ def unigrams(docs: DataFrame) -> DataFrame:
                 x, n = np.unique(w.hash, return_counts=True)
                 h, c = np.concatenate([h, x]), np.concatenate([c, n])
                 if len(h) > 1 << 21:
-                    order, at = _groups(h)
+                    order, at = groups(h)
                     h, c = h[order][at], np.add.reduceat(c[order], at)
                     if len(h) > 1 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
                         h, c = h[:0], c[:0]
         if len(h):
-            order, at = _groups(h)
+            order, at = groups(h)
             yield pa.RecordBatch.from_arrays([pa.array(h[order][at].view(np.int64)), pa.array(np.add.reduceat(c[order], at))], ["h", "c"])
 
     rows = docs.where("not held_out").select("text").mapInArrow(run, "h long, c long")
@@ -164,13 +142,31 @@ def _found(keys: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == key, values[at], 0)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as they need; others as they are."""
+    return x.astype(np.min_scalar_type(int(x.max()))) if x.dtype.kind in "iu" and len(x) else x
+
+
 def _bucketed(kind: str, batch: int, buckets: int, h: np.ndarray, *more: np.ndarray) -> list[tuple]:
     """Blocks (h, more) of each bucket of a hash, sorted by it."""
-    to = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((h, to))
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    arrays = [x[order] for x in (h, *more)]
-    return [_block(kind, i, batch, *(x[a:z] for x in arrays)) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+    order, cuts = by_bucket(h, buckets)
+    arrays = [h[order], *(_narrow(x[order]) for x in more)]
+    return [block(kind, i, batch, *(x[a:z] for x in arrays)) for i, a, z in cuts]
+
+
+def _by(name: str, batches):
+    """(value, rows (kind, bucket, batch, block)) of each value of a column by which the rows come sorted."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "batch", "block"))):
+            value = row[1] if name == "bucket" else row[2]
+            if value != now and rows:
+                yield now, rows
+                rows = []
+            now = value
+            rows.append(row)
+    if rows:
+        yield now, rows
 
 
 def hot_counts(docs: DataFrame, shared) -> np.ndarray:
@@ -196,7 +192,7 @@ def _sums(of, n, size, before, p1, c):
     """Sums a document: log10 of seen counts less those of histories (``before``) or of the token's unigram
     probability, and tokens by small count."""
     value = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(before + 1), np.log10(p1)) * n
-    return np.bincount(of, value, minlength=size), [np.bincount(of[c == r], n[c == r], minlength=size).astype(np.uint32) for r in range(1, CUT + 1)]
+    return np.bincount(of, value, minlength=size), [np.bincount(of[c == r], n[c == r], minlength=size).astype(np.int64) for r in range(1, CUT + 1)]
 
 
 def _ask(shared, buckets: int):
@@ -212,33 +208,35 @@ def _ask(shared, buckets: int):
                 pairs.append((hb[m], hn[m]))
             if pairs:
                 hb, hn = (np.concatenate(x) for x in zip(*pairs))
-                order, at = _groups(hb, hn)
+                order, at = groups(hb, hn)
                 rows = _bucketed("ask", 0, buckets, hn[order][at], hb[order][at])
                 if rows:
-                    yield _batch(rows)
+                    yield block_rows(rows)
 
     return run
 
 
 def _answer(buckets: int):
-    """(bigram, count of its next word) to the history's bucket."""
+    """(bigram, count of its next word) to the history's bucket; rows come sorted by bucket."""
 
     def run(batches):
-        uni, asked = [], []
-        for b in batches:
-            for kind, block in zip(b.column("kind").to_pylist(), b.column("block").to_pylist()):
-                (uni if kind == "uni" else asked).append(pickle.loads(block))
+        for _, rows in _by("bucket", batches):
+            yield from answer(rows)
+
+    def answer(rows):
+        uni = [pickle.loads(r[3]) for r in rows if r[0] == "uni"]
+        asked = [pickle.loads(r[3]) for r in rows if r[0] == "ask"]
         if uni and asked:
             h, c = (np.concatenate(x) for x in zip(*uni))
             by = np.argsort(h)
             hn, hb = (np.concatenate(x) for x in zip(*asked))
-            order, at = _groups(hb, hn)
+            order, at = groups(hb, hn)
             hn, hb = hn[order][at], hb[order][at]
             n = _found(h[by], c[by], hn)
             known = n > 0
             rows = _bucketed("next", 0, buckets, hb[known], _pair(hb[known], hn[known]), n[known])
             for i in range(0, len(rows), 64):
-                yield _batch(rows[i : i + 64])
+                yield block_rows(rows[i : i + 64])
 
     return run
 
@@ -275,35 +273,34 @@ def _scatter(shared, hot_shared, buckets: int):
                 grams.append((u, n))
                 word = now[np.arange(len(w.hash)) + w.doc] == UNK
                 h, d = w.hash[word], w.doc[word] + lo
-                order, at = _groups(h, d)
+                order, at = groups(h, d)
                 rare.append((h[order][at], d[order][at], np.diff(np.append(at, len(order)))))
                 key = np.where(common, now.astype(np.uint64), hn)
                 for kind, at, h, other in (("into", ~common & (before != UNK), hn, before.astype(np.uint64)), ("from", before == UNK, hb, key)):
                     h, other, d = h[at], other[at], of[at] + lo
-                    order, at = _groups(d, other, h)
+                    order, at = groups(d, other, h)
                     mixed[kind].append((h[order][at], other[order][at], d[order][at], np.diff(np.append(at, len(order)))))
-            rows = [_block("home", int(mix(np.array([task | k], np.uint64))[0] % np.uint64(buckets)), task | k, b.column("doc_id").to_pylist(), ~train, home)]
+            rows = [block("home", int(mix(np.array([task | k], np.uint64))[0] % np.uint64(buckets)), task | k, b.column("doc_id").to_pylist(), ~train, home)]
             un = [np.concatenate(x) for x in zip(*un)] if un else []
             if un and len(un[0]):
-                rows.append(_block("unseen", rows[0][1], task | k, *un))
+                rows.append(block("unseen", rows[0][1], task | k, *un))
             if grams:
                 u, n = (np.concatenate(x) for x in zip(*grams))
                 code, d = u & 0xFFFFFFFF, u >> 32
-                flagged = (d | train[d].astype(np.int64) << 31).astype(np.uint32)
                 to = (mix(code.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to << 32 | code, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                code, flagged, n = code[order].astype(np.uint32), flagged[order], n[order].astype(np.uint32)
-                rows += [_block("gram", i, task | k, code[a:z], flagged[a:z], n[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+                code, flagged, n = code[order].astype(np.uint32), _narrow((d << 1 | train[d])[order]), _narrow(n[order])
+                rows += [block("gram", i, task | k, code[a:z], flagged[a:z], n[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
                 h, d, n = (np.concatenate(x) for x in zip(*rare))
-                rows += _bucketed("rare", task | k, buckets, h, d.astype(np.uint32), n.astype(np.uint32))
+                rows += _bucketed("rare", task | k, buckets, h, d, n)
                 for kind, x in mixed.items():
                     h, other, d, n = (np.concatenate(y) for y in zip(*x))
-                    flagged = (d | train[d].astype(np.int64) << 31).astype(np.uint32)
+                    flagged = d << 1 | train[d]
                     for name, at in ((kind, other < IDS), ("pair", other >= IDS)):  # an id travels in two bytes
-                        rows += _bucketed(name, task | k, buckets, h[at], other[at].astype(np.uint64 if name == "pair" else np.uint16), flagged[at], n[at].astype(np.uint32))
+                        rows += _bucketed(name, task | k, buckets, h[at], other[at].astype(np.uint64 if name == "pair" else np.uint16), flagged[at], n[at])
             for i in range(0, len(rows), 64):
-                yield _batch(rows[i : i + 64])
+                yield block_rows(rows[i : i + 64])
 
     return run
 
@@ -314,7 +311,7 @@ def _unigram_blocks(buckets: int):
             h, c = b.column("h").to_numpy().view(np.uint64), b.column("c").to_numpy()
             rows = _bucketed("uni", 0, buckets, h, c)
             if rows:
-                yield _batch(rows)
+                yield block_rows(rows)
 
     return run
 
@@ -326,29 +323,31 @@ def _types(of: np.ndarray, c: np.ndarray, size: int) -> tuple[list[np.ndarray],
 
 def _trained(blocks) -> tuple[np.ndarray, ...]:
     """(key, h, other, count) of the training bigrams of blocks (h, other, document, count), by key."""
-    parts = [(x[0][t], x[1][t].astype(np.uint64), x[3][t]) for x in blocks for t in [x[2] >> np.uint32(31) == 1]]
+    parts = [(x[0][t], x[1][t].astype(np.uint64), x[3][t]) for x in blocks for t in [x[2] & 1 == 1]]
     h, other, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint32))
     key = _pair(h, other)
-    order, at = _groups(key)
+    order, at = groups(key)
     at_first = order[at]
     return key[at_first], h[at_first], other[at_first], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
 
 
 def _count(shared):
-    """A partition's buckets: counts of its bigrams (kept as the model's table) and, back to each batch, sums a document."""
+    """Of each bucket, held one at a time: counts of its bigrams (kept as the model's table) and, back to each batch, sums a document.
+    Rows come sorted by bucket."""
 
     def run(batches):
+        for _, rows in _by("bucket", batches):
+            yield from count(rows)
+
+    def count(rows):
         voc = shared.value
         got = {k: defaultdict(list) for k in ("gram", "rare", "into", "from", "uni", "next")}
-        for b in batches:
-            through = []
-            for kind, bucket, batch, block in zip(*(c.to_pylist() for c in b.columns)):
-                if kind in ("home", "unseen"):
-                    through.append((kind, bucket, batch, block))
-                else:
-                    got["from" if kind == "pair" else kind][batch].append(pickle.loads(block))
-            if through:
-                yield _batch(through)
+        through = [r for r in rows if r[0] in ("home", "unseen")]
+        for i in range(0, len(through), 64):
+            yield block_rows(through[i : i + 64])
+        for kind, _, batch, data in rows:
+            if kind not in ("home", "unseen"):
+                got["from" if kind == "pair" else kind][batch].append(pickle.loads(data))
         grams, rare, into, out_of = (got[k] for k in ("gram", "rare", "into", "from"))
 
         def table(kind, at):
@@ -356,7 +355,7 @@ def _count(shared):
             if not blocks:
                 return np.zeros(0, np.uint64), np.zeros(0, np.int64)
             key, c = (np.concatenate([x[i] for x in blocks]) for i in at)
-            order, first = _groups(key)
+            order, first = groups(key)
             return key[order][first], c[order][first]
 
         uni, following = table("uni", (0, 1)), table("next", (1, 2))
@@ -369,43 +368,43 @@ def _count(shared):
             w, d, n = (np.concatenate(x) for x in zip(*blocks))
             count = _found(*uni, w)
             docs, of = np.unique(d, return_inverse=True)
-            yield _batch([_block("rare", 0, batch, docs, np.bincount(of, n * voc.base(count)), np.bincount(of, n * (count > 0)).astype(np.uint32))])
+            yield block_rows([block("rare", 0, batch, docs, np.bincount(of, n * voc.base(count)), np.bincount(of, n * (count > 0)).astype(np.uint32))])
         rare.clear()
 
         # both words common
-        train = [(x[0][t], x[2][t]) for blocks in grams.values() for x in blocks for t in [x[1] >> np.uint32(31) == 1]]
+        train = [(x[0][t], x[2][t]) for blocks in grams.values() for x in blocks for t in [x[1] & 1 == 1]]
         code, count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if train:
             code, n = (np.concatenate(x) for x in zip(*train))
-            order, at = _groups(code)
+            order, at = groups(code)
             code, count = code[order][at], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else count
         before, now = (code >> np.uint32(16)).astype(np.int64), (code & np.uint32(0xFFFF)).astype(np.int64)
         if len(code):
-            yield _batch([_block("count", 0, -1, code, count)])
+            yield block_rows([block("count", 0, -1, code, count)])
             ids, of = np.unique(before, return_inverse=True)
-            yield _batch([_block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.p1[now], minlength=len(ids)))])
+            yield block_rows([block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.p1[now], minlength=len(ids)))])
         for batch, blocks in grams.items():
             g, d, n = (np.concatenate(x) for x in zip(*blocks))
             c = _found(code, count, g)
-            docs, of = np.unique(d & np.uint32(0x7FFFFFFF), return_inverse=True)
+            docs, of = np.unique(d >> 1, return_inverse=True)
             before, now, un = (g >> np.uint32(16)).astype(np.int64), (g & np.uint32(0xFFFF)).astype(np.int64), c == 0
             value, small = _sums(of, n, len(docs), voc.count[before], voc.p1[now], c)
-            yield _batch([_block("sums", 0, batch, docs, value.astype(np.float32), small), _block("unseen", 0, batch, docs[of[un]], before[un].astype(np.uint32), n[un])])
+            yield block_rows([block("sums", 0, batch, _narrow(docs), value, [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
         grams.clear()
 
         # a common history and a rare next word
         key, h, other, count = _trained(x for blocks in into.values() for x in blocks)
         if len(key):
-            yield _batch([_block("count_into", 0, -1, h, other.astype(np.uint16), count.astype(np.uint32))])
+            yield block_rows([block("count_into", 0, -1, h, other.astype(np.uint16), count.astype(np.uint32))])
             ids, of = np.unique(other.astype(np.int64), return_inverse=True)
-            yield _batch([_block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.prob(_found(*uni, h)), minlength=len(ids)))])
+            yield block_rows([block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.prob(_found(*uni, h)), minlength=len(ids)))])
         for batch, blocks in into.items():
             w, before, d, n = (np.concatenate(x) for x in zip(*blocks))
             c = _found(key, count, _pair(w, before.astype(np.uint64)))
-            docs, of = np.unique(d & np.uint32(0x7FFFFFFF), return_inverse=True)
+            docs, of = np.unique(d >> 1, return_inverse=True)
             un = c == 0
             value, small = _sums(of, n, len(docs), voc.count[before], voc.prob(_found(*uni, w)), c)
-            yield _batch([_block("sums", 0, batch, docs, value.astype(np.float32), small), _block("unseen", 0, batch, docs[of[un]], before[un].astype(np.uint32), n[un])])
+            yield block_rows([block("sums", 0, batch, _narrow(docs), value, [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
         into.clear()
 
         # a rare history: its weight needs only the discounts, which are known when all buckets are counted
@@ -414,20 +413,20 @@ def _count(shared):
         types, large = _types(of, count, len(histories))
         p1 = np.bincount(of, p_next(h, other), minlength=len(histories))
         if len(key):
-            yield _batch([_block("count_from", 0, -1, h, other, count.astype(np.uint32))])
-            yield _batch([_block("history", 0, -1, np.array([UNK]), [np.array([t.sum()]) for t in types], np.zeros(1), np.zeros(1))])
+            yield block_rows([block("count_from", 0, -1, h, other, count.astype(np.uint32))])
+            yield block_rows([block("history", 0, -1, np.array([UNK]), [np.array([t.sum()]) for t in types], np.zeros(1), np.zeros(1))])
         for batch, blocks in out_of.items():
             w, d, n = (np.concatenate([x[i] for x in blocks]) for i in (0, 2, 3))
             o = np.concatenate([x[1].astype(np.uint64) for x in blocks])
             c, seen = _found(key, count, _pair(w, o)), _found(*uni, w)
-            docs, of = np.unique(d & np.uint32(0x7FFFFFFF), return_inverse=True)
+            docs, of = np.unique(d >> 1, return_inverse=True)
             value, small = _sums(of, n, len(docs), seen, p_next(w, o), c)
-            rows = [_block("sums", 0, batch, docs, value.astype(np.float32), small)]
+            rows = [block("sums", 0, batch, _narrow(docs), value, [_narrow(x) for x in small])]
             un = (c == 0) & (seen > 0)  # a history that is never seen leaves all to the unigrams
             if un.any():
                 at, which = np.unique(np.searchsorted(histories, w[un]), return_inverse=True)
-                rows.append(_block("open", 0, batch, docs[of[un]], which.astype(np.uint32), n[un], [t[at].astype(np.uint32) for t in types[:CUT]], large[at], _found(*uni, histories[at]), p1[at]))
-            yield _batch(rows)
+                rows.append(block("open", 0, batch, _narrow(docs[of[un]]), _narrow(which), n[un], [_narrow(t[at]) for t in types[:CUT]], large[at], _found(*uni, histories[at]), p1[at]))
+            yield block_rows(rows)
 
     return run
 
@@ -443,10 +442,9 @@ def _gather(shared, model):
         voc, (d, alpha) = shared.value, model.value
         with np.errstate(divide="ignore"):
             log_d, log_alpha = np.log10(d[1 : CUT + 1]), np.log10(np.maximum(alpha, 1e-300))
-        home, later = {}, defaultdict(list)
 
-        def add(batch, kind, x):
-            _, score, base, known = home[batch]
+        def add(home, kind, x):
+            score, base, known = home
             if kind == "unseen":
                 np.add.at(score, x[0], log_alpha[x[1]] * x[2])
             elif kind == "open":
@@ -459,21 +457,16 @@ def _gather(shared, model):
                 base[x[0]] += x[1]
                 known[x[0]] += x[2]
 
-        for b in batches:
-            for kind, batch, block in zip(b.column("kind").to_pylist(), b.column("batch").to_pylist(), b.column("block").to_pylist()):
-                x = pickle.loads(block)
+        for _, rows in _by("batch", batches):
+            ids, held, h = next(pickle.loads(data) for kind, _, _, data in rows if kind == "home")
+            score = h["value"].copy()
+            for r in range(CUT):
+                score += h["small"][r] * log_d[r]
+            for kind, _, _, data in sorted(rows, key=lambda r: (r[0], r[3])):  # the same order whatever came first
                 if kind != "home":
-                    add(batch, kind, x) if batch in home else later[batch].append((kind, x))
-                    continue
-                ids, held, h = x
-                score = h["value"].copy()
-                for r in range(CUT):
-                    score += h["small"][r] * log_d[r]
-                home[batch] = ((ids, held, h["n_tokens"]), score, h["base"], h["n_known"])
-                for k, y in later.pop(batch, []):
-                    add(batch, k, y)
-        for (ids, held, n), score, base, known in home.values():
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), voc.tokens, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    add((score, h["base"], h["n_known"]), kind, pickle.loads(data))
+            n = len(score)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(h["n_tokens"]), pa.array(h["n_known"]), pa.array(np.full(n, voc.tokens, np.int64)), pa.array(h["base"]), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -526,11 +519,11 @@ def scored(docs: DataFrame, common: int = VOCAB) -> DataFrame:
     hot_shared = spark.sparkContext.broadcast(hot_c)  # HOT x HOT
     n = partitions(spark)
     counts = uni.mapInArrow(_unigram_blocks(4 * n), BLOCK)
-    following = docs.select("text").mapInArrow(_ask(shared, 4 * n), BLOCK).union(counts).repartition(n, "bucket").mapInArrow(_answer(4 * n), BLOCK)
+    following = docs.select("text").mapInArrow(_ask(shared, 4 * n), BLOCK).union(counts).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(4 * n), BLOCK)
     sent = docs.mapInArrow(_scatter(shared, hot_shared, 4 * n), BLOCK).union(counts).union(following)
-    blocks = written(sent.repartition(n, "bucket").mapInArrow(_count(shared), BLOCK), "counts")
+    blocks = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(shared), BLOCK), "counts")
     model = spark.sparkContext.broadcast(katz(blocks, voc, hot_c))  # a number a word of the vocabulary
-    back = blocks.where("batch >= 0").select("kind", "batch", "block").repartition(n, "batch")
+    back = blocks.where("batch >= 0").repartition(n, "batch").sortWithinPartitions("batch")
     return back.mapInArrow(_gather(shared, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

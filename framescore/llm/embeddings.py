@@ -1,13 +1,14 @@
 """Near-duplicate vectors by PCA-ordered tiles.
 
-Equal vectors are one. Vectors are rotated to their principal axes; strips of the first axis as wide as the largest
-distance of a link hold tiles, and only tiles of the same or neighbouring strips meet. A pair of tiles adds up the
-leading axes first; the rest of a product is at most the product of the suffix norms, so a pair stops as soon as its
-cosine can't reach the threshold. What is left is computed exactly. A tile pair returns counts of links and
-links that span its components, never all pairs.
+Equal vectors are one. Vectors are rotated to their principal axes; a grid on the first three, as wide as the largest
+distance of a link, holds tiles, and only tiles of the same or touching cells meet. A tile travels as one block in single
+precision. A pair of tiles adds up the leading axes first; the rest of a product is at most the product of the suffix
+norms, so a pair stops as soon as its cosine can't reach the threshold. Cosines so near the threshold that single
+precision can't tell are computed from the whole vectors. A tile pair returns counts of links and links that span its
+components, never all pairs.
 
-All tiles of neighbouring strips meet, so the work still grows with the square of the number of different vectors
-where one axis doesn't spread them; what the bounds save is a large factor."""
+Exact, so the work grows with the square of the number of different vectors where three axes don't spread them: each
+vector travels to as many tile pairs as there are tiles of ``TILE`` in reach."""
 
 from __future__ import annotations
 
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from framescore.llm.common import components, partitions, written
 
-THRESHOLD, TILE, STEP = 0.95, 2048, 16
-#: What rounding in single precision may add to a bound.
-SLACK = 1e-4
+THRESHOLD, TILE, STEP, AXES = 0.95, 8192, 16, 3
+#: What rounding in single precision may add to a bound, and by how much it may miss a cosine.
+SLACK, NEAR = 1e-4, 1e-5
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -43,12 +44,24 @@ def _moments(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["d", "m"])
 
 
+def _added(batches):
+    """Sums of rows (d, m)."""
+    total = {}
+    for b in batches:
+        for d, m in zip(b.column("d").to_pylist(), b.column("m").to_pylist()):
+            total[d] = total.get(d, 0) + np.frombuffer(m)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([m.tobytes() for m in total.values()], pa.binary())], ["d", "m"])
+
+
 def axes(vectors: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
-    """Principal axes by falling variance, as columns, for each dimension."""
-    total = {d: np.zeros((d, d)) for d in dims}
-    for r in vectors.select("d", "embedding").mapInArrow(_moments, "d int, m binary").toLocalIterator():
-        total[r.d] += np.frombuffer(r.m).reshape(r.d, r.d)
-    return {d: np.linalg.eigh(m)[1][:, ::-1] for d, m in total.items()}
+    """Principal axes by falling variance, as columns, for each dimension; sums of eight tasks reach the driver."""
+    total = {d: np.zeros(d * d) for d in dims}
+    for r in vectors.select("d", "embedding").mapInArrow(_moments, "d int, m binary").repartition(8).mapInArrow(_added, "d int, m binary").toLocalIterator():
+        total[r.d] += np.frombuffer(r.m)
+    return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1] for d, m in total.items()}
+
+
+CELL = [f"a{k}" for k in range(AXES)]
 
 
 def _rotated(shared):
@@ -58,34 +71,39 @@ def _rotated(shared):
             for k in np.unique(d):
                 part = b.filter(pa.array(d == k))
                 x = _unit(_matrix(part.column("embedding"))) @ shared.value[int(k)]
-                strip = np.floor(x[:, 0] / np.sqrt(2 * (1 - THRESHOLD) + SLACK)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("d"), part.column("c"), pa.array(strip), pa.array([r.tobytes() for r in x], pa.binary())], ["uid", "d", "c", "strip", "x"])
+                cell = np.zeros((len(x), AXES), np.int32)
+                cell[:, : min(AXES, int(k))] = np.floor(x[:, :AXES] / np.sqrt(2 * (1 - THRESHOLD) + SLACK))
+                rows = x.astype(np.float32)
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("d"), part.column("c"), *(pa.array(np.ascontiguousarray(cell[:, i])) for i in range(AXES)), pa.array([r.tobytes() for r in rows], pa.binary())], ["uid", "d", "c", *CELL, "x"])
 
     return run
 
 
-def pairs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i of a, j of b) of unit vectors, by falling variance of their axes, with cosine at the threshold or above."""
-    fa, fb = a.astype(np.float32), b.astype(np.float32)
-    rest = lambda x, k: np.sqrt(np.maximum((x[:, k:] ** 2).sum(1), 0))
-    i, j, p = None, None, None
-    for k in range(0, a.shape[1], step):
-        z = min(k + step, a.shape[1])
-        ra, rb = rest(fa, z), rest(fb, z)
-        if i is None:
-            p = fa[:, :z] @ fb[:, :z].T
-            i, j = np.nonzero(p + ra[:, None] * rb[None, :] >= threshold - SLACK)
-            p = p[i, j]
-        else:
-            p = p + np.einsum("ij,ij->i", fa[i, k:z], fb[j, k:z])
-            keep = p + ra[i] * rb[j] >= threshold - SLACK
+def pairs(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i of a, j of b) of unit vectors in single precision, by falling variance of their axes, whose cosine may be at the threshold or
+    above, and whether single precision can tell that it is."""
+    found = []
+    ends = [*range(step, a.shape[1], step), a.shape[1]]
+    rest = lambda x: {z: np.sqrt(np.maximum((x[:, z:] ** 2).sum(1), 0)) for z in ends}
+    ra, rb = rest(a), rest(b)
+    for s in range(0, len(a), 512):
+        z = ends[0]
+        p = a[s : s + 512, :z] @ b[:, :z].T
+        i, j = np.nonzero(p + ra[z][s : s + 512, None] * rb[z][None, :] >= threshold - SLACK)
+        p, i = p[i, j], i + s
+        for k, z in zip(ends, ends[1:]):
+            if not len(i):
+                break
+            keep = []
+            for t in range(0, len(i), 1 << 17):
+                u, v = i[t : t + (1 << 17)], j[t : t + (1 << 17)]
+                p[t : t + (1 << 17)] += np.einsum("ij,ij->i", a[u, k:z], b[v, k:z])
+                keep.append(p[t : t + (1 << 17)] + ra[z][u] * rb[z][v] >= threshold - (SLACK if z < ends[-1] else NEAR))
+            keep = np.concatenate(keep)
             i, j, p = i[keep], j[keep], p[keep]
-        if not len(i):
-            break
-    exact = np.zeros(len(i))
-    for s in range(0, len(i), 1 << 18):
-        exact[s : s + (1 << 18)] = np.einsum("ij,ij->i", a[i[s : s + (1 << 18)]], b[j[s : s + (1 << 18)]])
-    return i[exact >= threshold], j[exact >= threshold]
+        keep = p >= threshold - NEAR
+        found.append((i[keep], j[keep], p[keep] >= threshold + NEAR))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,48 +124,70 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[label[own]]
 
 
-def _compare(batches):
-    """(kind, a, n): links' weight of a class, or b linked to a. A partition's rows come sorted by unit."""
-
-    def unit(rows):
-        uid, c, side = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
-        x = np.stack([np.frombuffer(r[3]) for r in rows])
-        if side.any():
-            p, q = np.flatnonzero(~side), np.flatnonzero(side)
-            i, j = pairs(x[p], x[q]) if len(p) and len(q) else (np.zeros(0, int), np.zeros(0, int))
-            i, j = p[i], q[j]
-        else:
-            i, j = pairs(x, x)
-            i, j = i[i < j], j[i < j]
-        if not len(i):
-            return []
-        w = np.bincount(i, c[j], len(x)) + np.bincount(j, c[i], len(x))
-        has = np.flatnonzero(w)
-        a, b = _spanning(uid[i], uid[j])
-        return [("n", uid[has], w[has].astype(np.int64)), ("e", a, b)]
-
-    def send(found):
-        for kind, a, n in found:
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], ["kind", "a", "n"])
+def _blocks(batches):
+    """A row a tile: its vectors' uids, numbers and rotated vectors. Rows come sorted by tile."""
+
+    def send(tile, rows):
+        uid, c, x = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array([tile]), *(pa.array([v], pa.binary()) for v in (np.array(uid, np.int64).tobytes(), np.array(c, np.int64).tobytes(), b"".join(x)))], ["tile", "uid", "c", "x"])
 
     now, rows = None, []
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("unit", "uid", "c", "x", "side"))):
-            if row[0] != now:
-                if rows:
-                    yield from send(unit(rows))
-                now, rows = row[0], []
+        for tile, *row in zip(*(b.column(k).to_pylist() for k in ("tile", "uid", "c", "x"))):
+            if tile != now and rows:
+                yield send(now, rows)
+                rows = []
+            now = tile
             rows.append(row)
     if rows:
-        yield from send(unit(rows))
+        yield send(now, rows)
 
 
-def near_duplicates(vectors: DataFrame) -> DataFrame:
+def _compare(batches):
+    """(kind, a, n): "n", links' weight of a class; "e", b linked to a; "?", a pair to be computed from whole vectors. Rows, of one or two
+    tiles a unit, come sorted by unit."""
+
+    def unit(tiles):
+        first, last = tiles[0], tiles[-1]
+        i, j, sure = pairs(first[2], last[2])
+        if len(tiles) == 1:
+            keep = i < j
+            i, j, sure = i[keep], j[keep], sure[keep]
+        a, b = first[0][i], last[0][j]
+        if not sure.all():
+            yield "?", a[~sure], b[~sure]
+            i, j, a, b = i[sure], j[sure], a[sure], b[sure]
+        if len(i):
+            for own, at, other in ((first, i, last[1][j]), (last, j, first[1][i])):
+                w = np.bincount(at, other, len(own[0]))
+                has = np.flatnonzero(w)
+                yield "n", own[0][has], w[has].astype(np.int64)
+            yield "e", *_spanning(a, b)
+
+    def send(tiles):
+        for kind, a, n in unit(tiles):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), pa.array(a), pa.array(n)], ["kind", "a", "n"])
+
+    now, tiles = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("unit", "uid", "c", "x"))):
+            if row[0] != now and tiles:
+                yield from send(tiles)
+                tiles = []
+            now = row[0]
+            uid = np.frombuffer(row[1], np.int64)
+            tiles.append((uid, np.frombuffer(row[2], np.int64), np.frombuffer(row[3], np.float32).reshape(len(uid), -1)))
+    if tiles:
+        yield from send(tiles)
+
+
+def near_duplicates(vectors: DataFrame, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row a vector.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors without a vec_id, link with
     nothing (a null id has a null component and is not kept). Vectors of different length never link; rows that
-    repeat are vectors of their own. An empty table gives an empty one; other columns are ignored."""
+    repeat are vectors of their own. An empty table gives an empty one; other columns are ignored. ``tile``, the vectors of a
+    tile, changes the work and not the result."""
     spark = vectors.sparkSession
     n = partitions(spark)
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
@@ -156,20 +196,29 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     known = rows.where(F.col("embedding").isNotNull()).groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("c"), F.any_value("embedding").alias("embedding"))
     classes = written(known.withColumn("d", F.size("embedding")).withColumn("uid", F.monotonically_increasing_id()), "classes")
     dims = [r.d for r in classes.select("d").distinct().collect()]  # the lengths that occur
-    turned = written(classes.mapInArrow(_rotated(spark.sparkContext.broadcast(axes(classes, dims))), "uid long, d int, c long, strip int, x binary"), "rotated")
-    tiles = turned.groupBy("d", "strip").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t"))
-    side = lambda k, name: tiles.select("d", (F.col("strip") + k).alias("strip"), F.col("t").alias(name))
-    placed = turned.join(tiles, ["d", "strip"]).join(side(-1, "up"), ["d", "strip"], "left").join(side(1, "down"), ["d", "strip"], "left").withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("t")).cast("int"))
-    each = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    unit = lambda s1, t1, s2, t2, right: F.struct(F.concat_ws(".", "d", s1, t1, s2, t2).alias("unit"), right.alias("side"))
-    s, up, down = F.col("strip"), F.col("strip") + 1, F.col("strip") - 1
-    units = F.concat(
-        F.transform(each("t"), lambda j: unit(s, F.least("tile", j), s, F.greatest("tile", j), F.col("tile") > j)),
-        F.transform(each("up"), lambda j: unit(s, F.col("tile"), up, j, F.lit(False))),
-        F.transform(each("down"), lambda j: unit(down, j, s, F.col("tile"), F.lit(True))),
-    )
-    met = placed.withColumn("u", F.explode(units)).select("u.unit", "u.side", "uid", "c", "x")
-    found = written(met.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_compare, "kind string, a long, n long"), "links")
+    cells = ", ".join(f"{c} int" for c in CELL)
+    turned = written(classes.mapInArrow(_rotated(spark.sparkContext.broadcast(axes(classes, dims))), f"uid long, d int, c long, {cells}, x binary"), "rotated")
+    counts = written(turned.groupBy("d", *CELL).agg(F.ceil(F.count("*") / tile).cast("int").alias("t")), "cells")  # at most 7 ** AXES a length
+    name = lambda k: F.concat_ws(".", "d", *CELL, k)
+    placed = turned.join(counts, ["d", *CELL]).select(name(F.pmod(F.xxhash64("uid"), F.col("t"))).alias("tile"), "uid", "c", "x")
+    blocks = written(placed.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(_blocks, "tile string, uid binary, c binary, x binary"), "blocks")
+    tiles = counts.select("d", *CELL, F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("k")).select("d", *CELL, name(F.col("k")).alias("tile"))
+    touching = tiles.withColumnRenamed("tile", "one")
+    for c in CELL:
+        touching = touching.withColumn(c, F.explode(F.array(*(F.col(c) + k for k in (-1, 0, 1)))))
+    met = touching.join(tiles.withColumnRenamed("tile", "other"), ["d", *CELL]).where("one <= other")
+    units = met.select(F.concat_ws("|", "one", "other").alias("unit"), F.explode(F.array_distinct(F.array("one", "other"))).alias("tile"))
+    sent = units.join(blocks, "tile").select("unit", "tile", "uid", "c", "x").repartition(n, "unit").sortWithinPartitions("unit", "tile")
+    found = written(sent.mapInArrow(_compare, "kind string, a long, n long"), "links")
+    # what single precision can't tell
+    most = F.array_max(F.transform("embedding", F.abs))
+    scaled = F.when(most.between(1e-100, 1e100), F.col("embedding")).otherwise(F.transform("embedding", lambda x: x / most))
+    whole = lambda x: classes.select(F.col("uid").alias(x), scaled.alias(f"e{x}"), F.col("c").alias(f"c{x}"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    near = found.where("kind = '?'").select("a", F.col("n").alias("b")).join(whole("a"), "a").join(whole("b"), "b")
+    near = written(near.where(dot("ea", "eb") / F.sqrt(dot("ea", "ea") * dot("eb", "eb")) >= THRESHOLD).select("a", "b", "ca", "cb"), "near")
+    row = lambda kind, a, n: near.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(n).alias("n"))
+    found = found.where("kind <> '?'").union(row("n", "a", "cb")).union(row("n", "b", "ca")).union(row("e", "a", "b"))
     weight = found.where("kind = 'n'").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("others"))
     part = components(found.where("kind = 'e'").select("a", F.col("n").alias("b"))).withColumnRenamed("node", "uid")
     firsts = classes.select("uid", "h1", "h2", "first_id", "c").join(weight, "uid", "left").join(part, "uid", "left").withColumn("component", F.coalesce("component", "uid"))

@@ -9,7 +9,8 @@ def brute(rows):
     ok = [i is not None and v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v in rows]
     n = len(rows)
     links, part = [0] * n, list(range(n))
-    unit = [np.array(v, float) / np.linalg.norm(np.array(v, float)) if g else None for (_, v), g in zip(rows, ok)]
+    scaled = [np.array(v, float) / max(map(abs, v)) if g else None for (_, v), g in zip(rows, ok)]
+    unit = [v / np.linalg.norm(v) if g else None for v, g in zip(scaled, ok)]
     for i in range(n):
         for j in range(i):
             if ok[i] and ok[j] and len(unit[i]) == len(unit[j]) and float(unit[i] @ unit[j]) >= 0.95:
@@ -35,14 +36,13 @@ def test_whole_table(spark, sf_dir):
     assert got(embeddings.op5_pca_tiles(spark, sf_dir)) == want
 
 
-def test_groups_small_tiles_and_odd_rows(spark, monkeypatch):
+def test_groups_small_tiles_and_odd_rows(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(6, 12))
     rows = [(int(i * 3), [float(x) for x in base[i % 6] + rng.normal(size=12) * rng.choice([0.0, 0.1, 0.25])]) for i in range(90)]
-    rows += [(500, rows[0][1]), (500, rows[0][1]), (500, rows[1][1]), (-1, [2 * x for x in rows[0][1]]), (600, None), (601, []), (602, [0.0] * 12), (603, [float("nan")] + [1.0] * 11), (604, [float("inf")] + [1.0] * 11), (605, [None] + [1.0] * 11), (None, rows[0][1]), (606, rows[0][1][:5]), (607, rows[0][1][:5])]
+    rows += [(500, rows[0][1]), (500, rows[0][1]), (500, rows[1][1]), (-1, [2 * x for x in rows[0][1]]), (600, None), (601, []), (602, [0.0] * 12), (603, [float("nan")] + [1.0] * 11), (604, [float("inf")] + [1.0] * 11), (605, [None] + [1.0] * 11), (None, rows[0][1]), (606, rows[0][1][:5]), (607, rows[0][1][:5]), (608, [1e200, 1e-200]), (609, [1e-200, 1e-210]), (610, [0.95, (1 - 0.95**2) ** 0.5]), (611, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as h1", "'x' as uid")
     want = brute(rows)
     assert got(embeddings.near_duplicates(df)) == want
-    monkeypatch.setattr(embeddings, "TILE", 5)
-    assert got(embeddings.near_duplicates(df)) == want
+    assert got(embeddings.near_duplicates(df, tile=5)) == want
     assert embeddings.near_duplicates(df.limit(0)).count() == 0

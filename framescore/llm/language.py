@@ -1,44 +1,48 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
-A text is its letters, lower-cased, with one boundary for each run of anything else. A model is, for each order, sorted
-arrays of n-gram codes with their discounted probability and of contexts with their backoff weight. The language
-with the lowest cross-entropy a character wins; calibration documents decide how high it may be before the text is
-rejected. Models are fitted on a bounded sample of labelled documents (``MAX_DOCS`` a language, of at most
-``MAX_CHARS`` characters each); every whole text is scored."""
+A text is its letters, lower-cased, with one boundary for each run of anything else; every letter is a symbol of its
+own. A model is, for each order, sorted arrays of n-gram hashes (64 bits: the characters themselves) with their
+discounted probability and of contexts with their backoff weight. The language with the lowest cross-entropy a character
+wins. Held-back documents, cut into pieces, tell how high it may be: a text is rejected above the ``QUANTILE`` of pieces
+at most a quarter as long, which vary more. Models are fitted on a bounded sample of labelled documents (about
+``MAX_PIECES`` pieces of at most ``MAX_CHARS`` characters a language); every whole text is scored."""
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framescore.llm.common import documents, written
+from framescore.llm.common import documents, mix, written
 
-ORDER, BITS = 4, 6
-#: Letters with a code of their own; 62 stands for all others, 0 for a boundary.
-OWN, OTHER = 61, 62
-MAX_DOCS, MAX_CHARS = 600, 20_000
-#: Characters worked on at once.
-CHARS = 1 << 20
+ORDER, BITS = 4, 16
+MAX_PIECES, MAX_CHARS = 600, 20_000
+#: Lengths of the pieces from which limits are learned, and which share of them a limit lets through.
+LENGTHS, QUANTILE = (8, 32, 128, 512), 0.999
+#: Characters worked on at once, and codes whose values a task keeps.
+CHARS, SLOTS = 1 << 20, 20
 
 
-def symbols(letters: str) -> np.ndarray:
-    """The symbol of every code point."""
-    out = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(np.uint8) * OTHER
-    for k, c in enumerate(letters[:OWN]):
-        out[ord(c)] = k + 1
-    return out
+@cache
+def symbols() -> np.ndarray:
+    """The 16-bit symbol of every code point: a letter's own number, 0 for anything else. Letters beyond 16 bits share the
+    numbers of surrogates and private characters, which are no letters."""
+    point = np.arange(0x110000)
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return np.where(letter, np.where(point < 1 << 16, point, 0xD800 + point % 8448), 0).astype(np.uint16)
 
 
-def codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code of each character with the ORDER - 1 before it, the text it is in); texts begin after boundaries."""
     gap = "\n" * (ORDER - 1)
-    joined = gap + gap.join(t.lower() for t in texts) + "\n"
-    sym = table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    size = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
+    texts = [t.lower() for t in texts]
+    joined = gap + gap.join(texts) + "\n"
+    sym = symbols()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     of = np.repeat(np.arange(len(texts)), size + ORDER - 1)
     of = np.append(of, max(0, len(texts) - 1))
     first = np.concatenate([[0], np.cumsum(size + ORDER - 1)])[:-1]
@@ -48,13 +52,18 @@ def codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = (sym > 0) | lead
     keep[1:] |= (sym[:-1] > 0) & ~lead[1:]
     keep[-1] = False  # one after the last text
-    sym, of, lead = sym[keep].astype(np.int64), of[keep], lead[keep]
+    sym, of, lead = sym[keep].astype(np.uint64), of[keep], lead[keep]
     code = sym.copy()
     for j in range(1, ORDER):
-        code[j:] |= sym[:-j] << (BITS * j)
+        code[j:] |= sym[:-j] << np.uint64(BITS * j)
     return code[~lead], of[~lead]
 
 
+def _low(k: int) -> np.uint64:
+    """Mask of the last k characters of a code."""
+    return np.uint64((1 << (BITS * k)) - 1)
+
+
 def kneser_ney(code: np.ndarray) -> dict[str, np.ndarray]:
     """Arrays gram{k}, prob{k}, context{k}, backoff{k} for orders 1 to ORDER."""
     out = {}
@@ -62,90 +71,108 @@ def kneser_ney(code: np.ndarray) -> dict[str, np.ndarray]:
     for k in range(ORDER, 0, -1):
         n1, n2 = int((counts == 1).sum()), int((counts == 2).sum())
         d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-        context, at, types = np.unique(grams >> BITS, return_inverse=True, return_counts=True)
+        context, at, types = np.unique(grams >> np.uint64(BITS), return_inverse=True, return_counts=True)
         total = np.bincount(at, counts).astype(float)
         out |= {f"gram{k}": grams, f"prob{k}": (counts - d).clip(0) / total[at], f"context{k}": context, f"backoff{k}": (types * d) / total}
         # a lower order counts the different characters that come before
-        grams, counts = np.unique(grams & ((1 << (BITS * (k - 1))) - 1), return_counts=True)
+        grams, counts = np.unique(grams & _low(k - 1), return_counts=True)
     return out
 
 
-def log_prob(model: dict[str, np.ndarray], code: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each code's last character after the others."""
-    p = np.full(len(code), 1 / (OTHER + 1))
+def log_prob(model: dict[str, np.ndarray], code: np.ndarray, letters: int) -> np.ndarray:
+    """log2 of the probability of each code's last character after the others; ``letters``: symbols that share what no
+    order has seen."""
+    p = np.full(len(code), 1 / letters)
     for k in range(1, ORDER + 1):
-        own = code & ((1 << (BITS * k)) - 1)
+        own = code & _low(k)
 
         def found(keys, values, at, other):
             i = np.searchsorted(keys, at).clip(0, len(keys) - 1)
             return np.where(keys[i] == at, values[i], other)
 
-        p = found(model[f"gram{k}"], model[f"prob{k}"], own, 0.0) + found(model[f"context{k}"], model[f"backoff{k}"], own >> BITS, 1.0) * p
+        p = found(model[f"gram{k}"], model[f"prob{k}"], own, 0.0) + found(model[f"context{k}"], model[f"backoff{k}"], own >> np.uint64(BITS), 1.0) * p
     return np.log2(p)
 
 
 class Scorer:
-    """Cross-entropies of texts under every language; each distinct code is looked up in the sorted arrays once."""
+    """Cross-entropies of texts under every language. Values of codes met before are kept in slots by hash; a code not in its
+    slot is looked up in the sorted arrays once a call."""
 
-    def __init__(self, models: dict[str, dict], letters: str):
+    def __init__(self, models: dict[str, dict], letters: int):
         self.langs = sorted(models)
-        self.models = [models[x] for x in self.langs]
-        self.table = symbols(letters)
-        self.row = np.full(1 << (BITS * ORDER), -1, np.int32)
+        self.models, self.letters = [models[x] for x in self.langs], letters
+        self.clear()
+
+    def clear(self) -> None:
+        self.code, self.row = np.zeros(1 << SLOTS, np.uint64), np.full(1 << SLOTS, -1, np.int32)
         self.known, self.used = np.zeros((1 << 16, len(self.langs)), np.float32), 0
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bits a character, a column a language; characters)."""
-        code, of = codes(texts, self.table)
-        at = self.row[code]
+        code, of = codes(texts)
+        if self.used > 1 << SLOTS:
+            self.clear()
+        slot = (mix(code) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        at = np.where(self.code[slot] == code, self.row[slot], -1)
         if (at < 0).any():
-            new = np.unique(code[at < 0])
+            new, first, inverse = np.unique(code[at < 0], return_index=True, return_inverse=True)
             while self.used + len(new) > len(self.known):
                 self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            rows = np.arange(self.used, self.used + len(new))
             for k, m in enumerate(self.models):
-                self.known[self.used : self.used + len(new), k] = log_prob(m, new)
-            self.row[new] = np.arange(self.used, self.used + len(new))
+                self.known[rows, k] = log_prob(m, new, self.letters)
+            where = slot[at < 0][first]
+            self.code[where], self.row[where] = new, rows
             self.used += len(new)
-            at = self.row[code]
+            at[at < 0] = rows[inverse]
         n = np.bincount(of, minlength=len(texts))
         bits = np.stack([np.bincount(of, self.known[at, k], minlength=len(texts)) for k in range(len(self.langs))], 1) if len(code) else np.zeros((len(texts), len(self.langs)))
         return -bits / np.maximum(n, 1)[:, None], n
 
 
-def sample(docs: DataFrame, learn, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Labelled documents with a letter to learn from, those with the smallest hashes of each language."""
-    mark = F.xxhash64("doc_id", F.lit(7))
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (F.length("text") <= max_chars)).select("lang", "text", mark.alias("mark"))
-    ranks = rows.select("lang", "mark").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("mark"))).where(F.col("rank") <= max_docs)
-    last = ranks.groupBy("lang").agg(F.max("mark").alias("last"))  # a row a language
-    return written(rows.join(F.broadcast(last), "lang").where(F.col("mark") <= F.col("last")).drop("last"), "sample")
+def sample(docs: DataFrame, learn, pieces: int = MAX_PIECES, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(lang, text, mark): about ``pieces`` of each language's labelled texts, all of them where there are no more, chosen by hash. A text of
+    more than ``max_chars`` characters is several pieces, so that none is left out for its length."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    cut = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / max_chars).cast("int"))))
+    cut = cut.select("lang", F.xxhash64("doc_id", F.lit(7), F.col("i")).alias("mark"), F.substring("text", F.col("i") * max_chars + 1, F.lit(max_chars)).alias("text"))
+    share = rows.select("lang", F.ceil(F.length("text") / max_chars).alias("n")).groupBy("lang").agg((pieces / F.sum("n")).alias("share"))  # a row a language
+    chosen = cut.join(F.broadcast(share), "lang").where(F.pmod("mark", F.lit(1 << 31)) < F.col("share") * (1 << 31))
+    return written(chosen.drop("share").dropDuplicates(["lang", "mark"]), "sample")
+
+
+def limits(model: dict[str, np.ndarray], texts: list[str], letters: int) -> list[float]:
+    """For each of LENGTHS the cross-entropy that QUANTILE of the texts' pieces of so many characters don't exceed."""
+    code, of = codes(texts)
+    bits = -log_prob(model, code, letters)
+    out = []
+    for size in LENGTHS:
+        place = np.arange(len(code)) - np.searchsorted(of, of)  # in the text
+        piece = np.unique(of * (1 << 32) + place // size, return_inverse=True)[1]
+        n = np.bincount(piece)
+        mean = np.bincount(piece, bits) / np.maximum(n, 1)
+        whole = mean[n == size] if (n == size).any() else mean
+        out.append(float(np.quantile(whole, QUANTILE, method="higher")) if len(whole) else float("inf"))
+    return out
 
 
-def fit(docs: DataFrame, learn) -> tuple[dict, str, dict]:
-    """(models by language, letters with codes, calibration by language) from the rows of ``docs`` where ``learn`` holds."""
+def fit(docs: DataFrame, learn) -> tuple[dict, int, dict]:
+    """(models by language, number of symbols, limits by language) from the rows of ``docs`` where ``learn`` holds."""
     rows = sample(docs, learn)
-    counts = rows.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(F.col("c").rlike("^\\p{L}$")).groupBy("c").count()
-    letters = "".join(r.c for r in counts.orderBy(F.desc("count"), "c").limit(OWN).collect())
+    letters = 1 + rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).where(F.col("c").rlike("^\\p{L}$")).distinct().count()
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mark", "text"])
-        table, texts = symbols(letters), pdf.text.tolist()
-        code, of = codes(texts, table)
-        inside = of % 5 != 0 if len(texts) > 5 else np.ones(len(of), bool)
-        model = kneser_ney(code[inside])
-        out = {"lang": pdf.lang.iloc[0], **{k: [v] for k, v in model.items()}}
-        # calibration: how far a document's mean lies from its language's, in deviations of a mean of so many characters
-        used = ~inside if (~inside).any() else inside
-        p = -log_prob(model, code[used])
-        mean, dev = p.mean(), max(float(p.std()), 1e-6)
-        n = np.bincount(of[used], minlength=len(texts))
-        z = (np.bincount(of[used], p, minlength=len(texts))[n > 0] / n[n > 0] - mean) * np.sqrt(n[n > 0]) / dev
-        return pd.DataFrame(out | {"calibration": [[float(mean), float(dev), float(max(z.max(), 1.0))]]})
+        texts = pdf.sort_values(["mark", "text"]).text.tolist()
+        held = texts[::5] if len(texts) > 5 else texts
+        model = kneser_ney(codes([t for i, t in enumerate(texts) if i % 5] if len(texts) > 5 else texts)[0])
+        out = {"lang": pdf.lang.iloc[0], **{k: [v.view(np.int64) if v.dtype == np.uint64 else v] for k, v in model.items()}}
+        return pd.DataFrame(out | {"limits": [limits(model, held, letters)]})
 
     fields = ", ".join(f"gram{k} array<long>, prob{k} array<double>, context{k} array<long>, backoff{k} array<double>" for k in range(1, ORDER + 1))
-    fitted = rows.groupBy("lang").applyInPandas(train, f"lang string, {fields}, calibration array<double>").toPandas()
-    models = {r["lang"]: {k: np.asarray(r[k]) for k in fitted.columns if k not in ("lang", "calibration")} for _, r in fitted.iterrows()}
-    return models, letters, {r["lang"]: list(r["calibration"]) for _, r in fitted.iterrows()}
+    fitted = rows.groupBy("lang").applyInPandas(train, f"lang string, {fields}, limits array<double>").toPandas()
+    array = lambda k, v: np.asarray(v).view(np.uint64) if k[0] in "gc" else np.asarray(v)
+    models = {r["lang"]: {k: array(k, r[k]) for k in fitted.columns if k not in ("lang", "limits")} for _, r in fitted.iterrows()}
+    return models, letters, {r["lang"]: list(r["limits"]) for _, r in fitted.iterrows()}
 
 
 def identified(docs: DataFrame, learn) -> DataFrame:
@@ -155,15 +182,15 @@ def identified(docs: DataFrame, learn) -> DataFrame:
     cross-entropies go to the first language by name. With nothing to learn from every text is ``und``. Columns
     named as added ones are replaced."""
     spark = docs.sparkSession
-    models, letters, calibration = fit(docs, learn)
+    models, letters, limit = fit(docs, learn)
     added = "lang_pred string, score double, cross_entropy double, rejected boolean"
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
-    shared = spark.sparkContext.broadcast((models, letters, calibration))  # bounded by the sample
+    shared = spark.sparkContext.broadcast((models, letters, limit))  # bounded by the sample
 
     def run(batches):
-        models, letters, calibration = shared.value
+        models, letters, limit = shared.value
         scorer = Scorer(models, letters)
-        limits = np.array([calibration[x] for x in scorer.langs]).reshape(-1, 3)
+        most = np.array([limit[x] for x in scorer.langs]).reshape(-1, len(LENGTHS))
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             parts, part, size = [], [], 0
@@ -186,9 +213,8 @@ def identified(docs: DataFrame, learn) -> DataFrame:
                 low = h[np.arange(len(part)), best]
                 p = 1 / np.exp2((low[:, None] - h) * np.minimum(n, 64)[:, None]).sum(1)
                 if scorer.langs:
-                    mean, dev, worst = limits[best].T
-                    bad = (low - mean) * np.sqrt(n) / dev > 2 * worst + 6
-                    bad &= low > mean * 1.25
+                    band = np.searchsorted(4 * np.array(LENGTHS), n, "right") - 1  # a text of under 32 characters is never rejected
+                    bad = (band >= 0) & (low > most[best, band.clip(0)])
                 for i, ok in enumerate(letter):
                     lang.append(scorer.langs[best[i]] if ok else "und")
                     score.append(float(p[i]) if ok else 0.0)

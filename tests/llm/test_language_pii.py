@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framescore.llm.language import ORDER, codes, identified, kneser_ney, learnable, log_prob, op3_kneser_ney, symbols
+from framescore.llm.language import ORDER, codes, identified, kneser_ney, learnable, limits, log_prob, op3_kneser_ney, sample
 from framescore.llm.pii import KINDS, base_spans, found, fit, luhn, op6_weak_supervision, redacted, spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,12 +43,27 @@ def test_language_odd_rows(spark):
     assert identified(none, learnable(none)).first().lang_pred == "und"
 
 
+def test_scripts_and_long_texts(spark):
+    """Languages that share a script of many letters, and one that has only long texts."""
+    rng = np.random.default_rng(3)
+    first, second = ("".join(map(chr, rng.choice(np.arange(0x4E00, 0x5200), 300, replace=False))) for _ in range(2))
+    write = lambda letters, n: "".join(rng.choice(list(letters), n))
+    rows = [(i, write(first if i % 2 else second, 400), "xx" if i % 2 else "yy", None, None) for i in range(80)]
+    rows += [(100 + i, ("слово и дело " * 2500) + str(i), "ru", None, None) for i in range(3)] + [(200, write(first, 60), None, None, None), (201, write(second, 60), None, None, None), (202, "дело и слово", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in identified(df, F.col("lang").isNotNull()).collect()}
+    assert (got[200], got[201], got[202]) == ("xx", "yy", "ru")
+    pieces = sample(df, F.lit(True)).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()
+    assert {r["lang"]: (r.n, r["size"]) for r in pieces}["ru"] == (6, sum(len(r[1]) for r in rows if r[2] == "ru"))
+
+
 def test_kneser_ney_is_a_distribution_and_matches_the_recursion():
     text = "abracadabra barbara cab"
-    code, _ = codes([text], symbols("abcdr"))
+    code, _ = codes([text])
     model = kneser_ney(code)
-    contexts = np.unique(code >> 6)[:20]
-    p = np.exp2(log_prob(model, (contexts[:, None] << 6 | np.arange(63)).ravel())).reshape(-1, 63)
+    contexts = np.unique(code >> np.uint64(16))[:20]
+    symbols = np.array([0, *map(ord, "abcdr")], np.uint64)
+    p = np.exp2(log_prob(model, (contexts[:, None] << np.uint64(16) | symbols).ravel(), 6)).reshape(-1, 6)
     assert np.allclose(p.sum(1), 1)
     levels = {}
     grams = {}
@@ -58,23 +73,24 @@ def test_kneser_ney_is_a_distribution_and_matches_the_recursion():
         levels[k] = grams
         lower = {}
         for g in grams:
-            s = g & ((1 << (6 * (k - 1))) - 1)
+            s = g & ((1 << (16 * (k - 1))) - 1)
             lower[s] = lower.get(s, 0) + 1
         grams = lower
 
     def prob(c, k):
         if k == 0:
-            return 1 / 63
-        c &= (1 << (6 * k)) - 1
+            return 1 / 6
+        c &= (1 << (16 * k)) - 1
         own = levels[k]
         n1, n2 = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
         d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-        same = [v for g, v in own.items() if g >> 6 == c >> 6]
+        same = [v for g, v in own.items() if g >> 16 == c >> 16]
         if not same:
             return prob(c, k - 1)
         return max(own.get(c, 0) - d, 0) / sum(same) + len(same) * d / sum(same) * prob(c, k - 1)
 
-    assert np.allclose(np.log2([prob(c, ORDER) for c in code.tolist()]), log_prob(model, code))
+    assert np.allclose(np.log2([prob(c, ORDER) for c in code.tolist()]), log_prob(model, code, 6))
+    assert limits(model, [text], 6)[0] > 0
 
 
 def brute_base(text):

@@ -1,100 +1,156 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
-Numbers, names and units become typed placeholders on both sides; windows of eight canonical words are joined by
-128 bits of hash. Windows that agree on where the item would begin in the document are one alignment. An alignment's
-placeholders must map each value of the item to one value of the document; then it is a copy (all values
-equal) or a re-parameterised question."""
+Numbers, names and units become typed placeholders on both sides, a run of names one placeholder; windows of eight
+template words are hash-joined. Windows that agree on where the item would begin in the document are one alignment, and
+alignments a few words apart add up. An alignment's placeholders must map each value of the item to one value of the document;
+then it is a copy (all values equal) or a re-parameterised question. Beside these, windows of 13 plain words, and items of fewer
+as a whole, are joined as they are: an exact copy is found whatever its words and letter case are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framescore.llm.common import documents, written
 
-WINDOW = 8
-#: Windows of one alignment that make a match: a passage of 13 words, or every window of a shorter item.
-ENOUGH = 6
-#: Words other than placeholders a window needs.
+#: Words of a template window and of a plain one; shorter items are a window of their own from SHORTEST words on.
+WINDOW, PLAIN, SHORTEST = 8, 13, 5
+#: Windows of an item's alignments that make a match (every one of an item that has fewer), and words by which those that add up may be apart.
+ENOUGH, APART = 6, 3
+#: Words other than placeholders a template window needs (half of a shorter item's).
 LITERALS = 4
 #: Windows of all items that are broadcast; beyond that the join is shuffled.
 BROADCAST_ROWS = 500_000
 
-#: Units.
+#: Units, words inside names.
 UNITS = "km m cm mm mile miles kg g mg lb lbs oz ton tons l ml s sec seconds min minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh degrees meters metres litres liters grams"
+PARTICLES = "van von der den de del della di da du la le al bin ibn of"
 
-_EDGE = r"(?<![^\x20\x09-\x0D])"
-_STOP = r"(?=[.,;:!?)]*(?:[\x20\x09-\x0D]|$))"
-NUMBER = _EDGE + r"[$(+-]*[0-9][0-9.,/:]*%?" + _STOP
-UNIT = _EDGE + "(?i:" + "|".join(UNITS.split()) + ")" + _STOP
-#: A capitalised word that does not begin a sentence, a line or the text.
-NAME = r"(?<=[^\x20\x09-\x0D.!?][\x20])\p{Lu}\p{Ll}+" + _STOP
+SPACE = r"[\x20\x09-\x0D]+"
 
 
-def canonical(text):
-    """The text with typed placeholders, split at white space into lower-case words without outer punctuation."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, "\u0001n")
-    t = F.regexp_replace(F.regexp_replace(t, NUMBER, "\u0001d"), UNIT, "\u0001u")
-    return F.filter(F.split(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\x01\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def tokens(text):
+    """Words of a text at white space, without punctuation."""
+    return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""), SPACE), lambda w: w != "")
 
 
-def raw(text):
-    """The words that ``canonical`` gives, without placeholders: same count, same order."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\x01\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def template(words):
+    """Template words of tokens: lower-case words, and placeholders \\u0001, type and value; a number begins with a digit, a name's
+    words begin with a capital, joined by \\u0002 over particles between them."""
 
+    def kind(w):
+        one = F.substring(w, 1, 1)
+        low = F.lower(w)
+        return F.when(one.between("0", "9"), "d").when(low.isin(UNITS.split()), "u").when(F.lower(one) != one, "n").when(w.isin(PARTICLES.split()), "p").otherwise("w")
 
-def windows(table: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, h): a row a window of ``words`` (canonical words)."""
-    one = lambda i: F.xxhash64(F.slice("hashes", i + 1, WINDOW))
-    spans = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), one))
-    return table.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).select(*keys, F.posexplode(spans).alias("pos", "h"))
+    both = F.transform(words, lambda w: F.struct(kind(w).alias("k"), w.alias("w")))
+
+    def marked(x, i):
+        k = lambda j: F.coalesce(F.get(both, i + j)["k"], F.lit("w"))
+        after = (k(-1) == "n") | ((k(-1) == "p") & (k(-2) == "n"))
+        inside = (k(-1) == "n") & (k(1) == "n")
+        return F.when(x["k"] == "w", F.lower(x["w"])).when(x["k"] == "n", F.concat(F.when(after, "\u0002").otherwise("\u0001n"), F.lower(x["w"]))).when(x["k"] == "p", F.concat(F.when(inside, "\u0002").otherwise(""), x["w"])).otherwise(F.concat(F.lit("\u0001"), x["k"], F.lower(x["w"])))
+
+    joined = F.replace(F.array_join(F.transform(both, marked), " "), F.lit(" \u0002"), F.lit("\u0002"))
+    return F.filter(F.split(joined, " "), lambda w: w != "")
 
 
 def _slot(word):
     return word.startswith("\u0001")
 
 
+def _value(word):
+    return F.substring(word, 3, 1 << 30)
+
+
+def _hashes(words, slots: bool):
+    """64 bits a word; of a placeholder, of its type."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(_slot(w), F.substring(w, 1, 2)).otherwise(w)) if slots else F.xxhash64(w, F.lit("plain")))
+
+
+def _spans(hashes, size: int):
+    """(plain or template by its hash, place, hash) of all windows of ``size`` words."""
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.slice(hashes, i + 1, size)).alias("h")))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+
+
+def _index(items: DataFrame) -> DataFrame:
+    """(item_id, size, plain, at, h): the windows of items."""
+    words = items.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.transform("t", F.lower).alias("raw"), template(F.col("t")).alias("words"))
+    words = words.select("item_id", "raw", "words", _hashes(F.col("raw"), False).alias("hr"), _hashes(F.col("words"), True).alias("hw"))
+    out = None
+    for name, hashes, most, plain in (("raw", "hr", PLAIN, True), ("words", "hw", WINDOW, False)):
+        for size in range(SHORTEST, most + 1):
+            rows = words.where(F.size(name) >= size if size == most else F.size(name) == size)
+            if not plain:
+                literals = F.transform("words", lambda w: F.when(_slot(w), 0).otherwise(1))
+                need = min(LITERALS, (size + 1) // 2)
+            rows = rows.select("item_id", *([] if plain else [literals.alias("l")]), F.explode(_spans(F.col(hashes), size)).alias("x"))
+            if not plain:
+                rows = rows.where(F.aggregate(F.slice("l", F.col("x.pos") + 1, size), F.lit(0), lambda a, b: a + b) >= need)
+            rows = rows.select("item_id", F.lit(size).alias("size"), F.lit(plain).alias("plain"), F.col("x.pos").alias("at"), F.col("x.h").alias("h"))
+            out = rows if out is None else out.union(rows)
+    return out
+
+
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, tk, item_id, total, n_windows, kind): alignments of documents (by id and hash of the text) with items."""
-    items = items.select("item_id", canonical(F.col("text")).alias("words"), raw(F.col("text")).alias("raw"))
-    plain = lambda at: F.size(F.filter(F.slice("words", at + 1, WINDOW), lambda w: ~_slot(w)))
-    index = written(windows(items, ["item_id", "words"]).where(plain(F.col("pos")) >= LITERALS).select("item_id", F.col("pos").alias("at"), "h"), "items")
-    bounded = index.count() <= BROADCAST_ROWS
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    mine = windows(texts.select("doc_id", "tk", canonical(F.col("text")).alias("words")), ["doc_id", "tk"])
-    hits = mine.join(F.broadcast(index) if bounded else index, "h")
-    runs = hits.groupBy("doc_id", "tk", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
-    total = index.groupBy("item_id").agg(F.count("*").alias("total"))
-    need = F.least(F.lit(ENOUGH), F.col("total"))
-    runs = written(runs.join(total, "item_id").where(F.size("ats") >= need), "alignments")
-
-    full = runs.join(texts.withColumnRenamed("doc_id", "_id").withColumnRenamed("tk", "_tk"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).drop("_id", "_tk").dropDuplicates(["doc_id", "tk", "item_id", "shift"])
-    full = full.withColumn("mine", canonical(F.col("text"))).withColumn("mine_raw", raw(F.col("text"))).drop("text").join(items, "item_id")
-    covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (WINDOW - 1)))))
-    full = full.withColumn("covered", covered).where(F.forall("covered", lambda p: F.get("words", p) == F.get("mine", p + F.col("shift"))))
+    """(key, item_id, total, n_windows, kind): alignments of documents, by ``key`` (doc_id and hash of the text), with items. ``docs``: key, text."""
+    items = items.select("item_id", "text")
+    index = written(_index(items), "items")
+    shape = index.groupBy("size", "plain").count().collect()  # at most a row a size
+    bounded = sum(r["count"] for r in shape) <= BROADCAST_ROWS
+    total = index.groupBy("item_id").agg(F.sum((~F.col("plain")).cast("int")).alias("template"), F.sum(F.col("plain").cast("int")).alias("total"))
+
+    sizes = {flag: sorted(r["size"] for r in shape if r.plain == flag) for flag in (True, False)}
+    mine = docs.select("key", tokens(F.col("text")).alias("t"))
+    mine = mine.select("key", _hashes(F.transform("t", F.lower), False).alias("hr"), _hashes(template(F.col("t")), True).alias("hw"))
+    spans = F.concat(F.array().cast("array<struct<pos:int,h:bigint>>"), *(_spans(F.col("hr"), s) for s in sizes[True]), *(_spans(F.col("hw"), s) for s in sizes[False]))
+    hits = mine.select("key", F.explode(spans).alias("x")).select("key", "x.pos", "x.h").join(F.broadcast(index) if bounded else index, "h")
+    runs = hits.groupBy("key", "item_id", "plain", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"), F.max("size").alias("size"))
+    runs = runs.join(total, "item_id").withColumn("need", F.when(F.col("plain"), 1).otherwise(F.least(F.lit(ENOUGH), F.col("template"))))
+    near = W.partitionBy("key", "item_id", "plain").orderBy("shift").rangeBetween(-APART, APART)
+    runs = written(runs.withColumn("near", F.sum(F.size("ats")).over(near)).where(F.col("near") >= F.col("need")).drop("near"), "alignments")
+
+    copies = runs.where("plain").select("key", "item_id", "total", F.size("ats").cast("long").alias("n_windows"), F.lit("copy").alias("kind"))
+    words = lambda df, name: df.select(*(c for c in df.columns if c != "text"), template(tokens(F.col("text"))).alias(name))
+    full = runs.where("not plain").join(words(docs, "mine"), "key").dropDuplicates(["key", "item_id", "shift"]).join(words(items, "words"), "item_id")
+    full = full.withColumn("covered", F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1)))))
+    type_ = lambda w: F.when(_slot(w), F.substring(w, 1, 2)).otherwise(w)
+    full = full.where(F.forall("covered", lambda p: type_(F.get("words", p)) == type_(F.get("mine", p + F.col("shift")))))
     slots = F.filter("covered", lambda p: _slot(F.get("words", p)))
-    full = full.withColumn("pairs", F.array_distinct(F.transform(slots, lambda p: F.struct(F.get("raw", p).alias("theirs"), F.get("mine_raw", p + F.col("shift")).alias("own")))))
+    full = full.withColumn("pairs", F.array_distinct(F.transform(slots, lambda p: F.struct(_value(F.get("words", p)).alias("theirs"), _value(F.get("mine", p + F.col("shift"))).alias("own")))))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["theirs"]))) == F.size("pairs")
-    equal = F.forall("pairs", lambda x: x["theirs"] == x["own"])
-    n_plain = F.size(F.filter("ats", lambda a: plain(a) == WINDOW))
-    return full.select("doc_id", "tk", "item_id", "total", F.when(consistent, F.size("ats")).otherwise(n_plain).cast("long").alias("n_windows"), F.when(equal | ~consistent, "copy").otherwise("reparameterised").alias("kind")).where(F.col("n_windows") >= need)
+    # a name that begins or ends an item may run on in the document
+    equal = F.forall("pairs", lambda x: (x["theirs"] == x["own"]) | x["own"].endswith(F.concat(F.lit("\u0002"), x["theirs"])) | x["own"].startswith(F.concat(x["theirs"], F.lit("\u0002"))))
+    unslotted = F.size(F.filter("ats", lambda a: ~F.exists(F.slice("words", a + 1, F.col("size")), _slot)))
+    full = full.select("key", "item_id", "shift", "total", "need", F.when(consistent | equal, F.size("ats")).otherwise(unslotted).alias("n"), (equal | ~consistent).alias("copy"))
+    near = W.partitionBy("key", "item_id").orderBy("shift").rangeBetween(-APART, APART)
+    full = full.withColumn("n_windows", F.sum("n").over(near).cast("long")).withColumn("copy", F.min("copy").over(near)).where(F.col("n_windows") >= F.col("need"))
+    return copies.union(full.select("key", "item_id", "total", "n_windows", F.when(F.col("copy"), "copy").otherwise("reparameterised").alias("kind")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("key"), "text")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, kind): a row for each document that holds a passage of an item; clean
     documents have none.
 
-    Null and empty texts match nothing, nor do items of under eight words; documents that repeat give one row a
+    Null and empty texts match nothing, nor do items of under five words; documents that repeat give one row a
     doc_id and item; empty tables give an empty one; other columns are ignored. ``kind`` is "copy" or
-    "reparameterised"; ``coverage`` is the share of the item's windows in the best alignment."""
-    best = alignments(docs, items).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", F.col("kind") == "copy", "kind", "total")).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_windows", (F.col("b.n_windows") / F.col("b.total")).alias("coverage"), "b.kind")
+    "reparameterised"; ``coverage`` is the number of windows in the best alignment to those of the item's plain ones, at most 1."""
+    best = alignments(_keyed(docs), items).groupBy("key.doc_id", "item_id").agg(F.max(F.struct(F.col("kind") == "copy", "n_windows", "kind", "total")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_windows", F.least(F.lit(1.0), F.col("b.n_windows") / F.col("b.total")).alias("coverage"), "b.kind")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that match no item, unchanged."""
-    bad = written(alignments(docs, items).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left_anti")
+    """The rows of ``docs`` that match no item, unchanged, whatever their other columns are named. Null texts and null ids stay; rows
+    that repeat stay or go together; empty tables give back ``docs``."""
+    bad = written(alignments(_keyed(docs), items).select("key").distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64("text").alias("text")).alias("key"))
+    left = rows.join(bad, rows["key"].eqNullSafe(bad["key"]), "left_anti")
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op8_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from framescore.llm.common import components, documents, grams, groups, mix, partitions, words, written
 
 SHINGLE = 5
-#: Sets in a tile, sets of a key that gives pairs, keys that a pair shares, rows of ids that are broadcast.
+#: Sets in a tile, sets of a key that gives pairs, keys that a pair shares, rows of narrow columns that are broadcast.
 TILE, FEW, SHARED, BROADCAST = 1024, 24, 3, 1_000_000
 #: Documents from which the order of shingles is learned, and shingles that it puts last; they change speed alone.
 SAMPLE, LAST = 4000, 1 << 17
@@ -339,10 +339,9 @@ def _units(sets: DataFrame, tile: int) -> DataFrame:
     return sets.withColumn("u", F.explode(F.when(F.col("all") <= tile, one).otherwise(many))).select("*", "u.unit", "u.side").drop("u", "tiles", "all", "band", "tile")
 
 
-def _where_id(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose (doc_id, text_hash) is among ``ids``: by broadcast where these are few, else by a shuffled join."""
-    few = ids.limit(BROADCAST + 1).count() <= BROADCAST
-    return df.join(F.broadcast(ids) if few else ids, ["doc_id", "text_hash"], "left_semi")
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has at most BROADCAST rows; else a join with it is shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
 def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
@@ -375,14 +374,10 @@ def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
     part = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}"))
     open_ = written(pairs.join(part("a"), "a").join(part("b"), "b").mapInArrow(_possible, "a long, b long"), "pairs")
 
-    # texts of all sets that may be compared
-    wanted = open_.select(F.col("a").alias("id")).union(open_.select("b")).union(many.select("id")).distinct()
-    wanted = sets.join(wanted, "id", "left_semi").select(F.col("id").alias("doc_id"), "text_hash")
-    texts = written(_where_id(docs, written(wanted, "wanted")).select(F.col("doc_id").alias("id"), "text"), "texts")
-
     def compared(units: DataFrame) -> DataFrame:
-        rows = units.select("unit", "id", "label", "side").distinct().join(texts, "id").repartition(n, "unit").sortWithinPartitions("unit", "id")
-        return written(rows.mapInArrow(_compare_texts, "a long, b long"), "links")
+        meant = written(units.distinct().join(sets.select("id", "text_hash"), "id").withColumnRenamed("id", "doc_id"), "units")
+        rows = docs.join(_few(meant), ["doc_id", "text_hash"]).select("unit", F.col("doc_id").alias("id"), "text", "label", "side")
+        return written(rows.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(_compare_texts, "a long, b long"), "links")
 
     # each set with its smallest partner; a set that is the smallest of many meets them in units of ``tile``
     tree = open_.groupBy("a").agg(F.min("b").alias("b"))
@@ -398,13 +393,14 @@ def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
     rest = labelled(labelled(open_.join(tree, ["a", "b"], "left_anti"), "a", "la"), "b", "lb").where("la <> lb")
     rest = rest.select(F.col("a").alias("id"), F.col("la").alias("label"), F.col("lb").alias("root")).union(rest.select("b", "lb", "lb"))
     of = labelled(many, "id", "label")
-    several = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    several = of.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"), F.count("*").alias("c")).where("x < y")
+    several = several.groupBy("members", "c").agg(F.min("key").alias("key"))  # keys of the same sets are compared once
     tiled = _units(of.join(several, "key", "left_semi").withColumnRenamed("key", "cluster"), tile).join(sets.select("id", "sign"), "id")
     tiled = tiled.select("unit", "id", "n", "sign", "label", "side").repartition(n, "unit").sortWithinPartitions("unit")
     active = written(rest.union(tiled.mapInArrow(_compare_signs, "id long, label long, root long")).distinct(), "active")
     clusters = components(active.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
     chosen = active.select("id", "label").distinct().join(clusters, "label").join(sets.select("id", "n"), "id")
-    links = links.union(compared(_units(chosen, tile)))
+    links = links.union(compared(_units(chosen, tile).select("unit", "id", "label", "side")))
 
     found = components(links).select(F.col("node").alias("id"), "component")
     out = table.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(sets.select("h1", "h2", "id"), ["h1", "h2"], "left").join(found, "id", "left")

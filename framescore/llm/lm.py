@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from framescore.llm.common import BLOCK, block, block_rows, by_bucket, documents, groups, mix, partitions, words, written
 
 VOCAB, HOT, CUT = (1 << 16) - 8, 512, 5
+#: Parts of one into which a token's log10 is rounded.
+GRAIN = 1 << 26
+#: Bytes of text whose records are made at once.
+TEXT = 6 << 20
 UNK, END, FIRST = 0, 1, 2  # ids; words by falling count follow
 IDS = np.uint64(1 << 16)  # a word's key is its id below this, or its hash
 
@@ -147,6 +151,11 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if x.dtype.kind in "iu" and len(x) else x
 
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes where these hold them."""
+    return x.astype(np.int32 if np.abs(x).max(initial=0) < 1 << 31 else np.int64)
+
+
 def _bucketed(kind: str, batch: int, buckets: int, h: np.ndarray, *more: np.ndarray) -> list[tuple]:
     """Blocks (h, more) of each bucket of a hash, sorted by it."""
     order, cuts = by_bucket(h, buckets)
@@ -188,19 +197,31 @@ def hot_counts(docs: DataFrame, shared) -> np.ndarray:
     return out
 
 
-def _sums(of, n, size, before, p1, c):
+def _sums(of, n, size, before, p1, c, whole: bool = True):
     """Sums a document: log10 of seen counts less those of histories (``before``) or of the token's unigram
-    probability, and tokens by small count."""
-    value = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(before + 1), np.log10(p1)) * n
+    probability, in whole GRAINs if ``whole``, so that they add up alike in any order, and tokens by small count."""
+    value = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(before + 1), np.log10(p1))
+    value = (np.rint(value * GRAIN) if whole else value) * n
     return np.bincount(of, value, minlength=size), [np.bincount(of[c == r], n[c == r], minlength=size).astype(np.int64) for r in range(1, CUT + 1)]
 
 
+def _parts(batches):
+    """Batches of about TEXT bytes of text at most; a longer text is one of its own."""
+    for b in batches:
+        size = np.cumsum(np.fromiter((len(x) if x else 0 for x in b.column("text").cast(pa.large_binary()).to_pylist()), np.int64, b.num_rows)) if b.num_rows else np.zeros(0, np.int64)
+        at = 0
+        while at < b.num_rows:
+            z = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT, "right")))
+            yield b.slice(at, z - at)
+            at = z
+
+
 def _ask(shared, buckets: int):
     """Blocks of the different bigrams of two rare words of a batch, to the next word's bucket."""
 
     def run(batches):
         voc = shared.value
-        for b in batches:
+        for b in _parts(batches):
             pairs = []
             for _, _, w in words(b.column("text"), lower=True):
                 before, now, _, hb, hn = voc.sequence(w)
@@ -248,7 +269,7 @@ def _scatter(shared, hot_shared, buckets: int):
         voc, hot_c = shared.value, hot_shared.value
         known = np.concatenate([voc.base(voc.count)])
         task = TaskContext.get().partitionId() << 24
-        for k, b in enumerate(batches):
+        for k, b in enumerate(_parts(batches)):
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
             size = len(train)
             home = {"n_tokens": np.zeros(size, np.int64), "n_known": np.zeros(size, np.int64), "base": np.zeros(size), "value": np.zeros(size), "small": [np.zeros(size, np.uint32) for _ in range(CUT)]}
@@ -262,7 +283,7 @@ def _scatter(shared, hot_shared, buckets: int):
                 home["base"][here] = np.bincount(of[common], known[now[common]], minlength=m)
                 hot = _hot(before, now)
                 c = hot_c[before[hot] * HOT + now[hot]]
-                value, small = _sums(of[hot], np.ones(int(hot.sum())), m, voc.count[before[hot]], voc.p1[now[hot]], c)
+                value, small = _sums(of[hot], np.ones(int(hot.sum())), m, voc.count[before[hot]], voc.p1[now[hot]], c, whole=False)
                 unseen = np.flatnonzero(hot)[c == 0]
                 home["value"][here] = value
                 for r in range(CUT):
@@ -380,7 +401,7 @@ def _count(shared):
             code, count = code[order][at], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else count
         before, now = (code >> np.uint32(16)).astype(np.int64), (code & np.uint32(0xFFFF)).astype(np.int64)
         if len(code):
-            yield block_rows([block("count", 0, -1, code, count)])
+            yield block_rows([block("count", 0, -1, code, _narrow(count))])
             ids, of = np.unique(before, return_inverse=True)
             yield block_rows([block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.p1[now], minlength=len(ids)))])
         for batch, blocks in grams.items():
@@ -389,13 +410,13 @@ def _count(shared):
             docs, of = np.unique(d >> 1, return_inverse=True)
             before, now, un = (g >> np.uint32(16)).astype(np.int64), (g & np.uint32(0xFFFF)).astype(np.int64), c == 0
             value, small = _sums(of, n, len(docs), voc.count[before], voc.p1[now], c)
-            yield block_rows([block("sums", 0, batch, _narrow(docs), value, [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
+            yield block_rows([block("sums", 0, batch, _narrow(docs), _signed(value), [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
         grams.clear()
 
         # a common history and a rare next word
         key, h, other, count = _trained(x for blocks in into.values() for x in blocks)
         if len(key):
-            yield block_rows([block("count_into", 0, -1, h, other.astype(np.uint16), count.astype(np.uint32))])
+            yield block_rows([block("count_into", 0, -1, h, _narrow(other), _narrow(count))])
             ids, of = np.unique(other.astype(np.int64), return_inverse=True)
             yield block_rows([block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.prob(_found(*uni, h)), minlength=len(ids)))])
         for batch, blocks in into.items():
@@ -404,7 +425,7 @@ def _count(shared):
             docs, of = np.unique(d >> 1, return_inverse=True)
             un = c == 0
             value, small = _sums(of, n, len(docs), voc.count[before], voc.prob(_found(*uni, w)), c)
-            yield block_rows([block("sums", 0, batch, _narrow(docs), value, [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
+            yield block_rows([block("sums", 0, batch, _narrow(docs), _signed(value), [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
         into.clear()
 
         # a rare history: its weight needs only the discounts, which are known when all buckets are counted
@@ -413,7 +434,7 @@ def _count(shared):
         types, large = _types(of, count, len(histories))
         p1 = np.bincount(of, p_next(h, other), minlength=len(histories))
         if len(key):
-            yield block_rows([block("count_from", 0, -1, h, other, count.astype(np.uint32))])
+            yield block_rows([block("count_from", 0, -1, h, other, _narrow(count))])
             yield block_rows([block("history", 0, -1, np.array([UNK]), [np.array([t.sum()]) for t in types], np.zeros(1), np.zeros(1))])
         for batch, blocks in out_of.items():
             w, d, n = (np.concatenate([x[i] for x in blocks]) for i in (0, 2, 3))
@@ -421,7 +442,7 @@ def _count(shared):
             c, seen = _found(key, count, _pair(w, o)), _found(*uni, w)
             docs, of = np.unique(d >> 1, return_inverse=True)
             value, small = _sums(of, n, len(docs), seen, p_next(w, o), c)
-            rows = [block("sums", 0, batch, _narrow(docs), value, [_narrow(x) for x in small])]
+            rows = [block("sums", 0, batch, _narrow(docs), _signed(value), [_narrow(x) for x in small])]
             un = (c == 0) & (seen > 0)  # a history that is never seen leaves all to the unigrams
             if un.any():
                 at, which = np.unique(np.searchsorted(histories, w[un]), return_inverse=True)
@@ -450,7 +471,7 @@ def _gather(shared, model):
             elif kind == "open":
                 np.add.at(score, x[0], np.log10(np.maximum(weights(*x[3:], d), 1e-300))[x[1]] * x[2])
             elif kind == "sums":
-                score[x[0]] += x[1]
+                score[x[0]] += x[1] / GRAIN
                 for r in range(CUT):
                     score[x[0]] += x[2][r] * log_d[r]
             else:
@@ -518,9 +539,9 @@ def scored(docs: DataFrame, common: int = VOCAB) -> DataFrame:
     hot_c = hot_counts(docs, shared)
     hot_shared = spark.sparkContext.broadcast(hot_c)  # HOT x HOT
     n = partitions(spark)
-    counts = uni.mapInArrow(_unigram_blocks(4 * n), BLOCK)
-    following = docs.select("text").mapInArrow(_ask(shared, 4 * n), BLOCK).union(counts).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(4 * n), BLOCK)
-    sent = docs.mapInArrow(_scatter(shared, hot_shared, 4 * n), BLOCK).union(counts).union(following)
+    counts = uni.mapInArrow(_unigram_blocks(n), BLOCK)
+    following = docs.select("text").mapInArrow(_ask(shared, n), BLOCK).union(counts).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(n), BLOCK)
+    sent = docs.mapInArrow(_scatter(shared, hot_shared, n), BLOCK).union(counts).union(following)
     blocks = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(shared), BLOCK), "counts")
     model = spark.sparkContext.broadcast(katz(blocks, voc, hot_c))  # a number a word of the vocabulary
     back = blocks.where("batch >= 0").repartition(n, "batch").sortWithinPartitions("batch")

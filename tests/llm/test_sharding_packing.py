@@ -119,3 +119,15 @@ def test_sharding_moves_whole_texts_in_buckets_sized_by_bytes(spark, sf_dir, mon
     moved = []
     monkeypatch.setattr(sharding, "shuffled_shards", lambda records, *a, **k: moved.append(records.columns) or shuffled_shards(records, *a, **k))
     assert sharding.op10_two_pass_shuffle(spark, sf_dir).count() and set(spark.read.parquet(f"{sf_dir}/documents.parquet").columns) <= set(moved[0])
+
+
+def test_sharding_does_not_depend_on_the_layout(spark, sf_dir):
+    """The same rows in other files and partitions give the same shards and slots; names of inner columns may occur."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(200).cache()
+    df = df.select("doc_id", "text", F.lit(1).alias("_u"), F.lit(2).alias("_b"), F.lit(3).alias("r"), F.lit(4).alias("size"), F.lit(5).alias("u"), F.lit(6).alias("dotted.name"), F.create_map(F.lit("a"), F.lit("b")).alias("m"))
+    slots = lambda d: {(x.doc_id, x["shard"], x.bucket, x.slot) for x in shuffled_shards(d, "doc_id", shards=3, bucket_bytes=1 << 15).collect()}
+    first = slots(df.coalesce(1))
+    assert first == slots(df.repartition(7)) == slots(df.orderBy(F.desc("text"))) and len(first) == 200 and len({b for _, _, b, _ in first}) > 2
+    same = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text"))
+    out = shuffled_shards(same, "doc_id", shards=2, bucket_bytes=65 * 50, equal=100).toPandas()
+    assert sorted(out.slot) == list(range(400)) and out.groupby("bucket").size().max() < 150

@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
-Numbers, names and units become typed placeholders on both sides, a run of names one placeholder; windows of eight
-template words are hash-joined. Windows that agree on where the item would begin in the document are one alignment, and
-alignments a few words apart add up. An alignment's placeholders must map each value of the item to one value of the document;
-then it is a copy (all values equal) or a re-parameterised question. Beside these, windows of 13 plain words, and items of fewer
-as a whole, are joined as they are: an exact copy is found whatever its words and letter case are."""
+Numbers, names and units become typed placeholders on both sides, a run of names one placeholder. Windows of eight template
+words are hash-joined: all of an item's with every third of a document's, so that a run of 13 words can't slip through.
+Where one meets, the item is laid on the document and all windows are compared; alignments a few words apart add up. An
+alignment's placeholders must map each value of the item to one value of the document; then it is a copy (all values equal)
+or a re-parameterised question. Beside these, plain windows find an exact copy of 13 words, or of a shorter item as a
+whole, whatever its words and letter case are."""
 
 from __future__ import annotations
 
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from framescore.llm.common import documents, written
 
-#: Words of a template window and of a plain one; shorter items are a window of their own from SHORTEST words on.
-WINDOW, PLAIN, SHORTEST = 8, 13, 5
-#: Windows of an item's alignments that make a match (every one of an item that has fewer), and words by which those that add up may be apart.
+#: Words of a window, and of the shortest passage that makes a match; items of fewer are one window, from SHORTEST words on.
+WINDOW, PASSAGE, SHORTEST = 8, 13, 5
+#: Every how many words a document's windows are looked up: plain ones, of which PASSAGE holds one, and template ones, of which it holds two.
+STEPS = {True: PASSAGE - WINDOW + 1, False: (PASSAGE - WINDOW + 1) // 2}
+#: Template windows of an item that make a match (all of an item that has fewer), and words by which alignments that add up may be apart.
 ENOUGH, APART = 6, 3
 #: Words other than placeholders a template window needs (half of a shorter item's).
 LITERALS = 4
@@ -27,33 +30,50 @@ BROADCAST_ROWS = 500_000
 UNITS = "km m cm mm mile miles kg g mg lb lbs oz ton tons l ml s sec seconds min minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh degrees meters metres litres liters grams"
 PARTICLES = "van von der den de del della di da du la le al bin ibn of"
 
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE, BLANKS = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 
 def tokens(text):
-    """Words of a text at white space, without punctuation."""
-    return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""), SPACE), lambda w: w != "")
+    """Words of a text at white space, without punctuation; the empty word for none."""
+    return F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""), F.lit(BLANKS)), SPACE)
 
 
-def template(words):
-    """Template words of tokens: lower-case words, and placeholders \\u0001, type and value; a number begins with a digit, a name's
-    words begin with a capital, joined by \\u0002 over particles between them."""
+def _kind(w):
+    """digit, unit, name, particle or word."""
+    one = F.substring(w, 1, 1)
+    return F.when(F.ascii(w).between(48, 57), "d").when(F.lower(one) != one, "n").when(w.isin(UNITS.split()), "u").when(w.isin(PARTICLES.split()), "p").otherwise("w")
 
-    def kind(w):
-        one = F.substring(w, 1, 1)
-        low = F.lower(w)
-        return F.when(one.between("0", "9"), "d").when(low.isin(UNITS.split()), "u").when(F.lower(one) != one, "n").when(w.isin(PARTICLES.split()), "p").otherwise("w")
 
-    both = F.transform(words, lambda w: F.struct(kind(w).alias("k"), w.alias("w")))
+def _codes(df: DataFrame) -> DataFrame:
+    """Adds, for tokens ``t``, ``plain``: 64 bits of each word in lower case, and ``slots``: 64 bits of each template word,
+    of a placeholder those of its type."""
+    code = {k: int.from_bytes(k.encode()) for k in "dnup"}
+    kind = lambda w: F.when(F.ascii(w).between(48, 57), code["d"]).when(F.lower(F.substring(w, 1, 1)) != F.substring(w, 1, 1), code["n"]).when(w.isin(UNITS.split()), code["u"]).when(w.isin(PARTICLES.split()), code["p"]).otherwise(F.xxhash64(w))
+    df = df.withColumn("plain", F.transform("t", lambda w: F.xxhash64(F.lower(w)))).withColumn("each", F.transform("t", kind))
+    near = lambda i, k: F.coalesce(F.get("each", i + k), F.lit(0))
 
-    def marked(x, i):
-        k = lambda j: F.coalesce(F.get(both, i + j)["k"], F.lit("w"))
+    def runs_on(h, i):  # a name's second word, a particle inside a name
+        before = near(i, -1)
+        return F.when(h == code["n"], (before == code["n"]) | ((before == code["p"]) & (near(i, -2) == code["n"]))).when(h == code["p"], (before == code["n"]) & (near(i, 1) == code["n"])).otherwise(False)
+
+    return df.withColumn("slots", F.filter("each", lambda h, i: ~runs_on(h, i))).drop("each")
+
+
+def templated(df: DataFrame) -> DataFrame:
+    """Adds ``words``, the template words of tokens ``t``: lower-case words, and placeholders \\u0001, type and value; a number begins with
+    a digit, a name's words begin with a capital, joined by \\u0002 over particles between them."""
+
+    def marked(w, i):
+        k = lambda j: F.coalesce(F.get("kinds", i + j), F.lit("w"))
         after = (k(-1) == "n") | ((k(-1) == "p") & (k(-2) == "n"))
         inside = (k(-1) == "n") & (k(1) == "n")
-        return F.when(x["k"] == "w", F.lower(x["w"])).when(x["k"] == "n", F.concat(F.when(after, "\u0002").otherwise("\u0001n"), F.lower(x["w"]))).when(x["k"] == "p", F.concat(F.when(inside, "\u0002").otherwise(""), x["w"])).otherwise(F.concat(F.lit("\u0001"), x["k"], F.lower(x["w"])))
+        own = F.get("kinds", i)
+        return F.when(own == "w", w).when(own == "n", F.concat(F.when(after, "\u0002").otherwise("\u0001n"), F.lower(w))).when(own == "p", F.concat(F.when(inside, "\u0002").otherwise(""), w)).otherwise(F.concat(F.lit("\u0001"), own, F.lower(w)))
 
-    joined = F.replace(F.array_join(F.transform(both, marked), " "), F.lit(" \u0002"), F.lit("\u0002"))
-    return F.filter(F.split(joined, " "), lambda w: w != "")
+    # kinds is a column of its own: as an expression in the lambda it would be computed anew for each word
+    df = df.withColumn("kinds", F.transform("t", _kind))
+    joined = F.replace(F.array_join(F.transform("t", marked), " "), F.lit(" \u0002"), F.lit("\u0002"))
+    return df.withColumn("words", F.split(joined, " ")).drop("kinds")
 
 
 def _slot(word):
@@ -64,31 +84,25 @@ def _value(word):
     return F.substring(word, 3, 1 << 30)
 
 
-def _hashes(words, slots: bool):
-    """64 bits a word; of a placeholder, of its type."""
-    return F.transform(words, lambda w: F.xxhash64(F.when(_slot(w), F.substring(w, 1, 2)).otherwise(w)) if slots else F.xxhash64(w, F.lit("plain")))
-
-
-def _spans(hashes, size: int):
-    """(plain or template by its hash, place, hash) of all windows of ``size`` words."""
-    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.slice(hashes, i + 1, size)).alias("h")))).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+def _spans(codes: str, size: int, plain: bool, step: int = 1):
+    """Structs (at, h) of every ``step``-th window of ``size`` words."""
+    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), F.lit(plain), F.slice(codes, i + 1, size)).alias("h"))
+    return F.when(F.size(codes) >= size, F.transform(F.sequence(F.lit(0), F.size(codes) - size, F.lit(step)), one)).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
 
 def _index(items: DataFrame) -> DataFrame:
-    """(item_id, size, plain, at, h): the windows of items."""
-    words = items.select("item_id", tokens(F.col("text")).alias("t")).select("item_id", F.transform("t", F.lower).alias("raw"), template(F.col("t")).alias("words"))
-    words = words.select("item_id", "raw", "words", _hashes(F.col("raw"), False).alias("hr"), _hashes(F.col("words"), True).alias("hw"))
+    """(item_id, size, plain, at, h): the windows of items; template ones with fewer than LITERALS words are left out."""
+    words = _codes(templated(items.select("item_id", tokens(F.col("text")).alias("t"))))
+    words = words.withColumn("literal", F.transform("words", lambda w: F.when(_slot(w), 0).otherwise(1)))
     out = None
-    for name, hashes, most, plain in (("raw", "hr", PLAIN, True), ("words", "hw", WINDOW, False)):
-        for size in range(SHORTEST, most + 1):
-            rows = words.where(F.size(name) >= size if size == most else F.size(name) == size)
-            if not plain:
-                literals = F.transform("words", lambda w: F.when(_slot(w), 0).otherwise(1))
-                need = min(LITERALS, (size + 1) // 2)
-            rows = rows.select("item_id", *([] if plain else [literals.alias("l")]), F.explode(_spans(F.col(hashes), size)).alias("x"))
+    for plain, codes in ((True, "plain"), (False, "slots")):
+        whole = PASSAGE if plain else WINDOW  # an item of fewer words is one window
+        for size in range(SHORTEST, whole + 1):
+            rows = words.where(F.size(codes) >= whole if size == whole else F.size(codes) == size)
+            rows = rows.select("item_id", "literal", F.explode(_spans(codes, min(size, WINDOW) if size == whole else size, plain)).alias("x"), F.lit(min(size, WINDOW) if size == whole else size).alias("size"))
             if not plain:
-                rows = rows.where(F.aggregate(F.slice("l", F.col("x.pos") + 1, size), F.lit(0), lambda a, b: a + b) >= need)
-            rows = rows.select("item_id", F.lit(size).alias("size"), F.lit(plain).alias("plain"), F.col("x.pos").alias("at"), F.col("x.h").alias("h"))
+                rows = rows.where(F.aggregate(F.slice("literal", F.col("x.at") + 1, F.col("size")), F.lit(0), lambda a, b: a + b) >= min(LITERALS, (size + 1) // 2))
+            rows = rows.select("item_id", "size", F.lit(plain).alias("plain"), F.col("x.at").alias("at"), F.col("x.h").alias("h"))
             out = rows if out is None else out.union(rows)
     return out
 
@@ -99,34 +113,38 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     index = written(_index(items), "items")
     shape = index.groupBy("size", "plain").count().collect()  # at most a row a size
     bounded = sum(r["count"] for r in shape) <= BROADCAST_ROWS
-    total = index.groupBy("item_id").agg(F.sum((~F.col("plain")).cast("int")).alias("template"), F.sum(F.col("plain").cast("int")).alias("total"))
-
-    sizes = {flag: sorted(r["size"] for r in shape if r.plain == flag) for flag in (True, False)}
-    mine = docs.select("key", tokens(F.col("text")).alias("t"))
-    mine = mine.select("key", _hashes(F.transform("t", F.lower), False).alias("hr"), _hashes(template(F.col("t")), True).alias("hw"))
-    spans = F.concat(F.array().cast("array<struct<pos:int,h:bigint>>"), *(_spans(F.col("hr"), s) for s in sizes[True]), *(_spans(F.col("hw"), s) for s in sizes[False]))
-    hits = mine.select("key", F.explode(spans).alias("x")).select("key", "x.pos", "x.h").join(F.broadcast(index) if bounded else index, "h")
-    runs = hits.groupBy("key", "item_id", "plain", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"), F.max("size").alias("size"))
-    runs = runs.join(total, "item_id").withColumn("need", F.when(F.col("plain"), 1).otherwise(F.least(F.lit(ENOUGH), F.col("template"))))
-    near = W.partitionBy("key", "item_id", "plain").orderBy("shift").rangeBetween(-APART, APART)
-    runs = written(runs.withColumn("near", F.sum(F.size("ats")).over(near)).where(F.col("near") >= F.col("need")).drop("near"), "alignments")
-
-    copies = runs.where("plain").select("key", "item_id", "total", F.size("ats").cast("long").alias("n_windows"), F.lit("copy").alias("kind"))
-    words = lambda df, name: df.select(*(c for c in df.columns if c != "text"), template(tokens(F.col("text"))).alias(name))
-    full = runs.where("not plain").join(words(docs, "mine"), "key").dropDuplicates(["key", "item_id", "shift"]).join(words(items, "words"), "item_id")
-    full = full.withColumn("covered", F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1)))))
-    type_ = lambda w: F.when(_slot(w), F.substring(w, 1, 2)).otherwise(w)
-    full = full.where(F.forall("covered", lambda p: type_(F.get("words", p)) == type_(F.get("mine", p + F.col("shift")))))
+    spans = [_spans("plain" if r["plain"] else "slots", r["size"], r["plain"], STEPS[r["plain"]] if r["size"] == WINDOW else 1) for r in sorted(shape, key=str)]
+    mine = _codes(docs.select("key", tokens(F.col("text")).alias("t"))).select("key", F.explode(F.concat(F.array().cast("array<struct<at:int,h:bigint>>"), *spans)).alias("x"))
+    mine = mine.select("key", F.col("x.at").alias("pos"), F.col("x.h").alias("h"))
+    hits = mine.join(F.broadcast(index) if bounded else index, "h").select("key", "item_id", "plain", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    hits = written(hits, "hits")
+
+    # the item laid on the document: which of its words agree, and the windows of those
+    words = lambda df, key: _codes(templated(df.select(key, tokens(F.col("text")).alias("t"))))
+    own = words(docs.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "key").select("key", F.col("plain").alias("my_plain"), F.col("slots").alias("my_slots"), F.col("words").alias("my_words"))
+    theirs = words(items, "item_id").select("item_id", F.col("plain").alias("its_plain"), F.col("slots").alias("its_slots"), "words")
+    laid = hits.join(own, "key").join(theirs, "item_id")
+    flag = F.col("plain")
+    laid = laid.withColumn("its", F.when(flag, F.col("its_plain")).otherwise(F.col("its_slots"))).withColumn("mine", F.when(flag, F.col("my_plain")).otherwise(F.col("my_slots")))
+    laid = laid.withColumn("same", F.transform("its", lambda h, p: F.coalesce(h == F.get("mine", p + F.col("shift")), F.lit(False))))
+    size = F.least(F.when(flag, PASSAGE).otherwise(WINDOW), F.size("its"))
+    laid = laid.withColumn("size", size).withColumn("total", F.size("its") - F.col("size") + 1)
+    laid = laid.withColumn("ats", F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda a: F.forall(F.slice("same", a + 1, F.col("size")), lambda x: x)))
+    full = F.greatest(F.lit(1), F.size("its_plain") - PASSAGE + 1)
+    copies = laid.where(flag & (F.size("ats") > 0)).select("key", "item_id", full.alias("total"), F.size("ats").cast("long").alias("n_windows"), F.lit("copy").alias("kind"))
+
+    some = laid.where(~flag & (F.size("ats") > 0)).withColumn("covered", F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1)))))
     slots = F.filter("covered", lambda p: _slot(F.get("words", p)))
-    full = full.withColumn("pairs", F.array_distinct(F.transform(slots, lambda p: F.struct(_value(F.get("words", p)).alias("theirs"), _value(F.get("mine", p + F.col("shift"))).alias("own")))))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["theirs"]))) == F.size("pairs")
+    some = some.withColumn("pairs", F.array_distinct(F.transform(slots, lambda p: F.struct(_value(F.get("words", p)).alias("theirs"), _value(F.get("my_words", p + F.col("shift"))).alias("own")))))
     # a name that begins or ends an item may run on in the document
     equal = F.forall("pairs", lambda x: (x["theirs"] == x["own"]) | x["own"].endswith(F.concat(F.lit("\u0002"), x["theirs"])) | x["own"].startswith(F.concat(x["theirs"], F.lit("\u0002"))))
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["theirs"]))) == F.size("pairs")
     unslotted = F.size(F.filter("ats", lambda a: ~F.exists(F.slice("words", a + 1, F.col("size")), _slot)))
-    full = full.select("key", "item_id", "shift", "total", "need", F.when(consistent | equal, F.size("ats")).otherwise(unslotted).alias("n"), (equal | ~consistent).alias("copy"))
+    need = F.least(F.lit(ENOUGH), F.col("total"))
+    some = some.select("key", "item_id", "shift", full.alias("full"), need.alias("need"), F.when(consistent | equal, F.size("ats")).otherwise(unslotted).alias("n"), (equal | ~consistent).alias("copy"))
     near = W.partitionBy("key", "item_id").orderBy("shift").rangeBetween(-APART, APART)
-    full = full.withColumn("n_windows", F.sum("n").over(near).cast("long")).withColumn("copy", F.min("copy").over(near)).where(F.col("n_windows") >= F.col("need"))
-    return copies.union(full.select("key", "item_id", "total", "n_windows", F.when(F.col("copy"), "copy").otherwise("reparameterised").alias("kind")))
+    some = some.withColumn("n_windows", F.sum("n").over(near).cast("long")).withColumn("copy", F.min("copy").over(near)).where(F.col("n_windows") >= F.col("need"))
+    return copies.union(some.select("key", "item_id", F.col("full").alias("total"), "n_windows", F.when(F.col("copy"), "copy").otherwise("reparameterised").alias("kind")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

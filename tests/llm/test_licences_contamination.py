@@ -1,10 +1,11 @@
 """Licences and decontamination against brute-force versions."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from framescore.llm.contamination import matches, op8_template_windows
+from framescore.llm.contamination import decontaminated, matches, op8_template_windows
 from framescore.llm.licences import BASE, TEMPLATES, licences, op1_rare_token_index
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -87,5 +88,50 @@ def test_contamination_slots_and_odd_rows(spark):
     got = {(r.doc_id, r.item_id): r.kind for r in matches(df, items).collect()}
     assert got[(1, 10)] == "copy" and got[(2, 10)] == "reparameterised" and got[(None, 10)] == "copy"
     assert (3, 10) not in got or got[(3, 10)] == "copy"
-    assert {d for d, _ in got} <= {1, 2, 3, None}
+    assert got[(8, 13)] == "copy"  # an exact copy is found also without plain words
+    assert {d for d, _ in got} <= {1, 2, 3, 8, None}
     assert matches(df.limit(0), items).count() == 0 and matches(df, items.limit(0)).count() == 0
+
+
+def test_contamination_names_edges_and_short_items(spark):
+    items = [
+        (1, "What is the capital of France?"),
+        (2, "Mr. Smith bought four boxes of apples at the old market and gave them to his two sisters"),
+        (3, "What is the capital city of the country that borders Spain"),
+        (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"),
+        (5, "A farmer called Jones sells 12 eggs a day to the bakery of the village and keeps the other ones"),
+        (6, "Name one"),
+    ]
+    rows = [
+        (10, "They asked: What is the capital of France? Paris.", 1),
+        (11, "Note. Mr. van Dyke bought four boxes of apples at the old market and gave them to his two sisters today", 2),
+        (12, "Question: What is the capital city of the country that borders Spain. Answer", 3),
+        (13, "numbers 1 2 3 4 5 6 7 8 9 10 11 12 13 14 end", 4),
+        (14, "A FARMER CALLED JONES SELLS 12 EGGS A DAY TO THE BAKERY OF THE VILLAGE AND KEEPS THE OTHER ONES", 5),
+        (15, "once a farmer called Mary Ann Miller sells 30 eggs a day to the bakery of the village and keeps the other ones", 5),
+        (16, "what is the capital of this and of that, name one", None),
+        (17, "sells 12 eggs a day to the bakery", None),
+    ]
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").selectExpr("*", "1 as _id", "2 as key", "3 as `row`", "4 as `a.b`")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in matches(df, bench).collect()}
+    assert set(got) == {(d, i) for d, _, i in rows if i}
+    assert set(got.values()) == {"copy"}  # each holds 13 words of its item, or all of a shorter one, as they are
+    left = decontaminated(df, bench)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {16, 17}
+
+
+def test_contamination_recall_of_changed_items(spark):
+    """Items with names, numbers and units changed, in a text, against a matcher over words."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    names = ["Anna", "Bob Miller", "Carla van Berg", "Dov", "Mr Ek"]
+    items, docs = [], []
+    for i in range(60):
+        parts = [rng.choice(["NAME", "NUM", "UNIT"]) if k % 5 == 3 else word() for k in range(24)]
+        fill = lambda: " ".join({"NAME": rng.choice(names), "NUM": str(rng.randrange(999)), "UNIT": rng.choice(["km", "kg", "hours"])}.get(p, p) for p in parts)  # noqa: E731, B023
+        items.append((i, fill()))
+        docs.append((i, " ".join(word() for _ in range(30)) + " " + fill() + ". " + " ".join(word() for _ in range(30))))
+    docs += [(1000 + i, " ".join(word() for _ in range(80))) for i in range(60)]
+    got = {(r.doc_id, r.item_id) for r in matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= {(i, i) for i in range(60)} and len(got) >= 54

@@ -33,7 +33,7 @@ VOCAB, HOT, CUT = (1 << 16) - 8, 512, 5
 #: Parts of one into which a token's log10 is rounded.
 GRAIN = 1 << 26
 #: Bytes of text whose records are made at once.
-TEXT = 6 << 20
+TEXT = 2 << 20
 UNK, END, FIRST = 0, 1, 2  # ids; words by falling count follow
 IDS = np.uint64(1 << 16)  # a word's key is its id below this, or its hash
 
@@ -263,7 +263,7 @@ def _answer(buckets: int):
 
 
 def _scatter(shared, hot_shared, buckets: int):
-    """Blocks of a batch: its documents with all that needs no counting, its other bigrams and rare words by bucket."""
+    """Blocks of a batch: its documents with all that needs no counting, its other bigrams by bucket."""
 
     def run(batches):
         voc, hot_c = shared.value, hot_shared.value
@@ -273,7 +273,7 @@ def _scatter(shared, hot_shared, buckets: int):
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
             size = len(train)
             home = {"n_tokens": np.zeros(size, np.int64), "n_known": np.zeros(size, np.int64), "base": np.zeros(size), "value": np.zeros(size), "small": [np.zeros(size, np.uint32) for _ in range(CUT)]}
-            un, grams, rare, mixed = [], [], [], {"into": [], "from": []}
+            un, grams, mixed = [], [], {"into": [], "from": []}
             for lo, hi, w in words(b.column("text"), lower=True):
                 before, now, of, hb, hn = voc.sequence(w)
                 m, here = hi - lo, slice(lo, hi)
@@ -292,10 +292,6 @@ def _scatter(shared, hot_shared, buckets: int):
                 cold = ~hot & common & (before != UNK)
                 u, n = np.unique((of[cold] + lo) << 32 | before[cold] << 16 | now[cold], return_counts=True)
                 grams.append((u, n))
-                word = now[np.arange(len(w.hash)) + w.doc] == UNK
-                h, d = w.hash[word], w.doc[word] + lo
-                order, at = groups(h, d)
-                rare.append((h[order][at], d[order][at], np.diff(np.append(at, len(order)))))
                 key = np.where(common, now.astype(np.uint64), hn)
                 for kind, at, h, other in (("into", ~common & (before != UNK), hn, before.astype(np.uint64)), ("from", before == UNK, hb, key)):
                     h, other, d = h[at], other[at], of[at] + lo
@@ -313,8 +309,6 @@ def _scatter(shared, hot_shared, buckets: int):
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
                 code, flagged, n = code[order].astype(np.uint32), _narrow((d << 1 | train[d])[order]), _narrow(n[order])
                 rows += [block("gram", i, task | k, code[a:z], flagged[a:z], n[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
-                h, d, n = (np.concatenate(x) for x in zip(*rare))
-                rows += _bucketed("rare", task | k, buckets, h, d, n)
                 for kind, x in mixed.items():
                     h, other, d, n = (np.concatenate(y) for y in zip(*x))
                     flagged = d << 1 | train[d]
@@ -362,14 +356,14 @@ def _count(shared):
 
     def count(rows):
         voc = shared.value
-        got = {k: defaultdict(list) for k in ("gram", "rare", "into", "from", "uni", "next")}
+        got = {k: defaultdict(list) for k in ("gram", "into", "from", "uni", "next")}
         through = [r for r in rows if r[0] in ("home", "unseen")]
         for i in range(0, len(through), 64):
             yield block_rows(through[i : i + 64])
         for kind, _, batch, data in rows:
             if kind not in ("home", "unseen"):
                 got["from" if kind == "pair" else kind][batch].append(pickle.loads(data))
-        grams, rare, into, out_of = (got[k] for k in ("gram", "rare", "into", "from"))
+        grams, into, out_of = (got[k] for k in ("gram", "into", "from"))
 
         def table(kind, at):
             blocks = got[kind].pop(0, [])
@@ -385,13 +379,6 @@ def _count(shared):
             common = other < IDS
             return np.where(common, voc.p1[np.where(common, other, 0).astype(np.int64)], voc.prob(_found(*following, _pair(h, other))))
 
-        for batch, blocks in rare.items():
-            w, d, n = (np.concatenate(x) for x in zip(*blocks))
-            count = _found(*uni, w)
-            docs, of = np.unique(d, return_inverse=True)
-            yield block_rows([block("rare", 0, batch, docs, np.bincount(of, n * voc.base(count)), np.bincount(of, n * (count > 0)).astype(np.uint32))])
-        rare.clear()
-
         # both words common
         train = [(x[0][t], x[2][t]) for blocks in grams.values() for x in blocks for t in [x[1] & 1 == 1]]
         code, count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -443,6 +430,8 @@ def _count(shared):
             docs, of = np.unique(d >> 1, return_inverse=True)
             value, small = _sums(of, n, len(docs), seen, p_next(w, o), c)
             rows = [block("sums", 0, batch, _narrow(docs), _signed(value), [_narrow(x) for x in small])]
+            # a rare word is the history of one token each time it occurs
+            rows.append(block("rare", 0, batch, _narrow(docs), np.bincount(of, n * voc.base(seen)), _narrow(np.bincount(of, n * (seen > 0)).astype(np.int64))))
             un = (c == 0) & (seen > 0)  # a history that is never seen leaves all to the unigrams
             if un.any():
                 at, which = np.unique(np.searchsorted(histories, w[un]), return_inverse=True)
@@ -539,9 +528,9 @@ def scored(docs: DataFrame, common: int = VOCAB) -> DataFrame:
     hot_c = hot_counts(docs, shared)
     hot_shared = spark.sparkContext.broadcast(hot_c)  # HOT x HOT
     n = partitions(spark)
-    counts = uni.mapInArrow(_unigram_blocks(n), BLOCK)
-    following = docs.select("text").mapInArrow(_ask(shared, n), BLOCK).union(counts).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(n), BLOCK)
-    sent = docs.mapInArrow(_scatter(shared, hot_shared, n), BLOCK).union(counts).union(following)
+    counts = uni.mapInArrow(_unigram_blocks(2 * n), BLOCK)
+    following = docs.select("text").mapInArrow(_ask(shared, 2 * n), BLOCK).union(counts).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(2 * n), BLOCK)
+    sent = docs.mapInArrow(_scatter(shared, hot_shared, 2 * n), BLOCK).union(counts).union(following)
     blocks = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(shared), BLOCK), "counts")
     model = spark.sparkContext.broadcast(katz(blocks, voc, hot_c))  # a number a word of the vocabulary
     back = blocks.where("batch >= 0").repartition(n, "batch").sortWithinPartitions("batch")

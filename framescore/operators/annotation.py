@@ -60,14 +60,22 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
 
 def panel_kappa(votes: DataFrame) -> DataFrame:
     """Mean kappa over pairs of annotator positions on padded votes; 0 with under two. ``votes``: item_id, arrival,
-    vote; the position is the arrival's rank in the item."""
-    ranked = votes.withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy("arrival")))
-    top = ranked.agg(F.max("r").alias("top"))
-    items = ranked.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "vote"))), lambda x: x["vote"]).alias("v")).crossJoin(F.broadcast(top))
-    at = lambda i: F.coalesce(F.get("v", i), F.get("v", F.lit(0)))
-    positions = F.sequence(F.lit(0), F.col("top") - 1)
-    both = F.flatten(F.transform(positions, lambda i: F.transform(F.filter(positions, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"), at(i).alias("a"), at(j).alias("b")))))
-    cells = items.where("top >= 2").select(F.explode(both).alias("p")).groupBy("p.i", "p.j", "p.a", "p.b").agg(F.count("*").alias("c"))
+    vote; the position is the arrival's rank in the item.
+
+    Pairs are made of the votes that an item has; those with padding, alike for all later positions, are counted by the
+    number of votes and spread over the positions afterwards."""
+    items = votes.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "vote"))), lambda x: x["vote"]).alias("v"))
+    items = items.select("v", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"))
+    top = F.broadcast(items.agg(F.max("n").alias("top")))  # one row
+    at = lambda k: F.get("v", k)
+    own = F.sequence(F.lit(0), F.col("n") - 1)
+    both = F.flatten(F.transform(own, lambda i: F.transform(F.filter(own, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"), at(i).alias("a"), at(j).alias("b")))))
+    real = items.where("n > 1").select(F.explode(both).alias("p")).groupBy("p.i", "p.j", "p.a", "p.b").agg(F.count("*").alias("c"))
+    half = items.select("n", "first", F.posexplode("v").alias("i", "a")).groupBy("n", "i", "a", "first").agg(F.count("*").alias("c"))
+    later = F.filter(F.sequence(F.lit(0), F.col("top")), lambda j: (j >= F.col("n")) & (j < F.col("top")))
+    half = half.crossJoin(top).withColumn("j", F.explode(later)).select("i", "j", "a", F.col("first").alias("b"), "c")
+    none = items.groupBy("n", "first").agg(F.count("*").alias("c")).crossJoin(top).withColumn("i", F.explode(later)).withColumn("j", F.explode(later)).where("i < j").select("i", "j", F.col("first").alias("a"), F.col("first").alias("b"), "c")
+    cells = real.unionByName(half).unionByName(none).groupBy("i", "j", "a", "b").agg(F.sum("c").alias("c"))
     return _kappa(cells, ["i", "j"]).agg(F.coalesce(F.avg("kappa"), F.lit(0.0)).alias("panel_kappa"), F.count("*").alias("n_pairs"))
 
 
@@ -77,7 +85,9 @@ def irt_flags(params: DataFrame, floor: float = -2.5, ceiling: float = 2.5, low:
 
 
 def cascade(items: DataFrame, tasks: DataFrame, audit: DataFrame, agreed: DataFrame, params: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(items that pass review, prior and agreement, one row of counts). Parameters join by item_id."""
+    """(items that pass review, prior and agreement, one row of counts). ``params`` (item_id, a, b) are attached as discrimination
+    and difficulty if they are of as many items as pass; otherwise, and for an item they lack, these stay as they are (1 and 0
+    where there is no such column)."""
     done = tasks.where("done").select(F.col("task_id").alias("item_id"), F.lit(1).alias("reviewed"))
     rows = items.join(done, "item_id", "left").join(audit.select("item_id", F.col("passed").alias("prior_ok")), "item_id", "left").join(agreed.select("item_id", F.col("passed").alias("agree_ok")), "item_id", "left")
     stage1 = F.col("reviewed").isNotNull()
@@ -85,4 +95,12 @@ def cascade(items: DataFrame, tasks: DataFrame, audit: DataFrame, agreed: DataFr
     stage3 = stage2 & F.coalesce("agree_ok", F.lit(False))
     report = rows.agg(F.count("*").alias("n_items"), F.count_if(stage1).alias("n_reviewed"), F.count_if(stage2).alias("n_prior_passed"), F.count_if(stage3).alias("n_agreed"))
     kept = rows.where(stage3).select(*items.columns)
-    return (kept.join(params, "item_id", "left") if params is not None else kept), report
+    if params is None:
+        return kept, report
+    sizes = kept.agg(F.count("*").alias("_kept")).crossJoin(params.agg(F.count("*").alias("_fitted")))  # one row
+    both = kept.join(params.select("item_id", F.col("a").alias("_a"), F.col("b").alias("_b")), "item_id", "left").crossJoin(F.broadcast(sizes))
+    fits = F.col("_kept") == F.col("_fitted")
+    had = lambda c, default: F.col(c) if c in items.columns else F.lit(default)
+    for name, value, default in (("discrimination", "_a", 1.0), ("difficulty", "_b", 0.0)):
+        both = both.withColumn(name, F.coalesce(F.when(fits, F.col(value)), had(name, default)))
+    return both.drop("_a", "_b", "_kept", "_fitted"), report

@@ -7,44 +7,54 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framescore.sources.folders import shared_folder
+
 LIMIT = 10.0
+#: Answers of a bucket of items, about.
+ANSWERS = 20_000
 
 
-def _item_step(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Newton steps for one item's (log a, b) given abilities: log-likelihood less 2 (log a) ** 2, |b| at most LIMIT."""
+def _items_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Newton steps for the (log a, b) of all items of a bucket at once, given abilities: log-likelihood less
+    2 (log a) ** 2, |b| at most LIMIT."""
+    k, names = pd.factorize(pdf.item_id)
+    n = len(names)
     th, y = pdf.theta.to_numpy(), pdf.correct.to_numpy(float)
-    la, b = np.log(pdf.a.iloc[0]), pdf.b.iloc[0]
+    first = np.unique(k, return_index=True)[1]
+    la, b = np.log(pdf.a.to_numpy()[first]), pdf.b.to_numpy()[first]
+    total = lambda x: np.bincount(k, x, n)
 
     def value(la, b):
-        z = np.exp(la) * (th - b)
-        return (y * z - np.logaddexp(0, z)).sum() - 2 * la * la
+        z = np.exp(la)[k] * (th - b[k])
+        return total(y * z - np.logaddexp(0, z)) - 2 * la * la
 
     now = value(la, b)
     for _ in range(25):
-        a = np.exp(la)
-        p = 1 / (1 + np.exp(-a * (th - b)))
+        a, d = np.exp(la)[k], th - b[k]
+        p = 1 / (1 + np.exp(-a * d))
         w, r = p * (1 - p), y - p
-        g = np.array([(r * a * (th - b)).sum() - 4 * la, (-a * r).sum()])
-        h = np.array([[((w * (a * (th - b)) ** 2).sum() + 4), -(w * a * a * (th - b)).sum()], [-(w * a * a * (th - b)).sum(), (w * a * a).sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
+        ga, gb = total(r * a * d) - 4 * la, total(-a * r)
+        haa, hab, hbb = total(w * (a * d) ** 2) + 4, -total(w * a * a * d), total(w * a * a) + 1e-6
+        det = haa * hbb - hab * hab
+        sa, sb = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        todo, before = np.ones(n, bool), now
         for scale in (1, 0.5, 0.25, 0.1, 0.02):
-            la2, b2 = np.clip(la + scale * step[0], -3, 3), np.clip(b + scale * step[1], -LIMIT, LIMIT)
+            la2, b2 = np.clip(la + scale * sa, -3, 3), np.clip(b + scale * sb, -LIMIT, LIMIT)
             after = value(la2, b2)
-            if after > now:
+            better = todo & (after > now)
+            la, b, now = np.where(better, la2, la), np.where(better, b2, b), np.where(better, after, now)
+            todo &= ~better
+            if not todo.any():
                 break
-        else:
-            break
-        small = after - now < 1e-9
-        la, b, now = la2, b2, after
-        if small:
+        if (now - before).max() < 1e-9:
             break
-    return pd.DataFrame({"item_id": [pdf.item_id.iloc[0]], "a": [float(np.exp(la))], "b": [float(b)]})
+    return pd.DataFrame({"item_id": names, "a": np.exp(la), "b": b})
 
 
 def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(items: item_id, a, b, converged; models: model_id, theta) of ``responses``: model_id, item_id, correct 0/1.
 
-    Items are fitted in groups, a group an item, against the models' abilities; abilities by one grouped Newton step on
+    Items are fitted in buckets of some ten thousand answers against the models' abilities, each by itself; abilities by one grouped Newton step on
     sums. Abilities have a standard normal prior, log a a penalty of 2 (log a) ** 2. Stops when abilities move less
     than ``tolerance``. Under two models every a is 1 and b is 0. An item that all or none get right has no finite b
     and is held at the limit (converged false); no item has converged where the rounds end before abilities settle. Parameters are written each round to cut lineage."""
@@ -53,14 +63,9 @@ def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) ->
     models = responses.groupBy("model_id").agg(F.lit(0.0).alias("theta"))
     if models.limit(2).count() < 2:
         return items.select("item_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(True).alias("converged")), models
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_folder(spark, "irt")  # sets the checkpoint folder where none is set
     kind, far = dict(responses.dtypes)["item_id"], float("inf")
+    buckets = max(8, responses.count() // ANSWERS)
     for _ in range(rounds):
         joined = responses.join(items, "item_id").join(models, "model_id")
         grad = F.sum(F.col("a") * (F.col("correct") - F.col("p")))
@@ -69,7 +74,8 @@ def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) ->
         moved = step.select("model_id", (F.col("t") + F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("g") - F.col("t")) / (F.col("i") + 1)))).alias("theta"), F.col("t")).checkpoint()
         far = moved.agg(F.max(F.abs(F.col("theta") - F.col("t")))).first()[0]
         models = moved.drop("t")
-        items = responses.join(models, "model_id").join(items, "item_id").groupBy("item_id").applyInPandas(_item_step, f"item_id {kind}, a double, b double").checkpoint()
+        joined = responses.join(models, "model_id").join(items, "item_id").withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)))
+        items = joined.groupBy("bucket").applyInPandas(_items_step, f"item_id {kind}, a double, b double").checkpoint()
         if far < tolerance:
             break
     return items.withColumn("converged", (F.abs("b") < LIMIT) & F.lit(far < tolerance)), models

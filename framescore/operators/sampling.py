@@ -37,7 +37,8 @@ def stratified_sample(items: DataFrame, config: dict[str, tuple[int, float]], ta
     spark = items.sparkSession
     quota = spark.createDataFrame(sorted(take.items()) or [("", 0)], "domain string, quota long")
     w = W.partitionBy("domain").orderBy(seeded(seed), "item_id")
-    return rows.join(F.broadcast(quota), "domain").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("quota")).drop("rn", "quota")
+    first = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(take.values(), default=0))  # a literal: tasks cut before the shuffle
+    return first.join(quota, "domain").where(F.col("rn") <= F.col("quota")).drop("rn", "quota")
 
 
 def audit_sample(items: DataFrame, fraction: float = 0.2, seed: int = 0) -> DataFrame:
@@ -48,4 +49,4 @@ def audit_sample(items: DataFrame, fraction: float = 0.2, seed: int = 0) -> Data
     keys = ["domain", "physics_category"]
     sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(fraction)).cast("long")).alias("k"))
     w = W.partitionBy(*keys).orderBy(seeded(seed), "item_id")
-    return rows.join(F.broadcast(sizes), keys).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("k")).drop("rn", "k")
+    return rows.join(sizes, keys).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("k")).drop("rn", "k")

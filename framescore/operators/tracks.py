@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from framescore.functions.text import direction_match, entailment, magnitude_match
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, as planned item tables do; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def with_models(df: DataFrame, preds: DataFrame) -> DataFrame:
+    """``df`` once for every model of ``preds``, whose names (a row a model) are read beforehand."""
+    kind = preds.schema["model_id"].dataType
+    models = [F.lit(r[0]).cast(kind) for r in preds.select("model_id").distinct().collect()]
+    return df.withColumn("model_id", F.explode(F.array(*models).cast(ArrayType(kind))))
 
 
 def last_predictions(preds: DataFrame, value: str = "answer_idx", order: str = "seq") -> DataFrame:
@@ -24,8 +27,7 @@ def join_answers(items: DataFrame, preds: DataFrame) -> DataFrame:
 
     The full grid exists for chains, in which a missing answer is wrong."""
     last = last_predictions(preds).withColumnRenamed("answer_idx", "pred_idx").withColumn("answered", F.lit(True))
-    grid = preds.select("model_id").distinct().join(small(items))
-    return grid.join(last, ["model_id", "item_id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+    return with_models(items, preds).join(last, ["model_id", "item_id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
 def correct(pred: Column, answer: Column) -> Column:
@@ -42,15 +44,19 @@ def accuracy(items: DataFrame, preds: DataFrame, by: str = "domain") -> DataFram
 
 def _answered(items: DataFrame, preds: DataFrame) -> DataFrame:
     last = last_predictions(preds).withColumnRenamed("answer_idx", "pred_idx")
-    return last.join(small(items), "item_id").withColumn("ok", correct(F.col("pred_idx"), F.col("answer_idx")))
+    return last.join(items, "item_id").withColumn("ok", correct(F.col("pred_idx"), F.col("answer_idx")))
 
 
 def chains(items: DataFrame, preds: DataFrame) -> DataFrame:
-    """(model_id, chain_id, chain_ok, first_error_hop): a chain is right if every member is; a missing hop counts as 0."""
+    """(model_id, chain_id, chain_ok, first_error_hop): a chain is right if every member is; a missing hop counts as 0.
+
+    Only answered rows are joined: a chain's members are one array, of which those that a model has right are taken off."""
     inside = items.where(F.col("chain_id").isNotNull() & (F.col("chain_id").cast("string") != ""))
-    rows = join_answers(inside, preds)
-    wrong = F.when(correct(F.col("pred_idx"), F.col("answer_idx")) == 0, F.coalesce("hop_index", F.lit(0)))
-    out = rows.groupBy("model_id", "chain_id").agg(F.min(wrong).alias("first_error_hop"))
+    members = inside.groupBy("chain_id").agg(F.collect_list(F.struct(F.coalesce("hop_index", F.lit(0)).alias("hop"), "item_id")).alias("members"))
+    right = _answered(inside, preds).where("ok = 1").groupBy("model_id", "chain_id").agg(F.collect_list("item_id").alias("right"))
+    rows = with_models(members, preds).join(right, ["model_id", "chain_id"], "left")
+    wrong = F.filter("members", lambda x: ~F.coalesce(F.array_contains("right", x["item_id"]), F.lit(False)))
+    out = rows.select("model_id", "chain_id", F.array_min(F.transform(wrong, lambda x: x["hop"])).alias("first_error_hop"))
     return out.withColumn("chain_ok", F.col("first_error_hop").isNull().cast("int"))
 
 
@@ -79,7 +85,7 @@ def understanding(items: DataFrame, preds: DataFrame) -> DataFrame:
 def counterfactual_rows(items: DataFrame, preds: DataFrame, threshold: float = 0.5, judge=entailment) -> DataFrame:
     """Every prediction of a known item (repeats stay) with entailed, direction and magnitude. ``judge`` may be a model's
     pandas UDF of (prediction, outcome)."""
-    both = preds.join(small(items), "item_id")
+    both = preds.join(items, "item_id")
     return both.select("*", (judge(F.col("prediction"), F.col("counterfactual_outcome")) >= threshold).cast("int").alias("entailed"), direction_match(F.col("prediction"), F.col("direction_keyword")).cast("int").alias("direction"), magnitude_match(F.col("prediction"), F.col("magnitude_bin")).cast("int").alias("magnitude"))
 
 
@@ -142,5 +148,5 @@ def conditional(rows: DataFrame) -> DataFrame:
 def human_baseline(items: DataFrame, answers: DataFrame) -> DataFrame:
     """(domain, accuracy, n) of human answers, null domain for all; unmatched ids are ignored. ``answers``: item_id,
     human_answer_idx."""
-    rows = answers.join(small(items), "item_id").withColumn("ok", correct(F.col("human_answer_idx"), F.col("answer_idx")))
+    rows = answers.join(items, "item_id").withColumn("ok", correct(F.col("human_answer_idx"), F.col("answer_idx")))
     return rows.groupingSets([[], ["domain"]], "domain").agg(F.avg("ok").alias("accuracy"), F.count("*").alias("n"))

@@ -133,11 +133,14 @@ def vorticity(flow: DataFrame, most: float = 5.0, bins: int = 2048) -> DataFrame
     cum = cum.withColumn("before", F.col("upto") - F.col("c"))
     has = lambda r: (F.col("before") <= r) & (r < F.col("upto"))
     ends = cum.groupBy("video_id").agg(F.max("total").alias("total"), F.max(F.when(has(low), F.col("bin"))).alias("lo"), F.max(F.when(has(high), F.col("bin"))).alias("hi"), F.max(F.when(has(low), F.col("before"))).alias("skip_lo"), F.max(F.when(has(high), F.col("before"))).alias("skip_hi"))
-    values = flow.join(ends, "video_id").select("video_id", "total", "lo", "hi", "skip_lo", "skip_hi", inside("u", "v", "height", "width", "lo", "hi").alias("x"))
-    all_values = values.groupBy("video_id").agg(*(F.first(c).alias(c) for c in ("total", "skip_lo")), F.array_sort(F.flatten(F.collect_list("x"))).alias("x"))
-    at = lambda r: F.element_at("x", (r - F.col("skip_lo") + 1).cast("int"))
+    values = flow.join(ends, "video_id").select("video_id", "total", "skip_lo", F.explode(inside("u", "v", "height", "width", "lo", "hi")).alias("x"))
+    # equal values are counted, so that a still clip's are one row
+    sums = values.groupBy("video_id", "total", "skip_lo", "x").agg(F.count("*").alias("c"))
+    ordered = sums.withColumn("upto", F.col("skip_lo") + F.sum("c").over(W.partitionBy("video_id").orderBy("x")))
+    ordered = ordered.withColumn("before", F.col("upto") - F.col("c"))
+    all_values = ordered.groupBy("video_id").agg(F.max("total").alias("total"), F.max(F.when(has(low), F.col("x"))).alias("a"), F.max(F.when(has(high), F.col("x"))).alias("b"))
+    a, b = F.col("a"), F.col("b")
     # with ranks in two bins, the upper is the first value of its bin, which follows the last of the lower
-    a, b = at(low), at(high)
     p99 = a + (b - a) * (rank - low)
     return all_values.select("video_id", p99.alias("curl_p99"), (p99 < most).alias("curl_ok"))
 

@@ -145,6 +145,54 @@ SELECT pair, round(1 / (1 + avg(sqrt(greatest(0, list_avg(list_transform(d, lamb
 SELECT pair, round(avg((coalesce(i1::DOUBLE / nullif(u1, 0), 0) + coalesce(i0::DOUBLE / nullif(u0, 0), 0)) / ((u1 > 0)::INT + (u0 > 0)::INT)), 5) AS mask_miou FROM k GROUP BY 1""",
     "v25_diversity": f"""f AS (SELECT video_id, video_id // 4 AS item_id, frame_idx, {_G} AS g FROM v_features), p AS (SELECT a.item_id, a.video_id AS x, b.video_id AS y, avg(list_avg(list_transform(range(1, 65), lambda i: abs(a.g[i] - b.g[i])))) AS d
 FROM f a JOIN f b ON a.item_id = b.item_id AND a.frame_idx = b.frame_idx AND a.video_id < b.video_id GROUP BY 1, 2, 3) SELECT item_id, round(coalesce(least(1.0, avg(d)), 0.0), 5) AS diversity FROM (SELECT DISTINCT item_id FROM f) LEFT JOIN p USING (item_id) GROUP BY 1""",
+    "p1_generation": "SELECT item_id, prompt FROM v_prompts",
+    "p1_conditional": "SELECT item_id, prompt, source AS depth, concat_ws('|', lang, source) AS variants FROM v_prompts",
+    "p1_understanding": "SELECT item_id, source AS video_path, prompt AS question, concat_ws('|', 'a', lang, 'c', 'd') AS choices FROM v_prompts",
+    "s1_s2_read_and_validate": """SELECT item_id, domain, answer_idx, round(language_prior_score, 6) AS language_prior_score, round(annotator_agreement, 6) AS annotator_agreement, concat_ws(',',
+CASE WHEN item_id IS NULL THEN 'item_id' END, CASE WHEN domain = 'kitchen' THEN 'domain' END, CASE WHEN physics_category = 'magic' THEN 'physics_category' END, CASE WHEN n_choices <> 4 THEN 'choices' END,
+CASE WHEN answer_idx NOT BETWEEN 0 AND 3 THEN 'answer_idx' END, CASE WHEN language_prior_score NOT BETWEEN 0 AND 1 THEN 'language_prior_score' END, CASE WHEN annotator_agreement NOT BETWEEN -1 AND 1 THEN 'annotator_agreement' END,
+CASE WHEN question IS NULL THEN 'question' END, CASE WHEN requires_temporal IS NULL THEN 'requires_temporal' END, CASE WHEN video_path IS NULL THEN 'video_path' END) AS faults FROM v_drawn_items""",
+    "p5_drafted_items": r"""d AS (SELECT *, regexp_extract(reply, '(?s)\{.*\}') AS j FROM v_drafts)
+SELECT event_id, sha256('clip|' || j) AS item_id, (event_id % 6)::INT AS answer_idx, CASE WHEN event_id % 5 = 0 THEN 'a|b|c' ELSE 'a|b|c|d' END AS choices,
+concat_ws(',', CASE WHEN domain = 'kitchen' THEN 'domain' END, CASE WHEN event_id % 5 = 0 THEN 'choices' END, CASE WHEN event_id % 6 > 3 THEN 'answer_idx' END) AS faults FROM d""",
+    "q1_stratified_sample": """p AS (SELECT item_id, substring(domain, 1, 3) AS domain FROM v_pool WHERE domain IS NOT NULL), n AS (SELECT domain, count(*) AS n FROM p GROUP BY 1),
+cfg(domain, ord, least_, share) AS (VALUES ('STA', 0, 5, 0.2::DOUBLE), ('PRO', 1, 5, 0.2), ('MED', 2, 5, 0.2), ('LAR', 3, 2, 0.5)),
+q AS (SELECT n.domain, coalesce(ord, 9) AS ord, least(n, coalesce(least_, 0)) AS base, least(n, CASE WHEN share IS NULL THEN 100 ELSE floor(share * 100)::BIGINT END) AS most FROM n LEFT JOIN cfg USING (domain)),
+i AS (SELECT domain, row_number() OVER (ORDER BY k - base, ord, domain) AS place FROM (SELECT *, unnest(range(base, most)) AS k FROM q)),
+t AS (SELECT q.domain, base + count(i.domain) AS quota FROM q LEFT JOIN i ON i.domain = q.domain AND place <= 100 - (SELECT sum(base) FROM q) GROUP BY q.domain, base),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5('42:' || item_id), item_id) AS rn FROM p) SELECT item_id, domain FROM r JOIN t USING (domain) WHERE rn <= quota""",
+    "l5_markdown": f"""x AS (SELECT model_id, {_INDEX} AS q, max(value) FILTER (metric = 'G.domain_score') AS m1, max(value) FILTER (metric = 'C.blur_ssim') AS m2, max(value) FILTER (metric = 'U.accuracy') AS m3,
+max(value) FILTER (metric = 'U.multihop_chain_accuracy') AS m4, max(value) FILTER (metric = 'CF.counterfactual_delta_accuracy') AS m5 FROM v_track_scores GROUP BY 1)
+SELECT 0::INT AS line_no, '| model | index | G.domain_score | C.blur_ssim | U.accuracy | U.multihop_chain_accuracy | CF.counterfactual_delta_accuracy |' AS line UNION ALL SELECT 1, '| --- | --- | --- | --- | --- | --- | --- |'
+UNION ALL SELECT (row_number() OVER (ORDER BY q DESC, model_id) + 1)::INT, '| ' || model_id || ' | ' || printf('%.4f', q) || ' | ' || coalesce(printf('%.4f', m1), '') || ' | ' || coalesce(printf('%.4f', m2), '') || ' | ' || coalesce(printf('%.4f', m3), '')
+|| ' | ' || coalesce(printf('%.4f', m4), '') || ' | ' || coalesce(printf('%.4f', m5), '') || ' |' FROM x""",
+    "s7_report": """s AS (SELECT model_id::VARCHAR AS model_id, model_id % 3 AS part, split_part(metric, '.', 1) AS track, metric, value FROM v_track_scores),
+t AS (SELECT model_id, track, count(*) AS n, any_value(part) AS part, string_agg(metric || '=' || printf('%.3f', value / 2), ', ' ORDER BY metric) AS parts FROM s GROUP BY 1, 2)
+SELECT model_id, track, 0::INT AS line_no, '## Track ' || track AS line FROM t UNION ALL SELECT model_id, track, 1, '- n_items: ' || n FROM t
+UNION ALL SELECT model_id, track, (1 + row_number() OVER (PARTITION BY model_id, track ORDER BY metric))::INT, '- **' || metric || '**: ' || printf('%.4f', value) FROM s
+UNION ALL SELECT model_id, track, (2 + n)::INT, '' FROM t UNION ALL SELECT model_id, track, (3 + n)::INT, '### Per-domain' FROM t UNION ALL SELECT model_id, track, (4 + n)::INT, '- ' || part || ': ' || parts FROM t""",
+    "v16_fluid_mass": f"""f AS (SELECT video_id, {_G} AS g FROM v_features), m AS (SELECT video_id, sum(list_sum(g)) / sum(len(g)) AS mean, sum(list_dot_product(g, g)) / sum(len(g)) AS sq FROM f GROUP BY 1),
+a AS (SELECT video_id, len(list_filter(g, lambda x: x > mean + sqrt(greatest(0, sq - mean * mean)))) AS area FROM f JOIN m USING (video_id)), d AS (SELECT video_id, coalesce((max(area) - min(area)) / nullif(max(area), 0)::DOUBLE, 0) AS d FROM a GROUP BY 1)
+SELECT video_id, round(d, 6) AS mass_drift, d < 0.5 AS mass_ok FROM d""",
+    "v6_flow_smoothness": """f AS (SELECT video_id, frame_idx, feature::DOUBLE[] AS u, list_reverse(feature)::DOUBLE[] AS v FROM v_features), p AS (SELECT *, lag(u) OVER w AS pu, lag(v) OVER w AS pv FROM f WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx)),
+c AS (SELECT video_id, CASE WHEN pu IS NULL THEN 0 ELSE list_sum(list_transform(range(1, 65), lambda i: sqrt((u[i] - pu[i]) ** 2 + (v[i] - pv[i]) ** 2))) END AS s, CASE WHEN pu IS NULL THEN 0 ELSE 64 END AS n FROM p)
+SELECT video_id, round(CASE WHEN sum(n) = 0 THEN 1.0 ELSE 1 / (1 + sum(s) / sum(n)) END, 5) AS flow_smoothness FROM c GROUP BY 1""",
+    "p7_gray": """b AS (SELECT video_id, frame_idx, list_transform(feature, lambda x: floor((x::DOUBLE + 1) / 2 * 255) / 255) AS r FROM v_features),
+c AS (SELECT *, list_transform(range(0, 64), lambda i: r[64 - i]) AS g, list_transform(range(0, 64), lambda i: r[(i + 7) % 64 + 1]) AS l FROM b)
+SELECT video_id, round(avg(list_avg(list_transform(range(1, 65), lambda i: floor(0.299::DOUBLE * floor(r[i] * 255) + 0.587::DOUBLE * floor(g[i] * 255) + 0.114::DOUBLE * floor(l[i] * 255) + 0.5::DOUBLE) / 255))), 3) AS gray,
+round(avg(list_avg(r)), 3) AS red, round(avg(list_avg(g)), 3) AS green, round(avg(list_avg(l)), 3) AS blue FROM c GROUP BY 1""",
+    "v20_verdicts": f"""{_STEPS}, r AS (SELECT *, abs(speed - lag(speed) OVER w) AS dv, row_number() OVER w - 1 AS i FROM s WINDOW w AS (PARTITION BY video_id ORDER BY t)), c AS (SELECT video_id, median(speed) AS med, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT video_id, count(*) FILTER (speed > 5 * (med + 1e-6)) = 0 AS ok_jumps, any_value(n) <= 4 OR avg(speed) FILTER (i >= n // 2) <= (avg(speed) FILTER (i < n // 2) + 1e-6) * 1.2 AS friction FROM r JOIN c USING (video_id) GROUP BY 1),
+m AS (SELECT video_id, avg(t) AS mid FROM v_traj GROUP BY 1), q AS (SELECT video_id, y, (t - mid) * (t - mid) AS q FROM v_traj JOIN m USING (video_id)),
+a AS (SELECT video_id, count(*) AS points, coalesce((count(*) * sum(q * y) - sum(q) * sum(y)) / nullif(count(*) * sum(q * q) - sum(q) * sum(q), 0) > 1e-3, false) AS gravity FROM q GROUP BY 1),
+u AS (SELECT video_id, t, vx / (speed + 1e-6) AS ix, vy / (speed + 1e-6) AS iy FROM s), o AS (SELECT *, lead(ix) OVER w AS ox, lead(iy) OVER w AS oy, count(*) OVER (PARTITION BY video_id) AS n FROM u WINDOW w AS (PARTITION BY video_id ORDER BY t)),
+b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY ox IS NULL, ix * ox + iy * oy, t) AS rn FROM o), bn AS (SELECT *, (ix + ox) / (sqrt((ix + ox) ** 2 + (iy + oy) ** 2) + 1e-6) AS nx, (iy + oy) / (sqrt((ix + ox) ** 2 + (iy + oy) ** 2) + 1e-6) AS ny FROM b WHERE rn = 1),
+f AS (SELECT video_id, coalesce(CASE WHEN n > 2 THEN (ix - 2 * (ix * nx + iy * ny) * nx) * ox + (iy - 2 * (ix * nx + iy * ny) * ny) * oy END > 0.7, true) AS reflects FROM bn),
+x AS (SELECT *, video_id % 4 AS kind, video_id % 3 > 0 AS mass, (video_id % 10) / 10.0 >= 0.30 AS flow_ok, CASE WHEN video_id % 2 = 0 THEN (video_id % 7) / 7.0::DOUBLE >= 0.50 END AS pose_ok FROM a JOIN k USING (video_id) JOIN f USING (video_id)),
+y AS (SELECT *, CASE kind WHEN 0 THEN [gravity, true, ok_jumps] WHEN 1 THEN [friction, reflects, ok_jumps] WHEN 2 THEN [mass, true, true] ELSE [] END || [flow_ok] || CASE WHEN pose_ok IS NULL THEN [] ELSE [pose_ok] END AS checks, kind < 2 AND points < 5 AS short FROM x),
+z AS (SELECT *, len(list_filter(checks, lambda c: c)) / len(checks)::DOUBLE AS share FROM y)
+SELECT video_id, CASE WHEN kind = 3 THEN NULL WHEN short THEN 0.0 ELSE round(share, 6) END AS score, kind < 3 AND NOT short AND share >= 0.66 AS passed, (CASE WHEN kind = 3 THEN 0 WHEN short THEN 1 ELSE len(checks) - len(list_filter(checks, lambda c: c)) END)::INT AS n_violations,
+(CASE WHEN kind < 3 AND NOT short THEN len(checks) ELSE 0 END)::INT AS n_checks, CASE kind WHEN 3 THEN 'intractable' WHEN 2 THEN 'heuristic' ELSE 'analytic' END AS verifier_type FROM z""",
     "p6_sample_frames": """t AS (SELECT video_id, count(*) AS n FROM v_features GROUP BY 1), k AS (SELECT video_id, n, unnest(range(0, 8)) AS i FROM t),
 s AS (SELECT DISTINCT video_id, floor(i * ((n - 1) / 7.0::DOUBLE))::BIGINT AS frame_idx FROM k WHERE n > 8 UNION SELECT v.video_id, frame_idx FROM v_features v JOIN t USING (video_id) WHERE n <= 8) SELECT video_id, frame_idx FROM s""",
 }

@@ -14,7 +14,9 @@ from framescore.operators import irt, judges, leaderboard, qc, sampling, tracks
 from framescore.operators.predict import requests, run_model, constant_model
 from framescore.operators.video import control, frames, physics, quality
 from framescore.plans.views import view
-from framescore.sources.items import parse_prediction
+from framescore.schemas import QA_ITEM
+from framescore.sources.folders import shared_folder
+from framescore.sources.items import parse_prediction, read_items, validate_items
 from framescore.sources.results import long_scores, markdown_report, pending, wire_scores
 from framescore.streaming.review import replay
 
@@ -110,7 +112,7 @@ def a9_counterfactual(v, spark, sf_dir):
 @query
 def j2_repeats_stay(v, spark, sf_dir):
     items = v("v_u_items").select("item_id", "domain")
-    return v("v_u_preds").join(tracks.small(items), "item_id").groupBy("model_id", "domain").agg(F.count("*").alias("n"))
+    return v("v_u_preds").join(items, "item_id").groupBy("model_id", "domain").agg(F.count("*").alias("n"))
 
 
 @query
@@ -125,6 +127,49 @@ def p2_run_model(v, spark, sf_dir):
     return run_model(requests(items, "CF"), "CF", constant_model).select("model_id", F.col("item_id").cast("long").alias("item_id"), "track", "answer_idx", "text")
 
 
+@query
+def p1_generation(v, spark, sf_dir):
+    return requests(v("v_prompts"), "G").select("item_id", "request.prompt")
+
+
+@query
+def p1_conditional(v, spark, sf_dir):
+    items = v("v_prompts").select("item_id", "prompt", F.create_map(F.lit("depth"), "source").alias("control_signals"), F.array("lang", "source").alias("variant_prompts"))
+    return requests(items, "C").select("item_id", "request.prompt", F.col("request.control_signals")["depth"].alias("depth"), F.array_join("request.variant_prompts", "|").alias("variants"))
+
+
+@query
+def p1_understanding(v, spark, sf_dir):
+    items = v("v_prompts").select("item_id", F.col("source").alias("video_path"), F.col("prompt").alias("question"), F.array(F.lit("a"), "lang", F.lit("c"), F.lit("d")).alias("choices"))
+    return requests(items, "U").select("item_id", "request.video_path", "request.question", F.array_join("request.choices", "|").alias("choices"))
+
+
+# --- items ---------------------------------------------------------------------------------------
+
+
+def _judged(items):
+    """Valid and rejected items with what is wrong with them."""
+    valid, rejected = validate_items(items, "U")
+    return valid.withColumn("faults", F.lit("")).unionByName(rejected.withColumn("faults", F.array_join("faults", ",")))
+
+
+@query
+def s1_s2_read_and_validate(v, spark, sf_dir):
+    """Items written as a track's folder, read back by its schema, and validated."""
+    folder = shared_folder(spark, "items")
+    choices = F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: i <= F.col("n_choices")), lambda i: i.cast("string"))
+    made = v("v_drawn_items").select("*", choices.alias("choices"), F.array().cast("array<string>").alias("tags"), F.lit(0.0).alias("difficulty"), F.lit(1.0).alias("discrimination"), F.lit(None).alias("chain_id"), F.lit(None).alias("hop_index"))
+    made.select(*(F.col(f.name).cast(f.dataType) for f in QA_ITEM)).write.parquet(f"{folder}/items/U")
+    return _judged(read_items(spark, folder, "U", fmt="parquet")).select("item_id", "domain", "answer_idx", "language_prior_score", "annotator_agreement", "faults")
+
+
+@query
+def p5_drafted_items(v, spark, sf_dir):
+    """Items drafted from replies; invalid ones are told apart."""
+    drafts = v("v_drafts").select("event_id", T.draft_item(F.col("reply"), F.lit("clip"), F.col("domain"), F.lit("fluid")).alias("x")).where("x is not null")
+    return _judged(drafts.select("event_id", "x.*")).select("event_id", "item_id", "answer_idx", F.array_join("choices", "|").alias("choices"), "faults")
+
+
 # --- judges --------------------------------------------------------------------------------------
 
 
@@ -384,6 +429,18 @@ def _frames(v):
     return v("v_features").select("video_id", "frame_idx", F.lit(8).alias("height"), F.lit(8).alias("width"), gray.alias("gray"))
 
 
+@query
+def p7_gray(v, spark, sf_dir):
+    """Binary RGB pixels to gray values and channel means."""
+    byte = lambda i: F.lpad(F.hex(F.floor((F.element_at("feature", i + 1).cast("double") + 1) / 2 * 255).cast("long")), 2, "0")
+    pixel = lambda i: F.concat(byte(i), byte(63 - i), byte((i + 7) % 64))
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), pixel), "")
+    rows = v("v_features").select("video_id", "frame_idx", F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(hexes).alias("pixels"))
+    got = frames.prepare(rows)
+    mean = F.avg(F.aggregate("gray", F.lit(0.0), lambda a, x: a + x) / 64)
+    return rounded(got.groupBy("video_id").agg(mean.alias("gray"), *(F.avg(F.get("color", F.lit(k))).alias(c) for k, c in enumerate(("red", "green", "blue")))), 3)
+
+
 @query
 def v1_consistency(v, spark, sf_dir):
     return rounded(quality.consistency(v("v_features")), 5)

@@ -47,7 +47,7 @@ FROM {events}""",
 SELECT d.doc_id AS item_id, d.text AS prediction, b.text AS counterfactual_outcome, d.lang AS domain, d.source AS physics_category,
        CASE d.doc_id % 4 WHEN 0 THEN 'more' WHEN 1 THEN 'less' WHEN 2 THEN 'up' ELSE 'down' END AS direction_keyword,
        CASE d.doc_id % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'much_more' ELSE 'slightly_less' END AS magnitude_bin
-FROM {documents} d JOIN {benchmark} b ON d.doc_id % 40 = b.item_id""",
+FROM {documents} d JOIN {benchmark} b ON d.doc_id % (SELECT count(*) FROM {benchmark}) = b.item_id""",
     "v_track_scores": """
 SELECT c.c_nationkey AS model_id,
        CASE o.o_orderpriority WHEN '1-URGENT' THEN 'G.domain_score' WHEN '2-HIGH' THEN 'C.blur_ssim'
@@ -61,9 +61,21 @@ FROM {customer} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') GRO
     "v_pool": "SELECT p_partkey AS item_id, p_type AS domain, p_size % 6 AS physics_category FROM {part}",
     "v_robust": "SELECT l_orderkey AS item_id, l_linenumber AS level, avg(1.0e0 - CAST(l_discount AS DOUBLE)) AS fidelity FROM {lineitem} GROUP BY 1, 2",
     "v_replies": "SELECT event_id, concat('Score ', event_type, ': ', props, ' end') AS reply FROM {events}",
+    "v_drafts": """
+SELECT event_id, concat('Draft: {{"question": "', event_type, '", "choices": ["a", "b", "c"', CASE WHEN event_id % 5 = 0 THEN '' ELSE ', "d"' END, '], "answer_idx": ', CAST(event_id % 6 AS STRING), '}} end') AS reply,
+       CASE event_id % 4 WHEN 0 THEN 'robotics' WHEN 1 THEN 'industrial' WHEN 2 THEN 'laboratory' ELSE 'kitchen' END AS domain
+FROM {events}""",
+    "v_drawn_items": """
+SELECT CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST(doc_id AS STRING) END AS item_id, source AS video_path,
+       CASE doc_id % 4 WHEN 0 THEN 'robotics' WHEN 1 THEN 'construction' WHEN 2 THEN 'agriculture' ELSE 'kitchen' END AS domain,
+       CASE doc_id % 3 WHEN 0 THEN 'fluid' WHEN 1 THEN 'contact' ELSE 'magic' END AS physics_category, lang AS question,
+       doc_id % 5 AS n_choices, CAST(doc_id % 7 - 1 AS INT) AS answer_idx, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS requires_temporal,
+       (doc_id % 13) / 10.0e0 AS language_prior_score, (doc_id % 25) / 10.0e0 - 1.2e0 AS annotator_agreement, doc_id
+FROM {documents}""",
+    "v_prompts": "SELECT doc_id AS item_id, text AS prompt, source, lang FROM {documents}",
     "v_responses": """
-SELECT l_suppkey % 20 AS model_id, l_partkey % 50 AS item_id, max(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS correct
-FROM {lineitem} WHERE l_linenumber = 1 GROUP BY 1, 2""",
+SELECT l_suppkey AS model_id, l_partkey AS item_id, max(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS correct
+FROM {lineitem} GROUP BY 1, 2""",
 }
 
 

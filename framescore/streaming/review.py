@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from framescore.sources.folders import shared_folder
+
 OUTPUT = "task_id long, votes array<int>, n int, late boolean"
 STATE = "votes array<int>, done boolean"
 
@@ -44,8 +45,7 @@ def replay(source: DataFrame, n_required: int = 3, folder: str | None = None) ->
     """Runs the stream over all that ``source`` (a streaming table) has now, and returns what it sent. Output and
     checkpoint go to the folder that executors share."""
     spark = source.sparkSession
-    base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/review-{uuid.uuid4().hex}"
+    path = f"{folder}/review-{uuid.uuid4().hex}" if folder else shared_folder(spark, "review")
     sent = review_stream(source, n_required).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     sent.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{path}/out")

@@ -51,6 +51,13 @@ def _items_step(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"item_id": names, "a": np.exp(la), "b": b})
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that its size is known and its lineage ends."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(items: item_id, a, b, converged; models: model_id, theta) of ``responses``: model_id, item_id, correct 0/1.
 
@@ -63,7 +70,9 @@ def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) ->
     models = responses.groupBy("model_id").agg(F.lit(0.0).alias("theta"))
     if models.limit(2).count() < 2:
         return items.select("item_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(True).alias("converged")), models
-    shared_folder(spark, "irt")  # sets the checkpoint folder where none is set
+    responses = kept(responses.select("model_id", "item_id", "correct"), "responses")  # read twice a round
+    items = kept(responses.groupBy("item_id").agg(F.lit(1.0).alias("a"), (2 * (0.5 - F.avg("correct"))).alias("b")), "items")
+    models = kept(models, "models")
     kind, far = dict(responses.dtypes)["item_id"], float("inf")
     buckets = max(8, responses.count() // ANSWERS)
     for _ in range(rounds):
@@ -71,11 +80,11 @@ def fit_2pl(responses: DataFrame, rounds: int = 20, tolerance: float = 1e-4) ->
         grad = F.sum(F.col("a") * (F.col("correct") - F.col("p")))
         info = F.sum(F.col("a") * F.col("a") * F.col("p") * (1 - F.col("p")))
         step = joined.withColumn("p", 1 / (1 + F.exp(-F.col("a") * (F.col("theta") - F.col("b"))))).groupBy("model_id").agg(F.first("theta").alias("t"), grad.alias("g"), info.alias("i"))
-        moved = step.select("model_id", (F.col("t") + F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("g") - F.col("t")) / (F.col("i") + 1)))).alias("theta"), F.col("t")).checkpoint()
+        moved = kept(step.select("model_id", (F.col("t") + F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("g") - F.col("t")) / (F.col("i") + 1)))).alias("theta"), F.col("t")), "models")
         far = moved.agg(F.max(F.abs(F.col("theta") - F.col("t")))).first()[0]
         models = moved.drop("t")
         joined = responses.join(models, "model_id").join(items, "item_id").withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)))
-        items = joined.groupBy("bucket").applyInPandas(_items_step, f"item_id {kind}, a double, b double").checkpoint()
+        items = kept(joined.groupBy("bucket").applyInPandas(_items_step, f"item_id {kind}, a double, b double"), "items")
         if far < tolerance:
             break
     return items.withColumn("converged", (F.abs("b") < LIMIT) & F.lit(far < tolerance)), models

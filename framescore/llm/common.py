@@ -29,12 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+#: Rows that a Python worker takes at once while a step is written: texts and blocks are large rows.
+BATCH_ROWS = 2000
+
+
 def written(df: DataFrame, what: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, so that a lost executor costs
     a re-read and two uses see the same rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(size)
+    try:
+        spark.conf.set(size, str(BATCH_ROWS if int(had) <= 0 else min(int(had), BATCH_ROWS)))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(size, had)
     return spark.read.schema(df.schema).parquet(path)
 
 

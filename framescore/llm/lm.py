@@ -534,7 +534,7 @@ def scored(docs: DataFrame, common: int = VOCAB) -> DataFrame:
     blocks = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(shared), BLOCK), "counts")
     model = spark.sparkContext.broadcast(katz(blocks, voc, hot_c))  # a number a word of the vocabulary
     back = blocks.where("batch >= 0").repartition(n, "batch").sortWithinPartitions("batch")
-    return back.mapInArrow(_gather(shared, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return written(back.mapInArrow(_gather(shared, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
 
 
 def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def brute(rows, size):
 
 
 def same(got, want):
-    key = lambda r: (r[0] is not None, r[0] or 0, r[6])
+    key = lambda r: (r[0] is not None, r[0] or 0, r[6], r[1])
     got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want):

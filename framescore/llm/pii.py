@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +83,13 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, plain match) of all spans to be judged; those that the method adds overlap no plain one."""
     base = base_spans(text)
     taken = sorted((s, e) for _, s, e in base)
-    free = lambda s, e: not any(a < e and s < b for a, b in taken)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+
+    def free(s: int, e: int) -> bool:
+        """No plain match overlaps: of those that start before ``e`` none reaches beyond ``s``."""
+        before = bisect_left(starts, e)
+        return before == 0 or reach[before - 1] <= s
+
     more = []
     if "at" in text and ("(" in text or "[" in text):
         more += [("email", m.start(), m.end()) for m in _AT_WORD.finditer(text)]

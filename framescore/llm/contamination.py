@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders on both sides, a run of names one placeholder. Windows of eight template
 words are hash-joined: all of an item's with every third of a document's, so that a run of 13 words can't slip through.
 Where one meets, the item is laid on the document and all windows are compared; alignments a few words apart add up. An
-alignment's placeholders must map each value of the item to one value of the document; then it is a copy (all values equal)
-or a re-parameterised question. Beside these, plain windows find an exact copy of 13 words, or of a shorter item as a
+alignment's placeholders must map each value of the item to one value of the document; windows with a placeholder that
+most of the same value contradict, or as many, don't count. What counts is a copy (all values equal) or a
+re-parameterised question. Beside these, plain windows find an exact copy of 13 words, or of a shorter item as a
 whole, whatever its words and letter case are."""
 
 from __future__ import annotations
@@ -135,13 +136,23 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     some = laid.where(~flag & (F.size("ats") > 0)).withColumn("covered", F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1)))))
     slots = F.filter("covered", lambda p: _slot(F.get("words", p)))
-    some = some.withColumn("pairs", F.array_distinct(F.transform(slots, lambda p: F.struct(_value(F.get("words", p)).alias("theirs"), _value(F.get("my_words", p + F.col("shift"))).alias("own")))))
-    # a name that begins or ends an item may run on in the document
-    equal = F.forall("pairs", lambda x: (x["theirs"] == x["own"]) | x["own"].endswith(F.concat(F.lit("\u0002"), x["theirs"])) | x["own"].startswith(F.concat(x["theirs"], F.lit("\u0002"))))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda x: x["theirs"]))) == F.size("pairs")
-    unslotted = F.size(F.filter("ats", lambda a: ~F.exists(F.slice("words", a + 1, F.col("size")), _slot)))
+
+    def slot(p):
+        theirs, own = _value(F.get("words", p)), _value(F.get("my_words", p + F.col("shift")))
+        # a name that begins or ends an item may run on in the document
+        runs_on = own.endswith(F.concat(F.lit("\u0002"), theirs)) | own.startswith(F.concat(theirs, F.lit("\u0002")))
+        return F.struct(p.alias("p"), theirs.alias("theirs"), F.when(runs_on, theirs).otherwise(own).alias("own"))
+
+    some = some.withColumn("slots", F.transform(slots, slot))
+    votes = lambda x: F.size(F.filter("slots", lambda y: (y["theirs"] == x["theirs"]) & (y["own"] == x["own"])))
+    some = some.withColumn("slots", F.transform("slots", lambda x: F.struct(x["p"].alias("p"), x["theirs"].alias("theirs"), x["own"].alias("own"), votes(x).alias("votes"))))
+    # a slot conflicts if as many of the same value, or more, have another one: only the windows that hold it are lost
+    conflicts = lambda x: F.exists("slots", lambda y: (y["theirs"] == x["theirs"]) & (y["own"] != x["own"]) & (y["votes"] >= x["votes"]))
+    some = some.withColumn("bad", F.transform(F.filter("slots", conflicts), lambda x: x["p"]))
+    good = F.size(F.filter("ats", lambda a: ~F.exists("bad", lambda p: (p >= a) & (p < a + F.col("size")))))
+    equal = F.forall(F.filter("slots", lambda x: ~F.array_contains("bad", x["p"])), lambda x: x["own"] == x["theirs"])
     need = F.least(F.lit(ENOUGH), F.col("total"))
-    some = some.select("key", "item_id", "shift", full.alias("full"), need.alias("need"), F.when(consistent | equal, F.size("ats")).otherwise(unslotted).alias("n"), (equal | ~consistent).alias("copy"))
+    some = some.select("key", "item_id", "shift", full.alias("full"), need.alias("need"), good.alias("n"), equal.alias("copy"))
     near = W.partitionBy("key", "item_id").orderBy("shift").rangeBetween(-APART, APART)
     some = some.withColumn("n_windows", F.sum("n").over(near).cast("long")).withColumn("copy", F.min("copy").over(near)).where(F.col("n_windows") >= F.col("need"))
     return copies.union(some.select("key", "item_id", F.col("full").alias("total"), "n_windows", F.when(F.col("copy"), "copy").otherwise("reparameterised").alias("kind")))

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from framescore.llm.contamination import decontaminated, matches, op8_template_windows
+from framescore.llm.contamination import PARTICLES, UNITS, decontaminated, matches, op8_template_windows
 from framescore.llm.licences import BASE, TEMPLATES, licences, op1_rare_token_index
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -125,13 +125,99 @@ def test_contamination_recall_of_changed_items(spark):
     """Items with names, numbers and units changed, in a text, against a matcher over words."""
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    names = ["Anna", "Bob Miller", "Carla van Berg", "Dov", "Mr Ek"]
+    pools = {"NAME": ["Anna", "Bob Miller", "Carla van Berg", "Dov", "Mr Ek"], "NUM": [str(i) for i in range(999)], "UNIT": ["km", "kg", "hours"]}
     items, docs = [], []
     for i in range(60):
-        parts = [rng.choice(["NAME", "NUM", "UNIT"]) if k % 5 == 3 else word() for k in range(24)]
-        fill = lambda: " ".join({"NAME": rng.choice(names), "NUM": str(rng.randrange(999)), "UNIT": rng.choice(["km", "kg", "hours"])}.get(p, p) for p in parts)  # noqa: E731, B023
-        items.append((i, fill()))
-        docs.append((i, " ".join(word() for _ in range(30)) + " " + fill() + ". " + " ".join(word() for _ in range(30))))
+        parts = [rng.choice(list(pools)) if k % 5 == 3 else word() for k in range(24)]
+        item = [(p, rng.choice(pools[p])) if p in pools else (p, p) for p in parts]
+        meant = {}  # a question asked anew has one value for each of the item's
+        for p, v in item:
+            if p in pools and v not in meant:
+                meant[v] = rng.choice([x for x in pools[p] if x not in meant.values()])
+        items.append((i, " ".join(v for _, v in item)))
+        docs.append((i, " ".join(word() for _ in range(30)) + " " + " ".join(meant.get(v, v) for _, v in item) + ". " + " ".join(word() for _ in range(30))))
     docs += [(1000 + i, " ".join(word() for _ in range(80))) for i in range(60)]
     got = {(r.doc_id, r.item_id) for r in matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got <= {(i, i) for i in range(60)} and len(got) >= 54
+
+
+def test_contamination_conflicting_slot(spark):
+    """One slot of five that contradicts the others costs its own windows alone; where values contradict each other evenly, none counts."""
+    item = "anna has 7 red pens and bob takes 7 of them while carl brings 7 blue ones then dora breaks 7 pens and emil finds 7 more under his desk"
+    item = " ".join(w.capitalize() if w in ("anna", "bob", "carl", "dora", "emil") else w for w in item.split())
+    fill = lambda *v: item.replace("7", "{}").format(*v)
+    rows = [(1, fill(9, 9, 9, 9, 9)), (2, fill(9, 9, 9, 9, 4)), (3, fill(9, 4, 9, 9, 9)), (4, fill(1, 2, 3, 4, 5)), (5, fill(7, 7, 7, 7, 2))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.kind, r.n_windows) for r in matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {d for d in got} == {1, 2, 3, 5} and got[1][0] == got[2][0] == got[3][0] == "reparameterised" and got[5][0] == "copy"
+    assert got[1][1] > got[2][1] and got[1][1] > got[3][1]
+
+
+def brute_template(text):
+    """Template words (kind or word, value) of a text, one word at a time: numbers, units, runs of names."""
+    words = [x for x in (re.sub(r"[^\w]|_", "", w) for w in re.split(r"[\x20\x09-\x0D]+", text or "")) if x]
+    kind = ["d" if w[0] in "0123456789" else "n" if w[0].lower() != w[0] else "u" if w in UNITS.split() else "p" if w in PARTICLES.split() else "w" for w in words]
+    out = []
+    for i, (w, k) in enumerate(zip(words, kind)):
+        before, two, after = (kind[j] if 0 <= j < len(kind) else "w" for j in (i - 1, i - 2, i + 1))
+        runs = (k == "n" and (before == "n" or (before == "p" and two == "n"))) or (k == "p" and before == "n" and after == "n")
+        if runs:
+            out[-1] = (out[-1][0], out[-1][1] + " " + w.lower())
+        else:
+            out.append((w, None) if k in "wp" else (k, w.lower()))
+    return out
+
+
+def brute_matches(docs, items):
+    """(doc_id, item_id) by laying each item of at least 13 template words on each place of each text, word by word."""
+    found = set()
+    laid = [(i, [x[0] if x[1] is None else "\0" + x[0] for x in t], t) for i, t in ((i, brute_template(x)) for i, x in items) if len(t) >= 13]
+    for d, text in docs:
+        mine = brute_template(text)
+        codes = [x[0] if x[1] is None else "\0" + x[0] for x in mine]
+        places = {}
+        for p, c in enumerate(codes):
+            places.setdefault(c, []).append(p)
+        for i, its, t in laid:
+            rare = min(range(len(its)), key=lambda k: len(places.get(its[k], [])))
+            shifts = {p - k for k in range(len(its)) for p in places.get(its[k], [])} if len(its) < 40 and len(codes) < 400 else {p - k for k in (rare,) for p in places.get(its[k], [])}
+            counts = {}
+            for s in shifts:
+                same = [0 <= k + s < len(codes) and codes[k + s] == c for k, c in enumerate(its)]
+                ats = [a for a in range(len(its) - 7) if all(same[a : a + 8])]
+                cover = {k for a in ats for k in range(a, a + 8)}
+                slots = [(k, t[k][1], mine[k + s][1]) for k in sorted(cover) if t[k][1] is not None]
+                slots = [(k, v, v if o.endswith(" " + v) or o.startswith(v + " ") else o) for k, v, o in slots]
+                votes = lambda v, o: sum(1 for _, x, y in slots if (x, y) == (v, o))  # noqa: E731, B023
+                bad = {k for k, v, o in slots if any(x == v and y != o and votes(x, y) >= votes(v, o) for _, x, y in slots)}
+                good = [a for a in ats if not bad & set(range(a, a + 8)) ]
+                # a match is found where a window of four literals meets, which is looked up at every third place
+                if any((a + s) % 3 == 0 and sum(t[k][1] is None for k in range(a, a + 8)) >= 4 for a in ats):
+                    counts[s] = len(good)
+            for s in counts:
+                if sum(n for x, n in counts.items() if abs(x - s) <= 3) >= min(6, len(its) - 7):
+                    found.add((d, i))
+    return found
+
+
+def test_contamination_templates_whole_table(spark, sf_dir):
+    """All template matches of the whole table, against items laid on texts word by word."""
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(i.item_id, i.text) for i in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rng = random.Random(11)
+    for k, (i, text) in enumerate(items[:20]):  # beside the table's own copies, some with numbers and names put in
+        docs.append((10_000 + k, "so. " + re.sub(r"\b(the|der|la)\b", lambda m: rng.choice(["the", "der", "la", "12", "Anna"]), text) + " end"))
+    got = {(r.doc_id, r.item_id) for r in matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    plain = set()
+    grams = {}
+    for i, t in items:
+        w = [x.lower() for x in (re.sub(r"[^\w]|_", "", w) for w in t.split()) if x]
+        size = min(13, len(w))
+        for k in range(len(w) - size + 1):
+            if size >= 5:
+                grams.setdefault(tuple(w[k : k + size]), set()).add(i)
+    sizes = {len(g) for g in grams}
+    for d, t in docs:
+        w = [x.lower() for x in (re.sub(r"[^\w]|_", "", w) for w in (t or "").split()) if x]
+        plain |= {(d, i) for n in sizes for k in range(len(w) - n + 1) for i in grams.get(tuple(w[k : k + n]), ())}
+    assert got == plain | brute_matches(docs, items)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from framescore.plans.clip_sql import CLIPS as _CLIPS
+from framescore.plans.clip_sql import GENERATION as _GENERATION
+from framescore.plans.clip_sql import STEPS as _STEPS
+from framescore.plans.clip_sql import UNIT as _UNIT
 from framescore.plans.views import with_views
 
 _LAST = "last AS (SELECT model_id, item_id, arg_max(answer_idx, seq) AS pred FROM v_u_preds GROUP BY ALL)"
@@ -17,8 +21,6 @@ cf AS (SELECT *, CASE WHEN len(tb) = 0 THEN 0.0 ELSE len(list_intersect(ta, tb))
 _RANKED = "(rank() OVER (PARTITION BY metric ORDER BY {0}) + (count(*) OVER (PARTITION BY metric, {0}) - 1) / 2.0)"
 _FINITE = "CASE WHEN isnan(rho) OR isinf(rho) THEN NULL ELSE rho END"
 _INDEX = "sum(value * CASE metric WHEN 'G.domain_score' THEN 0.20::DOUBLE WHEN 'U.accuracy' THEN 0.30::DOUBLE WHEN 'U.multihop_chain_accuracy' THEN 0.20::DOUBLE WHEN 'CF.counterfactual_delta_accuracy' THEN 0.15::DOUBLE ELSE 0.0375::DOUBLE END)"
-_STEPS = """d AS (SELECT video_id, t, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM v_traj WINDOW w AS (PARTITION BY video_id ORDER BY t)),
-s AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed FROM d WHERE vx IS NOT NULL)"""
 _ENSEMBLE = """e AS (SELECT item_id, median(score) AS score, avg(score) AS mean, avg((score >= 0.5)::INT) AS majority, count(score) AS n_judges, coalesce(stddev_pop(score), 0) AS std,
   coalesce(max(score) - min(score), 0) AS range, coalesce(string_agg(DISTINCT violation, ',' ORDER BY violation) FILTER (score IS NOT NULL), '') AS violations FROM v_verdicts {0} GROUP BY 1)"""
 _ROUTE = _ENSEMBLE.format("WHERE judge > 1") + """,
@@ -26,7 +28,6 @@ a AS (SELECT item_id, physics_category, max(CASE WHEN judge = 1 THEN score END)
 r AS (SELECT a.item_id, a.own, a.physics_category < 3 AS tractable, e.item_id IS NOT NULL AS has, e.score AS other, CASE WHEN e.n_judges < 2 OR round(e.std, 9) >= 0.25 THEN 'high' ELSE 'medium' END AS u, e.violations AS vi FROM a LEFT JOIN e USING (item_id))"""
 _G = "list_transform(feature, lambda x: (x::DOUBLE + 1) / 2)"
 _TWO = "f AS (SELECT video_id, frame_idx, " + _G + " AS g FROM v_features), two AS (SELECT a.video_id // 2 AS pair, a.frame_idx, a.g AS a, b.g AS b FROM f a JOIN f b ON b.video_id = a.video_id + 1 AND a.frame_idx = b.frame_idx WHERE a.video_id % 2 = 0)"
-_UNIT = "sqrt(list_dot_product({0}, {0})) + 1e-8"
 
 _SQL = {
     "flagship_ranking": f"""{_CHAIN}, acc AS (SELECT l.model_id, avg((l.pred = i.answer_idx)::INT) AS a FROM last l JOIN v_u_items i USING (item_id) GROUP BY 1),
@@ -193,6 +194,12 @@ y AS (SELECT *, CASE kind WHEN 0 THEN [gravity, true, ok_jumps] WHEN 1 THEN [fri
 z AS (SELECT *, len(list_filter(checks, lambda c: c)) / len(checks)::DOUBLE AS share FROM y)
 SELECT video_id, CASE WHEN kind = 3 THEN NULL WHEN short THEN 0.0 ELSE round(share, 6) END AS score, kind < 3 AND NOT short AND share >= 0.66 AS passed, (CASE WHEN kind = 3 THEN 0 WHEN short THEN 1 ELSE len(checks) - len(list_filter(checks, lambda c: c)) END)::INT AS n_violations,
 (CASE WHEN kind < 3 AND NOT short THEN len(checks) ELSE 0 END)::INT AS n_checks, CASE kind WHEN 3 THEN 'intractable' WHEN 2 THEN 'heuristic' ELSE 'analytic' END AS verifier_type FROM z""",
+    "a10_clip_quality": f"""{_CLIPS} SELECT video_id, round(subject_consistency, 5) AS subject_consistency, round(background_consistency, 5) AS background_consistency, round(motion_smoothness, 5) AS motion_smoothness, round(aesthetic_quality, 5) AS aesthetic_quality,
+round(imaging_quality, 5) AS imaging_quality, round(depth_stability, 5) AS depth_stability, round(coalesce(blob_count_stability, 1), 5) AS blob_count_stability, round(mass_drift, 5) AS mass_drift FROM q JOIN dw USING (video_id) JOIN px USING (video_id) LEFT JOIN bl USING (video_id)""",
+    "v20_clip_verdicts": f"{_GENERATION} SELECT model_id, item_id, video_id, round(quality, 5) AS quality, round(verdict, 5) AS verdict, passed, judge_type, uncertainty, n_violations FROM g",
+    "a11_clip_generation": f"""{_GENERATION}, su AS (SELECT model_id, CASE WHEN grouping(domain) = 1 AND grouping(kind) = 1 THEN 'overall' WHEN grouping(kind) = 1 THEN 'domain' ELSE 'physics' END AS scope, coalesce(domain::VARCHAR, kind) AS scope_value,
+avg(quality) AS quality_score, avg(verdict) AS domain_score, count(*) FILTER (verdict IS NULL) AS intractable_items, count(*) AS n FROM g GROUP BY GROUPING SETS ((model_id), (model_id, domain), (model_id, kind)))
+SELECT model_id, scope, scope_value, round(quality_score, 5) AS quality_score, round(CASE WHEN scope = 'overall' THEN coalesce(domain_score, 0) ELSE domain_score END, 5) AS domain_score, intractable_items, n, CASE WHEN scope = 'overall' THEN round(0.3::DOUBLE * quality_score + 0.7::DOUBLE * coalesce(domain_score, 0), 5) END AS overall FROM su""",
     "p6_sample_frames": """t AS (SELECT video_id, count(*) AS n FROM v_features GROUP BY 1), k AS (SELECT video_id, n, unnest(range(0, 8)) AS i FROM t),
 s AS (SELECT DISTINCT video_id, floor(i * ((n - 1) / 7.0::DOUBLE))::BIGINT AS frame_idx FROM k WHERE n > 8 UNION SELECT v.video_id, frame_idx FROM v_features v JOIN t USING (video_id) WHERE n <= 8) SELECT video_id, frame_idx FROM s""",
 }

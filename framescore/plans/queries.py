@@ -12,7 +12,7 @@ from framescore.functions.frames import aligned, sample_frames
 from framescore.operators import annotation as an
 from framescore.operators import irt, judges, leaderboard, qc, sampling, tracks
 from framescore.operators.predict import requests, run_model, constant_model
-from framescore.operators.video import control, frames, physics, quality
+from framescore.operators.video import clips, control, frames, physics, quality
 from framescore.plans.views import view
 from framescore.schemas import QA_ITEM
 from framescore.sources.folders import shared_folder
@@ -517,6 +517,48 @@ def v20_verdicts(v, spark, sf_dir):
     return physics.verdicts(clips).select("video_id", "score", "passed", F.size("violations").alias("n_violations"), F.size("checks").alias("n_checks"), "verifier_type")
 
 
+def _clips(v):
+    """Clips of 25 frames of 8 x 8 pixels, with flow, edges and keypoints, as far as ``clips.clip_checks``."""
+    rows, size = v("v_frames"), [F.lit(8).alias("height"), F.lit(8).alias("width")]
+    byte = lambda i: F.lpad(F.hex(F.floor((F.element_at("feature", i + 1).cast("double") + 1) / 2 * 255).cast("long")), 2, "0")
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(byte(i), byte(63 - i), byte((i + 7) % 64))), "")
+    store = clips.store_frames(rows.select("video_id", "frame_idx", *size, F.unhex(hexes).alias("pixels")), block=8)
+    x = F.transform("feature", lambda e: e.cast("double"))
+    flow = rows.where("frame_idx > 0").select("video_id", "frame_idx", *size, F.transform(x, lambda e: 10 * e).alias("u"), F.reverse(x).alias("v"))
+    edges = rows.select("video_id", "frame_idx", F.transform("feature", lambda e: F.when(e > 0.1, 255.0).otherwise(0.0)).alias("edges"))
+    points = rows.where("video_id % 2 = 0").select("video_id", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("landmark"), x.alias("e"))
+    points = points.select("video_id", "frame_idx", "landmark", F.element_at("e", 2 * F.col("landmark") + 1).alias("x"), F.element_at("e", 2 * F.col("landmark") + 2).alias("y"))
+    return clips.clip_checks(store, flow, edges, points, block=8, fan_in=2)
+
+
+def _generation(v):
+    """The arguments of the generation track over those clips: prompts for some of them, judges for some items."""
+    rows = v("v_frames")
+    prompts = rows.where("frame_idx = 3 and video_id % 3 <> 0").select("video_id", F.col("feature").alias("vector"))
+    panel = _verdicts(v).withColumn("model_id", F.col("judge") % 3)
+    return {"items": v("v_g_items"), "predictions": v("v_g_preds"), "clips": _clips(v), "fallback": judges.ensemble(panel, keys=("model_id", "item_id")), "prompts": quality.prompt_consistency(rows, prompts)}
+
+
+@query
+def a10_clip_quality(v, spark, sf_dir):
+    """Six quality metrics and the depth, blob and mass checks of clips, from one pass over their frames."""
+    own = [*clips.QUALITY[:-1], "depth_stability", "blob_count_stability", "mass_drift"]
+    return rounded(_clips(v).select("video_id", *own), 5)
+
+
+@query
+def v20_clip_verdicts(v, spark, sf_dir):
+    """Frames, flow, edges and keypoints to quality and a verdict of each prediction."""
+    rows = clips.generation_items(**_generation(v))
+    return rounded(rows.select("model_id", "item_id", "video_id", "quality", "verdict", F.coalesce("passed", F.lit(False)).alias("passed"), "judge_type", "uncertainty", F.size("violations").alias("n_violations")), 5)
+
+
+@query
+def a11_clip_generation(v, spark, sf_dir):
+    """Frames, flow, edges and keypoints to the generation track's summary."""
+    return rounded(clips.generation_track(**_generation(v)), 5)
+
+
 def _two(v):
     """Even clips against the odd ones after them."""
     rows = _frames(v).withColumn("pair", F.floor(F.col("video_id") / 2))

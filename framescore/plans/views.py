@@ -43,6 +43,12 @@ SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,
        CAST(value AS DOUBLE) AS x, CAST(event_id % 97 AS DOUBLE) AS y
 FROM {events}""",
     "v_features": "SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding AS feature FROM {embeddings}",
+    "v_frames": "SELECT CAST(floor(vec_id / 25) AS BIGINT) AS video_id, CAST(vec_id % 25 AS INT) AS frame_idx, embedding AS feature FROM {embeddings}",
+    "v_g_preds": "SELECT DISTINCT CAST(floor(vec_id / 25) AS BIGINT) % 3 AS model_id, CAST(floor(vec_id / 75) AS BIGINT) AS item_id, CAST(floor(vec_id / 25) AS BIGINT) AS video_id FROM {embeddings}",
+    "v_g_items": """
+SELECT item_id, CONCAT('d', item_id % 8) AS domain, CASE item_id % 4 WHEN 0 THEN 'rigid_body' WHEN 1 THEN 'contact' WHEN 2 THEN 'fluid' ELSE 'thermal' END AS physics_category,
+       CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 1.0e0 ELSE -1.0e0 END AS gravity_y, CASE WHEN item_id % 5 = 0 THEN NULL ELSE item_id % 12 END AS expected_collisions
+FROM (SELECT DISTINCT CAST(floor(vec_id / 75) AS BIGINT) AS item_id FROM {embeddings}) i""",
     "v_cf": """
 SELECT d.doc_id AS item_id, d.text AS prediction, b.text AS counterfactual_outcome, d.lang AS domain, d.source AS physics_category,
        CASE d.doc_id % 4 WHEN 0 THEN 'more' WHEN 1 THEN 'less' WHEN 2 THEN 'up' ELSE 'down' END AS direction_keyword,

@@ -28,6 +28,8 @@ SAMPLE, WINDOWS = 3000, 64
 #: moves a logit, and the layer by its own length; decay of vectors; texts with a bucket below which it moves no faster; every how
 #: many texts one is kept back to calibrate.
 STEPS, MEAN_STEPS, MOMENTUM, MOST, LAYER, DECAY, KEEN, KEPT, SEED = 100, 30, 0.8, 0.5, 0.01, 1e-3, 20, 5, 13
+#: Words of the vocabulary whose n-grams are found at once.
+SLICE = 1 << 13
 
 #: Bytes of words: letters, digits and all beyond ASCII.
 _WORD = np.zeros(256, bool)
@@ -136,14 +138,17 @@ def train(texts: list[str], toxic: list[int], share: float) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(table[:1], weights, np.zeros(2), share, constant=float(y[0]) if len(y) else 0.0)
     index: dict[str, int] = {}
-    tokens = [np.array([index.setdefault(x, len(index)) for x in t.split("\n") if x], np.int64) for t in texts]
-    flat = np.concatenate(tokens)
-    start, of_text = _windows(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]), len(tokens))
-    size = np.minimum(WINDOW, np.array([len(t) for t in tokens])[of_text])
-    ids, of_window = _bags(flat, start, size, len(index))
-    buckets, first = subwords(list(index))
-    grams = np.diff(first)
-    of_word = np.repeat(np.arange(len(index)), grams)
+    tokens = [np.array([index.setdefault(x, len(index)) for x in t.split("\n") if x], np.int32) for t in texts]
+    length = np.array([len(t) for t in tokens])
+    start, of_text = _windows(np.repeat(np.arange(len(tokens)), length), len(tokens))
+    size = np.minimum(WINDOW, length[of_text])
+    ids, of_window = (x.astype(np.int32) for x in _bags(np.concatenate(tokens), start, size, len(index)))
+    del tokens
+    # a slice of the vocabulary at a time, in four bytes a number: the driver's memory is small
+    names, slices = list(index), []  # (buckets, where each word's begin)
+    for k in range(0, len(names), SLICE):
+        found, first = subwords(names[k : k + SLICE])
+        slices.append((found.astype(np.int32), first))
     back = np.arange(len(y)) % KEPT == 0  # texts come in a hash's order
     if len(set(y[~back])) < 2 or len(set(y[back])) < 2:
         back[:] = False
@@ -155,7 +160,7 @@ def train(texts: list[str], toxic: list[int], share: float) -> Model:
 
     def through(values: np.ndarray) -> np.ndarray:
         """Of each window the mean of ``values`` of its words' buckets."""
-        word = np.bincount(of_word, values[buckets], len(index)) / grams
+        word = np.concatenate([means(values[b], f) for b, f in slices] or [np.zeros(0)])
         return np.bincount(of_window, word[ids], len(size)) / WINDOW
 
     def pooled(z: np.ndarray, mean: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +174,12 @@ def train(texts: list[str], toxic: list[int], share: float) -> Model:
 
     def errors(of: np.ndarray) -> np.ndarray:
         """The same way back: of each bucket the sum of the windows' errors."""
-        word = np.bincount(ids, of[of_window] / WINDOW, len(index)) / grams
-        return np.bincount(buckets, word[of_word], BUCKETS)
+        word = np.bincount(ids, of[of_window] / WINDOW, len(index))
+        out = np.zeros(BUCKETS)
+        for k, (b, f) in enumerate(slices):
+            n = np.diff(f)
+            out += np.bincount(b, np.repeat(word[k * SLICE : k * SLICE + len(n)] / n, n), BUCKETS)
+        return out
 
     # a bucket that most texts have moves in small steps, one that few have in no larger ones than KEEN texts would give it
     common = errors(np.repeat(1 / windows, windows * has) / len(y)) if len(size) else np.zeros(BUCKETS)

@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
-#: Rows that a Python worker takes at once while a step is written: texts and blocks are large rows.
-BATCH_ROWS = 2000
+#: Rows and bytes that a Python worker takes at once while a step is written: texts and blocks are large rows.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def written(df: DataFrame, what: str = "step") -> DataFrame:
@@ -38,13 +38,15 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     a re-read and two uses see the same rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    had = spark.conf.get(size)
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = {k: spark.conf.get(k) for k in (rows, size)}
     try:
-        spark.conf.set(size, str(BATCH_ROWS if int(had) <= 0 else min(int(had), BATCH_ROWS)))
+        spark.conf.set(rows, str(BATCH_ROWS if int(had[rows]) <= 0 else min(int(had[rows]), BATCH_ROWS)))
+        spark.conf.set(size, str(BATCH_BYTES))
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(size, had)
+        for k, v in had.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +58,18 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def carried(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` as its columns ``own``, which an operator reads, and ``row``, all of them but the text: so no name that an operator adds, and no
+    dot in a name, can clash with one of theirs."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((*own, "text"))), rest.alias("row"))
+
+
+def put_back(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` that ``carried`` took, and the text as it is now."""
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import documents, mix, written
+from framescore.llm.common import carried, documents, mix, put_back, written
 
 ORDER, BITS = 4, 16
 MAX_PIECES, MAX_CHARS = 600, 20_000
@@ -229,6 +229,13 @@ def identified(docs: DataFrame, learn) -> DataFrame:
     return docs.select(*names).mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, unchanged, whatever their other columns are named; learned from those of their
+    labels that ``learnable`` allows. A null text and one without a letter go."""
+    rows = carried(docs, "doc_id", "lang")
+    return put_back(identified(rows, learnable(rows)).where("not rejected"), docs.columns)
+
+
 def learnable(docs: DataFrame):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))
 

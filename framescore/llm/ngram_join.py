@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from framescore.llm.common import components, documents, grams, groups, mix, partitions, words, written
 
 SHINGLE = 5
-#: Sets in a tile, sets of a key that gives pairs, keys that a pair shares, rows of narrow columns that are broadcast.
-TILE, FEW, SHARED, BROADCAST = 1024, 24, 3, 1_000_000
+#: Sets in a tile, at most, and their shingles, on average (a set of more is a tile of its own); they bound what a task holds.
+TILE, TILE_SHINGLES = 1024, 1 << 18
+#: Sets of a key that gives pairs, keys that a pair shares, bytes of narrow rows that are broadcast.
+FEW, SHARED, BROADCAST = 24, 3, 64 << 20
 #: Documents from which the order of shingles is learned, and shingles that it puts last; they change speed alone.
 SAMPLE, LAST = 4000, 1 << 17
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -317,12 +319,17 @@ def _compare_texts(batches):
     return _by_unit(batches, ["unit", "id", "text", "label", "side"], work, ["a", "b"])
 
 
+def tiles_of(sets, shingles, tile: int):
+    """How many tiles hold so many sets of so many shingles together."""
+    return F.greatest(F.ceil(sets / tile), F.ceil(shingles / TILE_SHINGLES)).cast("int")
+
+
 def _units(sets: DataFrame, tile: int) -> DataFrame:
     """A row for each unit that a set of (cluster, id, n, ...) is compared in, with ``side``: its cluster, or, in a large cluster, every pair
     of tiles of the same or neighbouring bands of size."""
     sets = sets.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.34))).cast("int"))
-    counts = sets.groupBy("cluster", "band").agg(F.count("*").alias("c"))
-    tiles = counts.groupBy("cluster").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("c") / tile).cast("int").alias("t")))).alias("tiles"))
+    counts = sets.groupBy("cluster", "band").agg(tiles_of(F.count("*"), F.sum("n"), tile).alias("t"), F.count("*").alias("c"), F.sum("n").alias("shingles"))
+    tiles = counts.groupBy("cluster").agg(tiles_of(F.sum("c"), F.sum("shingles"), tile).alias("all"), F.map_from_entries(F.collect_list(F.struct("band", "t"))).alias("tiles"))
     sets = sets.join(tiles, "cluster")
     count = lambda b: F.coalesce(F.try_element_at("tiles", b), F.lit(0))
     sets = sets.withColumn("tile", F.pmod(F.xxhash64("id"), count(F.col("band"))).cast("int"))
@@ -336,12 +343,13 @@ def _units(sets: DataFrame, tile: int) -> DataFrame:
         F.transform(each(down), lambda j: unit(name(down, j, own, F.col("tile")), F.lit(True))),
     )
     one = F.array(unit(F.col("cluster").cast("string"), F.lit(False)))
-    return sets.withColumn("u", F.explode(F.when(F.col("all") <= tile, one).otherwise(many))).select("*", "u.unit", "u.side").drop("u", "tiles", "all", "band", "tile")
+    return sets.withColumn("u", F.explode(F.when(F.col("all") == 1, one).otherwise(many))).select("*", "u.unit", "u.side").drop("u", "tiles", "all", "band", "tile")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it has at most BROADCAST rows; else a join with it is shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+def _few(units: DataFrame) -> DataFrame:
+    """``units`` marked for broadcast if their rows take at most BROADCAST bytes; else a join with them is shuffled."""
+    size = units.agg(F.sum(F.octet_length("unit") + F.lit(64).cast("long"))).first()[0] or 0
+    return F.broadcast(units) if size <= BROADCAST else units
 
 
 def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
@@ -381,7 +389,8 @@ def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
 
     # each set with its smallest partner; a set that is the smallest of many meets them in units of ``tile``
     tree = open_.groupBy("a").agg(F.min("b").alias("b"))
-    tree = tree.join(tree.groupBy("b").agg(F.ceil(F.count("*") / tile).cast("int").alias("k")), "b")
+    near = tree.join(sets.select(F.col("id").alias("a"), "n"), "a").groupBy("b").agg(tiles_of(F.count("*"), F.sum("n"), tile).alias("k"))
+    tree = tree.join(near, "b")
     unit = lambda k: F.concat_ws(".", "b", k)
     child = tree.select(unit(F.pmod(F.xxhash64("a"), "k")).alias("unit"), F.col("a").alias("id"), F.col("a").alias("label"), F.lit(False).alias("side"))
     parent = tree.select("b", "k").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(unit(F.col("i")).alias("unit"), F.col("b").alias("id"), F.col("b").alias("label"), F.lit(True).alias("side"))
@@ -409,14 +418,17 @@ def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows that repeat a doc_id leave one, rows
-    without a doc_id all stay."""
+    """The rows of ``docs`` whose doc_id is the smallest of its component, unchanged, whatever their other columns are named.
+
+    Of rows with one doc_id each different text stays, once: with the row that is first by a hash of all its columns. Rows
+    without a doc_id all stay; an empty table gives an empty one."""
     ids = written(joined(docs).where("component_id = doc_id").groupBy("doc_id").count(), "kept")
-    several = ids.where("count > 1")
-    out = docs.join(ids.where("count = 1"), "doc_id", "left_semi").select(*docs.columns)
-    if not several.isEmpty():
-        out = out.union(docs.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-    return out.union(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = rows.join(ids.where("count = 1"), "doc_id", "left_semi")
+    several = rows.join(ids.where("count > 1"), "doc_id", "left_semi")
+    first = several.groupBy("doc_id", F.xxhash64("row.text").alias("text_hash")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    out = out.select("row").union(first.select("row")).union(rows.where("doc_id is null").select("row"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_bitmap_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import documents, written
+from framescore.llm.common import carried, documents, put_back, written
 
 #: Fixed values of the contract: kinds in order.
 KINDS = ("email", "ip", "card", "phone")
@@ -222,7 +222,8 @@ def spans(found_: DataFrame, accepted: set[tuple[str, int]]) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in angle brackets; clean and null texts stay as they
-    are. n_chars, where there is such a column, follows the text."""
+    are, and so do other columns, whatever their names. n_chars, where there is such a column, follows the text. An empty table
+    gives an empty one, and rows that repeat stay."""
     spark = docs.sparkSession
     accepted = spark.sparkContext.broadcast(fit(found(docs)))  # at most 3 ** labelers a kind
 
@@ -243,8 +244,12 @@ def redacted(docs: DataFrame) -> DataFrame:
             i = b.schema.get_field_index("text")
             yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    rows = carried(docs)
+    out = put_back(rows.mapInArrow(run, rows.schema), docs.columns)
+    if "n_chars" not in docs.columns:
+        return out
+    size = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(size if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

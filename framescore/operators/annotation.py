@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framescore.sources.folders import shared_folder
+
 
 def review_queue(annotations: DataFrame, n_required: int = 3) -> tuple[DataFrame, DataFrame]:
     """(tasks, late): a task is done at its n-th annotation by arrival; later ones are rejected; repeat annotators
@@ -58,25 +64,53 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
     return _kappa(cells, []).select(F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).otherwise(F.col("kappa")).alias("kappa"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, i, j, a, b, c) of a batch's items with n votes: how many have a at position i and b at j, i <= j; position n is padding."""
+    for batch in batches:
+        lists = batch.column("v")
+        labels = lists.flatten().dictionary_encode("encode")
+        names, code = labels.dictionary, labels.indices.to_numpy()
+        size = np.diff(lists.offsets.to_numpy())
+        begin = np.cumsum(size) - size
+        for n in np.unique(size[size > 0]):
+            at = begin[size == n]
+            votes = code[at[:, None] + np.append(np.arange(n), 0)]  # padding repeats the first vote
+            seen, own = np.unique(votes, return_inverse=True)
+            width = len(seen)
+            x = np.zeros((len(at), (n + 1) * width))
+            x[np.arange(len(at))[:, None], np.arange(n + 1) * width + own.reshape(votes.shape)] = 1
+            tables = (x.T @ x).astype(np.int64)
+            row, col = np.nonzero(tables)
+            i, j = row // width, col // width
+            keep = (i < j) | ((i == n) & (j == n))
+            row, col, i, j = row[keep], col[keep], i[keep], j[keep]
+            label = lambda k: names.take(pa.array(seen[k % width]))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), label(row), label(col), pa.array(tables[row, col])], ["n", "i", "j", "a", "b", "c"])
+
+
 def panel_kappa(votes: DataFrame) -> DataFrame:
-    """Mean kappa over pairs of annotator positions on padded votes; 0 with under two. ``votes``: item_id, arrival,
+    """(panel_kappa, n_pairs): mean kappa over pairs of annotator positions on padded votes; 0 with under two. ``votes``: item_id, arrival,
     vote; the position is the arrival's rank in the item.
 
-    Pairs are made of the votes that an item has; those with padding, alike for all later positions, are counted by the
-    number of votes and spread over the positions afterwards."""
+    An item's votes are a 0/1 vector over positions and labels; the sum of its outer products over items holds the contingency table of
+    each pair of positions. Batches add up the items of each number of votes, so that only tables leave a task. Positions beyond an
+    item's votes repeat its first: one position of padding stands for all of them, and is dealt to them at the end."""
     items = votes.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "vote"))), lambda x: x["vote"]).alias("v"))
-    items = items.select("v", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"))
-    top = F.broadcast(items.agg(F.max("n").alias("top")))  # one row
-    at = lambda k: F.get("v", k)
-    own = F.sequence(F.lit(0), F.col("n") - 1)
-    both = F.flatten(F.transform(own, lambda i: F.transform(F.filter(own, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"), at(i).alias("a"), at(j).alias("b")))))
-    real = items.where("n > 1").select(F.explode(both).alias("p")).groupBy("p.i", "p.j", "p.a", "p.b").agg(F.count("*").alias("c"))
-    half = items.select("n", "first", F.posexplode("v").alias("i", "a")).groupBy("n", "i", "a", "first").agg(F.count("*").alias("c"))
-    later = F.filter(F.sequence(F.lit(0), F.col("top")), lambda j: (j >= F.col("n")) & (j < F.col("top")))
-    half = half.crossJoin(top).withColumn("j", F.explode(later)).select("i", "j", "a", F.col("first").alias("b"), "c")
-    none = items.groupBy("n", "first").agg(F.count("*").alias("c")).crossJoin(top).withColumn("i", F.explode(later)).withColumn("j", F.explode(later)).where("i < j").select("i", "j", F.col("first").alias("a"), F.col("first").alias("b"), "c")
-    cells = real.unionByName(half).unionByName(none).groupBy("i", "j", "a", "b").agg(F.sum("c").alias("c"))
-    return _kappa(cells, ["i", "j"]).agg(F.coalesce(F.avg("kappa"), F.lit(0.0)).alias("panel_kappa"), F.count("*").alias("n_pairs"))
+    kind = votes.schema["vote"].dataType.simpleString()
+    folder = shared_folder(votes.sparkSession, "tables")
+    items.select("v").mapInArrow(_gram, f"n int, i int, j int, a {kind}, b {kind}, c long").groupBy("n", "i", "j", "a", "b").agg(F.sum("c").alias("c")).write.parquet(folder)
+    tables = votes.sparkSession.read.parquet(folder)
+    top = tables.agg(F.max("n")).first()[0] or 0
+    # the positions that a table's i and j stand for
+    spread = lambda c: F.when(F.col(c) < F.col("n"), F.array(c)).when(F.col("n") < top, F.sequence("n", F.lit(top - 1))).otherwise(F.array().cast("array<int>"))
+    pairs = tables.withColumn("i", F.explode(spread("i"))).withColumn("j", F.explode(spread("j"))).where("i < j")
+    nothing = F.lit(0).cast("long")
+    same = F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(nothing)
+    sides = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("c").alias("left"), nothing.alias("right"), same.alias("same")), F.struct(F.col("b").alias("v"), nothing.alias("left"), F.col("c").alias("right"), nothing.alias("same"))))
+    margins = pairs.select("i", "j", sides.alias("x")).groupBy("i", "j", "x.v").agg(*(F.sum(f"x.{c}").alias(c) for c in ("left", "right", "same")))
+    each = margins.groupBy("i", "j").agg(F.sum("left").alias("n"), F.sum("same").alias("same"), F.sum(F.col("left").cast("double") * F.col("right")).alias("chance"))
+    pe = F.col("chance") / (F.col("n").cast("double") * F.col("n"))
+    return each.select(F.try_divide(F.col("same") / F.col("n") - pe, 1 - pe).alias("kappa")).agg(F.coalesce(F.avg("kappa"), F.lit(0.0)).alias("panel_kappa"), F.count("*").alias("n_pairs"))
 
 
 def irt_flags(params: DataFrame, floor: float = -2.5, ceiling: float = 2.5, low: float = 0.5) -> DataFrame:

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from framescore.schemas import INDEX_WEIGHTS
 
 
+def _index(weights: dict[str, float] | None) -> Column:
+    weight = F.create_map(*(x for k, v in (weights or INDEX_WEIGHTS).items() for x in (F.lit(k), F.lit(v))))
+    return F.coalesce(F.sum(F.col("value") * F.try_element_at(weight, F.col("metric"))), F.lit(0.0)).alias("quality_index")
+
+
 def index(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(model_id, quality_index): weighted sum; what is missing adds 0, weights are not re-normalised."""
-    weight = F.create_map(*(x for k, v in (weights or INDEX_WEIGHTS).items() for x in (F.lit(k), F.lit(v))))
-    return scores.groupBy("model_id").agg(F.coalesce(F.sum(F.col("value") * F.try_element_at(weight, F.col("metric"))), F.lit(0.0)).alias("quality_index"))
+    return scores.groupBy("model_id").agg(_index(weights))
 
 
 def ranking(scores: DataFrame, metrics: tuple[str, ...] = tuple(INDEX_WEIGHTS)) -> DataFrame:
-    """A row a model: index, a column a metric ("." becomes "_"), best first."""
-    wide = scores.groupBy("model_id").pivot("metric", list(metrics)).agg(F.first("value"))
-    wide = wide.select("model_id", *(F.col(f"`{m}`").alias(m.replace(".", "_")) for m in metrics))
-    return index(scores).join(wide, "model_id").orderBy(F.desc("quality_index"), "model_id")
+    """A row a model: index, a column a metric ("." becomes "_"), best first. One pass over the scores."""
+    wide = (F.first(F.when(F.col("metric") == m, F.col("value")), ignorenulls=True).alias(m.replace(".", "_")) for m in metrics)
+    return scores.groupBy("model_id").agg(_index(None), *wide).orderBy(F.desc("quality_index"), "model_id")
 
 
 def _rank(keys: list[str], value: str) -> Column:

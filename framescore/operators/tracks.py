@@ -71,14 +71,67 @@ def chain_summary(chain: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(items: DataFrame) -> DataFrame:
+    """``items`` with hop (0 for null), and, of a chain's members in the order of hop and item: place, size, first_hop, next_hop."""
+    chained = F.col("chain_id").isNotNull() & (F.col("chain_id").cast("string") != "")
+    rows = items.withColumn("chain_id", F.when(chained, F.col("chain_id"))).withColumn("hop", F.coalesce("hop_index", F.lit(0)))
+    # items without a chain are windows of their own, not one large one
+    own = W.partitionBy("chain_id", F.when(F.col("chain_id").isNull(), F.col("item_id"))).orderBy("hop", "item_id")
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.select("*", (F.row_number().over(own) - 1).alias("place"), F.count("*").over(whole).alias("size"), F.first("hop").over(whole).alias("first_hop"), F.lead("hop").over(own).alias("next_hop"))
+
+
+def track_summary(items: DataFrame, preds: DataFrame) -> DataFrame:
+    """(model_id, accuracy, n, n_chains, multihop_chain_accuracy, error_propagation_rate, mean_first_error_hop), as ``accuracy`` overall and
+    ``chain_summary`` give them, from one join of answers and items.
+
+    An answer's row knows its place in the chain and the hop that follows. Of a model and chain, the right places from 0 on without a gap
+    lead to the first error; chains that a model leaves out altogether are all chains less those it answers, so that no row is made for
+    them. Accuracy is null for a model that answers no known item."""
+    numbered = _numbered(items)
+    known = numbered.select("item_id", "answer_idx", "chain_id", "place", "size", "first_hop", "next_hop", F.lit(True).alias("known"))
+    last = last_predictions(preds).withColumnRenamed("answer_idx", "pred_idx")
+    rows = last.join(known, "item_id", "left").withColumn("ok", correct(F.col("pred_idx"), F.col("answer_idx")))
+    right = F.when(F.col("chain_id").isNotNull() & (F.col("ok") == 1), F.struct("place", "next_hop"))
+    per = rows.groupBy("model_id", "chain_id").agg(F.count("known").alias("n"), F.sum(F.when(F.col("known"), F.col("ok"))).alias("n_ok"), F.array_sort(F.collect_list(right)).alias("right"), F.first("size").alias("size"), F.first(F.when(F.col("chain_id").isNotNull(), F.col("first_hop"))).alias("first_hop"))
+    run = F.filter("right", lambda x, i: x["place"] == i)
+    per = per.withColumn("run", F.size(run)).withColumn("after", F.get(run, F.size(run) - 1)["next_hop"])
+    error = F.when(F.col("chain_id").isNull() | (F.col("run") == F.col("size")), None).when(F.col("run") == 0, F.col("first_hop")).otherwise(F.col("after"))
+    per = per.withColumn("error", error)
+    models = per.groupBy("model_id").agg(
+        F.sum("n").alias("n"),
+        F.sum("n_ok").alias("n_ok"),
+        F.count("chain_id").alias("seen"),
+        F.count("error").alias("failed"),
+        F.count_if(F.col("error") > 0).alias("late"),
+        F.coalesce(F.sum("error"), F.lit(0)).alias("hops"),
+        F.coalesce(F.sum("first_hop"), F.lit(0)).alias("seen_hops"),
+        F.count_if(F.col("first_hop") > 0).alias("seen_late"),
+    )
+    firsts = numbered.where("chain_id is not null and place = 0")
+    every = F.broadcast(firsts.agg(F.count("*").alias("n_chains"), F.coalesce(F.sum("hop"), F.lit(0)).alias("all_hops"), F.count_if(F.col("hop") > 0).alias("all_late")))  # one row
+    out = models.crossJoin(every)
+    failed = F.col("failed") + F.col("n_chains") - F.col("seen")
+    late = F.col("late") + F.col("all_late") - F.col("seen_late")
+    hops = F.col("hops") + F.col("all_hops") - F.col("seen_hops")
+    return out.select(
+        "model_id",
+        F.try_divide(F.col("n_ok"), F.col("n")).alias("accuracy"),
+        "n",
+        "n_chains",
+        F.try_divide(F.col("n_chains") - failed, F.col("n_chains")).alias("multihop_chain_accuracy"),
+        F.coalesce(F.try_divide(late, failed), F.lit(0.0)).alias("error_propagation_rate"),
+        F.coalesce(F.try_divide(hops, failed), F.lit(0.0)).alias("mean_first_error_hop"),
+    )
+
+
 def prior_leaks(items: DataFrame, threshold: float = 0.6) -> DataFrame:
     return items.agg(F.count_if(F.col("language_prior_score") >= threshold).alias("n_leaky"), F.count("*").alias("n_items"))
 
 
 def understanding(items: DataFrame, preds: DataFrame) -> DataFrame:
     """(model_id, metric, value) of the question-answering track."""
-    overall = accuracy(items, preds).where("scope = 'overall'").select("model_id", "accuracy")
-    wide = overall.join(chain_summary(chains(items, preds)), "model_id", "left").fillna(0.0)
+    wide = track_summary(items, preds).where("n > 0").fillna(0.0)
     return wide.select("model_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("U.accuracy", "U.multihop_chain_accuracy"))), F.array("accuracy", "multihop_chain_accuracy"))).alias("metric", "value"))
 
 

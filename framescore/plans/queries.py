@@ -61,7 +61,7 @@ def a3_chains(v, spark, sf_dir):
 
 @query
 def a4_chain_summary(v, spark, sf_dir):
-    return tracks.chain_summary(tracks.chains(v("v_u_items"), v("v_u_preds")))
+    return tracks.track_summary(v("v_u_items"), v("v_u_preds")).where("n_chains > 0").drop("accuracy", "n")
 
 
 @query

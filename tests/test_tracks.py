@@ -1,5 +1,7 @@
 """Exact values of track scoring, worked out by hand."""
 
+import random
+
 import pytest
 
 from framescore.functions import text as T
@@ -68,3 +70,34 @@ def test_model_runs_over_requests(spark):
     assert constant_predictions(i, "U").first().answer_idx == 0
     with pytest.raises(ValueError):
         requests(i, "X")
+
+
+def test_one_pass_equals_chains_and_accuracy(spark):
+    """Random answers: chains of one to ninety members, hops that repeat, skip or lack, models that leave chains out, repeated and unknown answers."""
+    rng = random.Random(4)
+    rows, answers = [], []
+    for c in range(25):
+        for k in range(rng.choice([1, 2, 3, 5, 90])):
+            rows.append((f"i{c}_{k}", rng.choice(["a", "b"]), "fluid", rng.randrange(2), rng.choice([f"c{c}"] * 9 + [None, ""]), rng.choice([k, k, k // 2, None, k + 3]), 0.0))
+    for m in "mnop":
+        for i in rows:
+            if m == "n" and i[4] in ("c1", "c2", "c3") or rng.random() < 0.1:
+                continue
+            for s in range(rng.choice([1, 1, 2])):
+                answers.append((m, i[0], i[3] if rng.random() < (1.0 if m == "o" else 0.8) else rng.choice([None, 9]), s))
+    answers += [("q", "unknown", 1, 0)]
+    i, p = items(spark, rows), preds(spark, answers)
+    want = {r.model_id: r for r in tracks.chain_summary(tracks.chains(i, p)).collect()}
+    acc = {r.model_id: r for r in tracks.accuracy(i, p).where("scope = 'overall'").collect()}
+    got = {r.model_id: r for r in tracks.track_summary(i, p).collect()}
+    assert set(got) == set(want) == set("mnopq") and got["q"].accuracy is None
+    for m, r in got.items():
+        assert r.n_chains == want[m].n_chains
+        for k in ("multihop_chain_accuracy", "error_propagation_rate", "mean_first_error_hop"):
+            assert r[k] == pytest.approx(want[m][k]), (m, k)
+        if m in acc:
+            assert (r.accuracy, r.n) == (pytest.approx(acc[m].accuracy), acc[m].n)
+    none = tracks.track_summary(i.where("chain_id is null"), p.where("model_id = 'm'")).first()
+    assert (none.n_chains, none.error_propagation_rate, none.mean_first_error_hop) == (0, 0.0, 0.0)
+    assert {r.model_id for r in tracks.understanding(i, p).collect()} == set("mnop")
+    assert tracks.track_summary(i, p.limit(0)).count() == 0

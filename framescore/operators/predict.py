@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from framescore.functions.text import counterfactual_question
+from framescore.operators.calls import PARALLEL, ask, attempted
 
-PREDICTIONS = "model_id string, item_id string, track string, answer_idx int, text string, video_path string, video_paths_by_level map<string,string>, variant_video_paths array<string>, latency_ms double"
+PREDICTIONS = "model_id string, item_id string, track string, answer_idx int, text string, video_path string, video_paths_by_level map<string,string>, variant_video_paths array<string>, latency_ms double, error string"
 
 
 def requests(items: DataFrame, track: str) -> DataFrame:
@@ -26,22 +28,26 @@ def requests(items: DataFrame, track: str) -> DataFrame:
     return items.select("item_id", F.struct(*fields[track]).alias("request"))
 
 
-def run_model(asked: DataFrame, track: str, make_model: Callable[[], Callable[[dict], dict]]) -> DataFrame:
-    """Predictions of a black-box model. ``make_model`` runs once a partition (clients are opened there); the number of
-    partitions bounds concurrent calls. A response names model_id ("unknown" if not) and the answer's fields."""
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
-        for b in batches:
-            rows = []
-            for item, request in zip(b.item_id, b.request):
-                r = model(dict(request) if isinstance(request, dict) else request.asDict(recursive=True))
-                rows.append((r.get("model_id", "unknown"), item, track, r.get("answer_idx"), r.get("text"), r.get("video_path"), r.get("video_paths_by_level"), r.get("variant_video_paths"), r.get("latency_ms")))
-            out = pd.DataFrame(rows, columns=["model_id", "item_id", "track", "answer_idx", "text", "video_path", "video_paths_by_level", "variant_video_paths", "latency_ms"])
-            out["answer_idx"] = out["answer_idx"].astype("Int32")
-            yield out
-
-    return asked.select(F.col("item_id").cast("string").alias("item_id"), "request").mapInPandas(call, PREDICTIONS)
+def run_model(asked: DataFrame, track: str, make_model: Callable[[], Callable[[dict], dict]], ledger: str | None = None, parallel: int = PARALLEL) -> DataFrame:
+    """Predictions of a black-box model. ``make_model`` runs once a task (with a ledger: once a batch; clients are opened there); ``parallel`` calls are
+    under way at once in a task. A response names model_id ("unknown" if not) and the answer's fields; a failed call has none, and its
+    reason in ``error``. With a ``ledger`` (see ``calls``) a rerun asks only what is not answered."""
+    rows = asked.select(F.col("item_id").cast("string").alias("item_id"), "request")
+    if ledger is None:
+
+        def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = make_model()
+            for b in batches:
+                got = attempted(make_model, list(b.text), parallel, model)
+                yield pd.DataFrame({"item_id": b.item_id, "reply": pd.Series([x[0] for x in got], dtype=object, index=b.index), "error": pd.Series([x[1] for x in got], dtype=object, index=b.index)})
+
+        replies = rows.select("item_id", F.to_json("request").alias("text")).mapInPandas(call, "item_id string, reply string, error string")
+    else:
+        replies = ask(rows, f"model of {track}", make_model, ledger, parallel=parallel)
+    fields = StructType.fromDDL(PREDICTIONS)
+    replies = replies.withColumn("x", F.from_json("reply", StructType([f for f in fields if f.name not in ("item_id", "track", "error")])))
+    own = {"item_id": F.col("item_id"), "track": F.lit(track), "error": F.col("error"), "model_id": F.coalesce("x.model_id", F.lit("unknown"))}
+    return replies.select(*(own.get(f.name, F.col(f"x.{f.name}")).alias(f.name) for f in fields))
 
 
 def constant_model() -> Callable[[dict], dict]:

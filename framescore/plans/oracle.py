@@ -200,6 +200,10 @@ round(imaging_quality, 5) AS imaging_quality, round(depth_stability, 5) AS depth
     "a11_clip_generation": f"""{_GENERATION}, su AS (SELECT model_id, CASE WHEN grouping(domain) = 1 AND grouping(kind) = 1 THEN 'overall' WHEN grouping(kind) = 1 THEN 'domain' ELSE 'physics' END AS scope, coalesce(domain::VARCHAR, kind) AS scope_value,
 avg(quality) AS quality_score, avg(verdict) AS domain_score, count(*) FILTER (verdict IS NULL) AS intractable_items, count(*) AS n FROM g GROUP BY GROUPING SETS ((model_id), (model_id, domain), (model_id, kind)))
 SELECT model_id, scope, scope_value, round(quality_score, 5) AS quality_score, round(CASE WHEN scope = 'overall' THEN coalesce(domain_score, 0) ELSE domain_score END, 5) AS domain_score, intractable_items, n, CASE WHEN scope = 'overall' THEN round(0.3::DOUBLE * quality_score + 0.7::DOUBLE * coalesce(domain_score, 0), 5) END AS overall FROM su""",
+    "an3_asked_prior": """t AS (SELECT item_id, lang AS domain, (item_id % 7 <> 0 AND (length(prompt) + unnest(range(0, 3))) % 4 = item_id % 4)::INT AS ok FROM v_prompts)
+SELECT item_id, domain, round(avg(ok), 6) AS prior, avg(ok) < 0.6 AS passed FROM t GROUP BY 1, 2""",
+    "jg1_asked_judges": """k AS (SELECT item_id, unnest(range(0, 3)) AS k, prompt FROM v_prompts), s AS (SELECT item_id, ((length(prompt) * (k + 1)) % 10) / 10.0::DOUBLE AS s FROM k WHERE k < 2 OR item_id % 7 <> 0)
+SELECT item_id, round(avg(s), 6) AS score, count(*) AS n_judges, round(stddev_pop(s), 9) >= 0.25 AS flagged, CASE WHEN round(stddev_pop(s), 9) >= 0.25 THEN 'high' ELSE 'medium' END AS uncertainty FROM s GROUP BY 1""",
     "p6_sample_frames": """t AS (SELECT video_id, count(*) AS n FROM v_features GROUP BY 1), k AS (SELECT video_id, n, unnest(range(0, 8)) AS i FROM t),
 s AS (SELECT DISTINCT video_id, floor(i * ((n - 1) / 7.0::DOUBLE))::BIGINT AS frame_idx FROM k WHERE n > 8 UNION SELECT v.video_id, frame_idx FROM v_features v JOIN t USING (video_id) WHERE n <= 8) SELECT video_id, frame_idx FROM s""",
 }

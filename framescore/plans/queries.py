@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 from framescore.functions import text as T
 from framescore.functions.frames import aligned, sample_frames
 from framescore.operators import annotation as an
-from framescore.operators import irt, judges, leaderboard, qc, sampling, tracks
+from framescore.operators import calls, irt, judges, leaderboard, qc, sampling, tracks
 from framescore.operators.predict import requests, run_model, constant_model
 from framescore.operators.video import clips, control, frames, physics, quality
 from framescore.plans.views import view
@@ -288,6 +288,46 @@ def an3_prior_rejections(v, spark, sf_dir):
     return an.prior_rejections(an.prior_audit(v("v_trials"), threshold=0.25))
 
 
+def _reader():
+    """A client that reads the question's length; it fails for every seventh item."""
+
+    def answer(request: dict) -> str:
+        if request["item_id"] % 7 == 0:
+            raise RuntimeError("no answer")
+        return f"Answer {(len(request['question']) + request['trial']) % 4}."
+
+    return answer
+
+
+@query
+def an3_asked_prior(v, spark, sf_dir):
+    """Trials asked through a ledger, failed calls and all, then audited."""
+    items = v("v_prompts").select("item_id", F.col("lang").alias("domain"), (F.col("item_id") % 4).alias("answer_idx"), F.col("prompt").alias("question"), F.array("lang", "source").alias("choices"))
+    return an.prior_audit(calls.prior_trials(items, _reader, shared_folder(spark, "ledger"), n_trials=3))
+
+
+def _rater(k: int):
+    """A judge that rates the prompt's length; the third fails for every seventh item."""
+
+    def make():
+        def rate(request: dict) -> str:
+            if k == 2 and request["item_id"] % 7 == 0:
+                raise RuntimeError("quota")
+            return f"Score: 0.{(len(request['prompt']) * (k + 1)) % 10} of 1"
+
+        return rate
+
+    return make
+
+
+@query
+def jg1_asked_judges(v, spark, sf_dir):
+    """Three judges asked through a ledger; a failed one is dropped, not counted as 0."""
+    requests = v("v_prompts").select("item_id", F.struct("item_id", "prompt").alias("request"))
+    panel = calls.judged(requests, {f"j{k}": _rater(k) for k in range(3)}, shared_folder(spark, "ledger"))
+    return judges.ensemble(panel, "mean").select("item_id", "score", "n_judges", "flagged", "uncertainty")
+
+
 @query
 def an4_agreement(v, spark, sf_dir):
     return an.agreement(v("v_annotations"))

@@ -1,12 +1,13 @@
 """Licences and decontamination against brute-force versions."""
 
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from framescore.llm.contamination import PARTICLES, UNITS, decontaminated, matches, op8_template_windows
-from framescore.llm.licences import BASE, TEMPLATES, licences, op1_rare_token_index
+from framescore.llm.licences import BASE, COMMON, ENOUGH, GAP, KEY_WORDS, TEMPLATES, VOCABULARY, licences, op1_rare_token_index
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string"
@@ -54,6 +55,65 @@ def test_licences_all_in_one_text(spark):
     assert got[2][0] == "cc-by" and got[3] == ("", 0.0)
 
 
+def brute_labels(text, weight):
+    """Labels by laying every template on every place of its key phrase, word by word."""
+    words, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)), {x for x in brute_base(text)[4].split(",") if x}
+    for label, statement, key in TEMPLATES:
+        parts, phrase = statement.split(), key.split()
+        at = next(i for i in range(len(parts)) if parts[i : i + len(phrase)] == phrase)
+        total = sum(weight.get(w, 0.0) for w in parts)
+        for p in (i for i in range(len(words)) if words[i : i + len(phrase)] == phrase):
+            here = lambda k: words[max(0, p - at + k - GAP) : max(0, p - at + k + GAP + 1)]  # noqa: E731, B023
+            if sum(weight.get(w, 0.0) for k, w in enumerate(parts) if w in here(k)) >= ENOUGH * total:
+                out.add(label)
+    return ",".join(sorted(out))
+
+
+def weights(texts):
+    """Inverse document frequencies as the operator counts them."""
+    sets = [set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))) for t in texts]
+    n = max(1, len(sets))
+    df = {w: sum(w in s for s in sets) for w in VOCABULARY}
+    return {w: max(0.1, math.log((n + 1) / (df[w] + 0.5))) for w in VOCABULARY if w in KEY_WORDS or df[w] <= COMMON * n}
+
+
+def test_licences_labels_whole_table(spark, sf_dir):
+    """The method's labels over the whole table, with statements cut up, changed and repeated put into some of its texts."""
+    rng = random.Random(9)
+    docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for k in range(150):
+        words = rng.choice(TEMPLATES)[1].split() + rng.choice([[], ["and"], rng.choice(TEMPLATES)[1].split()])
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(words))
+            words[i : i + rng.randrange(2)] = rng.choice([[], ["odd"], ["two", "more"], ["license"], ["mozilla"]])
+        host = (docs[rng.randrange(len(docs))][1] or "").split()[:80]
+        i = rng.randrange(len(host) + 1)
+        docs.append((100_000 + k, " ".join(host[:i] + words + host[i:])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licences(df).collect()}
+    w = weights([t for _, t in docs])
+    want = {d: brute_labels(t, w) for d, t in docs}
+    assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
+    assert len({x for x in want.values()}) > 10
+    plan = licences(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_licences_with_words_put_in(spark):
+    rows = [
+        ("Licensed under the 3-clause BSD license", "bsd"),
+        ("This is licensed under the Apache-2.0 License.", "apache"),
+        ("Mozilla Public License, version 2.0", "mpl"),
+        ("It is made available under the terms of the Mozilla Public License 2.0", "mpl"),
+        ("// SPDX-License-Identifier: MIT", "mit"),
+        ("# SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+        ("Redistribution and use, in source and binary forms, of this thing with or without any modification, are permitted", "bsd"),
+        ("I read the Mozilla page about public things and a license", ""),
+    ]
+    got = {r.doc_id: r.labels for r in licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(i, "other text") for i in range(100, 130)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, x in rows]
+
+
 def test_contamination_whole_table(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in op8_template_windows(spark, sf_dir).collect()}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from framescore.operators.video.kernels import pair_indices
+import numpy as np
+
+from framescore.operators.video.kernels import gaussian, pair_indices
 
 UNIT = "sqrt(list_dot_product({0}, {0})) + 1e-8"
 STEPS = """d AS (SELECT video_id, t, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy FROM v_traj WINDOW w AS (PARTITION BY video_id ORDER BY t)),
@@ -72,3 +74,40 @@ pa AS (SELECT judge % 3 AS model_id, item_id, median(score) AS other, CASE WHEN
 g AS (SELECT z.*, CASE WHEN own AND short THEN 0.0 WHEN own THEN share ELSE other END AS verdict, own AND NOT short AND share >= 0.66 AS passed, CASE WHEN own THEN 'analytic' WHEN pa.item_id IS NOT NULL THEN 'ensemble' ELSE 'none' END AS judge_type,
   CASE WHEN own THEN CASE WHEN kind = 'fluid' THEN 'medium' END ELSE coalesce(unsure, 'high') END AS uncertainty, (CASE WHEN own AND short THEN 1 WHEN own THEN len(checks) - len(list_filter(checks, lambda c: c)) ELSE coalesce(n_other, 0) END)::INT AS n_violations
   FROM z LEFT JOIN pa ON pa.model_id = z.model_id AND pa.item_id = z.item_id)"""
+
+
+# --- single measures of gray frames g (lists of 64 values) --------------------------------------------
+
+_LAPLACE = """list_transform(range(0, 64), lambda i: s[CASE WHEN i < 8 THEN i + 8 ELSE i - 8 END + 1] + s[CASE WHEN i > 55 THEN i - 8 ELSE i + 8 END + 1] + s[CASE WHEN i % 8 = 0 THEN i + 1 ELSE i - 1 END + 1]
+  + s[CASE WHEN i % 8 = 7 THEN i - 1 ELSE i + 1 END + 1] - 4 * s[i + 1])"""
+_GRAY = "f AS (SELECT video_id, frame_idx, list_transform(feature, lambda x: (x::DOUBLE + 1) / 2) AS g FROM v_features)"
+IMAGING = f"""{_GRAY}, s AS (SELECT video_id, list_transform(g, lambda x: floor(x * 255)) AS s FROM f)
+SELECT video_id, round(least(1.0, greatest(0.0, avg(list_var_pop({_LAPLACE})) / 500)), 6) AS imaging_quality FROM s GROUP BY 1"""
+DEPTH = f"""{_GRAY}, p AS (SELECT video_id, g, unnest({_PAIRS}) AS k FROM f), d AS (SELECT video_id, k[1] AS i, k[2] AS j, sign(g[k[1]] - g[k[2]]) AS s, count(*) OVER (PARTITION BY video_id, k[1], k[2]) AS times FROM p),
+e AS (SELECT video_id, i, j, (count(DISTINCT s) = 1)::INT AS same, count(*)::DOUBLE AS n FROM d GROUP BY 1, 2, 3) SELECT video_id, round(sum(same * n) / sum(n), 6) AS depth_stability FROM e GROUP BY 1"""
+CENTROIDS = f"""{_GRAY}, n AS (SELECT *, lag(g) OVER (PARTITION BY video_id ORDER BY frame_idx) AS p FROM f), d AS (SELECT video_id, frame_idx, list_transform(range(1, 65), lambda i: abs(g[i] - p[i])) AS d FROM n WHERE p IS NOT NULL),
+m AS (SELECT video_id, frame_idx, list_max(d) < 1e-3 AS still, list_filter(range(0, 64), lambda i: d[i + 1] > list_avg(d) + list_stddev_pop(d)) AS m FROM d),
+c AS (SELECT *, CASE WHEN still OR len(m) < 5 THEN NULL ELSE list_avg(list_transform(m, lambda i: i % 8)) END AS cx, CASE WHEN still OR len(m) < 5 THEN NULL ELSE list_avg(list_transform(m, lambda i: i // 8)) END AS cy FROM m),
+k AS (SELECT *, row_number() OVER w - 1 AS t, last_value(cx IGNORE NULLS) OVER w AS kx, last_value(cy IGNORE NULLS) OVER w AS ky, CASE WHEN first_value(still) OVER w THEN 0.0 ELSE 4.0 END AS z FROM c WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING))
+SELECT video_id, t, round(coalesce(kx, z), 6) AS x, round(coalesce(ky, z), 6) AS y FROM k"""
+VORTICITY = """f AS (SELECT video_id, list_transform(feature, lambda x: 10 * x::DOUBLE) AS u, list_reverse(feature::DOUBLE[]) AS v FROM v_features),
+c AS (SELECT video_id, unnest(list_transform(range(1, 65), lambda i: abs((u[CASE WHEN i > 56 THEN i ELSE i + 8 END] - u[CASE WHEN i < 9 THEN i ELSE i - 8 END]) / CASE WHEN i > 56 OR i < 9 THEN 1 ELSE 2 END
+  - (v[CASE WHEN i % 8 = 0 THEN i ELSE i + 1 END] - v[CASE WHEN i % 8 = 1 THEN i ELSE i - 1 END]) / CASE WHEN i % 8 < 2 THEN 1 ELSE 2 END))) AS c FROM f)
+SELECT video_id, round(quantile_cont(c, 0.99), 6) AS curl_p99, quantile_cont(c, 0.99) < 5 AS curl_ok FROM c GROUP BY 1"""
+#: The blur is linear: the weight of each of eight places on a line in each blurred one.
+_BLUR = str([[float(gaussian(np.outer(np.eye(8)[j], np.ones(8)), 2.0)[i, 4]) for j in range(8)] for i in range(8)])
+
+
+def _blurred(x: str) -> str:
+    rows = f"list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 8), lambda j: k[i // 8 + 1][j + 1] * {x}[8 * j + i % 8 + 1])))"
+    return f"list_transform([{rows}], lambda r: list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 8), lambda j: k[i % 8 + 1][j + 1] * r[8 * (i // 8) + j + 1]))))[1]"
+
+
+def ssim(pairs: str) -> str:
+    """Mean similarity of blurred frames of ``pairs``: tables with a last one named two (pair, a, b)."""
+    window = lambda x: f"list_transform(range(0, 49), lambda q: {x}[8 * (q // 7 + w // 2) + q % 7 + w % 2 + 1])"
+    return f"""{pairs}, k AS (SELECT {_BLUR} AS k), bl AS (SELECT pair, {_blurred("a")} AS a, {_blurred("b")} AS b FROM two CROSS JOIN k),
+wi AS (SELECT pair, row_number() OVER () AS frame, a, b, unnest(range(0, 4)) AS w FROM bl), wx AS (SELECT pair, frame, {window("a")} AS x, {window("b")} AS y FROM wi),
+mo AS (SELECT pair, frame, list_avg(x) AS mx, list_avg(y) AS my, list_var_samp(x) AS vx, list_var_samp(y) AS vy, 49 / 48.0::DOUBLE * (list_dot_product(x, y) / 49 - list_avg(x) * list_avg(y)) AS c FROM wx),
+si AS (SELECT pair, frame, avg((2 * mx * my + 0.0001::DOUBLE) * (2 * c + 0.0009::DOUBLE) / ((mx * mx + my * my + 0.0001::DOUBLE) * (vx + vy + 0.0009::DOUBLE))) AS s FROM mo GROUP BY 1, 2)
+SELECT pair, round(least(1.0, greatest(0.0, avg(s))), 5) AS blur_ssim FROM si GROUP BY 1"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framescore.plans import clip_sql
 from framescore.plans.clip_sql import CLIPS as _CLIPS
 from framescore.plans.clip_sql import GENERATION as _GENERATION
 from framescore.plans.clip_sql import STEPS as _STEPS
@@ -204,6 +205,11 @@ SELECT model_id, scope, scope_value, round(quality_score, 5) AS quality_score, r
 SELECT item_id, domain, round(avg(ok), 6) AS prior, avg(ok) < 0.6 AS passed FROM t GROUP BY 1, 2""",
     "jg1_asked_judges": """k AS (SELECT item_id, unnest(range(0, 3)) AS k, prompt FROM v_prompts), s AS (SELECT item_id, ((length(prompt) * (k + 1)) % 10) / 10.0::DOUBLE AS s FROM k WHERE k < 2 OR item_id % 7 <> 0)
 SELECT item_id, round(avg(s), 6) AS score, count(*) AS n_judges, round(stddev_pop(s), 9) >= 0.25 AS flagged, CASE WHEN round(stddev_pop(s), 9) >= 0.25 THEN 'high' ELSE 'medium' END AS uncertainty FROM s GROUP BY 1""",
+    "v4_imaging": clip_sql.IMAGING,
+    "v7_depth_stability": clip_sql.DEPTH,
+    "v10_centroids": clip_sql.CENTROIDS,
+    "v17_vorticity": clip_sql.VORTICITY,
+    "v21_blur_ssim": clip_sql.ssim(_TWO),
     "p6_sample_frames": """t AS (SELECT video_id, count(*) AS n FROM v_features GROUP BY 1), k AS (SELECT video_id, n, unnest(range(0, 8)) AS i FROM t),
 s AS (SELECT DISTINCT video_id, floor(i * ((n - 1) / 7.0::DOUBLE))::BIGINT AS frame_idx FROM k WHERE n > 8 UNION SELECT v.video_id, frame_idx FROM v_features v JOIN t USING (video_id) WHERE n <= 8) SELECT video_id, frame_idx FROM s""",
 }

@@ -423,11 +423,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows with one doc_id each different text stays, once: with the row that is first by a hash of all its columns. Rows
     without a doc_id all stay; an empty table gives an empty one."""
     ids = written(joined(docs).where("component_id = doc_id").groupBy("doc_id").count(), "kept")
+    small = ids.count() * 16 <= BROADCAST  # two numbers a row
+    several = ids.where("count > 1")
     rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    out = rows.join(ids.where("count = 1"), "doc_id", "left_semi")
-    several = rows.join(ids.where("count > 1"), "doc_id", "left_semi")
-    first = several.groupBy("doc_id", F.xxhash64("row.text").alias("text_hash")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    out = out.select("row").union(first.select("row")).union(rows.where("doc_id is null").select("row"))
+    kept = lambda some: rows.join(F.broadcast(some) if small else some, "doc_id", "left_semi")
+    out = kept(ids.where("count = 1")).select("row").union(rows.where("doc_id is null").select("row"))
+    if not several.isEmpty():
+        first = kept(several).groupBy("doc_id", F.xxhash64("row.text").alias("text_hash")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        out = out.union(first.select("row"))
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 

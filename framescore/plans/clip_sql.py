@@ -111,3 +111,21 @@ wi AS (SELECT pair, row_number() OVER () AS frame, a, b, unnest(range(0, 4)) AS
 mo AS (SELECT pair, frame, list_avg(x) AS mx, list_avg(y) AS my, list_var_samp(x) AS vx, list_var_samp(y) AS vy, 49 / 48.0::DOUBLE * (list_dot_product(x, y) / 49 - list_avg(x) * list_avg(y)) AS c FROM wx),
 si AS (SELECT pair, frame, avg((2 * mx * my + 0.0001::DOUBLE) * (2 * c + 0.0009::DOUBLE) / ((mx * mx + my * my + 0.0001::DOUBLE) * (vx + vy + 0.0009::DOUBLE))) AS s FROM mo GROUP BY 1, 2)
 SELECT pair, round(least(1.0, greatest(0.0, avg(s))), 5) AS blur_ssim FROM si GROUP BY 1"""
+
+
+_SIMILAR = ssim("")[2:].rsplit("\nSELECT", 1)[0]
+CONDITIONAL = f"""f AS (SELECT video_id, frame_idx, video_id // 4 AS item_id, feature AS e, list_transform(feature, lambda x: floor((x::DOUBLE + 1) / 2 * 255)::INT) AS r FROM v_frames WHERE frame_idx < 20 + video_id % 3),
+h AS (SELECT *, flatten(list_transform(range(0, 64), lambda i: [r[i + 1], r[64 - i], r[(i + 7) % 64 + 1]])) AS p, list_transform(range(0, 64), lambda i: (299 * r[i + 1] + 587 * r[64 - i] + 114 * r[(i + 7) % 64 + 1] + 500) // 1000) AS g8 FROM f),
+g AS (SELECT *, list_transform(g8, lambda x: x / 255.0::DOUBLE) AS g FROM h),
+two AS (SELECT x.video_id AS pair, x.g AS a, y.g AS b, x.g8 AS a8, y.g8 AS b8, x.e AS ae, y.e AS be FROM g x JOIN g y ON y.video_id = 4 * x.item_id - 1 AND x.frame_idx = y.frame_idx WHERE x.item_id > 0),
+{_SIMILAR}, sm AS (SELECT pair, least(1.0, greatest(0.0, avg(s))) AS blur_ssim FROM si GROUP BY 1),
+co AS (SELECT pair, len(list_filter(range(1, 65), lambda i: ae[i] > 0.1::FLOAT AND be[i] > 0.1::FLOAT)) AS tp, len(list_filter(range(1, 65), lambda i: (ae[i] > 0.1::FLOAT) <> (be[i] > 0.1::FLOAT))) AS one, list_transform(range(1, 65), lambda i: ln(a[i] + 1e-3) - ln(b[i] + 1e-3)) AS d,
+  len(list_filter(range(1, 65), lambda i: a8[i] > 128 AND b8[i] > 128)) AS i1, len(list_filter(range(1, 65), lambda i: a8[i] > 128 OR b8[i] > 128)) AS u1, len(list_filter(range(1, 65), lambda i: a8[i] <= 128 AND b8[i] <= 128)) AS i0, len(list_filter(range(1, 65), lambda i: a8[i] <= 128 OR b8[i] <= 128)) AS u0 FROM two),
+cm AS (SELECT pair, avg(CASE WHEN 2 * tp + one = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + one) END) AS edge_f1, 1 / (1 + avg(sqrt(greatest(0, list_avg(list_transform(d, lambda x: x * x)) - list_avg(d) ** 2)))) AS depth_si_rmse,
+  avg((coalesce(i1::DOUBLE / nullif(u1, 0), 0) + coalesce(i0::DOUBLE / nullif(u0, 0), 0)) / ((u1 > 0)::INT + (u0 > 0)::INT)) AS mask_miou FROM co GROUP BY 1),
+le AS (SELECT pair, pair // 4 AS item_id, pair % 4 AS level, blur_ssim, lead(blur_ssim) OVER w AS nf, lead(pair % 4) OVER w AS nl FROM sm WINDOW w AS (PARTITION BY pair // 4 ORDER BY pair)),
+ro AS (SELECT item_id, least(1.0, greatest(0.0, CASE WHEN max(level) > min(level) THEN sum((blur_ssim + nf) / 2 * (nl - level)) / (max(level) - min(level)) ELSE max(blur_ssim) END)) AS robustness FROM le GROUP BY 1),
+dv AS (SELECT item_id, least(1.0, avg(d)) AS diversity FROM (SELECT x.item_id, x.video_id, y.video_id AS other, avg(list_avg(list_transform(range(1, 193), lambda i: abs(x.p[i] - y.p[i]))) / 255) AS d
+  FROM h x JOIN h y ON x.item_id = y.item_id AND x.frame_idx = y.frame_idx AND x.video_id < y.video_id GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT sm.pair // 4 % 2 AS model_id, sm.pair // 4 AS item_id, 'd' || (sm.pair // 4 % 3) AS domain, round(blur_ssim, 5) AS blur_ssim, round(edge_f1, 5) AS edge_f1, round(depth_si_rmse, 5) AS depth_si_rmse, round(mask_miou, 5) AS mask_miou,
+round(0.5 * blur_ssim + 0.5 * edge_f1, 5) AS visual, round(coalesce(diversity, 0), 5) AS diversity, round(robustness, 5) AS robustness FROM sm JOIN cm USING (pair) JOIN ro ON ro.item_id = sm.pair // 4 LEFT JOIN dv ON dv.item_id = sm.pair // 4 WHERE sm.pair % 4 = 0"""

@@ -205,6 +205,7 @@ SELECT model_id, scope, scope_value, round(quality_score, 5) AS quality_score, r
 SELECT item_id, domain, round(avg(ok), 6) AS prior, avg(ok) < 0.6 AS passed FROM t GROUP BY 1, 2""",
     "jg1_asked_judges": """k AS (SELECT item_id, unnest(range(0, 3)) AS k, prompt FROM v_prompts), s AS (SELECT item_id, ((length(prompt) * (k + 1)) % 10) / 10.0::DOUBLE AS s FROM k WHERE k < 2 OR item_id % 7 <> 0)
 SELECT item_id, round(avg(s), 6) AS score, count(*) AS n_judges, round(stddev_pop(s), 9) >= 0.25 AS flagged, CASE WHEN round(stddev_pop(s), 9) >= 0.25 THEN 'high' ELSE 'medium' END AS uncertainty FROM s GROUP BY 1""",
+    "a12_clip_conditional": clip_sql.CONDITIONAL,
     "v4_imaging": clip_sql.IMAGING,
     "v7_depth_stability": clip_sql.DEPTH,
     "v10_centroids": clip_sql.CENTROIDS,

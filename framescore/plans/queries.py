@@ -12,7 +12,7 @@ from framescore.functions.frames import aligned, sample_frames
 from framescore.operators import annotation as an
 from framescore.operators import calls, irt, judges, leaderboard, qc, sampling, tracks
 from framescore.operators.predict import requests, run_model, constant_model
-from framescore.operators.video import clips, control, frames, physics, quality
+from framescore.operators.video import clips, control, frames, pairs, physics, quality
 from framescore.plans.views import view
 from framescore.schemas import QA_ITEM
 from framescore.sources.folders import shared_folder
@@ -557,12 +557,29 @@ def v20_verdicts(v, spark, sf_dir):
     return physics.verdicts(clips).select("video_id", "score", "passed", F.size("violations").alias("n_violations"), F.size("checks").alias("n_checks"), "verifier_type")
 
 
+def _rgb(v):
+    """The frames of v_frames as 8-bit RGB, with edge maps."""
+    byte = lambda i: F.lpad(F.hex(F.floor((F.element_at("feature", i + 1).cast("double") + 1) / 2 * 255).cast("long")), 2, "0")
+    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(byte(i), byte(63 - i), byte((i + 7) % 64))), "")
+    edges = F.array_join(F.transform("feature", lambda e: F.when(e > 0.1, "ff").otherwise("00")), "")
+    return v("v_frames").select("video_id", "frame_idx", F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(hexes).alias("pixels"), F.unhex(edges).alias("edges"))
+
+
+@query
+def a12_clip_conditional(v, spark, sf_dir):
+    """Frames to the seven metrics of conditional items: the clips of an item are its levels and variants, the clip before its first is its reference;
+    clips are cut to different lengths."""
+    rows = _rgb(v).where("frame_idx < 20 + video_id % 3")
+    clip = v("v_g_preds").select("video_id").distinct().select("video_id", F.floor(F.col("video_id") / 4).alias("item_id"), (F.col("video_id") % 4).alias("level"))
+    items = clip.where("level = 0 and item_id > 0").select("item_id", F.concat(F.lit("d"), F.col("item_id") % 3).alias("domain"), (F.col("video_id") - 1).alias("reference_id"))
+    levels = clip.select((F.col("item_id") % 2).alias("model_id"), "item_id", "level", "video_id")
+    return rounded(pairs.conditional_items(items, levels, levels.drop("level"), rows, block=8), 5)
+
+
 def _clips(v):
     """Clips of 25 frames of 8 x 8 pixels, with flow, edges and keypoints, as far as ``clips.clip_checks``."""
     rows, size = v("v_frames"), [F.lit(8).alias("height"), F.lit(8).alias("width")]
-    byte = lambda i: F.lpad(F.hex(F.floor((F.element_at("feature", i + 1).cast("double") + 1) / 2 * 255).cast("long")), 2, "0")
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(byte(i), byte(63 - i), byte((i + 7) % 64))), "")
-    store = clips.store_frames(rows.select("video_id", "frame_idx", *size, F.unhex(hexes).alias("pixels")), block=8)
+    store = clips.store_frames(_rgb(v), block=8)
     x = F.transform("feature", lambda e: e.cast("double"))
     flow = rows.where("frame_idx > 0").select("video_id", "frame_idx", *size, F.transform(x, lambda e: 10 * e).alias("u"), F.reverse(x).alias("v"))
     edges = rows.select("video_id", "frame_idx", F.transform("feature", lambda e: F.when(e > 0.1, 255.0).otherwise(0.0)).alias("edges"))

@@ -12,7 +12,8 @@ from framescore.operators.video.frames import neighbours
 
 
 def clip01(c: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    """``c`` between 0 and 1; null stays null, which least and greatest would pass over."""
+    return F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
 
 
 @F.pandas_udf(DoubleType())

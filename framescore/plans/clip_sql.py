@@ -61,7 +61,7 @@ bo AS (SELECT video_id, i, j, sqrt((e[2 * i + 1] - e[2 * j + 1]) ** 2 + (e[2 * i
 po AS (SELECT video_id, 1 / (1 + avg(cov)) AS pose_validity FROM (SELECT video_id, CASE WHEN count(*) >= 2 AND avg(size) >= 1e-6 THEN stddev_pop(size) / avg(size) END AS cov FROM bo GROUP BY video_id, i, j) GROUP BY 1)"""
 
 GENERATION = f"""{CLIPS}, pr AS (SELECT video_id, e AS vec FROM f WHERE frame_idx = 3 AND video_id % 3 <> 0),
-ov AS (SELECT video_id, coalesce(least(1.0, greatest(0.0, (avg(list_dot_product(e, vec) / ({UNIT.format("e")}) / ({UNIT.format("vec")})) + 1) / 2)), 0.5) AS overall_consistency FROM f LEFT JOIN pr USING (video_id) GROUP BY 1),
+ov AS (SELECT video_id, CASE WHEN count(vec) = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, (avg(list_dot_product(e, vec) / ({UNIT.format("e")}) / ({UNIT.format("vec")})) + 1) / 2)) END AS overall_consistency FROM f LEFT JOIN pr USING (video_id) GROUP BY 1),
 x AS (SELECT v_g_preds.*, domain, physics_category AS kind, (subject_consistency + background_consistency + motion_smoothness + aesthetic_quality + imaging_quality + overall_consistency) / 6 AS quality, coalesce(points, 0) AS points,
   coalesce(sign(a) * sign(coalesce(gravity_y, 1)) > 0 AND abs(a) > 1e-3, false) AS gravity, abs(coalesce(spikes, 0) - coalesce(expected_collisions, spikes, 0)) <= 1 AS hits, coalesce(jumps, 0) = 0 AS ok_jumps,
   coalesce(friction, true) AS friction, coalesce(reflects, true) AS reflects, mass_drift < 0.5 AS mass, coalesce(curl_ok, true) AS curl_ok, coalesce(surface_ok, true) AS surface_ok,

@@ -133,7 +133,7 @@ SELECT video_id, round(coalesce((avg(s) + 1) / 2, 1.0), 5) AS consistency FROM (
 SELECT video_id, round(coalesce(greatest(0.0, 1 - avg(CASE WHEN frame_idx % 2 = 1 AND p IS NOT NULL AND q IS NOT NULL THEN list_avg(list_transform(range(1, 65), lambda i: abs((p[i] + q[i]) / 2 - g[i]))) END)), 1.0), 5) AS motion_smoothness,
 round(least(1.0, greatest(0.0, avg(list_stddev_pop(g)) * 2)), 5) AS aesthetic_quality FROM l GROUP BY 1""",
     "v5_prompt_consistency": f"""n AS (SELECT video_id, frame_idx, feature::DOUBLE[] AS x FROM v_features), p AS (SELECT video_id, x AS q FROM n WHERE frame_idx = 3 AND video_id % 3 <> 0)
-SELECT video_id, round(coalesce(least(1.0, greatest(0.0, (avg(list_dot_product(x, q) / ({_UNIT.format("x")}) / ({_UNIT.format("q")})) + 1) / 2)), 0.5), 5) AS overall_consistency FROM n LEFT JOIN p USING (video_id) GROUP BY 1""",
+SELECT video_id, round(CASE WHEN count(q) = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, (avg(list_dot_product(x, q) / ({_UNIT.format("x")}) / ({_UNIT.format("q")})) + 1) / 2)) END, 5) AS overall_consistency FROM n LEFT JOIN p USING (video_id) GROUP BY 1""",
     "v9_pose_validity": """e(a, b) AS (VALUES (11, 13), (13, 15), (12, 14), (14, 16), (23, 25), (25, 27), (24, 26), (26, 28), (11, 12), (23, 24), (11, 23), (12, 24)),
 l AS (SELECT video_id, a, b, sqrt((feature[2 * a + 1]::DOUBLE - feature[2 * b + 1]) ** 2 + (feature[2 * a + 2]::DOUBLE - feature[2 * b + 2]) ** 2) AS l FROM v_features CROSS JOIN e),
 c AS (SELECT video_id, CASE WHEN count(*) >= 2 AND avg(l) >= 1e-6 THEN stddev_pop(l) / avg(l) END AS c FROM l GROUP BY video_id, a, b) SELECT video_id, round(1 / (1 + avg(c)), 5) AS pose_validity FROM c GROUP BY 1""",

@@ -140,3 +140,11 @@ def test_pose(spark):
     df = spark.createDataFrame(rows, "video_id string, frame_idx int, landmark int, x double, y double")
     assert quality.pose_validity(df).first().pose_validity == 1.0
     assert quality.pose_validity(df.where("frame_idx = 0")).first().pose_validity is None
+
+
+def test_no_prompt_is_half_and_small_frames_are_null(spark):
+    features = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [1.0, 0.0])], "video_id string, frame_idx int, feature array<double>")
+    prompts = spark.createDataFrame([("a", [1.0, 0.0])], "video_id string, vector array<double>")
+    got = {r.video_id: r.overall_consistency for r in quality.prompt_consistency(features, prompts).collect()}
+    assert got == {"a": pytest.approx(1.0), "b": 0.5}
+    assert control.blur_ssim(clip(spark, a=NOISE[:2, :5, :5]), clip(spark, a=NOISE[:2, :5, :5]), ["video_id"]).first().blur_ssim is None

@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
-A text is its letters, lower-cased, with one boundary for each run of anything else; every letter is a symbol of its
-own. A model is, for each order, sorted arrays of n-gram hashes (64 bits: the characters themselves) with their
+A text is its letters, lower-cased, with one boundary for each run of anything else; every letter of 16 bits is a symbol
+of its own. A model is, for each order, sorted arrays of n-gram hashes (64 bits: the characters themselves) with their
 discounted probability and of contexts with their backoff weight. The language with the lowest cross-entropy a character
 wins. Held-back documents, cut into pieces, tell how high it may be: a text is rejected above the ``QUANTILE`` of pieces
 at most a quarter as long, which vary more. Models are fitted on a bounded sample of labelled documents (about

@@ -94,6 +94,13 @@ VORTICITY = """f AS (SELECT video_id, list_transform(feature, lambda x: 10 * x::
 c AS (SELECT video_id, unnest(list_transform(range(1, 65), lambda i: abs((u[CASE WHEN i > 56 THEN i ELSE i + 8 END] - u[CASE WHEN i < 9 THEN i ELSE i - 8 END]) / CASE WHEN i > 56 OR i < 9 THEN 1 ELSE 2 END
   - (v[CASE WHEN i % 8 = 0 THEN i ELSE i + 1 END] - v[CASE WHEN i % 8 = 1 THEN i ELSE i - 1 END]) / CASE WHEN i % 8 < 2 THEN 1 ELSE 2 END))) AS c FROM f)
 SELECT video_id, round(quantile_cont(c, 0.99), 6) AS curl_p99, quantile_cont(c, 0.99) < 5 AS curl_ok FROM c GROUP BY 1"""
+#: Blobs of two pixels or more that touch, also at corners.
+BLOBS = f"""RECURSIVE {_GRAY}, n AS (SELECT *, lag(g) OVER (PARTITION BY video_id ORDER BY frame_idx) AS p FROM f), d AS (SELECT video_id, frame_idx, list_transform(range(1, 65), lambda i: abs(g[i] - p[i])) AS d FROM n WHERE p IS NOT NULL),
+m AS (SELECT video_id, frame_idx, CASE WHEN list_max(d) < 1e-3 THEN [] ELSE list_filter(range(0, 64), lambda i: d[i + 1] > list_avg(d) + list_stddev_pop(d)) END AS m FROM d), p AS (SELECT video_id, frame_idx, unnest(m) AS i FROM m),
+e AS (SELECT a.video_id, a.frame_idx, a.i, b.i AS j FROM p a JOIN p b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx WHERE abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1),
+r AS (SELECT * FROM e UNION SELECT r.video_id, r.frame_idx, r.i, e.j FROM r JOIN e ON r.video_id = e.video_id AND r.frame_idx = e.frame_idx AND r.j = e.i),
+c AS (SELECT video_id, frame_idx, i, min(j) AS root FROM r GROUP BY 1, 2, 3), s AS (SELECT video_id, frame_idx, root, count(*) AS n FROM c GROUP BY 1, 2, 3), k AS (SELECT video_id, frame_idx, count(*) FILTER (n >= 2) AS k FROM s GROUP BY 1, 2)
+SELECT video_id, round(1 / (1 + coalesce(stddev_pop(coalesce(k, 0)) FILTER (m.video_id IS NOT NULL), 0)), 6) AS blob_count_stability FROM f LEFT JOIN m USING (video_id, frame_idx) LEFT JOIN k USING (video_id, frame_idx) GROUP BY 1"""
 #: The blur is linear: the weight of each of eight places on a line in each blurred one.
 _BLUR = str([[float(gaussian(np.outer(np.eye(8)[j], np.ones(8)), 2.0)[i, 4]) for j in range(8)] for i in range(8)])
 

@@ -208,6 +208,7 @@ SELECT item_id, round(avg(s), 6) AS score, count(*) AS n_judges, round(stddev_po
     "a12_clip_conditional": clip_sql.CONDITIONAL,
     "v4_imaging": clip_sql.IMAGING,
     "v7_depth_stability": clip_sql.DEPTH,
+    "v8_blob_stability": clip_sql.BLOBS,
     "v10_centroids": clip_sql.CENTROIDS,
     "v17_vorticity": clip_sql.VORTICITY,
     "v21_blur_ssim": clip_sql.ssim(_TWO),
@@ -217,7 +218,9 @@ s AS (SELECT DISTINCT video_id, floor(i * ((n - 1) / 7.0::DOUBLE))::BIGINT AS fr
 
 
 def _statement(sql: str) -> str:
-    """Steps named in the text follow the views in one WITH."""
+    """Steps named in the text follow the views in one WITH; a text that begins with RECURSIVE makes it a recursive one."""
+    if sql.startswith("RECURSIVE "):
+        return _statement(sql.removeprefix("RECURSIVE ")).replace("WITH ", "WITH RECURSIVE ", 1)
     head = sql.lstrip()
     text = with_views(head)
     if head.upper().startswith("SELECT"):

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
 Numbers, names and units become typed placeholders on both sides, a run of names one placeholder. Windows of eight template
-words are hash-joined: all of an item's with every third of a document's, so that a run of 13 words can't slip through.
+words are hash-joined, all of an item's with all of a document's, at every position.
 Where one meets, the item is laid on the document and all windows are compared; alignments a few words apart add up. An
 alignment's placeholders must map each value of the item to one value of the document; windows with a placeholder that
 most of the same value contradict, or as many, don't count. What counts is a copy (all values equal) or a
@@ -18,8 +18,6 @@ from framescore.llm.common import documents, written
 
 #: Words of a window, and of the shortest passage that makes a match; items of fewer are one window, from SHORTEST words on.
 WINDOW, PASSAGE, SHORTEST = 8, 13, 5
-#: Every how many words a document's windows are looked up: plain ones, of which PASSAGE holds one, and template ones, of which it holds two.
-STEPS = {True: PASSAGE - WINDOW + 1, False: (PASSAGE - WINDOW + 1) // 2}
 #: Template windows of an item that make a match (all of an item that has fewer), and words by which alignments that add up may be apart.
 ENOUGH, APART = 6, 3
 #: Words other than placeholders a template window needs (half of a shorter item's).
@@ -85,10 +83,15 @@ def _value(word):
     return F.substring(word, 3, 1 << 30)
 
 
-def _spans(codes: str, size: int, plain: bool, step: int = 1):
-    """Structs (at, h) of every ``step``-th window of ``size`` words."""
-    one = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), F.lit(plain), F.slice(codes, i + 1, size)).alias("h"))
-    return F.when(F.size(codes) >= size, F.transform(F.sequence(F.lit(0), F.size(codes) - size, F.lit(step)), one)).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+def _window(size: int, plain: bool, at):
+    """64 bits of the window of ``size`` words at ``at``, null where fewer are left."""
+    codes = "plain" if plain else "slots"
+    return F.when(at + size <= F.size(codes), F.xxhash64(F.lit(size), F.lit(plain), *(F.get(codes, at + k) for k in range(size))))
+
+
+def _positions(codes: str):
+    """A row for each word."""
+    return F.explode(F.sequence(F.lit(0), F.size(codes) - 1))
 
 
 def _index(items: DataFrame) -> DataFrame:
@@ -100,10 +103,11 @@ def _index(items: DataFrame) -> DataFrame:
         whole = PASSAGE if plain else WINDOW  # an item of fewer words is one window
         for size in range(SHORTEST, whole + 1):
             rows = words.where(F.size(codes) >= whole if size == whole else F.size(codes) == size)
-            rows = rows.select("item_id", "literal", F.explode(_spans(codes, min(size, WINDOW) if size == whole else size, plain)).alias("x"), F.lit(min(size, WINDOW) if size == whole else size).alias("size"))
+            wide = WINDOW if size == whole else size
+            rows = rows.select("item_id", "literal", codes, _positions(codes).alias("at")).withColumn("h", _window(wide, plain, F.col("at"))).where("h is not null")
             if not plain:
-                rows = rows.where(F.aggregate(F.slice("literal", F.col("x.at") + 1, F.col("size")), F.lit(0), lambda a, b: a + b) >= min(LITERALS, (size + 1) // 2))
-            rows = rows.select("item_id", "size", F.lit(plain).alias("plain"), F.col("x.at").alias("at"), F.col("x.h").alias("h"))
+                rows = rows.where(F.aggregate(F.slice("literal", F.col("at") + 1, wide), F.lit(0), lambda a, b: a + b) >= min(LITERALS, (size + 1) // 2))
+            rows = rows.select("item_id", F.lit(wide).alias("size"), F.lit(plain).alias("plain"), "at", "h")
             out = rows if out is None else out.union(rows)
     return out
 
@@ -114,9 +118,10 @@ def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     index = written(_index(items), "items")
     shape = index.groupBy("size", "plain").count().collect()  # at most a row a size
     bounded = sum(r["count"] for r in shape) <= BROADCAST_ROWS
-    spans = [_spans("plain" if r["plain"] else "slots", r["size"], r["plain"], STEPS[r["plain"]] if r["size"] == WINDOW else 1) for r in sorted(shape, key=str)]
-    mine = _codes(docs.select("key", tokens(F.col("text")).alias("t"))).select("key", F.explode(F.concat(F.array().cast("array<struct<at:int,h:bigint>>"), *spans)).alias("x"))
-    mine = mine.select("key", F.col("x.at").alias("pos"), F.col("x.h").alias("h"))
+    # positions are rows before windows are hashed: the hash is compiled, and in one stage with the join no word list is copied
+    mine = _codes(docs.select("key", tokens(F.col("text")).alias("t"))).select("key", "plain", "slots", _positions("plain").alias("pos"))
+    windows = [_window(r["size"], r["plain"], F.col("pos")) for r in sorted(shape, key=str)]
+    mine = mine.select("key", "pos", F.explode(F.array(*windows) if windows else F.array().cast("array<bigint>")).alias("h"))
     hits = mine.join(F.broadcast(index) if bounded else index, "h").select("key", "item_id", "plain", (F.col("pos") - F.col("at")).alias("shift")).distinct()
     hits = written(hits, "hits")
 

@@ -213,6 +213,27 @@ def test_contamination_conflicting_slot(spark):
     assert got[1][1] > got[2][1] and got[1][1] > got[3][1]
 
 
+def test_contamination_at_every_position(spark):
+    """Items of one to three windows, plain and with numbers changed, wherever in the text they stand; shorter ones too."""
+    items = [(1, "seven grey cats sat on one old mat"), (2, "add 12 red pens to my box of pens"), (3, "put 40 small nails into the wall near this door"), (4, "six words make one short item")]
+    filler = "so we tell of some other thing that no item has".split()
+    rows, want = [], set()
+    for i, text in items:
+        for k in range(7):
+            for new in {text, text.replace("12", "7").replace("40", "9")}:
+                rows.append((len(rows), " ".join([*filler[:k], new, *filler[k:]])))
+                want.add((len(rows) - 1, i))
+    # a longer item with every ninth word changed: six windows, none next to another
+    long = [f"w{a}{b}" for a in "abcdef" for b in "qrstuvwxyz"]
+    items.append((5, " ".join(long)))
+    changed = ["other" if i % 9 == 0 else w for i, w in enumerate(long)]
+    for k in range(3):
+        rows.append((len(rows), " ".join([*filler[:k], *changed, "end"])))
+        want.add((len(rows) - 1, 5))
+    got = {(r.doc_id, r.item_id) for r in matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def brute_template(text):
     """Template words (kind or word, value) of a text, one word at a time: numbers, units, runs of names."""
     words = [x for x in (re.sub(r"[^\w]|_", "", w) for w in re.split(r"[\x20\x09-\x0D]+", text or "")) if x]

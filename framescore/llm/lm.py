@@ -18,11 +18,13 @@ task counts, and sends back one block of sums for each batch of documents. A big
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,9 @@ from framescore.llm.common import BLOCK, block, block_rows, by_bucket, documents
 VOCAB, HOT, CUT = (1 << 16) - 8, 512, 5
 #: Parts of one into which a token's log10 is rounded.
 GRAIN = 1 << 26
-#: Bytes of text whose records are made at once.
-TEXT = 2 << 20
+#: Bytes of text whose records are made at once (a batch), and of a bucket's share of all texts, where all are ``SIZE`` bytes; both grow with the
+#: root of the texts' size, so that blocks, one a batch and bucket, grow with the size and not with its square. The most that they grow to.
+SIZE, TEXT, SHARE, MOST_TEXT, MOST_SHARE = 1 << 30, 2 << 20, 9 << 20, 16 << 20, 64 << 20
 UNK, END, FIRST = 0, 1, 2  # ids; words by falling count follow
 IDS = np.uint64(1 << 16)  # a word's key is its id below this, or its hash
 
@@ -143,7 +146,7 @@ def _found(keys: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(len(key), np.int64)
     at = np.searchsorted(keys, key).clip(0, len(keys) - 1)
-    return np.where(keys[at] == key, values[at], 0)
+    return np.where(keys[at] == key, values[at], 0).astype(np.int64)  # logarithms of one byte would have but 11 bits
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -205,23 +208,45 @@ def _sums(of, n, size, before, p1, c, whole: bool = True):
     return np.bincount(of, value, minlength=size), [np.bincount(of[c == r], n[c == r], minlength=size).astype(np.int64) for r in range(1, CUT + 1)]
 
 
-def _parts(batches):
-    """Batches of about TEXT bytes of text at most; a longer text is one of its own."""
+def blocked(size: int) -> tuple[int, int]:
+    """(bytes of text in a batch, number of buckets) for so many bytes of texts."""
+    root = (size / SIZE) ** 0.5
+    share = min(max(SHARE * root, 1), MOST_SHARE)
+    return int(min(max(TEXT, TEXT * root), MOST_TEXT)), max(1, math.ceil(size / share))
+
+
+def _parts(batches, most: int):
+    """Batches of about ``most`` bytes of text, across those that come; a longer text is in one of its own."""
+    have, full = [], 0
     for b in batches:
-        size = np.cumsum(np.fromiter((len(x) if x else 0 for x in b.column("text").cast(pa.large_binary()).to_pylist()), np.int64, b.num_rows)) if b.num_rows else np.zeros(0, np.int64)
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)  # rows without text count too
         at = 0
         while at < b.num_rows:
-            z = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT, "right")))
-            yield b.slice(at, z - at)
-            at = z
-
-
-def _ask(shared, buckets: int):
+            before = size[at - 1] if at else 0
+            z = int(np.searchsorted(size, before + most - full, "right"))
+            if z <= at and not have:
+                z = at + 1
+            if z > at:
+                have.append(b.slice(at, z - at))
+                full += int(size[z - 1] - before)
+                at = z
+            if at < b.num_rows:
+                yield _joined(have)
+                have, full = [], 0
+    if have:
+        yield _joined(have)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _ask(shared, most: int, buckets: int):
     """Blocks of the different bigrams of two rare words of a batch, to the next word's bucket."""
 
     def run(batches):
         voc = shared.value
-        for b in _parts(batches):
+        for b in _parts(batches, most):
             pairs = []
             for _, _, w in words(b.column("text"), lower=True):
                 before, now, _, hb, hn = voc.sequence(w)
@@ -262,14 +287,14 @@ def _answer(buckets: int):
     return run
 
 
-def _scatter(shared, hot_shared, buckets: int):
+def _scatter(shared, hot_shared, most: int, buckets: int):
     """Blocks of a batch: its documents with all that needs no counting, its other bigrams by bucket."""
 
     def run(batches):
         voc, hot_c = shared.value, hot_shared.value
         known = np.concatenate([voc.base(voc.count)])
         task = TaskContext.get().partitionId() << 24
-        for k, b in enumerate(_parts(batches)):
+        for k, b in enumerate(_parts(batches, most)):
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
             size = len(train)
             home = {"n_tokens": np.zeros(size, np.int64), "n_known": np.zeros(size, np.int64), "base": np.zeros(size), "value": np.zeros(size), "small": [np.zeros(size, np.uint32) for _ in range(CUT)]}
@@ -523,14 +548,16 @@ def scored(docs: DataFrame, common: int = VOCAB) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     uni = unigrams(docs)
-    voc = vocabulary(uni, docs.where("not held_out").count(), min(common, VOCAB))
+    trained, size = docs.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    voc = vocabulary(uni, trained, min(common, VOCAB))
     shared = spark.sparkContext.broadcast(voc)  # at most VOCAB words
     hot_c = hot_counts(docs, shared)
     hot_shared = spark.sparkContext.broadcast(hot_c)  # HOT x HOT
     n = partitions(spark)
-    counts = uni.mapInArrow(_unigram_blocks(2 * n), BLOCK)
-    following = docs.select("text").mapInArrow(_ask(shared, 2 * n), BLOCK).union(counts).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(2 * n), BLOCK)
-    sent = docs.mapInArrow(_scatter(shared, hot_shared, 2 * n), BLOCK).union(counts).union(following)
+    most, buckets = blocked(size)
+    counts = uni.mapInArrow(_unigram_blocks(buckets), BLOCK)
+    following = docs.select("text").mapInArrow(_ask(shared, most, buckets), BLOCK).union(counts).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(buckets), BLOCK)
+    sent = docs.mapInArrow(_scatter(shared, hot_shared, most, buckets), BLOCK).union(counts).union(following)
     blocks = written(sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(shared), BLOCK), "counts")
     model = spark.sparkContext.broadcast(katz(blocks, voc, hot_c))  # a number a word of the vocabulary
     back = blocks.where("batch >= 0").repartition(n, "batch").sortWithinPartitions("batch")

@@ -1,13 +1,16 @@
 """The Katz model against a dictionary version of it, with normalisation checked."""
 
+import glob
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from framescore.llm import lm
+from framescore.llm.common import shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -107,3 +110,27 @@ def test_more_words_than_are_broadcast(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(i * 1000, (i + 1) * 1000)), False) for i in range(70)]
     rows += [(70, "w5 w6 w7 w9 w8", True), (71, "w5 never w6", True)]
     same(lm.scored(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect(), brute(rows, 1 << 40))
+
+
+def test_blocks_grow_with_the_texts(spark):
+    """However many partitions documents and shuffles have, blocks follow the size of the texts; results don't change."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 900}" for j in range(40)), i % 5 == 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(50)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/counts-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "120")
+        same(lm.scored(df, 100).collect(), brute(rows, 1 << 40))  # counts of rare words that fit a byte
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    (new,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/counts-*")) - before
+    assert spark.read.parquet(new).count() < 2000
+
+
+def test_blocks_of_large_texts():
+    number = lambda size: size / lm.blocked(size)[0] * lm.blocked(size)[1]
+    assert number(50 << 30) < 60 * number(1 << 30) and lm.blocked(50 << 30)[0] <= lm.MOST_TEXT
+    texts = ["a" * n for n in (5, 0, 300, 20, 20, 20, 1000, 1)] + [None, "b"]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 3], pa.string())}) for i in range(0, len(texts), 3)] + [pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})]
+    parts = [b.column("text").to_pylist() for b in lm._parts(iter(batches), 120)]
+    assert sum(parts, []) == texts and [len(p) for p in parts] == [2, 1, 3, 1, 3]

@@ -3,10 +3,12 @@ found and hashed without a Python object a word, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +72,20 @@ def put_back(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
 
 
+def released(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker gives memory that it has freed back to the system: workers wait for later tasks, of other
+    steps too, beside those that are at work."""
+
+    @functools.wraps(run)
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    return task
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

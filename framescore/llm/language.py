@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import carried, documents, mix, put_back, written
+from framescore.llm.common import carried, documents, mix, put_back, released, written
 
 ORDER, BITS = 4, 16
 MAX_PIECES, MAX_CHARS = 600, 20_000
@@ -226,7 +226,7 @@ def identified(docs: DataFrame, learn) -> DataFrame:
     from pyspark.sql.types import StructType
 
     schema = StructType([docs.schema[c] for c in names] + list(StructType.fromDDL(added)))
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(released(run), schema)
 
 
 def recognised(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import components, documents, grams, groups, mix, partitions, words, written
+from framescore.llm.common import components, documents, grams, groups, mix, partitions, released, words, written
 
 SHINGLE = 5
 #: Sets in a tile, at most, and their shingles, on average (a set of more is a tile of its own); they bound what a task holds.
@@ -106,7 +106,7 @@ def ordering(docs: DataFrame) -> np.ndarray:
             for _, _, w in words(b.column("text"), lower=True):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(w)[1].view(np.int64))], ["g"])
 
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "g long")
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(released(run), "g long")
     often = rows.groupBy("g").count().where("count >= 4").orderBy(F.desc("count"), "g").limit(LAST).toPandas()
     return np.sort(often.g.to_numpy(np.int64).view(np.uint64))
 
@@ -362,9 +362,9 @@ def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     order = spark.sparkContext.broadcast(ordering(docs))  # at most LAST numbers
-    keys = docs.mapInArrow(_scatter(order, few), _ROW)
+    keys = docs.mapInArrow(released(_scatter(order, few)), _ROW)
     salted = F.when(F.col("at").bitwiseAND(0xFFFFFFFF) == 0xFFFFFFFE, F.xxhash64("key", "node")).otherwise(F.col("key"))
-    found = written(keys.repartition(n, salted).sortWithinPartitions("key", "node").mapInArrow(_found(few), _FOUND), "keys")
+    found = written(keys.repartition(n, salted).sortWithinPartitions("key", "node").mapInArrow(released(_found(few)), _FOUND), "keys")
 
     table = found.where("kind = 'doc'").select(F.col("a").alias("h1"), F.col("b").alias("h2"), "n", "doc.*")
     sets = table.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.first("n").alias("n"), F.first("sign").alias("sign"))
@@ -380,12 +380,12 @@ def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
     hubs = many.groupBy("key").agg(F.min("id").alias("a"))
     pairs = rare.union(many.join(hubs, "key").select("a", F.col("id").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     part = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}"))
-    open_ = written(pairs.join(part("a"), "a").join(part("b"), "b").mapInArrow(_possible, "a long, b long"), "pairs")
+    open_ = written(pairs.join(part("a"), "a").join(part("b"), "b").mapInArrow(released(_possible), "a long, b long"), "pairs")
 
     def compared(units: DataFrame) -> DataFrame:
         meant = written(units.distinct().join(sets.select("id", "text_hash"), "id").withColumnRenamed("id", "doc_id"), "units")
         rows = docs.join(_few(meant), ["doc_id", "text_hash"]).select("unit", F.col("doc_id").alias("id"), "text", "label", "side")
-        return written(rows.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(_compare_texts, "a long, b long"), "links")
+        return written(rows.repartition(n, "unit").sortWithinPartitions("unit", "id").mapInArrow(released(_compare_texts), "a long, b long"), "links")
 
     # each set with its smallest partner; a set that is the smallest of many meets them in units of ``tile``
     tree = open_.groupBy("a").agg(F.min("b").alias("b"))
@@ -406,7 +406,7 @@ def joined(docs: DataFrame, tile: int = TILE, few: int = FEW) -> DataFrame:
     several = several.groupBy("members", "c").agg(F.min("key").alias("key"))  # keys of the same sets are compared once
     tiled = _units(of.join(several, "key", "left_semi").withColumnRenamed("key", "cluster"), tile).join(sets.select("id", "sign"), "id")
     tiled = tiled.select("unit", "id", "n", "sign", "label", "side").repartition(n, "unit").sortWithinPartitions("unit")
-    active = written(rest.union(tiled.mapInArrow(_compare_signs, "id long, label long, root long")).distinct(), "active")
+    active = written(rest.union(tiled.mapInArrow(released(_compare_signs), "id long, label long, root long")).distinct(), "active")
     clusters = components(active.select(F.col("label").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
     chosen = active.select("id", "label").distinct().join(clusters, "label").join(sets.select("id", "n"), "id")
     links = links.union(compared(_units(chosen, tile).select("unit", "id", "label", "side")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framescore.llm.common import binary, documents, partitions, words, written
+from framescore.llm.common import binary, documents, partitions, released, words, written
 
 WINDOW, BINS, END_ID = 4096, 64, 2
 #: Words whose ids a worker process keeps.
@@ -215,7 +215,7 @@ def packed(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_
 
     kind = "<u2" if Tokenizer.from_file(vocab).get_vocab_size() <= 1 << 16 else "<u4"
     width = np.dtype(kind).itemsize
-    pieces = docs.select("doc_id", "text").mapInArrow(_tokenised(vocab, window, end_id, kind), f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    pieces = docs.select("doc_id", "text").mapInArrow(released(_tokenised(vocab, window, end_id, kind)), f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     pieces = written(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     narrow = pieces.drop("ids")
     rests = narrow.where(F.col("length") < window).withColumn("bin", F.ceil(F.col("length") * bins / window).cast("int"))
@@ -263,7 +263,7 @@ def packed(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_
             got = [zlib.crc32(np.frombuffer(x[s * width : (s + t) * width], kind).astype("<u4").tobytes()) for x, s, t in zip(b.column("ids").to_pylist(), b.column("skip").to_pylist(), b.column("take").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "take")), pa.array(got, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], out)
 
-    parts = parts.withColumn("start", F.col("start") + F.col("skip")).select("doc_id", "start", "take", "doc_tokens", "sequence_id", "offset", "skip", "ids").mapInArrow(crc, planned_rows.select(*out).schema)
+    parts = parts.withColumn("start", F.col("start") + F.col("skip")).select("doc_id", "start", "take", "doc_tokens", "sequence_id", "offset", "skip", "ids").mapInArrow(released(crc), planned_rows.select(*out).schema)
     full_rows = full.withColumn("sequence_id", F.col("uid") + (n_planned + n_extra)).withColumn("offset", F.lit(0).cast("long"))
     return planned_rows.unionByName(full_rows.select(*out)).unionByName(whole.select(*out)).unionByName(parts)
 

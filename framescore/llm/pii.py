@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm.common import carried, documents, put_back, written
+from framescore.llm.common import carried, documents, put_back, released, written
 
 #: Fixed values of the contract: kinds in order.
 KINDS = ("email", "ip", "card", "phone")
@@ -194,7 +194,7 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(sha, pa.string()), pa.array(items, kind)], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "candidates"])
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {counts}, base_sha256 string, candidates {item}")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {dict(docs.dtypes)['doc_id']}, {counts}, base_sha256 string, candidates {item}")
 
 
 def fit(candidates_: DataFrame) -> set[tuple[str, int]]:
@@ -245,7 +245,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
 
     rows = carried(docs)
-    out = put_back(rows.mapInArrow(run, rows.schema), docs.columns)
+    out = put_back(rows.mapInArrow(released(run), rows.schema), docs.columns)
     if "n_chars" not in docs.columns:
         return out
     size = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")

@@ -6,8 +6,10 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+import psutil
+
 import corpus_pipeline
-from framescore.llm.common import written
+from framescore.llm.common import released, written
 from test_language_pii import brute_base
 from test_ngram_join import brute
 from test_sharding_packing import check_packing
@@ -116,3 +118,19 @@ def test_run(spark, tmp_path):
     total = lambda df: {r[0]: (r[1], r[2]) for r in df.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).select("doc_id", "sum(length)", "max(doc_tokens)").collect()}
     assert set(key) <= set(got.columns) and total(got) == total(docs) and total(got)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_workers_give_freed_memory_back():
+    """A task's small blocks lie below one that is kept, where freeing them alone leaves the process as large as it was."""
+    kept, size = [], lambda: psutil.Process().memory_info().rss / 1e6
+
+    def run(batches):
+        blocks = [bytes(100_000) + bytes([i % 7]) for i in range(3000)]
+        kept.append(bytes(90_000) + b"x")
+        yield from batches
+        assert size() > before + 250
+        del blocks
+
+    before = size()
+    assert list(released(run)(iter([1, 2]))) == [1, 2] and released(run).__name__ == "run"
+    assert size() < before + 50

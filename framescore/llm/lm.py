@@ -14,7 +14,10 @@ task counts, and sends back one block of sums for each batch of documents. A big
   large, are counted beforehand in a dense table of fixed size, so that no bucket has a code with more than the training
   count of the next word;
 - the rare word's hash, where one is rare;
-- the history's hash, where both are; the next word's count is asked for at that word's bucket beforehand."""
+- the history's hash, where both are; the next word's count is asked for at that word's bucket beforehand.
+
+A rare word is sent once, with the words on both sides of it. Blocks are sorted, so that keys travel as their differences, and
+compressed: they, and not the texts, are what takes disk."""
 
 from __future__ import annotations
 
@@ -38,7 +41,6 @@ GRAIN = 1 << 26
 #: root of the texts' size, so that blocks, one a batch and bucket, grow with the size and not with its square. The most that they grow to.
 SIZE, TEXT, SHARE, MOST_TEXT, MOST_SHARE = 1 << 30, 2 << 20, 9 << 20, 16 << 20, 64 << 20
 UNK, END, FIRST = 0, 1, 2  # ids; words by falling count follow
-IDS = np.uint64(1 << 16)  # a word's key is its id below this, or its hash
 
 
 def discounts(n: np.ndarray, cut: int = CUT) -> np.ndarray:
@@ -159,11 +161,45 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32 if np.abs(x).max(initial=0) < 1 << 31 else np.int64)
 
 
-def _bucketed(kind: str, batch: int, buckets: int, h: np.ndarray, *more: np.ndarray) -> list[tuple]:
-    """Blocks (h, more) of each bucket of a hash, sorted by it."""
-    order, cuts = by_bucket(h, buckets)
-    arrays = [h[order], *(_narrow(x[order]) for x in more)]
-    return [block(kind, i, batch, *(x[a:z] for x in arrays)) for i, a, z in cuts]
+def _packed(kind: str, bucket: int, batch: int, *arrays: np.ndarray) -> tuple:
+    """A block of arrays of numbers, compressed: all first bytes of an array, then all second ones, and so on."""
+    form = [(x.dtype.str, len(x)) for x in arrays]
+    data = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays)
+    return kind, int(bucket), int(batch), pickle.dumps((form, len(data), pa.compress(data, "zstd", asbytes=True)), 5)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    form, size, packed = pickle.loads(data)
+    flat, at, out = np.frombuffer(pa.decompress(packed, size, "zstd"), np.uint8), 0, []
+    for kind, n in form:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(flat[at : at + n * width].reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Ascending whole numbers by their differences, of which ``_sorted`` gives them back."""
+    return _narrow(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _sorted(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Different ones, how many of each) of sorted numbers."""
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
+def _counts(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(Sorted different keys, sums of n)."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, n = np.concatenate(keys), np.concatenate(n).astype(np.int64)
+    order, at = groups(key)
+    return key[order][at], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _by(name: str, batches):
@@ -255,7 +291,9 @@ def _ask(shared, most: int, buckets: int):
             if pairs:
                 hb, hn = (np.concatenate(x) for x in zip(*pairs))
                 order, at = groups(hb, hn)
-                rows = _bucketed("ask", 0, buckets, hn[order][at], hb[order][at])
+                hn, hb = hn[order][at], hb[order][at]
+                order, cuts = by_bucket(hn, buckets)
+                rows = [_packed("ask", i, 0, _steps(hn[order[a:z]]), hb[order[a:z]]) for i, a, z in cuts]
                 if rows:
                     yield block_rows(rows)
 
@@ -270,17 +308,21 @@ def _answer(buckets: int):
             yield from answer(rows)
 
     def answer(rows):
-        uni = [pickle.loads(r[3]) for r in rows if r[0] == "uni"]
-        asked = [pickle.loads(r[3]) for r in rows if r[0] == "ask"]
+        uni = [_unpacked(r[3]) for r in rows if r[0] == "uni"]
+        asked = [_unpacked(r[3]) for r in rows if r[0] == "ask"]
         if uni and asked:
-            h, c = (np.concatenate(x) for x in zip(*uni))
+            h, c = np.concatenate([_sorted(x[0]) for x in uni]), np.concatenate([x[1] for x in uni])
             by = np.argsort(h)
-            hn, hb = (np.concatenate(x) for x in zip(*asked))
+            hn, hb = np.concatenate([_sorted(x[0]) for x in asked]), np.concatenate([x[1] for x in asked])
             order, at = groups(hb, hn)
             hn, hb = hn[order][at], hb[order][at]
             n = _found(h[by], c[by], hn)
             known = n > 0
-            rows = _bucketed("next", 0, buckets, hb[known], _pair(hb[known], hn[known]), n[known])
+            hb, pair, n = hb[known], _pair(hb[known], hn[known]), n[known]
+            to = (hb % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((pair, to))
+            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+            rows = [_packed("next", i, 0, _steps(pair[order[a:z]]), _narrow(n[order[a:z]])) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
             for i in range(0, len(rows), 64):
                 yield block_rows(rows[i : i + 64])
 
@@ -298,7 +340,7 @@ def _scatter(shared, hot_shared, most: int, buckets: int):
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
             size = len(train)
             home = {"n_tokens": np.zeros(size, np.int64), "n_known": np.zeros(size, np.int64), "base": np.zeros(size), "value": np.zeros(size), "small": [np.zeros(size, np.uint32) for _ in range(CUT)]}
-            un, grams, mixed = [], [], {"into": [], "from": []}
+            un, grams, rare = [], [], []
             for lo, hi, w in words(b.column("text"), lower=True):
                 before, now, of, hb, hn = voc.sequence(w)
                 m, here = hi - lo, slice(lo, hi)
@@ -317,28 +359,31 @@ def _scatter(shared, hot_shared, most: int, buckets: int):
                 cold = ~hot & common & (before != UNK)
                 u, n = np.unique((of[cold] + lo) << 32 | before[cold] << 16 | now[cold], return_counts=True)
                 grams.append((u, n))
-                key = np.where(common, now.astype(np.uint64), hn)
-                for kind, at, h, other in (("into", ~common & (before != UNK), hn, before.astype(np.uint64)), ("from", before == UNK, hb, key)):
-                    h, other, d = h[at], other[at], of[at] + lo
-                    order, at = groups(d, other, h)
-                    mixed[kind].append((h[order][at], other[order][at], d[order][at], np.diff(np.append(at, len(order)))))
+                at = np.flatnonzero(~common)  # an end follows every word
+                rare.append((hn[at], (of[at] + lo) << 32 | before[at] << 16 | now[at + 1], hn[at + 1]))
             rows = [block("home", int(mix(np.array([task | k], np.uint64))[0] % np.uint64(buckets)), task | k, b.column("doc_id").to_pylist(), ~train, home)]
             un = [np.concatenate(x) for x in zip(*un)] if un else []
             if un and len(un[0]):
-                rows.append(block("unseen", rows[0][1], task | k, *un))
+                rows.append(_packed("unseen", rows[0][1], task | k, *(_narrow(x) for x in un)))
             if grams:
                 u, n = (np.concatenate(x) for x in zip(*grams))
                 code, d = u & 0xFFFFFFFF, u >> 32
                 to = (mix(code.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to << 32 | code, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                code, flagged, n = code[order].astype(np.uint32), _narrow((d << 1 | train[d])[order]), _narrow(n[order])
-                rows += [block("gram", i, task | k, code[a:z], flagged[a:z], n[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
-                for kind, x in mixed.items():
-                    h, other, d, n = (np.concatenate(y) for y in zip(*x))
-                    flagged = d << 1 | train[d]
-                    for name, at in ((kind, other < IDS), ("pair", other >= IDS)):  # an id travels in two bytes
-                        rows += _bucketed(name, task | k, buckets, h[at], other[at].astype(np.uint64 if name == "pair" else np.uint16), flagged[at], n[at])
+                code, flagged, n = code[order], _narrow((d << 1 | train[d])[order]), _narrow(n[order])
+                rows += [_packed("gram", i, task | k, _steps(code[a:z]), flagged[a:z], n[a:z]) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a]
+                h, around, follows = (np.concatenate(x) for x in zip(*rare))
+                to = (h % np.uint64(buckets)).astype(np.int64)
+                order, at = groups(follows, around, h, to)
+                h, around, follows, to, n = h[order][at], around[order][at], follows[order][at], to[order][at], _narrow(np.diff(np.append(at, len(order))))
+                cuts = np.searchsorted(to, np.arange(buckets + 1))
+                d, then = around >> 32, (around & 0xFFFF).astype(np.uint16)
+                flagged, prior = _narrow(d << 1 | train[d]), (around >> 16 & 0xFFFF).astype(np.uint16)
+                for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    if z > a:
+                        w, times = _runs(h[a:z])
+                        rows.append(_packed("rare", i, task | k, _steps(w), _narrow(times), flagged[a:z], prior[a:z], then[a:z], n[a:z], follows[a:z][then[a:z] == UNK]))
             for i in range(0, len(rows), 64):
                 yield block_rows(rows[i : i + 64])
 
@@ -349,7 +394,8 @@ def _unigram_blocks(buckets: int):
     def run(batches):
         for b in batches:
             h, c = b.column("h").to_numpy().view(np.uint64), b.column("c").to_numpy()
-            rows = _bucketed("uni", 0, buckets, h, c)
+            order, cuts = by_bucket(h, buckets)
+            rows = [_packed("uni", i, 0, _steps(h[order[a:z]]), _narrow(c[order[a:z]])) for i, a, z in cuts]
             if rows:
                 yield block_rows(rows)
 
@@ -358,17 +404,32 @@ def _unigram_blocks(buckets: int):
 
 def _types(of: np.ndarray, c: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Numbers of a history's bigrams seen 1 .. CUT + 1 times, and the sum of counts above CUT."""
-    return [np.bincount(of[c == r], minlength=size) for r in range(1, CUT + 2)], np.bincount(of, np.where(c > CUT, c, 0), minlength=size)
+    return [np.bincount(of[c == r], minlength=size) for r in range(1, CUT + 2)], np.bincount(of, np.where(c > CUT, c, 0), minlength=size).astype(np.int64)
 
 
-def _trained(blocks) -> tuple[np.ndarray, ...]:
-    """(key, h, other, count) of the training bigrams of blocks (h, other, document, count), by key."""
-    parts = [(x[0][t], x[1][t].astype(np.uint64), x[3][t]) for x in blocks for t in [x[2] & 1 == 1]]
-    h, other, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint32))
-    key = _pair(h, other)
-    order, at = groups(key)
-    at_first = order[at]
-    return key[at_first], h[at_first], other[at_first], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+def _trained(bigrams) -> tuple[np.ndarray, np.ndarray]:
+    """(Sorted keys, counts) of the training bigrams of (key, flagged document, times, ...)."""
+    parts = [(x[0][t], x[2][t]) for x in bigrams for t in [x[1] & 1 == 1]]
+    return _counts([x[0] for x in parts], [x[1] for x in parts])
+
+
+def _around(listed: np.ndarray, blocks: list) -> tuple[tuple[np.ndarray, ...], ...]:
+    """Bigrams (key, flagged document, times, rare word's place in ``listed``, other word) of a batch's rare words: with a common
+    word before, with a common word after, and with a rare one after. A key is the place and the other's id, or of both hashes."""
+    w = np.concatenate([np.repeat(np.searchsorted(listed, _sorted(x[0])), x[1]) for x in blocks]).astype(np.uint32)
+    flagged, prior, then, n, follows = (np.concatenate([x[i] for x in blocks]) for i in range(2, 7))
+
+    def common(at, other):
+        return w[at].astype(np.uint64) << np.uint64(16) | other[at], flagged[at], n[at], w[at], other[at]
+
+    rare = then == UNK
+    return common(prior != UNK, prior), common(~rare, then), (_pair(listed[w[rare]], follows), flagged[rare], n[rare], w[rare], follows)
+
+
+def _table(kind: str, h: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple:
+    """A table of counts by word (sorted hashes) and the other word."""
+    one, times = _runs(h)
+    return _packed(kind, 0, -1, _steps(one), _narrow(times), _narrow(other), _narrow(n))
 
 
 def _count(shared):
@@ -381,87 +442,82 @@ def _count(shared):
 
     def count(rows):
         voc = shared.value
-        got = {k: defaultdict(list) for k in ("gram", "into", "from", "uni", "next")}
+        got = {k: defaultdict(list) for k in ("gram", "rare", "uni", "next")}
         through = [r for r in rows if r[0] in ("home", "unseen")]
         for i in range(0, len(through), 64):
             yield block_rows(through[i : i + 64])
         for kind, _, batch, data in rows:
-            if kind not in ("home", "unseen"):
-                got["from" if kind == "pair" else kind][batch].append(pickle.loads(data))
-        grams, into, out_of = (got[k] for k in ("gram", "into", "from"))
-
-        def table(kind, at):
-            blocks = got[kind].pop(0, [])
-            if not blocks:
-                return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            key, c = (np.concatenate([x[i] for x in blocks]) for i in at)
-            order, first = groups(key)
-            return key[order][first], c[order][first]
-
-        uni, following = table("uni", (0, 1)), table("next", (1, 2))
-
-        def p_next(h, other):
-            common = other < IDS
-            return np.where(common, voc.p1[np.where(common, other, 0).astype(np.int64)], voc.prob(_found(*following, _pair(h, other))))
-
-        # both words common
-        train = [(x[0][t], x[2][t]) for blocks in grams.values() for x in blocks for t in [x[1] & 1 == 1]]
-        code, count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if train:
-            code, n = (np.concatenate(x) for x in zip(*train))
-            order, at = groups(code)
-            code, count = code[order][at], np.add.reduceat(n[order].astype(np.int64), at) if len(at) else count
+            if kind in got:
+                got[kind][batch].append(_unpacked(data))
+
+        none = np.zeros(0, np.uint64)
+        uni, following = (_counts([_sorted(x[0]) for x in got[k][0]], [x[1] for x in got[k][0]]) for k in ("uni", "next"))
+        grams = {batch: (np.concatenate([_sorted(x[0]).astype(np.uint32) for x in blocks]), *(np.concatenate([x[i] for x in blocks]) for i in (1, 2))) for batch, blocks in got.pop("gram").items()}
+        listed = np.unique(np.concatenate([none, *(_sorted(x[0]) for blocks in got["rare"].values() for x in blocks)]))
+        rare = {batch: _around(listed, blocks) for batch, blocks in got.pop("rare").items()}
+        into, out_of, pairs = ([x[i] for x in rare.values()] for i in range(3))
+        seen = _found(*uni, listed)
+        p_listed = voc.prob(seen)
+
+        # counts of bigrams; those of two rare words are by one hash, whose words come from where it first is
+        code, count = _trained(grams.values())
         before, now = (code >> np.uint32(16)).astype(np.int64), (code & np.uint32(0xFFFF)).astype(np.int64)
-        if len(code):
-            yield block_rows([block("count", 0, -1, code, _narrow(count))])
-            ids, of = np.unique(before, return_inverse=True)
-            yield block_rows([block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.p1[now], minlength=len(ids)))])
-        for batch, blocks in grams.items():
-            g, d, n = (np.concatenate(x) for x in zip(*blocks))
-            c = _found(code, count, g)
-            docs, of = np.unique(d >> 1, return_inverse=True)
-            before, now, un = (g >> np.uint32(16)).astype(np.int64), (g & np.uint32(0xFFFF)).astype(np.int64), c == 0
-            value, small = _sums(of, n, len(docs), voc.count[before], voc.p1[now], c)
-            yield block_rows([block("sums", 0, batch, _narrow(docs), _signed(value), [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
-        grams.clear()
-
-        # a common history and a rare next word
-        key, h, other, count = _trained(x for blocks in into.values() for x in blocks)
-        if len(key):
-            yield block_rows([block("count_into", 0, -1, h, _narrow(other), _narrow(count))])
-            ids, of = np.unique(other.astype(np.int64), return_inverse=True)
-            yield block_rows([block("history", 0, -1, ids, *_types(of, count, len(ids)), np.bincount(of, voc.prob(_found(*uni, h)), minlength=len(ids)))])
-        for batch, blocks in into.items():
-            w, before, d, n = (np.concatenate(x) for x in zip(*blocks))
-            c = _found(key, count, _pair(w, before.astype(np.uint64)))
-            docs, of = np.unique(d >> 1, return_inverse=True)
-            un = c == 0
-            value, small = _sums(of, n, len(docs), voc.count[before], voc.prob(_found(*uni, w)), c)
-            yield block_rows([block("sums", 0, batch, _narrow(docs), _signed(value), [_narrow(x) for x in small]), block("unseen", 0, batch, _narrow(docs[of[un]]), _narrow(before[un]), n[un])])
-        into.clear()
+        (k_into, n_into), (k_from, n_from), (k_pair, n_pair) = (_trained(x) for x in (into, out_of, pairs))
+        (w_into, o_into), (w_from, o_from) = (((k >> np.uint64(16)).astype(np.int64), (k & np.uint64(0xFFFF)).astype(np.int64)) for k in (k_into, k_from))
+        key, at = np.unique(np.concatenate([none, *(x[0] for x in pairs)]), return_index=True)
+        at = at[np.searchsorted(key, k_pair)]
+        w_pair, o_pair = (np.concatenate([none, *(x[i] for x in pairs)])[at] for i in (3, 4))
+
+        # common histories
+        if len(code) or len(k_into):
+            ids, of = np.unique(np.concatenate([before, o_into]), return_inverse=True)
+            types, large = _types(of, np.concatenate([count, n_into]), len(ids))
+            p1 = np.bincount(of, np.concatenate([voc.p1[now], p_listed[w_into]]), minlength=len(ids))
+            yield block_rows([_packed("history", 0, -1, _steps(ids), *(_narrow(t) for t in types), _narrow(large), p1)])
+            yield block_rows([_packed("count", 0, -1, _steps(code), _narrow(count)), _table("count_into", listed[w_into], o_into, n_into)])
 
         # a rare history: its weight needs only the discounts, which are known when all buckets are counted
-        key, h, other, count = _trained(x for blocks in out_of.values() for x in blocks)
-        histories, of = np.unique(h, return_inverse=True)
-        types, large = _types(of, count, len(histories))
-        p1 = np.bincount(of, p_next(h, other), minlength=len(histories))
-        if len(key):
-            yield block_rows([block("count_from", 0, -1, h, other, _narrow(count))])
-            yield block_rows([block("history", 0, -1, np.array([UNK]), [np.array([t.sum()]) for t in types], np.zeros(1), np.zeros(1))])
-        for batch, blocks in out_of.items():
-            w, d, n = (np.concatenate([x[i] for x in blocks]) for i in (0, 2, 3))
-            o = np.concatenate([x[1].astype(np.uint64) for x in blocks])
-            c, seen = _found(key, count, _pair(w, o)), _found(*uni, w)
+        of = np.concatenate([w_from, w_pair.astype(np.int64)])
+        types, large = _types(of, np.concatenate([n_from, n_pair]), len(listed))
+        p1 = np.bincount(of, np.concatenate([voc.p1[o_from], voc.prob(_found(*following, k_pair))]), minlength=len(listed))
+        if len(of):
+            order = np.argsort(w_pair, kind="stable")
+            yield block_rows([_table("count_from", listed[w_from], o_from, n_from), _table("count_pair", listed[w_pair[order]], o_pair[order], n_pair[order])])
+            yield block_rows([_packed("history", 0, -1, np.array([UNK]), *(np.array([t.sum()]) for t in types), np.zeros(1, np.int64), np.zeros(1))])
+
+        for batch in dict.fromkeys([*grams, *rare]):
+            parts, unseen, back = [], [], []  # (document, times, count and probability to back off to, count), (document, history, times), (document, times, history)
+            if batch in grams:
+                g, d, n = grams[batch]
+                c, b = _found(code, count, g), (g >> np.uint32(16)).astype(np.int64)
+                parts.append((d, n, voc.count[b], voc.p1[g & np.uint32(0xFFFF)], c))
+                unseen.append((d[c == 0], b[c == 0], n[c == 0]))
+            if batch in rare:
+                (key, d, n, w, b), after, pair = rare[batch]
+                c = _found(k_into, n_into, key)
+                parts.append((d, n, voc.count[b], p_listed[w], c))
+                unseen.append((d[c == 0], b[c == 0], n[c == 0]))
+                parts.append((*after[1:3], seen[after[3]], voc.p1[after[4]], _found(k_from, n_from, after[0])))
+                parts.append((*pair[1:3], seen[pair[3]], voc.prob(_found(*following, pair[0])), _found(k_pair, n_pair, pair[0])))
+                back = [after[1:4], pair[1:4]]
+            d, n, prior, p, c = (np.concatenate(x) for x in zip(*parts))
             docs, of = np.unique(d >> 1, return_inverse=True)
-            value, small = _sums(of, n, len(docs), seen, p_next(w, o), c)
-            rows = [block("sums", 0, batch, _narrow(docs), _signed(value), [_narrow(x) for x in small])]
-            # a rare word is the history of one token each time it occurs
-            rows.append(block("rare", 0, batch, _narrow(docs), np.bincount(of, n * voc.base(seen)), _narrow(np.bincount(of, n * (seen > 0)).astype(np.int64))))
-            un = (c == 0) & (seen > 0)  # a history that is never seen leaves all to the unigrams
-            if un.any():
-                at, which = np.unique(np.searchsorted(histories, w[un]), return_inverse=True)
-                rows.append(block("open", 0, batch, _narrow(docs[of[un]]), _narrow(which), n[un], [_narrow(t[at]) for t in types[:CUT]], large[at], _found(*uni, histories[at]), p1[at]))
-            yield block_rows(rows)
+            value, small = _sums(of, n, len(docs), prior, p, c)
+            out = [_packed("sums", 0, batch, _steps(docs), _signed(value), *(_narrow(x) for x in small))]
+            un, b, m = (np.concatenate(x) for x in zip(*unseen))
+            if len(un):
+                order = np.argsort(b, kind="stable")
+                out.append(_packed("unseen", 0, batch, _narrow((un >> 1)[order]), _narrow(b[order]), m[order]))
+            if back:
+                # a rare word is the history of one token each time it occurs
+                d, n, w = (np.concatenate(x) for x in zip(*back))
+                docs, of = np.unique(d >> 1, return_inverse=True)
+                out.append(_packed("base", 0, batch, _steps(docs), np.bincount(of, n * voc.base(seen[w])), _narrow(np.bincount(of, n * (seen[w] > 0)).astype(np.int64))))
+                un = (c[-len(d) :] == 0) & (seen[w] > 0)  # a history that is never seen leaves all to the unigrams
+                if un.any():
+                    at, which = np.unique(w[un], return_inverse=True)
+                    out.append(_packed("open", 0, batch, _narrow((d >> 1)[un]), _narrow(which), n[un], *(_narrow(t[at]) for t in types[:CUT]), _narrow(large[at]), _narrow(seen[at]), p1[at]))
+            yield block_rows(out)
 
     return run
 
@@ -483,14 +539,16 @@ def _gather(shared, model):
             if kind == "unseen":
                 np.add.at(score, x[0], log_alpha[x[1]] * x[2])
             elif kind == "open":
-                np.add.at(score, x[0], np.log10(np.maximum(weights(*x[3:], d), 1e-300))[x[1]] * x[2])
+                np.add.at(score, x[0], np.log10(np.maximum(weights(x[3 : 3 + CUT], *x[3 + CUT :], d), 1e-300))[x[1]] * x[2])
             elif kind == "sums":
-                score[x[0]] += x[1] / GRAIN
+                at = _sorted(x[0]).astype(np.int64)
+                score[at] += x[1] / GRAIN
                 for r in range(CUT):
-                    score[x[0]] += x[2][r] * log_d[r]
+                    score[at] += x[2 + r] * log_d[r]
             else:
-                base[x[0]] += x[1]
-                known[x[0]] += x[2]
+                at = _sorted(x[0]).astype(np.int64)
+                base[at] += x[1]
+                known[at] += x[2].astype(np.int64)
 
         for _, rows in _by("batch", batches):
             ids, held, h = next(pickle.loads(data) for kind, _, _, data in rows if kind == "home")
@@ -499,7 +557,7 @@ def _gather(shared, model):
                 score += h["small"][r] * log_d[r]
             for kind, _, _, data in sorted(rows, key=lambda r: (r[0], r[3])):  # the same order whatever came first
                 if kind != "home":
-                    add((score, h["base"], h["n_known"]), kind, pickle.loads(data))
+                    add((score, h["base"], h["n_known"]), kind, _unpacked(data))
             n = len(score)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(h["n_tokens"]), pa.array(h["n_known"]), pa.array(np.full(n, voc.tokens, np.int64)), pa.array(h["base"]), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -514,8 +572,9 @@ def katz(blocks: DataFrame, voc: Vocabulary, hot_c: np.ndarray) -> tuple[np.ndar
         types, large, p1 = np.zeros((CUT + 1, size), np.int64), np.zeros(size), np.zeros(size)
         for b in batches:
             for block in b.column("block").to_pylist():
-                ids, t, x, p = pickle.loads(block)
-                types[:, ids] += np.array(t)
+                ids, *t, x, p = _unpacked(block)
+                ids = _sorted(ids).astype(np.int64)
+                types[:, ids] += np.array(t, np.int64)
                 large[ids] += x
                 p1[ids] += p
         at = np.flatnonzero(types.sum(0) + large)
@@ -544,7 +603,7 @@ def scored(docs: DataFrame, common: int = VOCAB) -> DataFrame:
     A null or empty text is an end alone, equal rows are scored alike (and count as often in training), an empty
     table gives an empty one, a model without training documents knows nothing and scores by UNK; other columns
     are ignored. ``common`` (at most VOCAB) is how many words are broadcast and does not change the result. The blocks
-    that the counting step writes hold the model's partitioned bigram tables (kinds "count", "count_into" and "count_from")."""
+    that the counting step writes hold the model's partitioned bigram tables (kinds "count", "count_into", "count_from" and "count_pair")."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out")
     uni = unigrams(docs)

@@ -134,3 +134,13 @@ def test_blocks_of_large_texts():
     batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i : i + 3], pa.string())}) for i in range(0, len(texts), 3)] + [pa.RecordBatch.from_pydict({"text": pa.array([], pa.string())})]
     parts = [b.column("text").to_pylist() for b in lm._parts(iter(batches), 120)]
     assert sum(parts, []) == texts and [len(p) for p in parts] == [2, 1, 3, 1, 3]
+
+
+def test_blocks_take_no_more_than_the_texts(spark, sf_dir):
+    """What documents send to the buckets, compressed as a shuffle does, takes about the size of their texts, and not 1.4 times that."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out").coalesce(1)
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    voc = lm.vocabulary(lm.unigrams(docs), docs.where("not held_out").count(), 2000)
+    shared, hot = (spark.sparkContext.broadcast(x) for x in (voc, lm.hot_counts(docs, spark.sparkContext.broadcast(voc))))
+    blocks = docs.mapInArrow(lm._scatter(shared, hot, lm.TEXT, 8), lm.BLOCK).select("block").collect()
+    assert sum(len(pa.compress(r.block, "lz4", asbytes=True)) for r in blocks) < 1.1 * size

@@ -17,7 +17,8 @@ task counts, and sends back one block of sums for each batch of documents. A big
 - the history's hash, where both are; the next word's count is asked for at that word's bucket beforehand.
 
 A rare word is sent once, with the words on both sides of it. Blocks are sorted, so that keys travel as their differences, and
-compressed: they, and not the texts, are what takes disk."""
+compressed: they, and not the texts, are what takes disk. What comes back are whole numbers, each of which few bits hold: counts
+of bigrams and of rare words, each with its document. Sums a bucket, in fractions, would near one a bigram as buckets grow in number."""
 
 from __future__ import annotations
 
@@ -35,12 +36,11 @@ from pyspark.sql import functions as F
 from framescore.llm.common import BLOCK, block, block_rows, by_bucket, documents, groups, mix, partitions, words, written
 
 VOCAB, HOT, CUT = (1 << 16) - 8, 512, 5
-#: Parts of one into which a token's log10 is rounded.
-GRAIN = 1 << 26
 #: Bytes of text whose records are made at once (a batch), and of a bucket's share of all texts, where all are ``SIZE`` bytes; both grow with the
 #: root of the texts' size, so that blocks, one a batch and bucket, grow with the size and not with its square. The most that they grow to.
 SIZE, TEXT, SHARE, MOST_TEXT, MOST_SHARE = 1 << 30, 2 << 20, 9 << 20, 16 << 20, 64 << 20
 UNK, END, FIRST = 0, 1, 2  # ids; words by falling count follow
+COMMON = 1 << 16  # ids are below this
 
 
 def discounts(n: np.ndarray, cut: int = CUT) -> np.ndarray:
@@ -156,11 +156,6 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()))) if x.dtype.kind in "iu" and len(x) else x
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    """Whole numbers in four bytes where these hold them."""
-    return x.astype(np.int32 if np.abs(x).max(initial=0) < 1 << 31 else np.int64)
-
-
 def _packed(kind: str, bucket: int, batch: int, *arrays: np.ndarray) -> tuple:
     """A block of arrays of numbers, compressed: all first bytes of an array, then all second ones, and so on."""
     form = [(x.dtype.str, len(x)) for x in arrays]
@@ -236,12 +231,11 @@ def hot_counts(docs: DataFrame, shared) -> np.ndarray:
     return out
 
 
-def _sums(of, n, size, before, p1, c, whole: bool = True):
+def _sums(of, size, before, p1, c):
     """Sums a document: log10 of seen counts less those of histories (``before``) or of the token's unigram
-    probability, in whole GRAINs if ``whole``, so that they add up alike in any order, and tokens by small count."""
+    probability, and tokens by small count."""
     value = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(before + 1), np.log10(p1))
-    value = (np.rint(value * GRAIN) if whole else value) * n
-    return np.bincount(of, value, minlength=size), [np.bincount(of[c == r], n[c == r], minlength=size).astype(np.int64) for r in range(1, CUT + 1)]
+    return np.bincount(of, value, minlength=size), [np.bincount(of[c == r], minlength=size) for r in range(1, CUT + 1)]
 
 
 def blocked(size: int) -> tuple[int, int]:
@@ -334,7 +328,7 @@ def _scatter(shared, hot_shared, most: int, buckets: int):
 
     def run(batches):
         voc, hot_c = shared.value, hot_shared.value
-        known = np.concatenate([voc.base(voc.count)])
+        known, log_count = voc.base(voc.count), np.log10(voc.count + 1)
         task = TaskContext.get().partitionId() << 24
         for k, b in enumerate(_parts(batches, most)):
             train = ~b.column("held_out").to_numpy(zero_copy_only=False)
@@ -350,13 +344,14 @@ def _scatter(shared, hot_shared, most: int, buckets: int):
                 home["base"][here] = np.bincount(of[common], known[now[common]], minlength=m)
                 hot = _hot(before, now)
                 c = hot_c[before[hot] * HOT + now[hot]]
-                value, small = _sums(of[hot], np.ones(int(hot.sum())), m, voc.count[before[hot]], voc.p1[now[hot]], c, whole=False)
+                value, small = _sums(of[hot], m, voc.count[before[hot]], voc.p1[now[hot]], c)
                 unseen = np.flatnonzero(hot)[c == 0]
-                home["value"][here] = value
+                open_ = ~hot & (before != UNK)  # counts come back from the buckets
+                home["value"][here] = value - np.bincount(of[open_], log_count[before[open_]], minlength=m)
                 for r in range(CUT):
                     home["small"][r][here] = small[r]
                 un.append(((of[unseen] + lo).astype(np.uint32), before[unseen].astype(np.uint32), np.ones(len(unseen), np.uint32)))
-                cold = ~hot & common & (before != UNK)
+                cold = open_ & common
                 u, n = np.unique((of[cold] + lo) << 32 | before[cold] << 16 | now[cold], return_counts=True)
                 grams.append((u, n))
                 at = np.flatnonzero(~common)  # an end follows every word
@@ -426,6 +421,19 @@ def _around(listed: np.ndarray, blocks: list) -> tuple[tuple[np.ndarray, ...], .
     return common(prior != UNK, prior), common(~rare, then), (_pair(listed[w[rare]], follows), flagged[rare], n[rare], w[rare], follows)
 
 
+def _numbered(parts: list) -> list[np.ndarray]:
+    """Different (flagged document, number) with their times, sorted: steps of documents, numbers, times."""
+    d, x, n = (np.concatenate(y) for y in zip(*parts)) if parts else (np.zeros(0, np.int64) for _ in range(3))
+    key, n = _counts([(d >> 1).astype(np.uint64) << np.uint64(32) | x.astype(np.uint64)], [n])
+    return [_steps(key >> np.uint64(32)), _narrow(key & np.uint64(0xFFFFFFFF)), _narrow(n)]
+
+
+def _listed(parts: list) -> list[np.ndarray]:
+    """(Flagged document, numbers, ...): documents, numbers, ..."""
+    d, *more = (np.concatenate(y) for y in zip(*parts)) if parts else (np.zeros(0, np.int64) for _ in range(4))
+    return [_narrow(x) for x in (d >> 1, *more)]
+
+
 def _table(kind: str, h: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple:
     """A table of counts by word (sorted hashes) and the other word."""
     one, times = _runs(h)
@@ -433,7 +441,8 @@ def _table(kind: str, h: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple:
 
 
 def _count(shared):
-    """Of each bucket, held one at a time: counts of its bigrams (kept as the model's table) and, back to each batch, sums a document.
+    """Of each bucket, held one at a time: counts of its bigrams (kept as the model's table) and, back to each batch, those of its bigrams by document. The token
+    after an unseen bigram's history is given by its id or, if rare, by COMMON and its count.
     Rows come sorted by bucket."""
 
     def run(batches):
@@ -486,38 +495,30 @@ def _count(shared):
             yield block_rows([_packed("history", 0, -1, np.array([UNK]), *(np.array([t.sum()]) for t in types), np.zeros(1, np.int64), np.zeros(1))])
 
         for batch in dict.fromkeys([*grams, *rare]):
-            parts, unseen, back = [], [], []  # (document, times, count and probability to back off to, count), (document, history, times), (document, times, history)
+            found, rares, unseen, opened, at = [], [], [], [], np.zeros(0, np.int64)
             if batch in grams:
                 g, d, n = grams[batch]
-                c, b = _found(code, count, g), (g >> np.uint32(16)).astype(np.int64)
-                parts.append((d, n, voc.count[b], voc.p1[g & np.uint32(0xFFFF)], c))
-                unseen.append((d[c == 0], b[c == 0], n[c == 0]))
+                c = _found(code, count, g)
+                found.append((d, c, n))
+                g, d, n = g[c == 0], d[c == 0], n[c == 0]
+                unseen.append((d, g >> np.uint32(16), g & np.uint32(0xFFFF), n))
             if batch in rare:
                 (key, d, n, w, b), after, pair = rare[batch]
                 c = _found(k_into, n_into, key)
-                parts.append((d, n, voc.count[b], p_listed[w], c))
-                unseen.append((d[c == 0], b[c == 0], n[c == 0]))
-                parts.append((*after[1:3], seen[after[3]], voc.p1[after[4]], _found(k_from, n_from, after[0])))
-                parts.append((*pair[1:3], seen[pair[3]], voc.prob(_found(*following, pair[0])), _found(k_pair, n_pair, pair[0])))
-                back = [after[1:4], pair[1:4]]
-            d, n, prior, p, c = (np.concatenate(x) for x in zip(*parts))
-            docs, of = np.unique(d >> 1, return_inverse=True)
-            value, small = _sums(of, n, len(docs), prior, p, c)
-            out = [_packed("sums", 0, batch, _steps(docs), _signed(value), *(_narrow(x) for x in small))]
-            un, b, m = (np.concatenate(x) for x in zip(*unseen))
-            if len(un):
-                order = np.argsort(b, kind="stable")
-                out.append(_packed("unseen", 0, batch, _narrow((un >> 1)[order]), _narrow(b[order]), m[order]))
-            if back:
-                # a rare word is the history of one token each time it occurs
-                d, n, w = (np.concatenate(x) for x in zip(*back))
-                docs, of = np.unique(d >> 1, return_inverse=True)
-                out.append(_packed("base", 0, batch, _steps(docs), np.bincount(of, n * voc.base(seen[w])), _narrow(np.bincount(of, n * (seen[w] > 0)).astype(np.int64))))
-                un = (c[-len(d) :] == 0) & (seen[w] > 0)  # a history that is never seen leaves all to the unigrams
-                if un.any():
-                    at, which = np.unique(w[un], return_inverse=True)
-                    out.append(_packed("open", 0, batch, _narrow((d >> 1)[un]), _narrow(which), n[un], *(_narrow(t[at]) for t in types[:CUT]), _narrow(large[at]), _narrow(seen[at]), p1[at]))
-            yield block_rows(out)
+                un = c == 0
+                found.append((d, c, n))
+                unseen.append((d[un], b[un], COMMON + seen[w[un]], n[un]))
+                for (key, d, n, w, token), table in ((after, (k_from, n_from)), ((*pair[:4], COMMON + _found(*following, pair[0])), (k_pair, n_pair))):
+                    c = _found(*table, key)
+                    un = c == 0
+                    found.append((d, c, n))
+                    rares.append((d, seen[w], n))  # a rare word is the history of one token each time it occurs
+                    opened.append((d[un], w[un], token[un], n[un]))
+                d, w, token, n = (np.concatenate(x) for x in zip(*opened))
+                at, which = np.unique(w, return_inverse=True)  # one that training does not have leaves all to the unigrams: its weight is 1
+                opened = [(d, which, token, n)]
+            found = [(d[c > 0], c[c > 0], n[c > 0]) for d, c, n in found]
+            yield block_rows([_packed("counted", 0, batch, *_numbered(found), *_numbered(rares), *_listed(unseen), *_listed(opened), *(_narrow(t[at]) for t in types[:CUT]), _narrow(large[at]), _narrow(seen[at]), p1[at])])
 
     return run
 
@@ -532,34 +533,41 @@ def _gather(shared, model):
     def run(batches):
         voc, (d, alpha) = shared.value, model.value
         with np.errstate(divide="ignore"):
-            log_d, log_alpha = np.log10(d[1 : CUT + 1]), np.log10(np.maximum(alpha, 1e-300))
-
-        def add(home, kind, x):
-            score, base, known = home
-            if kind == "unseen":
-                np.add.at(score, x[0], log_alpha[x[1]] * x[2])
-            elif kind == "open":
-                np.add.at(score, x[0], np.log10(np.maximum(weights(x[3 : 3 + CUT], *x[3 + CUT :], d), 1e-300))[x[1]] * x[2])
-            elif kind == "sums":
-                at = _sorted(x[0]).astype(np.int64)
-                score[at] += x[1] / GRAIN
-                for r in range(CUT):
-                    score[at] += x[2 + r] * log_d[r]
-            else:
-                at = _sorted(x[0]).astype(np.int64)
-                base[at] += x[1]
-                known[at] += x[2].astype(np.int64)
+            log_d, log_alpha, log_count = np.append(np.log10(d), 0), np.log10(np.maximum(alpha, 1e-300)), np.log10(voc.count + 1)
+
+        def log_p1(token):
+            token = token.astype(np.int64)
+            return np.log10(np.where(token < COMMON, voc.p1[np.where(token < COMMON, token, UNK)], voc.prob(np.maximum(token - COMMON, 0))))
 
         for _, rows in _by("batch", batches):
             ids, held, h = next(pickle.loads(data) for kind, _, _, data in rows if kind == "home")
-            score = h["value"].copy()
+            score, base, known = h["value"].copy(), h["base"].copy(), h["n_known"].copy()
             for r in range(CUT):
-                score += h["small"][r] * log_d[r]
+                score += h["small"][r] * log_d[r + 1]
+
+            def total(at, x, size=len(score)):
+                return np.bincount(at.astype(np.int64), x, minlength=size)
+
             for kind, _, _, data in sorted(rows, key=lambda r: (r[0], r[3])):  # the same order whatever came first
-                if kind != "home":
-                    add((score, h["base"], h["n_known"]), kind, _unpacked(data))
+                if kind == "unseen":
+                    at, before, n = _unpacked(data)
+                    score += total(at, log_alpha[before] * n)
+                elif kind == "counted":
+                    x = _unpacked(data)
+                    at, c, n = _sorted(x[0]), x[1].astype(np.int64), x[2]  # in a byte, logarithms would have but 11 bits, and 255 + 1 is 0
+                    score += total(at, (np.log10(c) + log_d[np.minimum(c, CUT + 1)]) * n)
+                    at, c, n = _sorted(x[3]), x[4].astype(np.int64), x[5]
+                    score -= total(at, np.log10(c + 1) * n)
+                    base += total(at, voc.base(c) * n)
+                    known += total(at, (c > 0) * n).astype(np.int64)
+                    at, before, token, n = x[6:10]
+                    score += total(at, (log_p1(token) + log_count[before] + log_alpha[before]) * n)
+                    at, which, token, n = x[10:14]
+                    *types, large, count, p1 = (y.astype(float) for y in x[14:])
+                    lack = np.log10(np.maximum(weights(types, large, count, p1, d), 1e-300)) + np.log10(count + 1)
+                    score += total(at, (log_p1(token) + lack[which]) * n)
             n = len(score)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(h["n_tokens"]), pa.array(h["n_known"]), pa.array(np.full(n, voc.tokens, np.int64)), pa.array(h["base"]), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(h["n_tokens"]), pa.array(known), pa.array(np.full(n, voc.tokens, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 

@@ -144,3 +144,22 @@ def test_blocks_take_no_more_than_the_texts(spark, sf_dir):
     shared, hot = (spark.sparkContext.broadcast(x) for x in (voc, lm.hot_counts(docs, spark.sparkContext.broadcast(voc))))
     blocks = docs.mapInArrow(lm._scatter(shared, hot, lm.TEXT, 8), lm.BLOCK).select("block").collect()
     assert sum(len(pa.compress(r.block, "lz4", asbytes=True)) for r in blocks) < 1.1 * size
+
+
+def test_counts_at_the_end_of_a_byte(spark):
+    """A rare history of 255 training tokens, before a word that never follows it."""
+    rows = [(i, f"q z{i % 3}", False) for i in range(255)] + [(300, "q y z1 y", True), (301, "y", False)]
+    same(lm.scored(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), 0).collect(), brute(rows, 1 << 40))
+
+
+def test_what_comes_back_grows_with_the_texts(spark, sf_dir, monkeypatch):
+    """Eight times as many buckets send back under twice as much: counts of few bits, not a fraction a document and bucket."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 5 = 1 as held_out").coalesce(1)
+    size, bytes_back = docs.selectExpr("sum(octet_length(text))").first()[0], []
+    for buckets in (4, 32):
+        monkeypatch.setattr(lm, "blocked", lambda _: (size, buckets))
+        before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/counts-*"))
+        lm.scored(docs, 2000)
+        (new,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/counts-*")) - before
+        bytes_back.append(spark.read.parquet(new).where("batch >= 0").selectExpr("sum(length(block))").first()[0])
+    assert bytes_back[1] < 1.8 * bytes_back[0]

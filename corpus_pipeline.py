@@ -2,7 +2,10 @@
 
 Language identification drops texts that it rejects; the shingle join leaves one document of each group of near
 copies; decontamination drops documents with benchmark passages; personal data is replaced by its kind; packing
-cuts what is left into windows of tokens."""
+cuts what is left into windows of tokens.
+
+Stages that end in Python write their result themselves, so that workers take whole texts in batches of ``written``'s size
+whoever reads it: Spark's own is 10,000 rows."""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ from framescore.llm.pii import redacted
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is recognised; a null text and one without a letter go, clean ones stay."""
-    return recognised(docs)
+    return written(recognised(docs), "language")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced by its kind; null texts stay null."""
-    return redacted(docs)
+    return written(redacted(docs), "personal_data")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces that all stages leave of the documents of ``sf_dir``; an empty table gives none."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if stage in (language, personal_data) else written(docs, name)
     return STAGES[-1][1](spark, docs, sf_dir)

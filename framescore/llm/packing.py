@@ -22,6 +22,9 @@ from framescore.llm.common import binary, documents, partitions, released, words
 WINDOW, BINS, END_ID = 4096, 64, 2
 #: Words whose ids a worker process keeps.
 KEPT_WORDS = 1_200_000
+#: Words that the tokenizer takes at once, which holds far more a word than its ids, and bytes of text worked on at once: two workers share an
+#: executor's memory with a heap that is as large as it may be.
+GIVEN_WORDS, TEXT_BYTES = 2048, 1 << 19
 #: Letters, digits and punctuation of ASCII, between which this vocabulary always cuts. The apostrophe, which begins
 #: contractions, control characters and other bytes (0) may belong to either side.
 CUTS = np.zeros(256, np.uint8)
@@ -73,11 +76,15 @@ class Encoder:
         slots[known] = self.slots[place[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            found = [e.ids for e in self.tok.encode_batch_fast([w.word(i).decode("utf-8", "replace") for i in first[new]], add_special_tokens=False)]
+            sizes, flat = [], []
+            for a in range(0, len(new), GIVEN_WORDS):
+                found = [e.ids for e in self.tok.encode_batch_fast([w.word(i).decode("utf-8", "replace") for i in first[new[a : a + GIVEN_WORDS]]], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+                flat.append(np.fromiter((i for x in found for i in x), self.flat.dtype))
             slots[new] = np.arange(len(self.keys), len(self.keys) + len(new))
             self.keys, self.slots = np.insert(self.keys, place[new], u[new]), np.insert(self.slots, place[new], slots[new])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), self.flat.dtype)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+            self.flat = np.concatenate([self.flat, *flat])
         s = slots[inverse]
         n = self.at[s + 1] - self.at[s]
         before = np.concatenate([[0], np.cumsum(n)])
@@ -88,7 +95,7 @@ def _tokenised(vocab: str, window: int, end_id: int, kind: str):
     def run(batches):
         enc = Encoder.of(vocab)
         for b in batches:
-            for lo, hi, w in words(b.column("text"), lower=True, size=4 << 20, classes=CUTS):
+            for lo, hi, w in words(b.column("text"), lower=True, size=TEXT_BYTES, classes=CUTS):
                 flat, before = enc.ids(w)
                 marks = np.flatnonzero((w.buf[:-1] == ord("<")) & (w.buf[1:] == ord("|")))
                 special = {int(i): enc.whole(w.buf[w.offs[i] : w.offs[i + 1]]) for i in set(np.searchsorted(w.offs, marks, "right") - 1)}
@@ -232,7 +239,9 @@ def packed(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_
     offsets = offsets.select("bin", "_salt", F.coalesce(F.sum("_n").over(W.partitionBy("bin").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     ranked = ranked.withColumn("_rn", F.row_number().over(W.partitionBy("bin", "_salt").orderBy("uid")) - 1).join(offsets, ["bin", "_salt"])
     ranked = ranked.withColumn("rank", F.col("_base") + F.col("_rn")).drop("_base", "_rn", "_salt")
-    slot = spark.createDataFrame(slots or [(0, 0, 0, 1, 0, 0)], "bin int, lo long, hi long, repeats long, base long, stack int")
+    # an Arrow table stays in the JVM, where a list starts Python workers of another kind, which stay beside those of tasks
+    names, types = ["bin", "lo", "hi", "repeats", "base", "stack"], [pa.int32(), *[pa.int64()] * 4, pa.int32()]
+    slot = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*(slots or [(0, 0, 0, 1, 0, 0)])), types)], names))
     placed = written(ranked.join(F.broadcast(slot.withColumnRenamed("bin", "_bin")), (F.col("bin") == F.col("_bin")) & F.col("rank").between(F.col("lo"), F.col("hi") - 1), "left").withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("repeats"))).select(*narrow.columns, "sequence_id", "stack", "rank"), "placed")
 
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -264,6 +273,7 @@ def packed(docs: DataFrame, vocab: str, window: int = WINDOW, end_id: int = END_
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "take")), pa.array(got, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], out)
 
     parts = parts.withColumn("start", F.col("start") + F.col("skip")).select("doc_id", "start", "take", "doc_tokens", "sequence_id", "offset", "skip", "ids").mapInArrow(released(crc), planned_rows.select(*out).schema)
+    parts = written(parts, "parts")  # in batches of its size, as ids are large
     full_rows = full.withColumn("sequence_id", F.col("uid") + (n_planned + n_extra)).withColumn("offset", F.lit(0).cast("long"))
     return planned_rows.unionByName(full_rows.select(*out)).unionByName(whole.select(*out)).unionByName(parts)
 

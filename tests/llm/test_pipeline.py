@@ -7,6 +7,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 
 import psutil
+from pyspark import SparkContext
 
 import corpus_pipeline
 from framescore.llm.common import released, written
@@ -134,3 +135,13 @@ def test_workers_give_freed_memory_back():
     before = size()
     assert list(released(run)(iter([1, 2]))) == [1, 2] and released(run).__name__ == "run"
     assert size() < before + 50
+
+
+def test_stages_take_texts_in_small_batches(spark, monkeypatch):
+    """Whoever reads a stage's result, no Python runs over 10,000 texts at once; no list is dealt out, which starts workers of another kind."""
+    monkeypatch.setattr(SparkContext, "parallelize", None)
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name in ("language", "personal_data", "packing"):
+        plan = stages[name](spark, docs, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "Python" not in plan, name

@@ -1,7 +1,11 @@
 """Sharding and packing: exact round trips, and small tables with nulls, empty texts, repeated rows."""
 
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -131,3 +135,29 @@ def test_sharding_does_not_depend_on_the_layout(spark, sf_dir):
     same = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text"))
     out = shuffled_shards(same, "doc_id", shards=2, bucket_bytes=65 * 50, equal=100).toPandas()
     assert sorted(out.slot) == list(range(400)) and out.groupby("bucket").size().max() < 150
+
+
+_PEAK = """
+import re, sys
+import numpy as np, pyarrow as pa, public_tokenizers
+from framescore.llm import packing
+
+def size(name):
+    return int(re.search(name + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+rng = np.random.default_rng(1)
+text = lambda: " ".join(map(bytes.decode, rng.integers(97, 123, (600, 7), np.uint8).view("S7").ravel()))
+batch = pa.record_batch({"doc_id": pa.array(range(1500)), "text": pa.array([text() for _ in range(1500)])})
+vocab = public_tokenizers.path("word_bpe_49k.json")
+packing.Encoder.of(vocab)
+before = size("VmRSS")
+n = sum(sum(b.column("length").to_pylist()) for b in packing._tokenised(vocab, 4096, 2, "<u2")([batch]))
+print(n, size("VmHWM") - before)
+"""
+
+
+def test_tokens_of_many_new_words_in_little_memory():
+    """7 MB of texts, of whose 900,000 words all are new: two such workers share an executor's memory with its heap."""
+    out = subprocess.run([sys.executable, "-c", _PEAK], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], env=os.environ | {"PYTHONPATH": ":".join(sys.path)})
+    n, mb = out.stdout.split()
+    assert int(n) > 900_000 and float(mb) < 250

@@ -349,9 +349,17 @@ def an7_irt(v, spark, sf_dir):
     return rounded(items, 3)
 
 
+def _steady_mean(name: str):
+    """The mean of a column of doubles, the same in whatever order and parts its rows are added: they are added as decimals. Where one is no
+    such decimal (NaN, infinite, 1e10 or more), the plain mean."""
+    exact = F.col(name).try_cast("decimal(28,18)")
+    return F.coalesce(F.when(F.count(exact) == F.count(name), F.try_divide(F.try_sum(exact).cast("double"), F.count(name))), F.avg(name))
+
+
 @query
 def an8_irt_flags(v, spark, sf_dir):
-    params = v("v_item_scores").groupBy("item_id").agg(F.avg("score").alias("a"), (6 * (0.5 - F.avg("score"))).alias("b"))
+    """Flags lie on bounds that means reach exactly (11/12 is b = -2.5), so a mean must not hang on the order of its rows."""
+    params = v("v_item_scores").groupBy("item_id").agg(_steady_mean("score").alias("a")).withColumn("b", 6 * (0.5 - F.col("a")))
     return an.irt_flags(params)
 
 

@@ -1,8 +1,10 @@
 """The call ledger: failures, reruns, equal requests; judges and prior trials asked through it."""
 
 import os
+from collections import Counter
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from framescore.operators import annotation, calls, judges
@@ -50,6 +52,49 @@ def test_rerun_asks_only_what_failed(spark, tmp_path):
     assert calls.ask(asked(spark, 0), "m", good, ledger).count() == 0
 
 
+def test_no_wave_and_no_task_has_more_calls_than_it_may(spark, tmp_path):
+    """And requests are evaluated once, a wave reads none of another's, and the ledger has some files a wave, not one a task."""
+    seen, made, ledger = tmp_path / "seen", tmp_path / "made", str(tmp_path / "ledger")
+    seen.mkdir(), made.mkdir()
+
+    def trace(folder, name):
+        open(os.path.join(folder, f"{name}-{os.urandom(6).hex()}"), "w").close()
+
+    def make():
+        task = TaskContext.get()
+        where = f"{task.stageId()}-{task.partitionId()}"
+
+        def client(request):
+            trace(seen, where)
+            return request["q"]
+
+        return client
+
+    @F.udf("string")
+    def question(i):
+        trace(made, i)
+        return f"q{i}"
+
+    rows = spark.range(200, numPartitions=3).select((F.col("id") % 150).alias("item_id"), F.col("id")).select("id", "item_id", F.struct("item_id", question("item_id").alias("q")).alias("request"))
+    got = calls.ask(rows, "m", make, ledger, wave=32, per_task=5)
+    assert got.columns == ["id", "item_id", "request", "reply", "error"]
+    assert sorted((r.id, r.reply) for r in got.collect()) == [(i, f"q{i % 150}") for i in range(200)]
+    assert len(list(made.iterdir())) == 200
+    tasks = [tuple(f.name.split("-")[:2]) for f in seen.iterdir()]
+    waves = Counter(stage for stage, _ in tasks)
+    assert len(tasks) == 150 and max(waves.values()) <= 32 and len(waves) <= 6 and max(Counter(tasks).values()) <= 5
+    assert len(list((tmp_path / "ledger").glob("*.parquet"))) <= calls.FILES * len(waves)
+    # what is left is asked, and files that hold none of it are not read
+    spark.read.parquet(ledger).where("reply like '%7'").write.parquet(str(tmp_path / "part"))
+    stored = rows.withColumn("call", calls.call_key("m", F.col("request")))
+    stored.repartition(1).sortWithinPartitions("id").write.option("maxRecordsPerFile", 4).parquet(str(tmp_path / "stored"))
+    stored = spark.read.parquet(str(tmp_path / "stored"))
+    left = [(n, set(files), places.collect()) for n, files, places in calls._waves(stored, calls.answered(spark, str(tmp_path / "part")), True, 4, 5, 32)]
+    assert [n for n, _, _ in left] == [len(places) for _, _, places in left] and sum(n for n, _, _ in left) == 135
+    assert sum(len(files) for _, files, _ in left) == len(set().union(*(files for _, files, _ in left))) == 38  # the last 50 rows repeat the first
+    assert all({p.file for p in places} == files and max(Counter(p.task for p in places).values()) <= 5 for _, files, places in left)
+
+
 def test_failed_judges_are_dropped(spark, tmp_path):
     def fails():
         raise_ = lambda r: 1 / 0
